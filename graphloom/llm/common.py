@@ -55,6 +55,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def multiple(n: int) -> np.uint64:
+    """n times the golden constant modulo 2**64."""
+    return np.uint64(n * int(GOLDEN) & _MASK)
+
+
 class _Powers:
     """Powers of an odd base modulo 2**64 and their inverses, grown on demand."""
 
@@ -134,7 +139,7 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def combine(parts: list[np.ndarray]) -> np.ndarray:
     """One hash of several aligned ones; order matters."""
-    h = np.full(len(parts[0]), np.uint64(len(parts)) * GOLDEN, np.uint64)
+    h = np.full(len(parts[0]), multiple(len(parts)), np.uint64)
     for p in parts:
         h = mix64(h ^ p) * _BASE + GOLDEN
     return mix64(h)
