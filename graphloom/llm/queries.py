@@ -9,7 +9,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dup, packing, toxicity
+from . import archives, language_id, mixing, near_dup, packing, top_k, toxicity, vector_dup
 from .common import table
 
 
@@ -30,17 +30,37 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dup.near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_arc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.convert(table(spark, sf_dir, "pages")).drop("target_uri")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_minhash_near_dedup, op6_toxicity, op8_language_id)}
+    found = (
+        op3_best_fit_packing, op4_minhash_near_dedup, op5_top_k, op6_toxicity,
+        op7_vector_near_dedup, op8_language_id, op9_mixing, op10_arc_converter,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_top_k": top_k.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_arc_converter": archives.ORACLE_SQL}
