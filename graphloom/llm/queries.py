@@ -9,7 +9,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, language_id, mixing, near_dup, packing, top_k, toxicity, vector_dup
+from . import archives, language_id, lm_score, mixing, near_dup, packing, pii, top_k, toxicity, vector_dup
 from .common import table
 
 
@@ -22,6 +22,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.search(table(spark, sf_dir, "documents"))
+
+
+def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -56,11 +64,13 @@ def op10_arc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
-        op3_best_fit_packing, op4_minhash_near_dedup, op5_top_k, op6_toxicity,
+        op1_skip_chain_pii, op2_stupid_backoff, op3_best_fit_packing, op4_minhash_near_dedup, op5_top_k, op6_toxicity,
         op7_vector_near_dedup, op8_language_id, op9_mixing, op10_arc_converter,
     )
-    return {f.__name__: f for f in found}
+    import corpus_pipeline
+
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_top_k": top_k.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_arc_converter": archives.ORACLE_SQL}
+    return {"op2_stupid_backoff": lm_score.ORACLE_SQL, "op5_top_k": top_k.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_arc_converter": archives.ORACLE_SQL}
