@@ -188,9 +188,11 @@ class Field:
         field.unary = w[: Tokens.N_FEATURES]
         pair = w[Tokens.N_FEATURES :].reshape(3, n, n)
         field.pair = (pair + pair.transpose(0, 2, 1)) / 2
-        # A skip edge speaks for equal labels; it never makes two alike tokens differ.
+        # A skip edge speaks for equal kinds; that two alike tokens are both none says nothing.
         for k in (1, 2):
-            field.pair[k] = np.diag(np.maximum(np.diag(field.pair[k]), LEAST_SKIP[k]))
+            same = np.maximum(np.diag(field.pair[k]), LEAST_SKIP[k])
+            same[0] = 0.0
+            field.pair[k] = np.diag(same)
         return field
 
     def marginals(self, tok: Tokens, rounds: int = ROUNDS) -> np.ndarray:
