@@ -29,7 +29,7 @@ from .common import sample_by_hash
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Bound of the training sample in documents; message rounds; probability from which a token is a span.
-SAMPLE, ROUNDS, LEAST = 2000, 12, 0.9
+SAMPLE, ROUNDS, LEAST = 2000, 12, 0.6
 #: Least weight of equal labels on the skip edges, where the sample holds too few twins to learn it.
 LEAST_SKIP = {1: 9.0, 2: 7.0}
 
