@@ -6,9 +6,10 @@ worked off one after another for all elements at once: as soon as every place of
 later rank can lower one, and the text stops early.
 
 Equal sets become one class before anything is compared.  Classes that share a band meet in that
-band's bucket; a bucket compares its members with a few pivots, never all with all.  Links are
-confirmed on the full sets.  Buckets whose members are still apart after that take further pivots, and
-what is left is compared pair by pair, each pair once.
+band's bucket.  First every member meets its bucket's pivot, the class with most copies; pairs whose
+signatures come near the similarity are confirmed on the full sets and joined into groups.  Buckets whose
+members are then still in different groups are compared in blocks, only across groups and each pair in
+the first band that it shares.  A block returns a spanning forest of its links, never the pairs.
 """
 
 from __future__ import annotations
@@ -21,14 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, bytes_of, combine, cut, mix64, multiple, slices, word_hashes
-from .components import components
+from .components import components, find, union
 
 #: Bands and rows: a pair at similarity 0.8 shares no band once in 13,000 times.
 BANDS, ROWS = 24, 5
 #: Elements whose permutations are held at a time.
 BLOCK = 32_768
-#: Rounds of pivots before the remaining pairs are compared one by one.
-PIVOT_ROUNDS = 3
+#: Agreeing signature bytes (of BANDS * ROWS) from which a pair is confirmed: 4.5 deviations below similarity 0.8.
+AGREE = 4.5
+#: Members of a bucket that are compared at once.
+MEMBERS = 1024
+
+
+def least_agreeing(m: int, percent: int) -> int:
+    """Signature bytes that a pair at the similarity shares almost surely."""
+    j = percent / 100
+    return max(0, int(m * j - AGREE * (m * j * (1 - j)) ** 0.5))
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -101,25 +110,27 @@ def _signatures(elements: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, key: str = "doc_id", k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """key, n_shingles, digest of the whole set (null if empty) and one hash for each band."""
+    """key, n_shingles, digest of the whole set (null if empty), one hash for each band, one byte for each place."""
 
     def run(batches):
         salt = np.arange(1, bands + 1, dtype=np.uint64) * GOLDEN
         for batch in batches:
             for lo, hi in slices(batch, "text"):
                 sets = shingle_sets(*bytes_of(batch.column("text").slice(lo, hi - lo)), k)
-                sig = super_minhash(sets, bands * rows).reshape(len(sets), bands, rows)
+                sig = super_minhash(sets, bands * rows)
+                low = mix64(sig).astype(np.uint8)
+                sig = sig.reshape(len(sets), bands, rows)
                 band = mix64(combine([sig[:, :, r].reshape(-1) for r in range(rows)]).reshape(-1, bands) ^ salt)
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 flat = pa.array(band.view(np.int64).reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(key).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), lists],
-                    [key, "n_shingles", "digest", "bands"],
+                    [batch.column(key).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), lists, pa.array([x.tobytes() for x in low], pa.binary())],
+                    [key, "n_shingles", "digest", "bands", "sig"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n_shingles long, digest binary, bands array<long>")
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n_shingles long, digest binary, bands array<long>, sig binary")
 
 
 def full_sets(docs: DataFrame, key: str, k: int) -> DataFrame:
@@ -136,18 +147,21 @@ def full_sets(docs: DataFrame, key: str, k: int) -> DataFrame:
     return docs.select(key, "text").mapInArrow(run, f"`{key}` long, elements binary")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _linked(percent: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("xs"), batch.column("ys")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+            pairs = zip(batch.column("xs"), batch.column("ys"))
+            keep = pa.array([_similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in pairs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     return run
 
@@ -160,6 +174,61 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "xs", "ys").mapInArrow(_linked(percent), "a long, b long")
 
 
+def _near(least: int):
+    """Pairs (a, b) whose signature bytes agree often enough."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            keep = pa.array((x == y).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def _cross_pairs(key, table, percent: int, least: int):
+    """Index pairs of one block pair of a bucket: of different groups, alike enough, in their first common band."""
+    band, one, two = (k.as_py() for k in key)
+    part, n, block = (table.column(c).to_numpy() for c in ("part", "n", "block"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(part), -1)
+    bands = np.asarray(table.column("bands").combine_chunks().flatten()).reshape(len(part), -1)
+    out = []
+    for i in range(len(part) - 1):
+        ok = (part[i + 1 :] != part[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent)
+        if one != two:
+            ok &= block[i + 1 :] != block[i]
+        j = np.flatnonzero(ok) + i + 1
+        j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
+        if len(j):
+            same = bands[j] == bands[i]
+            j = j[bands[i][same.argmax(axis=1)] == band]
+            out += [(i, int(x)) for x in j]
+    return out
+
+
+def _hopeful(percent: int, least: int):
+    def run(key, table):
+        seen = sorted({x for pair in _cross_pairs(key, table, percent, least) for x in pair})
+        return table.select(["band", "rep", "n", "part", "block", "one", "two"]).take(pa.array(seen, pa.int64()))
+
+    return run
+
+
+def _forest_of(percent: int, least: int):
+    def run(key, table):
+        reps = table.column("rep").to_pylist()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("elements")]
+        parent: dict = {}
+        for i, j in _cross_pairs(key, table, percent, least):
+            a, b = reps[i], reps[j]
+            if find(parent, a) != find(parent, b) and _similar(sets[i], sets[j], percent):
+                union(parent, a, b)
+        rows = [(x, find(parent, x)) for x in parent if find(parent, x) != x]
+        return pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate("ab")})
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -169,49 +238,51 @@ def near_duplicates(
     an empty set and stand alone.  Repeated keys count as one document and keep their rows; a row with
     a null key stands alone with a null component.
     """
+    least = least_agreeing(bands * rows, percent)
     drawn = cut(sketch(docs, key, k, bands, rows).withColumnRenamed(key, "node"))
     whole = drawn.where("digest is not null and node is not null")
     # One class for equal sets; its smallest key stands for it.
-    classes = whole.groupBy("digest").agg(
-        F.min("node").alias("rep"), F.min_by("bands", "node").alias("bands"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")
-    )
-    classes = cut(classes)
+    classes = cut(whole.groupBy("digest").agg(
+        F.min("node").alias("rep"), F.min_by(F.struct("bands", "sig"), "node").alias("s"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")
+    ).select("digest", "rep", "s.bands", "s.sig", "n", "copies"))
     held = classes.select("rep", "n", "copies", F.explode("bands").alias("band"))
-    # Buckets with more than one class, each with its first pivot: the class of most copies.
+    # Buckets with more than one class, each with its pivot: the class of most copies.
     pivots = held.groupBy("band").agg(
         F.count(F.lit(1)).alias("size"), F.max(F.struct("copies", (-F.col("rep")).alias("back"), "n")).alias("p")
-    ).where("size > 1").select("band", (-F.col("p.back")).alias("pivot"), F.col("p.n").alias("pn"))
-    members = cut(held.join(pivots, "band").select("band", "rep", "n", "pivot", "pn"))
+    ).where("size > 1").select("band", "size", (-F.col("p.back")).alias("pivot"), F.col("p.n").alias("pn"))
+    members = cut(held.join(pivots, "band").select("band", "rep", "n", "size", "pivot", "pn"))
     near = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (F.col("rep") != F.col("pivot"))
-    tried = cut(members.where(near).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
-    wanted = members.select(F.col("rep").alias("node")).distinct()
+    pairs = members.where(near).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    signed = pairs.join(classes.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(
+        classes.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b"
+    )
+    tried = cut(signed.select("a", "b", "sa", "sb").mapInArrow(_near(least), "a long, b long"))
     text = docs.select(F.col(key).cast("long").alias("node"), "text")
-    sets = cut(full_sets(text.join(wanted, "node", "left_semi"), "node", k)).dropDuplicates(["node"])
-    links = cut(confirm(tried, sets, percent))
-    for round_ in range(PIVOT_ROUNDS + 1):
-        group = components(links)
-        placed = members.join(group.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "band", "rep", "n", F.coalesce("component_id", "rep").alias("part")
-        )
-        apart = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band")
-        rest = cut(placed.join(apart, "band"))
-        if round_ == PIVOT_ROUNDS or rest.isEmpty():
-            break
-        next_ = rest.groupBy("band", "part").agg(F.min(F.struct(F.xxhash64("rep", F.lit(round_)).alias("h"), "rep", "n")).alias("p"))
-        chosen = next_.groupBy("band").agg(F.max(F.struct(F.col("p.h"), F.col("p.rep"), F.col("p.n"), "part")).alias("p"))
-        more = rest.join(chosen, "band").select("rep", "n", "part", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.part").alias("pp"))
-        more = more.where(near & (F.col("part") != F.col("pp"))).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        more = cut(more.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(more)
-        links = cut(links.union(confirm(more, sets, percent)))
-    # What is still apart: every remaining pair once.
-    x, y = (rest.select("band", F.col("rep").alias(f"{c}"), F.col("n").alias(f"n{c}"), F.col("part").alias(f"p{c}")) for c in "ab")
-    left = x.join(y, "band").where("a < b and pa <> pb").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    left = left.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    found = cut(confirm(left, sets, percent))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return full_sets(text.join(wanted.distinct(), "node", "left_semi"), "node", k).dropDuplicates(["node"])
+
+    wanted = tried.select(F.col("a").alias("node")).union(tried.select("b"))
+    links = cut(confirm(tried, cut(sets_of(wanted)), percent))
+    group = components(links)
+    placed = members.join(group.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "band", "rep", "n", "size", F.coalesce("component_id", "rep").alias("part")
+    )
+    apart = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band")
+    parts = F.ceil(F.col("size") / MEMBERS).cast("int")
+    rest = placed.join(apart, "band").withColumn("block", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    # A block meets itself and, in a pair, every other block of its bucket.
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rest = rest.select("band", "rep", "n", "part", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    marks = classes.select("rep", "bands", "sig")
+    by = ("band", "one", "two")
+    hopeful = cut(rest.join(marks, "rep").groupBy(*by).applyInArrow(
+        _hopeful(percent, least), "band long, rep long, n long, part long, block int, one int, two int"
+    ))
+    sets = sets_of(hopeful.select(F.col("rep").alias("node"))).withColumnRenamed("node", "rep")
+    found = cut(hopeful.join(marks, "rep").join(sets, "rep").groupBy(*by).applyInArrow(_forest_of(percent, least), "a long, b long"))
     if not found.isEmpty():
-        links = links.union(found)
-        group = components(links)
+        group = components(links.union(found))
     of_class = classes.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     return drawn.join(of_class, "digest", "left").select(
         F.col("node").alias(key), "n_shingles", F.coalesce("component_id", "node").alias("component_id")
