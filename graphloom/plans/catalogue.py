@@ -1,3 +1,517 @@
-"""Registered queries: name -> (query, DuckDB SQL or None)."""
+"""Registered queries: name -> (query, DuckDB SQL or None).  Doubles are rounded to 6 places."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import admm, assignment, blocks, evaluate, generate, graph, objective, projection, support
+from ..streaming import partitioner
+from . import fixtures as fx
+from .fixtures import sql
+from .loop import settle
 
 CATALOGUE: dict[str, tuple] = {}
+
+
+def query(text: str | None, name: str | None = None):
+    def add(f):
+        CATALOGUE[name or f.__name__] = (f, text)
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), 6) + F.lit(0.0) for c in columns})
+
+
+def setting(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Both graphs, their support and the objective terms."""
+    e1, e2 = fx.pair(s, d)
+    sup = fx.support(e1, e2)
+    return e1, e2, sup, settle(objective.terms(e1, e2, sup))
+
+
+# Edges and nodes
+
+
+@query(sql("SELECT src, dst FROM e1"))
+def edges_symmetric(s, d):
+    return fx.graph(s, d)
+
+
+@query(sql("SELECT src AS node FROM d1 UNION SELECT dst FROM d1"))
+def nodes(s, d):
+    return graph.nodes(fx.directed(s, d))
+
+
+@query(sql("SELECT dst AS src, src AS dst FROM d1"))
+def reverse_edges(s, d):
+    return graph.reverse(fx.directed(s, d))
+
+
+@query(sql("SELECT node, CAST(deg AS BIGINT) AS deg FROM g1"))
+def degree_counts(s, d):
+    return graph.degree_counts(fx.graph(s, d))
+
+
+@query("""WITH e AS (
+  SELECT l_partkey AS id, (l_orderkey * 10 + l_linenumber) * 2 AS k FROM lineitem
+  UNION ALL SELECT l_suppkey + 1000000, (l_orderkey * 10 + l_linenumber) * 2 + 1 FROM lineitem)
+SELECT id AS old_id, row_number() OVER (ORDER BY k) - 1 AS new_id FROM (SELECT id, min(k) AS k FROM e GROUP BY id)""")
+def id_compaction(s, d):
+    lines = fx.table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst"))
+    return graph.compact_ids(lines)
+
+
+@query(sql("SELECT src, dst FROM ep"))
+def perturb_permute(s, d):
+    e = fx.graph(s, d)
+    return generate.relabel(e, fx.true_matching(e))
+
+
+# Candidate pairs
+
+
+@query(sql("SELECT a.node AS u, b.node AS v FROM g1 a, g2 b"))
+def support_all(s, d):
+    return support.all_pairs(*fx.pair(s, d))
+
+
+@query(sql("SELECT u, v FROM support"))
+def support_degree(s, d):
+    return support.by_degree(*fx.pair(s, d), offset=1)
+
+
+def wl_sql(edges: str, name: str, depth: int) -> str:
+    """Refinement rounds over an undirected graph: the colour is the sorted list of the neighbours' colours."""
+    out = f", {name}0 AS (SELECT src AS node, '1' AS c FROM {edges} GROUP BY 1)"
+    for n in range(1, depth + 1):
+        out += f"\n, {name}{n} AS (SELECT e.src AS node, md5(string_agg(k.c, ',' ORDER BY k.c)) AS c FROM {edges} e JOIN {name}{n - 1} k ON k.node = e.dst GROUP BY 1)"
+    return out
+
+
+@query(sql(wl_sql("e1", "x", 3) + "\n" + wl_sql("ep", "y", 3) + " SELECT x3.node AS u, y3.node AS v FROM x3 JOIN y3 USING (c)"))
+def support_wl(s, d):
+    e = fx.graph(s, d)
+    return support.by_wl(e, fx.permuted(e), 3)
+
+
+@query(sql(wl_sql("e1", "x", 3) + " SELECT CAST(n AS INTEGER) AS round, k AS n_colors FROM (SELECT 1 AS n, count(DISTINCT c) AS k FROM x1 UNION ALL SELECT 2, count(DISTINCT c) FROM x2 UNION ALL SELECT 3, count(DISTINCT c) FROM x3)"))
+def wl_color_counts(s, d):
+    return graph.wl_color_counts(fx.graph(s, d), 3)
+
+
+def rings_sql(e: str, p: str) -> str:
+    return f"""
+, {p}n AS (SELECT src AS node FROM {e} UNION SELECT dst FROM {e})
+, {p}s AS (SELECT DISTINCT src, dst FROM {e})
+, {p}f2 AS (SELECT DISTINCT a.src, b.dst FROM {p}s a JOIN {p}s b ON a.dst = b.src WHERE a.src <> b.dst
+    AND NOT EXISTS (SELECT 1 FROM {p}s x WHERE x.src = a.src AND x.dst = b.dst))
+, {p}f3 AS (SELECT DISTINCT a.src, b.dst FROM {p}f2 a JOIN {p}s b ON a.dst = b.src WHERE a.src <> b.dst
+    AND NOT EXISTS (SELECT 1 FROM {p}s x WHERE x.src = a.src AND x.dst = b.dst)
+    AND NOT EXISTS (SELECT 1 FROM {p}f2 x WHERE x.src = a.src AND x.dst = b.dst))
+, {p}r AS (SELECT n.node,
+    (SELECT count(*) FROM {e} x WHERE x.src = n.node) AS r1,
+    (SELECT count(*) FROM {p}f2 x WHERE x.src = n.node) AS r2,
+    (SELECT count(*) FROM {p}f3 x WHERE x.src = n.node) AS r3 FROM {p}n n)"""
+
+
+@query(sql(rings_sql("d1", "k") + " SELECT * FROM kr"))
+def ring_sizes(s, d):
+    return graph.ring_sizes(fx.directed(s, d), 3)
+
+
+@query(sql(rings_sql("e1", "k") + rings_sql("ep", "m") + " SELECT kr.node AS u, mr.node AS v FROM kr JOIN mr USING (r1, r2, r3)"))
+def support_neighbor(s, d):
+    e = fx.graph(s, d)
+    return support.by_rings(e, fx.permuted(e), 3)
+
+
+@query("""WITH c AS (SELECT c_nationkey AS node, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS k FROM customer WHERE c_acctbal > 9000 GROUP BY 1)
+SELECT a.node AS u, (7 * b.node + 3) % 25 AS v FROM c a JOIN c b USING (k)""")
+def support_exog(s, d):
+    c = fx.table(s, d, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("node")).agg(F.collect_set("c_mktsegment").alias("colors"))
+    return support.by_colors(c, c.select(((7 * F.col("node") + 3) % 25).alias("node"), "colors"))
+
+
+@query(sql(", small AS (SELECT src, dst FROM e1 WHERE src < 20 AND dst < 20) SELECT u, v FROM support UNION SELECT CAST(range AS INTEGER), CAST(range AS INTEGER) FROM range((SELECT count(DISTINCT src) FROM small), (SELECT count(DISTINCT src) FROM e2))"))
+def support_equalised(s, d):
+    e1, e2 = fx.pair(s, d)
+    _, _, same = support.equalised(e1.where("src < 20 and dst < 20"), e2)
+    return fx.support(e1, e2).union(same).distinct()
+
+
+# Features
+
+
+@query(sql(""", s1 AS (SELECT DISTINCT src, dst FROM d1)
+, b2 AS (SELECT src, dst FROM s1 UNION SELECT a.src, b.dst FROM s1 a JOIN s1 b ON a.dst = b.src)
+, b3 AS (SELECT src, dst FROM b2 UNION SELECT a.src, b.dst FROM b2 a JOIN s1 b ON a.dst = b.src)
+SELECT n.node, x.b1, y.b2, z.b3 FROM (SELECT src AS node FROM d1 UNION SELECT dst FROM d1) n
+LEFT JOIN (SELECT src, count(*) AS b1 FROM s1 GROUP BY 1) x ON x.src = n.node
+LEFT JOIN (SELECT src, count(*) AS b2 FROM b2 GROUP BY 1) y ON y.src = n.node
+LEFT JOIN (SELECT src, count(*) AS b3 FROM b3 GROUP BY 1) z ON z.src = n.node"""))
+def ball_sizes(s, d):
+    return graph.ball_sizes(fx.directed(s, d), 3)
+
+
+WALKS = """
+, p1 AS (SELECT src, dst, count(*) AS n FROM {e} GROUP BY 1, 2)
+, p2 AS (SELECT a.src, b.dst, sum(a.n * b.n) AS n FROM p1 a JOIN p1 b ON a.dst = b.src GROUP BY 1, 2)
+, p3 AS (SELECT a.src, b.dst, sum(a.n * b.n) AS n FROM p2 a JOIN p1 b ON a.dst = b.src GROUP BY 1, 2)
+, wk AS (SELECT n.node,
+  CAST(coalesce((SELECT sum(n) FROM p1 WHERE src = node), 0) AS BIGINT) AS w1,
+  CAST(coalesce((SELECT sum(n) FROM p2 WHERE src = node), 0) AS BIGINT) AS w2,
+  CAST(coalesce((SELECT sum(n) FROM p3 WHERE src = node), 0) AS BIGINT) AS w3,
+  CAST(coalesce((SELECT sum(n) FROM p1 WHERE src = node AND dst = node), 0) AS BIGINT) AS c1,
+  CAST(coalesce((SELECT sum(n) FROM p2 WHERE src = node AND dst = node), 0) AS BIGINT) AS c2,
+  CAST(coalesce((SELECT sum(n) FROM p3 WHERE src = node AND dst = node), 0) AS BIGINT) AS c3
+  FROM (SELECT src AS node FROM {e} UNION SELECT dst FROM {e}) n)"""
+
+
+@query(sql(WALKS.format(e="d1") + " SELECT * FROM wk"))
+def walk_counts(s, d):
+    return graph.walk_counts(fx.directed(s, d), 3)
+
+
+def rank_sql(e: str, rounds: int, out: str) -> str:
+    text = f"\n, rn AS (SELECT node, count(*) OVER () AS n FROM (SELECT src AS node FROM {e} UNION SELECT dst FROM {e}))"
+    text += "\n, rk0 AS (SELECT node, 1.0::DOUBLE / n AS score FROM rn)"
+    text += f"\n, rl AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM {e})"
+    for k in range(1, rounds + 1):
+        text += f"\n, rk{k} AS MATERIALIZED (SELECT l.dst AS node, 0.85::DOUBLE * sum(r.score / l.deg) + 0.15::DOUBLE / (SELECT max(n) FROM rn) AS score FROM rl l JOIN rk{k - 1} r ON r.node = l.src GROUP BY 1)"
+    return text + f"\n, {out} AS (SELECT rn.node, coalesce(k.score, 0.15::DOUBLE / rn.n) AS score FROM rn LEFT JOIN rk{rounds} k USING (node))"
+
+
+@query(sql(rank_sql("hub", 5, "pr") + " SELECT node, round(score, 6) AS score FROM pr"))
+def pagerank(s, d):
+    return rounded(graph.pagerank(fx.directed(s, d, hub=True), rounds=5, eps=0.0), "score")
+
+
+@query(sql(rings_sql("e1", "k") + WALKS.format(e="e1") + rank_sql("e1", 5, "pr") + """
+, f AS (SELECT kr.node, [CAST(r1 AS DOUBLE), r2, r3, w1, w2, w3, c1, c2, c3, score] AS f FROM kr JOIN wk USING (node) JOIN pr USING (node))
+SELECT node, CAST(generate_subscripts(f, 1) - 1 AS INTEGER) AS pos, round(unnest(f), 6) AS value FROM f"""))
+def node_attributes(s, d):
+    a = graph.attributes(fx.graph(s, d), 3, rounds=5, eps=0.0)
+    return rounded(a.select("node", F.posexplode("features").alias("pos", "value")), "value")
+
+
+def _simple_features(s, d, e):
+    return e.groupBy(F.col("src").alias("node")).agg(F.array(F.count(F.lit(1)).cast("double"), F.sum("dst").cast("double")).alias("features"))
+
+
+FEATURES = ", f1 AS (SELECT src AS node, count(*) AS x, sum(dst) AS y FROM e1 GROUP BY 1), f2 AS (SELECT src AS node, count(*) AS x, sum(dst) AS y FROM e2 GROUP BY 1)"
+DISTANCE = " SELECT a.node AS u, b.node AS v, round(sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE)), 6) AS d FROM f1 a, f2 b"
+
+
+@query(sql(FEATURES + DISTANCE + ", support s WHERE s.u = a.node AND s.v = b.node"))
+def pair_distance(s, d):
+    e1, e2 = fx.pair(s, d)
+    return rounded(objective.pair_distance(_simple_features(s, d, e1), _simple_features(s, d, e2), fx.support(e1, e2)), "d")
+
+
+@query(sql(FEATURES + DISTANCE))
+def pair_distance_all(s, d):
+    e1, e2 = fx.pair(s, d)
+    return rounded(objective.pair_distance(_simple_features(s, d, e1), _simple_features(s, d, e2)), "d")
+
+
+@query("""SELECT a.vec_id AS u, b.vec_id AS v, round(sqrt(list_sum([power(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2) FOR i IN range(1, len(a.embedding) + 1)])), 5) AS d
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = a.vec_id + 10""")
+def embedding_distance(s, d):
+    e = fx.table(s, d, "embeddings").select(F.col("vec_id").alias("node"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), "label")
+    a, b = e.select(F.col("node").alias("u"), "label"), e.select(F.col("node").alias("v"), (F.col("node") - 10).alias("u"), "label")
+    near = objective.pair_distance(e.select("node", "features"), e.select("node", "features"), a.join(b, ["u", "label"]).select("u", "v"))
+    return near.withColumn("d", F.round("d", 5))
+
+
+@query("""WITH p AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+SELECT CAST(pos AS INTEGER) AS pos, round(avg(x), 6) AS mean FROM p GROUP BY 1""")
+def mean_attributes(s, d):
+    e = fx.table(s, d, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    return rounded(graph.mean_attributes(e), "mean")
+
+
+# Objectives
+
+
+@query(sql("SELECT i, j, u, v, CAST(sign AS INTEGER) AS sign FROM terms"))
+def objective_terms(s, d):
+    return setting(s, d)[3]
+
+
+@query(sql("SELECT i, j, count(*) FILTER (sign = 1) AS n_plus, count(*) FILTER (sign = -1) AS n_minus FROM terms GROUP BY 1, 2"))
+def objective_support_sizes(s, d):
+    return objective.support_sizes(setting(s, d)[3])
+
+
+@query(sql("SELECT count(*) FILTER (u NOT IN (SELECT u FROM support)) AS violations FROM terms"))
+def support_invariants(s, d):
+    e1, e2, sup, t = setting(s, d)
+    return objective.violations(t, e1, e2, sup)
+
+
+@query(sql(", a AS (SELECT DISTINCT i, j, u, v FROM terms) SELECT x.u AS u1, x.v AS v1, y.u AS u2, y.v AS v2, count(*) AS n FROM a x JOIN a y USING (i, j) WHERE x.u <> y.u OR x.v <> y.v GROUP BY 1, 2, 3, 4"))
+def variable_cooccurrence(s, d):
+    return objective.cooccurrence(setting(s, d)[3])
+
+
+F_SQL = ", f AS (SELECT i, j, sum(sign * z) AS f FROM terms JOIN z0 USING (u, v) GROUP BY 1, 2)"
+
+for _p, _name in ((1.0, "l1"), (2.0, "l2"), (1.5, "p")):
+
+    def _value(s, d, p=_p):
+        sup, t = setting(s, d)[2:]
+        return rounded(objective.value(t, fx.start(sup), p), "value")
+
+    query(sql(F_SQL + f" SELECT round(power(sum(power(abs(f), {_p}::DOUBLE)), 1 / {_p}::DOUBLE), 6) AS value FROM f"), f"objective_value_{_name}")(_value)
+
+
+@query(sql("SELECT round(sum(coalesce(d, 0) * z), 6) AS value FROM z0 LEFT JOIN cost USING (u, v)"))
+def linear_cost(s, d):
+    sup = setting(s, d)[2]
+    return rounded(objective.linear_cost(sup, fx.cost(s, d), fx.start(sup)), "value")
+
+
+# Projections
+
+
+def simplex_sql(source: str, by: str, x: str, out: str, extra: str = "") -> str:
+    """SELECT with the projection of each group of ``source`` onto the unit simplex."""
+    return f"""SELECT u, v, greatest({x} - max(th) OVER (PARTITION BY {by}), 0) AS {out}{extra} FROM (
+  SELECT *, (sum({x}) OVER w - 1) / row_number() OVER w AS th FROM {source}
+  WINDOW w AS (PARTITION BY {by} ORDER BY {x} DESC, u, v ROWS UNBOUNDED PRECEDING))"""
+
+
+CELLS = """ cells AS (SELECT c_nationkey AS u, s_nationkey AS v, CAST(count(*) AS DOUBLE) / 100 AS x FROM lineitem
+  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
+
+
+def _cells(s, d):
+    flat = fx.table(s, d, "lineitem").join(fx.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    flat = flat.join(fx.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(fx.table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return flat.groupBy(F.col("c_nationkey").alias("u"), F.col("s_nationkey").alias("v")).agg((F.count(F.lit(1)).cast("double") / 100).alias("x"))
+
+
+@query("WITH" + CELLS + " SELECT u, v, round(q, 6) AS q FROM (" + simplex_sql("cells", "u", "x", "q") + ")")
+def simplex_rows(s, d):
+    return rounded(projection.simplex(_cells(s, d), "u", "x", "q").select("u", "v", "q"), "q")
+
+
+@query("WITH" + CELLS + " SELECT u, v, round(q, 6) AS q FROM (" + simplex_sql("cells", "v", "x", "q") + ")")
+def simplex_cols(s, d):
+    return rounded(projection.simplex(_cells(s, d), "v", "x", "q").select("u", "v", "q"), "q")
+
+
+def _vector(s, d):
+    return fx.table(s, d, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_acctbal") / 1000).alias("n"))
+
+
+@query("SELECT c_custkey AS key, round(sign(c_acctbal) * greatest(abs(c_acctbal / 1000) - 0.5, 0), 6) AS y FROM customer")
+def soft_threshold(s, d):
+    return rounded(projection.prox_l1(_vector(s, d), "n", 2.0).select("key", "y"), "y")
+
+
+@query("SELECT c_custkey AS key, round(CASE WHEN k <= 0.5 THEN 0 ELSE (1 - 0.5 / k) * c_acctbal / 1000 END, 6) AS y FROM customer, (SELECT sqrt(sum(c_acctbal * c_acctbal)) / 1000 AS k FROM customer)")
+def euclid_prox(s, d):
+    return rounded(projection.prox_l2(_vector(s, d), "n", 2.0).select("key", "y"), "y")
+
+
+@query(None)
+def pnorm_prox(s, d):
+    return rounded(projection.prox_p(_vector(s, d), "n", 1.5, 1.0).select("key", "y"), "y")
+
+
+# Consensus rounds
+
+
+def admm_sql(norm: str, rounds: int, priced: bool, adds: str) -> str:
+    """Rounds of the consensus loop with every penalty and step 1."""
+    text = ", n2 AS (SELECT count(DISTINCT src) AS n FROM e2)"
+    text += "\n, za0 AS (SELECT s.u, s.v, 1.0::DOUBLE / n AS z, coalesce(c.d, 0) AS d FROM support s CROSS JOIN n2 LEFT JOIN cost c ON c.u = s.u AND c.v = s.v)"
+    if not priced:
+        text = text.replace("coalesce(c.d, 0) AS d", "0.0::DOUBLE AS d")
+    text += "\n, co AS (SELECT i, j, u, v, CAST(sum(sign) AS DOUBLE) AS a FROM terms GROUP BY 1, 2, 3, 4 HAVING sum(sign) <> 0)"
+    text += "\n, q0 AS (SELECT u, v, z AS q, 0.0::DOUBLE AS xi FROM za0), t0 AS (SELECT u, v, z AS q, 0.0::DOUBLE AS xi FROM za0)"
+    text += "\n, b0 AS (SELECT co.*, z AS p, 0.0::DOUBLE AS phi FROM co JOIN za0 USING (u, v))"
+    for k in range(1, rounds + 1):
+        for f, by in (("q", "u"), ("t", "v")):
+            text += f"\n, {f}y{k} AS (SELECT u, v, d, xi + q - z AS xi, z - (xi + q - z) - 0.5 * d AS x FROM {f}{k - 1} JOIN za{k - 1} USING (u, v))"
+            text += f"\n, {f}{k} AS MATERIALIZED ({simplex_sql(f'{f}y{k}', by, 'x', 'q', ', xi')})"
+        text += f"\n, by{k} AS (SELECT i, j, u, v, a, phi + p - z AS phi, z - (phi + p - z) AS x FROM b{k - 1} JOIN za{k - 1} USING (u, v))"
+        s, m = "sum(a * x) OVER (PARTITION BY i, j)", "sum(a * a) OVER (PARTITION BY i, j)"
+        p = f"x - a * {s} / (1 + {m})" if norm == "l2" else f"x - a * greatest(-1, least(1, {s} / {m}))"
+        text += f"\n, b{k} AS MATERIALIZED (SELECT i, j, u, v, a, phi, {p} AS p FROM by{k})"
+        text += f"""\n, za{k} AS MATERIALIZED (SELECT u, v, z, d FROM (SELECT u, v, avg(x) AS z FROM (
+  SELECT u, v, q + xi AS x FROM q{k} UNION ALL SELECT u, v, q + xi FROM t{k} UNION ALL SELECT u, v, p + phi FROM b{k}) GROUP BY 1, 2) JOIN (SELECT u, v, d FROM za0) USING (u, v))"""
+    return sql(text + adds.format(k=rounds))
+
+
+def _align(s, d, norm: str, rounds: int, priced: bool = False, dense: int | None = None) -> dict:
+    _, e2, sup, t = setting(s, d)
+    o = admm.Options(norm=norm, blocks=dense)
+    first = admm.initial(sup, t, e2.select("src").distinct().count(), fx.cost(s, d) if priced else None, o)
+    return admm.align(first, rounds, o)
+
+
+Z = " SELECT u, v, round(z, 6) AS z FROM za{k}"
+
+
+@query(admm_sql("l2", 2, False, Z))
+def admm_l2_step(s, d):
+    return rounded(_align(s, d, "l2", 2)["z"], "z")
+
+
+@query(admm_sql("l1", 2, False, Z))
+def admm_l1_step(s, d):
+    return rounded(_align(s, d, "l1", 2)["z"], "z")
+
+
+@query(admm_sql("l2", 1, True, Z))
+def admm_linear_step(s, d):
+    return rounded(_align(s, d, "l2", 1, priced=True)["z"], "z")
+
+
+@query(None)
+def admm_dense_l2(s, d):
+    return rounded(_align(s, d, "l2", 1, dense=8)["z"], "z")
+
+
+@query(None)
+def admm_dense_l1(s, d):
+    return rounded(_align(s, d, "l1", 1, dense=32)["z"], "z")
+
+
+@query(None)
+def admm_pnorm(s, d):
+    return rounded(_align(s, d, "p", 1, dense=32)["z"], "z")
+
+
+@query(admm_sql("l2", 1, False, """
+, dz AS (SELECT u, v, za1.z - za0.z AS dz, za0.z AS old FROM za1 JOIN za0 USING (u, v))
+, r AS (
+  SELECT 'pres' AS metric, sqrt(sum((p - old) * (p - old))) AS value, sqrt(sum(dz * dz)) AS d FROM b1 JOIN dz USING (u, v)
+  UNION ALL SELECT 'qres', sqrt(sum((q - old) * (q - old))), sqrt(sum(dz * dz)) FROM q1 JOIN dz USING (u, v)
+  UNION ALL SELECT 'tres', sqrt(sum((q - old) * (q - old))), sqrt(sum(dz * dz)) FROM t1 JOIN dz USING (u, v))
+SELECT metric, round(value, 6) AS value FROM r UNION ALL SELECT 'dual', round(sum(d), 6) FROM r"""))
+def admm_residuals(s, d):
+    _, e2, sup, t = setting(s, d)
+    first = admm.initial(sup, t, e2.select("src").distinct().count())
+    return rounded(admm.residuals(first, admm.align(first, 1)), "value")
+
+
+@query(sql("SELECT round(min(s), 6) AS min_sum, round(max(s), 6) AS max_sum FROM (SELECT sum(z) AS s FROM z0 GROUP BY u)"))
+def simplex_condition(s, d):
+    return rounded(admm.simplex_condition(fx.start(setting(s, d)[2]), "u"), "min_sum", "max_sum")
+
+
+@query(sql("SELECT round(avg(CASE WHEN z - 0.05 >= 0 THEN 1.0 ELSE 0.0 END), 6) AS frac FROM z0"))
+def positivity(s, d):
+    return rounded(admm.positivity(fx.start(setting(s, d)[2]).withColumn("z", F.col("z") - 0.05)), "frac")
+
+
+@query(sql(", g AS (SELECT u, sum(z) AS s, count(*) FILTER (z < 0) AS neg, count(*) FILTER (z > 0.1) AS big FROM z0 GROUP BY 1) SELECT CAST(sum(neg) AS BIGINT) AS vars_lt_zero, CAST(sum(big) AS BIGINT) AS vars_gt_one, count(*) FILTER (s > 0.1 + 1e-10) AS groups_gt_one FROM g"))
+def family_stats(s, d):
+    z = fx.start(setting(s, d)[2]).withColumn("z", F.col("z") * 10)
+    return admm.family_stats(z, "u", "z")
+
+
+# Frank-Wolfe
+
+
+@query(sql(F_SQL + """, n AS (SELECT power(sum(power(abs(f), 2.5::DOUBLE)), 1 / 2.5::DOUBLE) AS n FROM f)
+, sl AS (SELECT i, j, CASE WHEN n > 0 THEN sign(f) * power(abs(f) / n, 1.5::DOUBLE) ELSE 0 END AS s FROM f, n)
+SELECT u, v, round(sum(sign * s), 6) AS g FROM terms JOIN sl USING (i, j) GROUP BY 1, 2"""))
+def fw_gradient(s, d):
+    sup, t = setting(s, d)[2:]
+    return rounded(objective.gradient(t, fx.start(sup), 2.5), "g")
+
+
+@query(None)
+def fw_gap(s, d):
+    sup, t = setting(s, d)[2:]
+    _, trace = assignment.frank_wolfe(t, fx.start(sup), rounds=2)
+    return rounded(s.createDataFrame([(x["iteration"], float(x["gap"])) for x in trace], "iteration int, value double"), "value")
+
+
+@query(None)
+def assignment_best(s, d):
+    e1, e2 = fx.pair(s, d)
+    return assignment.assignment(rounded(objective.pair_distance(_simple_features(s, d, e1), _simple_features(s, d, e2)), "d"))
+
+
+CATALOGUE["assignment"] = CATALOGUE.pop("assignment_best")
+
+
+# Partitioning
+
+
+def _bipartite(s, d):
+    return fx.table(s, d, "lineitem").select(F.col("l_suppkey").alias("l"), F.col("l_partkey").alias("r")).distinct()
+
+
+@query("""WITH b AS (SELECT DISTINCT l_suppkey AS l, l_partkey AS r FROM lineitem), n AS (SELECT r, l % 10 AS p, count(*) AS n FROM b GROUP BY 1, 2)
+SELECT r AS node, CAST(p AS INTEGER) AS part_id FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY n DESC, p) AS k FROM n) WHERE k = 1""")
+def partition_right_side(s, d):
+    bip = _bipartite(s, d)
+    return partitioner.partition_right(bip, bip.select(F.col("l").alias("node"), (F.col("l") % 10).cast("int").alias("part_id")).distinct())
+
+
+@query(None)
+def stream_partition(s, d):
+    return partitioner.stream_partition(_bipartite(s, d), 10)
+
+
+# Evaluation
+
+
+@query(sql(""", p AS (SELECT DISTINCT src AS u, (7 * src + 3) % 25 AS v FROM e1), m AS (SELECT z.u, p.u AS w, z.z FROM z0 z JOIN p USING (v))
+SELECT 'ell1_diff' AS metric, round(sum(CASE WHEN u = w THEN abs(z - 1) ELSE abs(z) END) + (SELECT count(*) FROM p) - count(*) FILTER (u = w), 6) AS value FROM m
+UNION ALL SELECT 'dpm', round(sum(z) FILTER (u = w) / (SELECT count(*) FROM p), 6) FROM m"""))
+def matching_stats(s, d):
+    e1, e2 = fx.pair(s, d)
+    return rounded(evaluate.matching_stats(fx.start(fx.support(e1, e2)), fx.true_matching(e1)), "value")
+
+
+@query("""WITH t AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) / 1e6 AS nolin, count(*) AS sec FROM orders GROUP BY 1),
+k AS (SELECT row_number() OVER (ORDER BY day) AS iteration, nolin, sec FROM t)
+SELECT iteration, round(CAST(sum(sec) OVER (ORDER BY iteration) AS DOUBLE) / 60, 6) AS t_min, round(nolin + 0.5 * sec, 4) AS obj, round(sec / 15.0::DOUBLE, 6) AS res FROM k""")
+def trace_transform(s, d):
+    t = fx.table(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg((F.sum("o_totalprice") / 1e6).alias("nolin"), F.count(F.lit(1)).alias("sec"))
+    t = t.withColumn("iteration", F.row_number().over(Window.orderBy("day")).cast("long"))
+    t = t.select("iteration", F.col("sec").alias("seconds"), "nolin", F.col("sec").alias("lin"), F.col("sec").alias("residual"))
+    return rounded(evaluate.trace_transform(t, 0.5, 5.0), "t_min", "res").withColumn("obj", F.round("obj", 4))
+
+
+@query("""WITH w AS (SELECT user_id, event_type AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events)
+SELECT least(a.x, b.x) AS a, greatest(a.x, b.x) AS b, count(*) AS n FROM w a JOIN w b ON a.user_id = b.user_id AND b.pos > a.pos AND b.pos <= a.pos + 2 WHERE a.x <> b.x GROUP BY 1, 2""")
+def walk_cooccurrence(s, d):
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    w = fx.table(s, d, "events").select(F.col("user_id").alias("walk"), F.row_number().over(order).alias("pos"), F.col("event_type").alias("item"))
+    return graph.walk_cooccurrence(w, 2)
+
+
+# Generators
+
+
+@query("SELECT DISTINCT u AS src, v AS dst FROM (SELECT range AS u, range ^ (1 << b) AS v FROM range(64), (SELECT range AS b FROM range(6)))".replace("range ^ (1 << b)", "xor(range, CAST(1 << b AS BIGINT))"))
+def generate_hypercube(s, d):
+    return generate.hypercube(s, 6)
+
+
+@query("WITH e AS (SELECT range AS a, range + 1 AS b FROM range(30) WHERE range % 6 < 5 UNION ALL SELECT range, range + 6 FROM range(24)) SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e")
+def generate_grid(s, d):
+    return generate.grid(s, 5, 6)
+
+
+@query(None)
+def generate_erdos_renyi(s, d):
+    return generate.erdos_renyi(s, 200, 0.05)
+
+
+@query(None)
+def random_walks(s, d):
+    e = fx.graph(s, d)
+    return graph.random_walks(e, graph.nodes(e), length=5, walks=4)
