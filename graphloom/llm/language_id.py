@@ -95,7 +95,7 @@ class Model:
                 cost[at, :, s] = below + escape
                 for b, n in own.items():
                     cost[at, b, s] = -np.log2(n / (total + kinds))
-        self.cost = cost.reshape(-1, size)
+        self.cost = cost.reshape(len(row) * a, size)
         # History of `order` byte classes -> row of its longest known suffix.
         self.of = np.zeros((a,) * order, np.int32)
         for (k, c), at in row.items():  # longer contexts overwrite shorter ones
