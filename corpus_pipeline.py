@@ -20,12 +20,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of no language (null, or without a letter); a missing lang gets the prediction."""
+    docs = docs.select(*COLUMNS)
     known = language_id.predict(docs, language_id.fit(docs), keep=COLUMNS)
     return known.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id; documents without an id stay."""
+    docs = docs.select(*COLUMNS)
     stay = near_dup.near_duplicates(docs, k=5, percent=80).where("kept and doc_id is not null").select("doc_id")
     kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
@@ -33,6 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span becomes its kind in brackets; n_chars follows."""
+    docs = docs.select(*COLUMNS)
     rest = tuple(c for c in COLUMNS if c not in ("text", "n_chars"))
     found = pii.find(docs, pii.fit(docs), keep=rest)
     return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("long").alias("n_chars"))
@@ -40,6 +43,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document stands as often as the mix takes it; only whole documents are taken."""
+    docs = docs.select(*COLUMNS)
     taken = mixing.mix(docs, table(spark, sf_dir, "labels"), boundary="nearest")
     times = taken.where("size > 0 and taken > 0").select(F.col("doc_id").alias("_id"), F.expr("cast(taken div size as int)").alias("times"))
     mixed = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
