@@ -163,7 +163,7 @@ def compact_ids(rows: DataFrame, line: str = "line", columns: tuple[str, str] =
     sizes = first.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inner = F.row_number().over(Window.partitionBy("block").orderBy("f"))
+    inner = F.row_number().over(Window.partitionBy("block").orderBy("f", "old_id"))
     return first.withColumn("at", inner).join(bases, "block").select("old_id", (F.col("base") + F.col("at") - 1).cast("long").alias("new_id"))
 
 

@@ -59,7 +59,7 @@ def degree_counts(s, d):
 @query("""WITH e AS (
   SELECT l_partkey AS id, (l_orderkey * 10 + l_linenumber) * 2 AS k FROM lineitem
   UNION ALL SELECT l_suppkey + 1000000, (l_orderkey * 10 + l_linenumber) * 2 + 1 FROM lineitem)
-SELECT id AS old_id, row_number() OVER (ORDER BY k) - 1 AS new_id FROM (SELECT id, min(k) AS k FROM e GROUP BY id)""")
+SELECT id AS old_id, row_number() OVER (ORDER BY k, id) - 1 AS new_id FROM (SELECT id, min(k) AS k FROM e GROUP BY id)""")
 def id_compaction(s, d):
     lines = fx.table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst"))
     return graph.compact_ids(lines)

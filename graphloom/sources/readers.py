@@ -76,7 +76,7 @@ def partition_map(spark: SparkSession, path: str) -> DataFrame:
 def matrix(spark: SparkSession, path: str) -> DataFrame:
     """row, col, val of a blank-separated matrix; rows are numbered in the order of the file's lines (one file)."""
     token = F.split(F.trim(F.col("value")), r"\s+")
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("row", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("row", "value"))
     return lines.select("row", F.posexplode(token).alias("col", "val")).withColumn("val", F.col("val").cast("double"))
 
 
