@@ -258,12 +258,10 @@ def near_duplicates(
     )
     tried = cut(signed.select("a", "b", "sa", "sb").mapInArrow(_near(least), "a long, b long"))
     text = docs.select(F.col(key).cast("long").alias("node"), "text")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        return full_sets(text.join(wanted.distinct(), "node", "left_semi"), "node", k).dropDuplicates(["node"])
-
-    wanted = tried.select(F.col("a").alias("node")).union(tried.select("b"))
-    links = cut(confirm(tried, cut(sets_of(wanted)), percent))
+    # The full sets of all that share a band with another class, made in one pass over the texts.
+    wanted = members.select(F.col("rep").alias("node")).distinct()
+    sets = cut(full_sets(text.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "node", k))
+    links = cut(confirm(tried, sets, percent))
     group = components(links)
     placed = members.join(group.withColumnRenamed("node", "rep"), "rep", "left").select(
         "band", "rep", "n", "size", F.coalesce("component_id", "rep").alias("part")
@@ -279,8 +277,7 @@ def near_duplicates(
     hopeful = cut(rest.join(marks, "rep").groupBy(*by).applyInArrow(
         _hopeful(percent, least), "band long, rep long, n long, part long, block int, one int, two int"
     ))
-    sets = sets_of(hopeful.select(F.col("rep").alias("node"))).withColumnRenamed("node", "rep")
-    found = cut(hopeful.join(marks, "rep").join(sets, "rep").groupBy(*by).applyInArrow(_forest_of(percent, least), "a long, b long"))
+    found = cut(hopeful.join(marks, "rep").join(sets.withColumnRenamed("node", "rep"), "rep").groupBy(*by).applyInArrow(_forest_of(percent, least), "a long, b long"))
     if not found.isEmpty():
         group = components(links.union(found))
     of_class = classes.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
