@@ -6,7 +6,6 @@ memory of a task is bounded by ``SLICE_BYTES`` plus its longest single text.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,24 +149,12 @@ def crc_of_id(column) -> object:
     return F.crc32(column.cast("string").cast("binary"))
 
 
-def py_crc_of_id(value) -> int:
-    return zlib.crc32(str(value).encode())
+def sample_by_hash(df: DataFrame, key: str, most: int, seed: int = 11) -> DataFrame:
+    """About ``most`` rows, the same on every run, chosen by a hash of ``key``.
 
-
-def sample_by_hash(df: DataFrame, key: str, most: int, groups: list[str] | None = None, seed: int = 11) -> DataFrame:
-    """About ``most`` rows (of each group), the same on every run, chosen by a hash of ``key``.
-
-    The share is worked out from one count, so no sort and no hot group: rows whose hash falls under
-    most / count stay.  Smaller tables stay whole.
+    The share is worked out from one count, so nothing is sorted: rows whose hash falls under most / count
+    stay.  Smaller tables stay whole.
     """
-    unit = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    if groups:
-        counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-        named = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
-        keyed = counts.select(*[F.col(g).alias(f"_g_{g}") for g in groups], (F.lit(float(most)) / F.col("_n")).alias("_share"))
-        on = named[0]
-        for x in named[1:]:
-            on &= x
-        return df.join(keyed, on).where(unit < F.col("_share")).drop(*keyed.columns)
+    unit = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     n = df.count()
     return df.where(unit < F.lit(most / n)) if n > most else df

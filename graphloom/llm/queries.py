@@ -73,4 +73,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_stupid_backoff": lm_score.ORACLE_SQL, "op5_top_k": top_k.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_arc_converter": archives.ORACLE_SQL}
+    return {
+        "op2_stupid_backoff": lm_score.ORACLE_SQL, "op4_minhash_near_dedup": near_dup.ORACLE_SQL, "op5_top_k": top_k.ORACLE_SQL,
+        "op7_vector_near_dedup": vector_dup.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_arc_converter": archives.ORACLE_SQL,
+    }

@@ -198,3 +198,15 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
         F.col("node").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "node").alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("component_id") == F.col(key), F.lit(True)))
 
+
+
+#: The query with least = 0.95 on finite, non-zero vectors: all pairs, and reachability by recursion.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT v.vec_id, coalesce(k.n, 0) AS n_links, m.component_id, v.vec_id = m.component_id AS kept
+FROM v JOIN m ON m.a = v.vec_id LEFT JOIN k ON k.a = v.vec_id
+"""
