@@ -28,21 +28,21 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.groupBy("flag", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def directed(spark: SparkSession, sf_dir: str, flag: str = "R", hub: bool = False) -> DataFrame:
-    t = trade(spark, sf_dir).where(F.col("flag") == flag)
+def corridors(trade_: DataFrame, flag: str, hub: bool = False) -> DataFrame:
+    """src, dst: three corridors out of each nation, by lift or by plain count."""
+    t = trade_.where(F.col("flag") == flag)
     lift = F.col("n").cast("double") / F.sum(F.col("n").cast("double")).over(Window.partitionBy("b"))
-    order = Window.partitionBy("a").orderBy(F.col("n").desc() if hub else lift_desc(), "b")
-    t = t.withColumn("lift", lift)
-    ranked = t.withColumn("rk", F.row_number().over(order)).where("rk <= 3")
-    return settle(ranked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    order = Window.partitionBy("a").orderBy(F.col("n" if hub else "lift").desc(), "b")
+    ranked = t.withColumn("lift", lift).withColumn("rk", F.row_number().over(order)).where("rk <= 3")
+    return ranked.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def lift_desc():
-    return F.col("lift").desc()
+def directed(spark: SparkSession, sf_dir: str, flag: str = "R", hub: bool = False) -> DataFrame:
+    return settle(corridors(trade(spark, sf_dir), flag, hub))
 
 
 def graph(spark: SparkSession, sf_dir: str, flag: str = "R") -> DataFrame:
-    return settle(symmetrise(directed(spark, sf_dir, flag)))
+    return settle(symmetrise(corridors(trade(spark, sf_dir), flag)))
 
 
 def permuted(edges: DataFrame) -> DataFrame:
@@ -54,7 +54,8 @@ def true_matching(edges: DataFrame) -> DataFrame:
 
 
 def pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return graph(spark, sf_dir, "R"), graph(spark, sf_dir, "A")
+    both = settle(trade(spark, sf_dir))
+    return settle(symmetrise(corridors(both, "R"))), settle(symmetrise(corridors(both, "A")))
 
 
 SQL = """WITH trade AS (
