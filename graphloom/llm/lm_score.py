@@ -16,7 +16,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, combine, word_hashes
+from .common import bytes_of, combine, slices, word_hashes
 
 ORDER, BACKOFF, LEAST_COUNT = 3, 0.4, 2
 CHUNK_BYTES = 8 << 20
@@ -35,10 +35,38 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(wide.T).view(f">{kind}").reshape(-1).astype(kind)
 
 
+def _parcels(batches):
+    """One compressed parcel of rows for each chunk that a batch has rows for."""
+    for batch in batches:
+        chunk = batch.column("chunk").to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        rows = pa.Table.from_batches([batch]).select(["doc_id", "text"]).take(pa.array(order))
+        starts = np.flatnonzero(np.r_[True, chunk[order][1:] != chunk[order][:-1]]) if len(chunk) else np.zeros(0, int)
+        blobs = []
+        for a, b in zip(starts, np.r_[starts[1:], len(chunk)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows.slice(a, b - a).combine_chunks())
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[order][starts], pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "rows"])
+
+
+def _opened(table: pa.Table) -> pa.Table:
+    """The rows of all parcels of a chunk, in an order that does not depend on their arrival."""
+    parcels = sorted(x.as_py() for x in table.column("rows"))
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in parcels])
+
+
 def grams(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashes of the n-grams that end at each word, for n = 1..order (0 where the text is too short), and first words."""
-    words, first = word_hashes(*bytes_of(table.column("text").combine_chunks()))
-    n = len(words)
+    parts, firsts, n = [], [np.zeros(1, np.int64)], 0
+    for batch in table.to_batches():
+        for lo, hi in slices(batch, "text"):
+            h, first = word_hashes(*bytes_of(batch.column("text").slice(lo, hi - lo)))
+            parts.append(h)
+            firsts.append(first[1:] + n)
+            n += len(h)
+    words, first = np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate(firsts)
     place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
     out = []
     for k in range(order):
@@ -76,10 +104,11 @@ def score(
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(chunks)).alias("chunk"))
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(chunks)).cast("long").alias("chunk"))
+    dealt = dealt.mapInArrow(_parcels, "chunk long, rows binary")
 
     def send(key, table):
-        u, n = _entries(grams(table, order)[0])
+        u, n = _entries(grams(_opened(table), order)[0])
         at = _cuts(u, chunks)
         rows = [(b, _packed(u[at[b] : at[b + 1]]), _packed(n[at[b] : at[b + 1]].astype(np.uint32))) for b in range(chunks) if at[b] < at[b + 1]]
         return pa.table({
@@ -104,8 +133,7 @@ def score(
         })
 
     def join(key, table, totals):
-        if not table.num_rows:
-            return pa.table({"doc_id": table.column("doc_id"), **{c: pa.array([], t) for c, t in (("n_words", pa.int64()), ("n_backed_off", pa.int64()), ("log_score", pa.float64()))}})
+        table = _opened(table)
         hashes, first = grams(table, order)
         u, _ = _entries(hashes)
         at = np.argsort(totals.column("bucket").to_numpy())
