@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a forest of random-projection trees with spill.
 
-Every tree splits the unit vectors again and again at the median of a random projection; vectors close
-to a split go to both sides.  The trees are fitted on a bounded sample, then every row is sent through
+Every tree splits the unit vectors again and again along a random projection, near its median where few
+vectors lie; vectors close to a split go to both sides.  The trees are fitted on a bounded sample, then every row is sent through
 them.  Rows meet in leaves, where all pairs are compared in double precision.  A pair that meets in
 several leaves counts in the first one only, so links are counted where they are found and never
 travel: a leaf returns each member's number of links and one edge to its group in the leaf.
@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from .common import cut, sample_by_hash
 from .components import components, small_components
 
-TREES = 6
+TREES = 4
 #: Half width of the spill around a split, in units of cosine distance 1.
-SPILL = 0.02
+SPILL = 0.016
+#: Random planes tried for a split, and the share of rows close to it from which a leaf is not split.
+PLANES, DENSE = 4, 0.3
 #: Sample that the trees are fitted on, rows of a leaf that are aimed at, and rows of one comparison.
-SAMPLE, LEAF, BLOCK = 40_000, 700, 2_000
+SAMPLE, LEAF, BLOCK = 40_000, 400, 2_000
 
 
 class Forest:
@@ -39,25 +41,35 @@ class Forest:
         self.planes, self.cuts, self.sides, self.roots = [], [], [], []
         self.leaves = 0
 
+        def split(part: np.ndarray) -> tuple[np.ndarray, float] | None:
+            """The random plane and cut between the 30th and 70th percentile that fewest rows lie close to."""
+            best, chosen = DENSE, None
+            for _ in range(PLANES):
+                plane = rng.standard_normal(width)
+                plane /= np.linalg.norm(plane)
+                p = np.sort(part @ plane)
+                cuts = p[(len(p) * np.linspace(0.3, 0.7, 9)).astype(int)]
+                near = (np.searchsorted(p, cuts + SPILL) - np.searchsorted(p, cuts - SPILL)) / len(p)
+                k = int(near.argmin())
+                if near[k] < best:
+                    best, chosen = near[k], (plane, float(cuts[k]))
+            return chosen
+
         def grow(part: np.ndarray) -> int:
             """Node number, or -1 - leaf."""
             if len(part) * share <= leaf or len(part) < 16:
                 self.leaves += 1
                 return -self.leaves
-            plane = rng.standard_normal(width)
-            plane /= np.linalg.norm(plane)
-            p = part @ plane
-            at, node = float(np.median(p)), len(self.planes)
+            found = split(part)
+            if found is None:  # too dense here: splitting would send most rows both ways
+                self.leaves += 1
+                return -self.leaves
+            plane, at = found
+            p, node = part @ plane, len(self.planes)
             self.planes.append(plane)
             self.cuts.append(at)
             self.sides.append([0, 0])
             low, high = part[p < at + SPILL], part[p >= at - SPILL]
-            if max(len(low), len(high)) == len(part):  # too dense here to split
-                low, high = part[p < at], part[p >= at]
-                if not len(low) or not len(high):
-                    self.planes.pop(), self.cuts.pop(), self.sides.pop()
-                    self.leaves += 1
-                    return -self.leaves
             self.sides[node] = [grow(low), grow(high)]
             return node
 
@@ -161,9 +173,10 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
     spark = vectors.sparkSession
     fine = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists(column, lambda x: x != 0)
     whole = F.col(key).isNotNull() & F.col(column).isNotNull() & (F.size(column) > 0) & fine
-    rows = vectors.select(F.col(key).cast("long").alias("node"), F.when(whole, F.transform(column, lambda x: x.cast("double"))).alias("v"))
-    # Adding zero makes -0.0 and 0.0 the same vector.
-    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    rows = vectors.select(F.col(key).cast("long").alias("node"), F.when(whole, F.col(column)).alias("v"))
+    # Adding zero makes -0.0 and 0.0 the same vector; components keep their type until they are compared.
+    item = vectors.schema[column].dataType.elementType.simpleString()
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0).cast(item)))
     classes = cut(rows.where("v is not null").groupBy("v").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("copies")))
     counted, edges = None, None
     for r in classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect():
@@ -173,7 +186,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
         sample = sample.reshape(-1, width)
         sample /= np.linalg.norm(sample, axis=1, keepdims=True)
         sent = spark.sparkContext.broadcast(pickle.dumps(Forest(sample, n)))
-        placed = own.select("rep", "copies", "v").mapInArrow(_placed(sent, width), "rep long, copies long, v array<double>, leaves array<int>")
+        placed = own.select("rep", "copies", "v").mapInArrow(_placed(sent, width), f"rep long, copies long, v array<{item}>, leaves array<int>")
         spread = placed.withColumn("leaf", F.explode("leaves"))
         sizes = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
         parts = F.ceil(F.col("size") / BLOCK).cast("int")
