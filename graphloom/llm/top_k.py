@@ -118,8 +118,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products over all vectors.
 
     Both sides are ``(vec_id, v array<long>)`` as made by ``quantised``.  A query never meets rows with
-    its own id; ties go to the smaller vec_id; with fewer than k candidates all are returned.  Vectors of
-    another width than the query's take no part.  An empty side gives an empty result.
+    its own id; ties go to the smaller vec_id; with fewer than k candidates all are returned.  Rows count,
+    as in the SQL: a vector that stands n times is n candidates and takes n places, and the rows of one
+    query_id share its k places.  Vectors of another width than the query's take no part.  An empty side
+    gives an empty result.
     """
     spark = vectors.sparkSession
     vectors = vectors.withColumn("d", F.size("v"))
@@ -151,7 +153,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = out.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import archives, common, language_id, lm_score, mixing, near_dup, packing, pii, queries, top_k, toxicity, vector_dup
 from graphloom.llm.components import components
@@ -292,6 +293,27 @@ def test_top_k_equals_brute_force(spark):
     assert top_k.search(df.where("vec_id in (0, 3)")).count() == 1
 
 
+def test_top_k_counts_repeated_rows_like_the_sql(spark):
+    import duckdb
+
+    _, df = vectors(spark, 120, 4)
+    plain = df.where("vec_id < 120").select("vec_id", "embedding")
+    best = top_k.search(plain).where("rank = 1")
+    first, second = (best.where(f"query_id = {i}").first().vec_id for i in (0, 100))
+    other = plain.where("vec_id = 7").select(F.lit(50).cast("long").alias("vec_id"), "embedding")  # one id, two vectors
+    df = plain.union(other).union(plain.where("vec_id = 100"))
+    for i, n in ((first, 2), (second, 6)):
+        for _ in range(n):
+            df = df.union(plain.where(f"vec_id = {i}"))
+    con = duckdb.connect()
+    con.register("embeddings", df.toPandas())
+    want = con.execute(top_k.ORACLE_SQL).df()
+    for parts in (1, 9):
+        got = top_k.search(df.repartition(parts)).toPandas()
+        pd.testing.assert_frame_equal(canon(got), canon(want), check_dtype=False)
+        assert got.groupby("query_id")["rank"].apply(sorted).tolist() == [[1, 2, 3, 4, 5]] * 3
+
+
 def test_near_vectors_equal_brute_force(spark):
     x, df = vectors(spark, 600)
     got = vector_dup.near_vectors(df).toPandas().set_index("vec_id")
