@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def terms(edges1: DataFrame, edges2: DataFrame, support: DataFrame) -> DataFrame:
-    """(A P)_ij holds +P_kj for edges i -> k, (P B)_ij holds -P_ik for edges k -> j; distinct on each side."""
+def terms(edges1: DataFrame, edges2: DataFrame, support: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(A P)_ij holds +P_kj for edges i -> k, (P B)_ij holds -P_ik for edges k -> j; distinct on each side.
+
+    With ``weights(i, j, w)`` B is the weighted matrix: its pairs take the place of ``edges2``, and the terms
+    have a column w (1 on the plus side) that values, gradient and coefficients multiply by.
+    """
     plus = support.join(edges1.select(F.col("src").alias("i"), F.col("dst").alias("u")), "u").select("i", F.col("v").alias("j"), "u", "v", F.lit(1).alias("sign"))
+    if weights is not None:
+        b = weights.select(F.col("i").alias("v"), "j", F.col("w").cast("double").alias("w"))
+        minus = support.join(b, "v").select(F.col("u").alias("i"), "j", "u", "v", F.lit(-1).alias("sign"), "w")
+        return plus.distinct().withColumn("w", F.lit(1.0)).union(minus.distinct())
     minus = support.join(edges2.select(F.col("src").alias("v"), F.col("dst").alias("j")), "v").select(F.col("u").alias("i"), "j", "u", "v", F.lit(-1).alias("sign"))
     return plus.distinct().union(minus.distinct())
 
 
+def _factor(terms_: DataFrame) -> Column:
+    return F.col("sign") * F.col("w") if "w" in terms_.columns else F.col("sign")
+
+
 def coefficients(terms_: DataFrame) -> DataFrame:
-    """i, j, u, v, a: signs summed, terms that cancel left out."""
-    return terms_.groupBy("i", "j", "u", "v").agg(F.sum("sign").cast("double").alias("a")).where("a <> 0")
+    """i, j, u, v, a: signs (times weights) summed, terms that cancel left out."""
+    return terms_.groupBy("i", "j", "u", "v").agg(F.sum(_factor(terms_)).cast("double").alias("a")).where("a <> 0")
 
 
 def support_sizes(terms_: DataFrame) -> DataFrame:
@@ -50,7 +62,7 @@ def cooccurrence(terms_: DataFrame) -> DataFrame:
 
 def values(terms_: DataFrame, z: DataFrame) -> DataFrame:
     """i, j, f: the value of each objective at z(u, v, z)."""
-    return terms_.join(z, ["u", "v"]).groupBy("i", "j").agg(F.sum(F.col("sign") * F.col("z")).alias("f"))
+    return terms_.join(z, ["u", "v"]).groupBy("i", "j").agg(F.sum(_factor(terms_) * F.col("z")).alias("f"))
 
 
 def value(terms_: DataFrame, z: DataFrame, p: float) -> DataFrame:
@@ -65,7 +77,7 @@ def gradient(terms_: DataFrame, z: DataFrame, p: float) -> DataFrame:
     norm = value(terms_, z, p)
     slope = F.when(F.col("value") > 0, F.signum("f") * F.pow(F.abs("f") / F.col("value"), F.lit(p - 1.0))).otherwise(F.lit(0.0))
     s = f.crossJoin(F.broadcast(norm)).select("i", "j", slope.alias("s"))  # one row beside every objective
-    return terms_.join(s, ["i", "j"]).groupBy("u", "v").agg(F.sum(F.col("sign") * F.col("s")).alias("g"))
+    return terms_.join(s, ["i", "j"]).groupBy("u", "v").agg(F.sum(_factor(terms_) * F.col("s")).alias("g"))
 
 
 def linear_cost(support: DataFrame, cost: DataFrame, z: DataFrame) -> DataFrame:
@@ -74,11 +86,27 @@ def linear_cost(support: DataFrame, cost: DataFrame, z: DataFrame) -> DataFrame:
     return d.join(z, ["u", "v"]).agg(F.sum(F.col("d") * F.col("z")).alias("value"))
 
 
-def pair_distance(features1: DataFrame, features2: DataFrame, support: DataFrame | None = None) -> DataFrame:
-    """u, v, d: Euclidean distance of ``features(node, features)`` on the support, or of all pairs."""
+def pair_distance(features1: DataFrame, features2: DataFrame, support: DataFrame | None = None, equalize: bool = False) -> DataFrame:
+    """u, v, d: Euclidean distance of ``features(node, features)`` on the support, or of all pairs.
+
+    ``equalize`` first gives the side with fewer nodes zero vectors for the ids from its size to the other's.
+    """
     from ..functions.scalars import euclidean
 
+    if equalize:
+        n1, n2 = features1.count(), features2.count()
+        if n1 < n2:
+            features1 = _padded(features1, features2, n1, n2)
+        elif n2 < n1:
+            features2 = _padded(features2, features1, n2, n1)
     a = features1.select(F.col("node").alias("u"), F.col("features").alias("fa"))
     b = features2.select(F.col("node").alias("v"), F.col("features").alias("fb"))
     both = a.crossJoin(b) if support is None else support.join(a, "u").join(b, "v")
     return both.select("u", "v", euclidean(F.col("fa"), F.col("fb")).alias("d"))
+
+
+def _padded(few: DataFrame, many: DataFrame, low: int, high: int) -> DataFrame:
+    width = many.select(F.size("features")).first()[0]
+    kind = few.schema["node"].dataType
+    zeros = few.sparkSession.range(low, high).select(F.col("id").cast(kind).alias("node"), F.array_repeat(F.lit(0.0), width).alias("features"))
+    return few.select("node", "features").union(zeros)

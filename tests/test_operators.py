@@ -238,3 +238,42 @@ def test_evaluation(spark):
     assert evaluate.recovered(z, perm) == 1.0
     assert evaluate.average([z, z]).count() == 3
     assert isinstance(pd.DataFrame(stats, index=[0]), pd.DataFrame)
+
+
+def test_weighted_objective_equals_dense_matrices(spark):
+    rng = np.random.default_rng(3)
+    n, p = 5, 2.5
+    a, b = (rng.random((n, n)) < 0.5).astype(float), rng.normal(1, 0.4, (n, n))
+    x = rng.random((n, n))
+    edges = spark.createDataFrame([(i, k) for i in range(n) for k in range(n) if a[i, k]], "src long, dst long")
+    pairs = [(u, v) for u in range(n) for v in range(n)]
+    sup = spark.createDataFrame(pairs, "u long, v long")
+    weights = spark.createDataFrame([(k, j, float(b[k, j])) for k, j in pairs], "i long, j long, w double")
+    z = spark.createDataFrame([(u, v, float(x[u, v])) for u, v in pairs], "u long, v long, z double")
+    t = objective.terms(edges, edges, sup, weights).cache()
+    f = a @ x - x @ b
+    norm = (np.abs(f) ** p).sum() ** (1 / p)
+    assert abs(objective.value(t, z, p).first()[0] - norm) < 1e-9
+    s = np.sign(f) * (np.abs(f) / norm) ** (p - 1)
+    want = a.T @ s - s @ b.T
+    assert all(abs(r.g - want[r.u, r.v]) < 1e-9 for r in objective.gradient(t, z, p).collect())
+    d = np.kron(a, np.eye(n)) - np.kron(np.eye(n), b.T)
+    got = {(r.i, r.j, r.u, r.v): r.a for r in objective.coefficients(t).collect()}
+    assert all(abs(got.get((i, j, u, v), 0) - d[i * n + j, u * n + v]) < 1e-9 for i, j in pairs for u, v in pairs)
+
+
+def test_distance_pads_the_smaller_side(spark):
+    one = spark.createDataFrame([("0", [3.0, 4.0])], "node string, features array<double>")
+    two = spark.createDataFrame([("0", [3.0, 4.0]), ("1", [0.0, 1.0]), ("2", [6.0, 8.0])], one.schema)
+    got = {(r.u, r.v): r.d for r in objective.pair_distance(one, two, equalize=True).collect()}
+    assert len(got) == 9 and got["1", "0"] == 5 and got["2", "2"] == 10 and got["0", "0"] == 0
+    assert len(objective.pair_distance(two, one, equalize=True).collect()) == 9 and objective.pair_distance(one, two).count() == 3
+
+
+def test_fixed_topologies(spark):
+    from graphloom.operators import topologies
+
+    for make, n in ((topologies.dtelekom, 68), (topologies.abilene, 9), (topologies.servicenetwork, 8), (topologies.geant, 22)):
+        assert graph.nodes(make(spark)).count() == n
+    assert topologies.abilene(spark).count() == 26 and topologies.geant(spark).count() == 66
+    assert topologies.abilene(spark).where("src = 'SEAT'").count() == 2
