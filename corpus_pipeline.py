@@ -26,10 +26,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; documents without an id stay."""
+    """One document of each group stays, the one with the smallest doc_id; documents without an id stay.
+
+    Rows are one document only where doc_id and text are equal: texts that share a doc_id are compared like
+    any others.  A 64-bit hash of both is the document's key.
+    """
     docs = docs.select(*COLUMNS)
-    stay = near_dup.near_duplicates(docs, k=5, percent=80).where("kept and doc_id is not null").select("doc_id")
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keyed = docs.where("doc_id is not null").withColumn("_row", F.xxhash64("doc_id", "text"))
+    group = near_dup.near_duplicates(keyed, key="_row", k=5, percent=80).select("_row", "component_id").distinct()
+    ids = keyed.groupBy("_row").agg(F.min("doc_id").alias("doc_id"))
+    stay = group.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row")).select("_row")
+    kept = keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"])
     return kept.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
@@ -42,11 +49,15 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stands as often as the mix takes it; only whole documents are taken."""
-    docs = docs.select(*COLUMNS)
-    taken = mixing.mix(docs, table(spark, sf_dir, "labels"), boundary="nearest")
-    times = taken.where("size > 0 and taken > 0").select(F.col("doc_id").alias("_id"), F.expr("cast(taken div size as int)").alias("times"))
-    mixed = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    """A document stands as often as the mix takes it; only whole documents are taken.
+
+    Rows that share a doc_id, or have none, are documents of their own.  A 64-bit hash of all columns stands
+    for a row, so texts do not pass through the mix; equal rows get their copies together.
+    """
+    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS, *[F.isnull(c) for c in COLUMNS]))
+    taken = mixing.mix(docs, table(spark, sf_dir, "labels"), boundary="nearest", keep=("_row",))
+    times = taken.where("size > 0 and taken > 0").groupBy("_row").agg(F.expr("cast(sum(taken div size) as int)").alias("times"))
+    mixed = docs.dropDuplicates(["_row"]).join(times, "_row")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 

@@ -519,3 +519,33 @@ def test_pipeline_keeps_and_drops(spark, sf):
     assert clean.count() == kept.count()
     assert all(not base_by_pattern(r.text) for r in clean.collect())
     assert all(r.n_chars == len(r.text) for r in clean.collect())
+
+
+def test_pipeline_mixes_repeated_ids_row_by_row(spark, sf):
+    import corpus_pipeline as cp
+
+    rows = [(i, f"text {i} " + "w " * 10, "en", "a", 9) for i in range(50)]
+    rows += [(None, f"no id {i} " + "w " * 10, "en", "a", 9) for i in range(20)] + [(900, f"same id {i} " + "w " * 10, "de", "b", 9) for i in range(10)]
+    rows += [(None, "three equal rows", None, "c", 9)] * 3 + [(None, "three equal rows", "c", None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = mixing.mix(docs, spark.read.parquet(f"{sf}/labels.parquet"), boundary="nearest").toPandas()
+    got = cp.mix_sources(spark, docs, sf).toPandas()
+    assert len(got) == cp.mix_sources(spark, docs, sf).count()
+    assert len(got) == (taken.taken / taken["size"]).sum() and got[got["text"].ne("three equal rows")].groupby("text").size().max() <= 2
+    assert {tuple(r) for r in got.astype(object).where(got.notna(), None).to_numpy()} <= set(rows)
+    for source, words in got[got.source.isin(["a", "b"])].groupby("source").text.apply(lambda t: sum(len(x.split()) for x in t)).items():
+        assert words <= taken[taken.source_size == (70 * 12 + 20 if source == "a" else 130)].target.iloc[0] + 13
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark, sf):
+    import corpus_pipeline as cp
+
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(100)) for c in "pqrs")
+    rows = [(1, one), (4, two), (4, three), (4, three), (5, two + " x"), (6, one), (7, four), (7, four + " y")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.drop_near_duplicates(spark, docs, sf).collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id != 7) == sorted([(1, one), (4, two), (4, three)])
+    assert [r.text in (four, four + " y") for r in got if r.doc_id == 7] == [True]
+    rows = [(1, one), (4, one + " x"), (4, two), (5, three)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], docs.schema)
+    assert sorted((r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, docs, sf).collect()) == [(1, one), (4, two), (5, three)]
