@@ -1,19 +1,28 @@
 """Toxicity by compression distance: zstandard with an ordinary and a toxic dictionary.
 
-Two dictionaries are trained with zstandard's own trainer, one on windows of ordinary text, one on
-windows of toxic text.  Toxic documents are mostly ordinary words, so the toxic trainer only gets
-words that its documents hold clearly more often than ordinary ones do.  Each text is cut into windows
-of a few words; the bytes that the toxic dictionary saves over the ordinary one (both end with the
-same ordinary content, so ordinary words cost the same) are the window's distance.  A window counts
-when its distance passes a threshold calibrated on the training documents, and a logistic curve over
-the number of such windows and their savings gives the score.  A window is compressed behind a fixed
-carrier that both dictionaries hold, so that even a short one is worth a compressed block.
+A text is cut into overlapping windows of two neighbouring words.  Every window is compressed twice, once
+with each dictionary, and the bytes that the toxic one saves are the window's distance.  How many windows
+pass each of a few distances is what a logistic curve, calibrated on the training documents, turns into
+the score.
+
+zstandard's own trainer makes all dictionaries, with the same budget for both sides:
+
+* A background dictionary, from half of the ordinary training documents, stands at the end of both sides, so
+  that ordinary words cost the same.  Windows that it already explains teach neither side anything more.
+* The ordinary side is trained on windows of the other half.
+* The toxic side is trained on windows of toxic documents.  Most of these are ordinary words too, so training
+  goes in rounds: the toxic documents are split in two halves, a dictionary from one half is tried on the
+  windows of the other, and only windows that it makes clearly shorter than the ordinary side does stay for
+  the next round, which has a smaller budget.
+
+A window stands between the halves of a fixed carrier that both dictionaries hold, so that even a short
+one is worth a compressed block.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,161 +30,196 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id
+from .common import crc_of_id, sample_by_hash
 
 #: Words of a window.
-WINDOW = 1
-#: Windows whose distance a task remembers; beyond it the memory starts anew.
-MEMO = 400_000
-#: Bounds of the training sample, in documents of each label.
-SAMPLE = 1500
-DICTIONARY_BYTES = 4096
+WINDOW = 2
+#: Bytes of windows whose distance a task remembers; beyond it the memory starts anew.
+MEMO_BYTES = 24 << 20
+#: Bounds of the training sample, in documents of each label and in windows of each label.
+SAMPLE, SAMPLE_WINDOWS = 1500, 400_000
+#: Bytes of the background, and budget of both sides with the saving that keeps a window, round by round.
+BACKGROUND, ROUNDS = 8_192, ((12_288, 3), (8_192, 4), (4_096, 4), (1_536, 4))
+#: Segment and shortest match of the trainer; splits in halves that are tried, and segments in the last round.
+SEGMENT, MATCH, SPLITS, LAST = 16, 8, 3, (12, 16, 20)
+#: Share of the windows that the background explains best and that teach nothing.
+EXPLAINED = 0.7
+#: Distances at which windows are counted; share of toxic documents that the curve assumes.
+STEPS, PRIOR = (2, 3, 4, 5), 0.25
 CUT = 0.3
-#: Shortest match in bytes.
-MATCH = 5
 #: The carrier: both dictionaries end with it, and every window stands between its halves.
 HEAD, TAIL = b"0123456789@ABCDEFGHI", b"<> ZYXWVUTSRQPONMLKJ"
-#: Distances by window of the models a worker has used.
-_memory: dict = {}
 
 
-def windows(text: str, n: int = WINDOW) -> list[str]:
-    words = text.lower().split()
-    return words if n == 1 else [" ".join(words[i : i + n]) for i in range(0, len(words), n)]
+def windows(text: str | None, step: int = 1, n: int = WINDOW) -> list[bytes]:
+    """Windows of n words, lower-cased, from every ``step``-th word on; a shorter text is one window."""
+    words = (text or "").lower().split()
+    last = max(1, len(words) - n + 1) if step == 1 else len(words)
+    return [f" {' '.join(words[i : i + n])} ".encode() for i in range(0, last, step)] if words else []
 
 
-def train_dictionary(samples: list[bytes], size: int) -> bytes:
-    """Content of a dictionary that zstandard trains on the samples; the samples themselves if too few."""
+def train_dictionary(samples: list[bytes], size: int, segment: int = SEGMENT) -> bytes:
+    """Content of a dictionary that zstandard trains on the samples; samples that are too few to train on stand for themselves."""
     try:
-        return zs.train_dictionary(size, samples, k=24, d=6).as_bytes()[-size:]
+        return zs.train_dictionary(size, samples, k=segment, d=MATCH).as_bytes()[-size:]
     except zs.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
+        held, left = [], size
+        for s in dict.fromkeys(samples):
+            if len(s) <= left:
+                held.append(s)
+                left -= len(s)
+        return b"".join(held)
+
+
+def compressor(content: bytes):
+    """Function from a window to its compressed bytes."""
+    held = zs.ZstdCompressionDict(content + HEAD + TAIL, dict_type=zs.DICT_TYPE_RAWCONTENT)
+    how = zs.ZstdCompressionParameters(
+        format=zs.FORMAT_ZSTD1_MAGICLESS, window_log=19, hash_log=17, chain_log=17, search_log=6, min_match=4, target_length=32,
+        strategy=zs.STRATEGY_BTLAZY2, write_content_size=0, write_checksum=0, write_dict_id=0,
+    )
+    held.precompute_compress(compression_params=how)
+    compress = zs.ZstdCompressor(dict_data=held, compression_params=how).compress
+    return lambda window: compress(HEAD + window + TAIL)
+
+
+def _some(texts: list[str], most: int) -> list[list[bytes]]:
+    """Training windows text by text, thinned by their hash where there are more than ``most``."""
+    cut = [windows(t, WINDOW) for t in texts]
+    n = sum(map(len, cut))
+    if n <= most:
+        return cut
+    edge = int(most / n * (1 << 32))
+    return [[w for w in x if int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "big") < edge] for x in cut]
+
+
+def _rank_share(a: np.ndarray, b: np.ndarray) -> float:
+    """How often a value of a is above one of b; ties count half."""
+    b = np.sort(b)
+    return float((np.searchsorted(b, a, "left") + np.searchsorted(b, a, "right")).mean() / 2 / len(b))
 
 
 class Model:
-    """Both dictionaries and what was calibrated with them."""
-
-    def __init__(self, toxic: list[str], ordinary: list[str], size: int = DICTIONARY_BYTES):
-        self.ordinary = train_dictionary([f" {w} ".encode() for t in ordinary for w in windows(t, 8)][:60_000], size)
-        own = _contrast(toxic, ordinary) if toxic and ordinary else []
-        held = b"".join(own)[-size:]
-        self.toxic = self.ordinary + held + HEAD + TAIL if own else b""
-        # Shortest matches of the compressor; a window without any of them cannot gain from the toxic side.
-        self.matches = {held[i : i + MATCH] for i in range(len(held) - MATCH + 1)}
-        self.ordinary += HEAD + TAIL
-        self.least, self.weights = 1, np.zeros(4)
-        if self.toxic:
-            self._calibrate([self.savings(t) for t in toxic], [self.savings(t) for t in ordinary])
+    """Both dictionaries and the curve that was calibrated with them; untrained without texts of both labels."""
+
+    def __init__(self, toxic: list[str], ordinary: list[str]):
+        self.ordinary = self.toxic = b""
+        self.weights = np.zeros(2 * len(STEPS) + 2)
+        toxic, ordinary = [t for t in toxic if t.split()], [t for t in ordinary if t.split()]
+        if len(toxic) < 2 or len(ordinary) < 2:
+            return
+        bad, plain = _some(toxic, SAMPLE_WINDOWS), _some(ordinary, SAMPLE_WINDOWS)
+        # The pair of dictionaries that tells the training documents apart best.
+        best = -1.0
+        for split in range(SPLITS):
+            side = [i >> split & 1 for i in range(max(len(bad), len(plain)))]
+            background, rest, chosen = self._sides(bad, plain, side)
+            for segment in LAST:
+                pair = tuple(train_dictionary(s, ROUNDS[-1][0], segment) + background for s in (rest, chosen))
+                self._use(pair)
+                seen = [np.array([self._features(self._saved(x)) for x in cut]) for cut in (bad, plain)]
+                weights = self._curve(*seen)
+                apart = _rank_share(*(x @ weights for x in seen))
+                if apart > best:
+                    best, found = apart, pair
+        self._use(found)
+        self.weights = self._curve(*(np.array([self._features(self.distances(t)) for t in texts]) for texts in (toxic, ordinary)))
+
+    @staticmethod
+    def _sides(bad: list[list[bytes]], plain: list[list[bytes]], side: list[int]) -> tuple[bytes, list[bytes], list[bytes]]:
+        """Background dictionary and the windows that the ordinary and the toxic side are trained on at last."""
+        background = train_dictionary([w for x, s in zip(plain, side) if s for w in x], BACKGROUND, 2 * SEGMENT)
+        cost = compressor(background)
+        rest = [w for x, s in zip(plain, side) if not s for w in x]
+        edge = np.quantile([len(cost(w)) for w in rest], EXPLAINED)
+        rest = [w for w in rest if len(cost(w)) > edge] or rest
+        kept = [[w for w in x if len(cost(w)) > edge] for x in bad]
+        for size, least in ROUNDS:
+            ordinary = compressor(train_dictionary(rest, size) + background)
+            halves = [[w for x, s in zip(kept, side) if s == f for w in x] or [w for x, s in zip(bad, side) if s == f for w in x] for f in (0, 1)]
+            toxic = [compressor(train_dictionary(h, size) + background) for h in halves]
+            kept = [[w for w in x if len(ordinary(w)) - len(toxic[1 - s](w)) >= least] for x, s in zip(bad, side)]
+        return background, rest, [w for x in kept for w in x] or [w for x in bad for w in x]
+
+    def _use(self, pair: tuple[bytes, bytes]) -> None:
+        self.ordinary, self.toxic = pair
+        self._pair = tuple(compressor(x) for x in pair)
+        self._memo: dict[bytes, int] = {}
+        self._held = 0
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
 
-    def _compressors(self):
+    def distances(self, text: str | None, step: int = 1) -> np.ndarray:
+        """Bytes that the toxic dictionary saves over the ordinary one, window by window."""
+        return self._saved(windows(text, step))
+
+    def _saved(self, cut: list[bytes]) -> np.ndarray:
         if not hasattr(self, "_pair"):
-            pair = []
-            for content in (self.ordinary, self.toxic):
-                held = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
-                how = zs.ZstdCompressionParameters(
-                    format=zs.FORMAT_ZSTD1_MAGICLESS, window_log=15, hash_log=12, chain_log=12, search_log=5, min_match=MATCH,
-                    target_length=32, strategy=zs.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0,
-                )
-                held.precompute_compress(compression_params=how)
-                pair.append(zs.ZstdCompressor(dict_data=held, compression_params=how).compress)
-            self._pair = pair
-        return self._pair
-
-    def _distance(self, window: str) -> int:
-        plain, toxic = self._compressors()
-        sent = b" " + window.encode() + b" "
-        if self.matches.isdisjoint([sent[i : i + MATCH] for i in range(len(sent) - MATCH + 1)]):
-            return 0
-        sent = HEAD + sent + TAIL
-        return len(plain(sent)) - len(toxic(sent))
-
-    def savings(self, text: str | None) -> np.ndarray:
-        """Bytes saved by the toxic dictionary in each window of the whole text."""
-        memo = _memory.setdefault(hash(self.toxic), {})
-        cut = windows(text or "")
-        found = list(map(memo.get, cut))
-        if None in found:
-            if len(memo) > MEMO:
-                memo.clear()
-            for w in cut:
-                if w not in memo:
-                    memo[w] = self._distance(w)
-            found = list(map(memo.__getitem__, cut))
-        return np.array(found, np.int64)
-
-    def _features(self, d: np.ndarray) -> np.ndarray:
-        hot = d[d >= self.least]
-        return np.array([1.0, np.log1p(len(hot)), np.log1p(hot.sum()), 10.0 * len(hot) / max(len(d), 1)])
-
-    def _calibrate(self, toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> None:
-        """Window threshold: the one whose hot windows best split the two labels; then the curve."""
-        best = -1.0
-        for least in range(1, 9):
-            share = [np.array([(d >= least).sum() / max(len(d), 1) for d in side]) for side in (toxic, ordinary)]
-            edges = np.unique(np.concatenate(share))
-            gap = max((share[0] >= e).mean() - (share[1] >= e).mean() for e in edges[:: max(1, len(edges) // 200)])
-            if gap > best + 1e-3:
-                best, self.least = gap, least
-        x = np.array([self._features(d) for d in (*toxic, *ordinary)])
+            self._use((self.ordinary, self.toxic))
+        plain, toxic = self._pair
+        memo, out = self._memo, []
+        for w in cut:
+            d = memo.get(w)
+            if d is None:
+                d = len(plain(w)) - len(toxic(w))
+                self._held += len(w) + 100
+                if self._held > MEMO_BYTES:
+                    memo.clear()
+                    self._held = 0
+                memo[w] = d
+            out.append(d)
+        return np.array(out, np.int64)
+
+    @staticmethod
+    def _features(d: np.ndarray) -> np.ndarray:
+        count = np.array([(d >= s).sum() for s in STEPS], float)
+        n = max(len(d), 1)
+        return np.r_[1.0, 10 * count / n, np.log1p(count), d.sum() / n]
+
+    @staticmethod
+    def _curve(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+        """Weights of the logistic curve, by Newton's method with a little ridge."""
+        x = np.vstack([toxic, ordinary])
         y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
-        weigh = np.where(y == 1, 0.5 / len(toxic), 0.5 / len(ordinary))
+        weigh = np.where(y == 1, PRIOR / len(toxic), (1 - PRIOR) / len(ordinary))
         w = np.zeros(x.shape[1])
-        for _ in range(50):  # Newton with a little ridge; both labels weigh the same
+        for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             grad = x.T @ (weigh * (p - y)) + 1e-4 * w
-            hess = (x * (weigh * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w))
-            w -= np.linalg.solve(hess, grad)
-        self.weights = w
+            w -= np.linalg.solve((x * (weigh * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w)), grad)
+        return w
 
     def score(self, text: str | None) -> float:
         if not self.toxic:
             return 0.0
-        return float(1 / (1 + np.exp(-np.clip(self._features(self.savings(text)) @ self.weights, -30, 30))))
-
-
-def _contrast(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Training windows of the toxic side: words that toxic documents hold far more often than ordinary ones.
-
-    A word counts once for each different pair of neighbours, so copies of one document count once.
-    """
-
-    def spread(texts):
-        held = set()
-        for t in texts:
-            w = ["", *t.lower().split(), ""]
-            held.update(zip(w[1:], w, w[2:]))
-        return Counter(x[0] for x in held)
-
-    a, b = spread(toxic), spread(ordinary)
-    rate = len(ordinary) / len(toxic)
-    kept = {w: n for w, n in a.items() if len(w) >= 3 and n >= max(4, 0.01 * len(toxic)) and n * rate >= 10 * (b[w] + 1)}
-    return [f" {w} ".encode() for w in sorted(kept, key=lambda w: (kept[w], w))]
+        return float(1 / (1 + np.exp(-np.clip(self._features(self.distances(text)) @ self.weights, -30, 30))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``: about ``sample`` documents of each label.
 
-    The bounded sample is chosen by a hash of doc_id.  Null texts and labels other than 0 and 1 teach
-    nothing; a document labelled more than once counts as toxic if any of its labels is.
+    The bounded sample is chosen by a hash of doc_id, and by a hash of the text where many texts share
+    an id.  Null texts and labels other than 0 and 1 teach nothing, nor do rows without an id; a document
+    labelled more than once counts as toxic if any of its labels is; equal rows teach once.
     """
-    known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     shares = {r["toxic"]: min(1.0, sample / r["n"]) for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     keep = F.lit(False)
     for label, share in shares.items():
         keep |= (F.col("toxic") == label) & (unit < share)
-    few = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known.where(keep)), "doc_id")
-    rows = [(r["toxic"], r["text"]) for r in few.orderBy("doc_id").toLocalIterator()]
+    few = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known.where(keep)), "doc_id").distinct()
+    few = sample_by_hash(few, "text", 4 * sample)
+    rows = [(r["toxic"], r["text"]) for r in few.orderBy("doc_id", "text").toLocalIterator()]
     return Model([t for y, t in rows if y == 1], [t for y, t in rows if y == 0])
 
 
 def rate(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id`` and ``score`` of every row of ``docs(doc_id, text)``; whole texts, rows stay repeated.
 
-    Null and empty texts get the score of a text without a hot window; an untrained model gives 0.
+    A null or empty text has no window, and every such text the same low score; an untrained model gives
+    0.  A text of one word is one window.  An empty table gives an empty result, extra columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
@@ -190,10 +234,13 @@ def rate(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The query: learn from labelled documents with crc32(doc_id) mod 4 <> 2, score all documents."""
+    """The query: learn from labelled documents with crc32(doc_id) mod 4 <> 2, score all documents.
+
+    A row without a doc_id is not held out (and has no label to learn from).
+    """
     fold = F.pmod(crc_of_id(F.col("doc_id")), F.lit(4))
     model = fit(docs.where(fold != 2), labels.where(fold != 2), sample)
     return rate(docs, model).select(
-        "doc_id", (F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) == 2).alias("held_out"), "score",
+        "doc_id", F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) == 2, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= CUT).cast("int").alias("predicted"),
     )

@@ -363,10 +363,42 @@ def test_toxicity_separates(spark, docs, labels):
     assert hit > 0.95 and miss < 0.1
 
 
+def test_windows_are_compressed_with_both_dictionaries():
+    import zstandard as zs
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["ba", "do", "ki", "lu", "me", "ra"]) for _ in range(rng.randint(1, 4)))
+    plain = [" ".join(word() for _ in range(150)) for _ in range(120)]
+    toxic = [" ".join(w if rng.random() > 0.05 else "vile scoundrel" for w in (word() for _ in range(150))) for _ in range(120)]
+    model = toxicity.Model(toxic, plain)
+    budget = toxicity.BACKGROUND + toxicity.ROUNDS[-1][0]
+    assert 0 < len(model.ordinary) <= budget and 0 < len(model.toxic) <= budget
+
+    def direct(content, window):
+        held = zs.ZstdCompressionDict(content + toxicity.HEAD + toxicity.TAIL, dict_type=zs.DICT_TYPE_RAWCONTENT)
+        how = zs.ZstdCompressionParameters(
+            format=zs.FORMAT_ZSTD1_MAGICLESS, window_log=19, hash_log=17, chain_log=17, search_log=6, min_match=4, target_length=32,
+            strategy=zs.STRATEGY_BTLAZY2, write_content_size=0, write_checksum=0, write_dict_id=0,
+        )
+        held.precompute_compress(compression_params=how)
+        sent = toxicity.HEAD + window + toxicity.TAIL
+        packed = zs.ZstdCompressor(dict_data=held, compression_params=how).compress(sent)
+        back = zs.ZstdDecompressor(dict_data=zs.ZstdCompressionDict(content + toxicity.HEAD + toxicity.TAIL, dict_type=zs.DICT_TYPE_RAWCONTENT), format=zs.FORMAT_ZSTD1_MAGICLESS)
+        assert back.decompress(packed, max_output_size=len(sent)) == sent
+        return len(packed)
+
+    text = " ".join(toxic[0].split()[:40]) + " vile scoundrel vile"
+    seen = [f" {a} {b} ".encode() for a, b in zip(text.split(), text.split()[1:])]
+    assert toxicity.windows(text) == seen
+    assert model.distances(text).tolist() == [direct(model.ordinary, w) - direct(model.toxic, w) for w in seen]
+    assert model.score("ba do ki vile scoundrel me ra lu") > model.score("ba do ki lu me ra lu ba")
+
+
 def test_toxicity_odd(odd, none, labels, docs):
     got = toxicity.classify(odd, labels).toPandas()
     assert len(got) == len(ODD) and got.score.between(0, 1).all()
     assert toxicity.classify(none, labels).count() == 0
+    assert got.held_out.isin([True, False]).all() and got[got.doc_id.isin([1, 2, 3])].score.nunique() == 1
     assert toxicity.classify(odd, labels.limit(0)).toPandas().score.eq(0).all()
     assert toxicity.classify(docs, labels).toPandas().score.between(0, 1).all()
 
