@@ -13,6 +13,7 @@ lost executor costs its tasks and nothing else.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import uuid
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, cut
+from .common import checkpoint_dir, cut, split_join
 
 #: Fields of a header line by version of the format (fixed values of the format).
 FIELDS = {
@@ -41,14 +42,20 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    """URN that holds the page id in its last 62 bits (RFC 9562, version 8)."""
-    return f"urn:uuid:{uuid.UUID(int=(0x6C6F6F6D << 96) | (8 << 76) | (2 << 62) | (page_id & ((1 << 62) - 1)))}"
+def record_id(page_id: int | None) -> str:
+    """URN that holds all 64 bits of the page id (RFC 9562, version 8); a random one for a record without an id."""
+    if page_id is None:
+        return f"urn:uuid:{uuid.uuid4()}"
+    bits = page_id & ((1 << 64) - 1)
+    return f"urn:uuid:{uuid.UUID(int=(0x6C6F6F6D << 96) | (8 << 76) | (bits >> 62 << 64) | (2 << 62) | (bits & ((1 << 62) - 1)))}"
 
 
-def page_of(urn: str) -> int:
-    low = uuid.UUID(urn.removeprefix("urn:uuid:")).int & ((1 << 62) - 1)
-    return low - (1 << 62) if low >> 61 else low
+def page_of(urn: str) -> int | None:
+    whole = uuid.UUID(urn.removeprefix("urn:uuid:")).int
+    if whole >> 96 != 0x6C6F6F6D or whole >> 76 & 15 != 8:
+        return None
+    bits = (whole >> 64 & 3) << 62 | whole & ((1 << 62) - 1)
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
 def arc_header(version: int, name: str) -> bytes:
@@ -99,22 +106,25 @@ def split_http(block: bytes) -> tuple[bytes, bytes, dict[str, str]]:
     return head + found, payload, {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
-def to_warc(header: dict, block: bytes, page_id: int, first: int | None = None) -> bytes:
-    """WARC/1.1 record of an ARC record; a revisit of page ``first`` if that is another page."""
+def to_warc(header: dict, block: bytes, page_id: int | None, first: int | None = None, urn: str | None = None) -> bytes:
+    """WARC/1.1 record of an ARC record; a revisit of page ``first`` if that is another page.
+
+    A block without an HTTP head becomes a resource record of the ARC line's content type.
+    """
     head, payload, _ = split_http(block)
     date = header["Archive-date"].ljust(14, "0")
     stamp = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
     revisit = first is not None and first != page_id
     body = head if revisit else block
     rows = [
-        ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<{record_id(page_id)}>"),
+        ("WARC-Type", "revisit" if revisit else "response" if head else "resource"),
+        ("WARC-Record-ID", f"<{urn or record_id(page_id)}>"),
         ("WARC-Target-URI", header["URL"]),
         ("WARC-Date", stamp),
         ("WARC-IP-Address", header["IP-address"]),
         ("WARC-Payload-Digest", f"sha1:{sha1_base32(payload)}"),
         ("WARC-Block-Digest", f"sha1:{sha1_base32(body)}"),
-        ("Content-Type", "application/http; msgtype=response"),
+        ("Content-Type", "application/http; msgtype=response" if head else header["Content-type"]),
         ("Content-Length", str(len(body))),
     ]
     if revisit:
@@ -166,17 +176,14 @@ def write_archives(pages: DataFrame, folder: str, date: str = "20240101000000",
     goes through the converter.  Of records with equal payloads of at least ``least`` bytes, the one
     with the smallest page_id becomes a response and the others revisits of it; shorter payloads are
     all responses.  A null html is an empty payload, a null url "-".  Rows that repeat a page_id with
-    the same html are written again with the same type; rows with a null page_id are left out.
+    the same html are written again with the same type.  A row without a page_id is a record without one: a
+    revisit where a page with an id has its payload, else a response.
     """
     text = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    digest = F.sha1(text)
-    pages = pages.where("page_id is not null")
-    marks = pages.select("page_id", digest.alias("digest"), F.length(text).alias("bytes")).where(F.col("bytes") >= least)
-    groups = marks.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    types = marks.join(groups.select("digest", "first"), "digest").select("page_id", F.col("digest").alias("_digest"), "first").distinct()
-    typed = pages.select(F.col("page_id").cast("long"), "url", "html", digest.alias("_d")).join(
-        types.withColumnRenamed("page_id", "_page"), (F.col("page_id") == F.col("_page")) & (F.col("_d") == F.col("_digest")), "left"
-    )
+    marked = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(text).alias("digest"))
+    marks = pages.select(F.col("page_id").cast("long"), F.sha1(text).alias("digest"), F.length(text).alias("bytes")).where(F.col("bytes") >= least)
+    groups = cut(marks.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    typed = split_join(marked, groups, "digest", "copies", pages.count(), "left")
 
     def run(batches):
         system, at = _filesystem(folder)
@@ -204,7 +211,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "20240101000000",
             for page, url, html, first in zip(*(batch.column(c) for c in ("page_id", "url", "html", "first"))):
                 page, payload = page.as_py(), (html.as_py() or "").encode()
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-                version = 1 + (page & 1)
+                version = 1 + ((page or 0) & 1)
                 pending[version].append((arc_record(version, url.as_py(), date, head + payload), page, first.as_py()))
                 held += len(payload)
                 if held > CHUNK:
@@ -252,6 +259,45 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
     )
 
 
+def _opened(system, path: str):
+    """Stream of an ARC file, gzip members (one for each record, as the format has them) or plain."""
+    raw = system.open_input_stream(path, compression=None)
+    first = raw.read(2)
+    raw.close()
+    if first != b"\x1f\x8b":
+        return io.BufferedReader(system.open_input_stream(path, compression=None))
+    return gzip.GzipFile(fileobj=io.BufferedReader(system.open_input_stream(path, compression=None)))
+
+
+def convert_files(files: DataFrame, folder: str) -> DataFrame:
+    """Convert the ARC files listed in ``files(path)``, plain or gzipped, to WARC files under ``folder``.
+
+    One WARC file for each ARC file; returns a row (arc, path, records) for each.  Record ids are made from
+    the file's path and the record's place in it, so a repeated task gives the same records.  Records
+    stream through, so memory holds one at a time.  A broken file raises ValueError; an empty list gives
+    an empty result.  Paths and folder are on a file system that all executors share.
+    """
+    folder = _uri(folder)
+    made, made_at = _filesystem(folder)
+    made.create_dir(made_at)
+
+    def run(batches):
+        for batch in batches:
+            for arc in batch.column("path").to_pylist():
+                system, at = _filesystem(_uri(arc))
+                out_system, out_at = _filesystem(folder)
+                name = f"{out_at}/{hashlib.sha1(arc.encode()).hexdigest()}-{uuid.uuid4().hex}.warc.gz"
+                n = 0
+                with _opened(system, at) as stream, out_system.open_output_stream(name, compression=None) as out:
+                    for header, block in read_arc(stream):
+                        own = uuid.uuid5(uuid.NAMESPACE_URL, f"{arc}#{n}")
+                        out.write(_gzip(to_warc(header, block, None, urn=f"urn:uuid:{own}")))
+                        n += 1
+                yield pa.RecordBatch.from_arrays([pa.array([arc]), pa.array([name]), pa.array([n], pa.int64())], ["arc", "path", "records"])
+
+    return cut(files.select("path").mapInArrow(run, "arc string, path string, records long"))
+
+
 def convert(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
     """Write the archives and read them back; ``folder`` is a shared one (default: the checkpoint folder)."""
     spark = pages.sparkSession
@@ -264,13 +310,13 @@ def convert(pages: DataFrame, folder: str | None = None, least: int = 0) -> Data
 
 ORACLE_SQL = """
 WITH p AS (
-  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages WHERE page_id IS NOT NULL),
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
 SELECT p.page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes,
        array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
          (CAST(('0x' || substr(p.h, 1 + 5 * (i // 4), 5)) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)
          FOR i IN range(32)], '') AS payload_digest,
-       CASE WHEN p.page_id = g.first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN p.page_id = g.first THEN NULL ELSE g.first END AS refers_to
+       CASE WHEN p.page_id IS NOT DISTINCT FROM g.first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id IS NOT DISTINCT FROM g.first THEN NULL ELSE g.first END AS refers_to
 FROM p JOIN g USING (h)
 """

@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder the cluster names; a temporary one only where none is set and all runs on one machine (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", "") or ""
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_dir:
@@ -37,6 +37,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(set_dir)
         return set_dir
     if not current.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -47,6 +49,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys that may count as hot at once; this bounds what the joins below broadcast.
+HOT_KEYS = 2000
+
+
+def hot_from(rows: int, floor: int = 256) -> int:
+    """Rows from which a key is hot: fewer than ``HOT_KEYS`` keys of a table of so many rows can reach it."""
+    return max(floor, rows // HOT_KEYS + 1)
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, size: str, rows: int, how: str = "inner") -> DataFrame:
+    """left join right on ``key``; right has one small row for each key, with the key's number of left rows in ``size``.
+
+    ``rows`` is the number of rows of left.  The few right rows of hot keys are broadcast (their number is
+    bounded by ``hot_from``), so that no task gathers a hot key's rows; the others meet in a shuffle.
+    """
+    least = hot_from(rows)
+    hot = right.where(F.col(size) >= least).withColumn("_hot", F.lit(True))
+    met = left.join(F.broadcast(hot.select(F.col(key).alias("_key"), F.struct(*[c for c in hot.columns if c != key]).alias("_row"))), F.col(key) == F.col("_key"), "left")
+    rest = met.where("_key is null").select(*left.columns).join(right.where(F.col(size) < least), key, how)
+    names = [c for c in right.columns if c != key]
+    return met.where("_key is not null").select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in names]).select(*rest.columns).union(rest)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, keys: DataFrame, floor: int = 1024) -> DataFrame:
+    """left join right on ``key``, where right has a wide row for each key and left may hold hot keys.
+
+    ``keys`` is a written table with the columns that tell left's rows apart, ``key`` among them; it is read
+    to count the keys.  A hot key's right row is copied once for each ``floor`` or more of its left rows,
+    which are dealt over the copies by their hash.
+    """
+    least = hot_from(keys.count(), floor)
+    hot = keys.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    hot = F.broadcast(cut(hot.select(F.col(key).alias("_key"), F.ceil(F.col("_n") / least).cast("int").alias("_parts"))))
+    on = F.col(key) == F.col("_key")
+    salt = F.coalesce(F.pmod(F.xxhash64(*keys.columns), F.col("_parts")).cast("int"), F.lit(0))
+    dealt = left.join(hot, on, "left").withColumn("_salt", salt).drop("_key", "_parts")
+    copies = right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_key", "_parts")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -2,7 +2,7 @@
 
 Every partition first reduces its edges to a spanning forest by union-find.  What remains is
 contracted with the large-star / small-star steps, which only need per-key minima (summed up before
-the shuffle) and equi-joins, so a hub is never gathered in one task.
+the shuffle) and equi-joins; the few hubs are joined by broadcast, so a hub is never gathered in one task.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, split_join
 
 
 def find(parent: dict, x):
@@ -56,25 +56,26 @@ def _forest(batches):
         yield flush()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component_id)`` for every node with an edge to another node.
 
     ``component_id`` is the smallest node reachable.  Loops and repeated edges are harmless; an
-    empty table gives an empty result.  Stops when a round changes nothing.
+    empty table gives an empty result.  Stops when a round changes nothing; with ``rounds`` it raises
+    RuntimeError where so many rounds are not enough, and never returns an unfinished grouping.
     """
     now = cut(
         edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
         .where("a <> b")
         .mapInArrow(_forest, "a long, b long")
     )
-    mark = None
-    for _ in range(rounds):
+    mark, done = None, 0
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = split_join(both.where("b > a"), low, "a", "n", both.count()).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = cut(large.where("a <> b").distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = split_join(large, low, "a", "n", large.count())
         now = cut(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(low.select("a", F.col("m").alias("b")))
@@ -84,7 +85,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
-        mark = seen
+        mark, done = seen, done + 1
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"components are not settled after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component_id")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component_id")).distinct()
     )

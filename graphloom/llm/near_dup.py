@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, bytes_of, combine, cut, mix64, multiple, slices, word_hashes
+from .common import GOLDEN, bytes_of, combine, cut, mix64, multiple, salted_join, slices, split_join, word_hashes
 from .components import components, find, union
 
 #: Bands and rows: a pair at similarity 0.8 shares no band once in 13,000 times.
@@ -121,7 +121,7 @@ def sketch(docs: DataFrame, key: str = "doc_id", k: int = 5, bands: int = BANDS,
                 low = mix64(sig).astype(np.uint8)
                 sig = sig.reshape(len(sets), bands, rows)
                 band = mix64(combine([sig[:, :, r].reshape(-1) for r in range(rows)]).reshape(-1, bands) ^ salt)
-                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                digest = [_digest(s) for s in sets]
                 flat = pa.array(band.view(np.int64).reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), flat)
                 yield pa.RecordBatch.from_arrays(
@@ -133,18 +133,27 @@ def sketch(docs: DataFrame, key: str = "doc_id", k: int = 5, bands: int = BANDS,
     return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n_shingles long, digest binary, bands array<long>, sig binary")
 
 
-def full_sets(docs: DataFrame, key: str, k: int) -> DataFrame:
-    """key and the whole sorted set as bytes."""
+def _digest(elements: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None
+
+
+def class_of_digest():
+    """A class of equal sets is known by 64 bits of its digest (a column)."""
+    return F.xxhash64("digest")
+
+
+def full_sets(docs: DataFrame, k: int) -> DataFrame:
+    """cls (the class of the set) and the whole sorted set as bytes, for each text that has one."""
 
     def run(batches):
         for batch in batches:
             for lo, hi in slices(batch, "text"):
-                sets = shingle_sets(*bytes_of(batch.column("text").slice(lo, hi - lo)), k)
+                sets = [s for s in shingle_sets(*bytes_of(batch.column("text").slice(lo, hi - lo)), k) if len(s)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(key).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], [key, "elements"]
+                    [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "elements"]
                 )
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` long, elements binary")
+    return docs.select("text").mapInArrow(run, "digest binary, elements binary").select(class_of_digest().alias("cls"), "elements")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -167,10 +176,9 @@ def _linked(percent: int):
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("xs")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("elements").alias("ys")), "b"
-    )
+    """The pairs (a, b) whose full sets reach the similarity; a set that many pairs need is copied to several tasks."""
+    both = salted_join(pairs, sets.select(F.col("cls").alias("a"), F.col("elements").alias("xs")), "a", pairs)
+    both = salted_join(both, sets.select(F.col("cls").alias("b"), F.col("elements").alias("ys")), "b", pairs)
     return both.select("a", "b", "xs", "ys").mapInArrow(_linked(percent), "a long, b long")
 
 
@@ -209,14 +217,14 @@ def _cross_pairs(key, table, percent: int, least: int):
 def _hopeful(percent: int, least: int):
     def run(key, table):
         seen = sorted({x for pair in _cross_pairs(key, table, percent, least) for x in pair})
-        return table.select(["band", "rep", "n", "part", "block", "one", "two"]).take(pa.array(seen, pa.int64()))
+        return table.select(["band", "cls", "n", "part", "block", "one", "two"]).take(pa.array(seen, pa.int64()))
 
     return run
 
 
 def _forest_of(percent: int, least: int):
     def run(key, table):
-        reps = table.column("rep").to_pylist()
+        reps = table.column("cls").to_pylist()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("elements")]
         parent: dict = {}
         for i, j in _cross_pairs(key, table, percent, least):
@@ -235,8 +243,9 @@ def near_duplicates(
     """key, n_shingles, component_id (smallest key reachable by links) and kept, a row for each row of docs.
 
     Shingles are k words; a link needs 100 * intersection >= percent * union.  Null and blank texts have
-    an empty set and stand alone.  Repeated keys count as one document and keep their rows; a row with
-    a null key stands alone with a null component.
+    an empty set and stand alone.  Every row is linked by its own text: rows that repeat a key with another
+    text may be in other components, and component_id is the smallest key among the component's rows.  A
+    row with a null key stands alone with a null component.  Columns besides key and text are ignored.
     """
     least = least_agreeing(bands * rows, percent)
     drawn = cut(sketch(docs, key, k, bands, rows).withColumnRenamed(key, "node"))
@@ -244,46 +253,53 @@ def near_duplicates(
     # One class for equal sets; its smallest key stands for it.
     classes = cut(whole.groupBy("digest").agg(
         F.min("node").alias("rep"), F.min_by(F.struct("bands", "sig"), "node").alias("s"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")
-    ).select("digest", "rep", "s.bands", "s.sig", "n", "copies"))
-    held = classes.select("rep", "n", "copies", F.explode("bands").alias("band"))
+    ).select("digest", class_of_digest().alias("cls"), "rep", "s.bands", "s.sig", "n", "copies"))
+    n_rows = classes.count() * bands
+    held = classes.select("cls", "n", "copies", F.explode("bands").alias("band"))
     # Buckets with more than one class, each with its pivot: the class of most copies.
-    pivots = held.groupBy("band").agg(
-        F.count(F.lit(1)).alias("size"), F.max(F.struct("copies", (-F.col("rep")).alias("back"), "n")).alias("p")
-    ).where("size > 1").select("band", "size", (-F.col("p.back")).alias("pivot"), F.col("p.n").alias("pn"))
-    members = cut(held.join(pivots, "band").select("band", "rep", "n", "size", "pivot", "pn"))
-    near = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (F.col("rep") != F.col("pivot"))
-    pairs = members.where(near).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    signed = pairs.join(classes.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(
-        classes.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b"
-    )
+    pivots = cut(held.groupBy("band").agg(
+        F.count(F.lit(1)).alias("size"), F.max(F.struct("copies", "cls", "n")).alias("p")
+    ).where("size > 1").select("band", "size", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pn")))
+    members = cut(split_join(held, pivots, "band", "size", n_rows).select("band", "cls", "n", "size", "pivot", "pn"))
+    near = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (F.col("cls") != F.col("pivot"))
+    pairs = members.where(near).select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+    pairs = cut(pairs)
+    marks = classes.select("cls", "sig")
+    signed = salted_join(pairs, marks.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), "a", pairs)
+    signed = salted_join(signed, marks.select(F.col("cls").alias("b"), F.col("sig").alias("sb")), "b", pairs)
     tried = cut(signed.select("a", "b", "sa", "sb").mapInArrow(_near(least), "a long, b long"))
-    text = docs.select(F.col(key).cast("long").alias("node"), "text")
     # The full sets of all that share a band with another class, made in one pass over the texts.
-    wanted = members.select(F.col("rep").alias("node")).distinct()
-    sets = cut(full_sets(text.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "node", k))
+    wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("node")).distinct()
+    text = docs.select(F.col(key).cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
+    sets = cut(full_sets(text.dropDuplicates(["node", "text"]), k))
     links = cut(confirm(tried, sets, percent))
     group = components(links)
-    placed = members.join(group.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "band", "rep", "n", "size", F.coalesce("component_id", "rep").alias("part")
-    )
-    apart = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band")
+    placed = cut(members.join(group.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "band", "cls", "n", "size", F.coalesce("component_id", "cls").alias("part")
+    ))
+    apart = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.first("size").alias("members")).where("lo < hi").select("band", "members")
     parts = F.ceil(F.col("size") / MEMBERS).cast("int")
-    rest = placed.join(apart, "band").withColumn("block", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    rest = split_join(placed, apart, "band", "members", n_rows).withColumn("block", F.pmod(F.xxhash64("cls"), parts).cast("int"))
     # A block meets itself and, in a pair, every other block of its bucket.
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rest = rest.select("band", "rep", "n", "part", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    marks = classes.select("rep", "bands", "sig")
+    rest = rest.select("band", "cls", "n", "part", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    marks = classes.select("cls", "bands", "sig")
     by = ("band", "one", "two")
-    hopeful = cut(rest.join(marks, "rep").groupBy(*by).applyInArrow(
-        _hopeful(percent, least), "band long, rep long, n long, part long, block int, one int, two int"
+    hopeful = cut(rest.join(marks, "cls").groupBy(*by).applyInArrow(
+        _hopeful(percent, least), "band long, cls long, n long, part long, block int, one int, two int"
     ))
-    found = cut(hopeful.join(marks, "rep").join(sets.withColumnRenamed("node", "rep"), "rep").groupBy(*by).applyInArrow(_forest_of(percent, least), "a long, b long"))
+    found = cut(hopeful.join(marks, "cls").join(sets, "cls").groupBy(*by).applyInArrow(_forest_of(percent, least), "a long, b long"))
     if not found.isEmpty():
         group = components(links.union(found))
-    of_class = classes.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
-    return drawn.join(of_class, "digest", "left").select(
-        F.col("node").alias(key), "n_shingles", F.coalesce("component_id", "node").alias("component_id")
-    ).withColumn("kept", F.coalesce(F.col("component_id") == F.col(key), F.lit(True)))
+    known = cut(classes.join(group.withColumnRenamed("node", "cls"), "cls", "left").select("digest", "rep", "copies", F.coalesce("component_id", "cls").alias("group")))
+    first = known.groupBy("group").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    of_class = cut(split_join(known, first, "group", "size", n_rows // bands).select("digest", "component_id", "copies"))
+    told = split_join(drawn.select("node", "n_shingles", "digest"), of_class, "digest", "copies", drawn.count(), "left")
+    # Rows without a key may hold a known text; they stay alone.
+    mine = F.when(F.col("node").isNotNull(), F.coalesce("component_id", "node"))
+    return told.select(F.col("node").alias(key), "n_shingles", mine.alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("component_id") == F.col(key), F.lit(True))
+    )
 
 
 #: The query with k = 4 and percent = 80: every pair that shares a shingle, and reachability by recursion.

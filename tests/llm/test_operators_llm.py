@@ -86,6 +86,24 @@ def test_components(spark):
     line = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long").repartition(7)
     assert {r.component_id for r in components(line).collect()} == {0}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([((7 * i) % 3001, (7 * i + 7) % 3001) for i in range(3000)], "a long, b long").repartition(9), rounds=2)
+    star = [(0, i) for i in range(1, 1500)] + [(i, 2000 + i) for i in range(1, 1500)] + [(9000, i) for i in range(5000, 5600)]
+    random.Random(1).shuffle(star)
+    got = {r.node: r.component_id for r in components(spark.createDataFrame(star, "a long, b long").repartition(5)).collect()}
+    assert len(got) == 2999 + 601 and set(got.values()) == {0, 5000}
+
+
+def test_hot_joins_lose_and_repeat_nothing(spark):
+    rows = [(k, i) for k, n in ((1, 900), (2, 300), (3, 5), (4, 1), (9, 7)) for i in range(n)]
+    left = spark.createDataFrame(rows, "k long, i long")
+    right = spark.createDataFrame([(1, "a", 900), (2, "b", 300), (3, "c", 5), (4, "d", 1), (5, "e", 0)], "k long, x string, n long")
+    want = Counter((k, i, {1: "a", 2: "b", 3: "c", 4: "d"}[k]) for k, i in rows if k != 9)
+    assert Counter((r.k, r.i, r.x) for r in common.split_join(left, right, "k", "n", len(rows)).collect()) == want
+    outer = Counter((r.k, r.i, r.x) for r in common.split_join(left, right, "k", "n", len(rows), "left").collect())
+    assert outer == want + Counter((9, i, None) for i in range(7))
+    got = common.salted_join(left, right.drop("n"), "k", left, floor=100)
+    assert Counter((r.k, r.i, r.x) for r in got.collect()) == want
 
 
 # 1 PII
@@ -249,6 +267,14 @@ def test_super_minhash_estimates_with_less_variance():
     assert (parts[0] == np.minimum(parts[1], parts[2])).all()
 
 
+def test_rows_that_share_a_key_are_linked_by_their_own_texts(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "pqr")
+    rows = [(1, one), (4, two), (4, three), (2, two), (4, three), (8, three + " x"), (None, one), (None, one), (6, two + " y")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(1, 1), (4, 2), (4, 4), (2, 2), (4, 4), (8, 4), (None, None), (None, None), (6, 2)])
+    assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
+
+
 def test_near_duplicates_odd(odd, none):
     got = near_dup.near_duplicates(odd, k=4).toPandas()
     assert len(got) == len(ODD)
@@ -521,6 +547,42 @@ def test_archives_odd(spark):
     assert archives.convert(df.limit(0)).count() == 0
 
 
+def test_archives_keep_wide_and_missing_ids(spark):
+    wide = [2**62 + 5, 5, 2**61, -(2**63), 2**63 - 1, -1, 0]
+    assert [archives.page_of(archives.record_id(i)) for i in wide] == wide
+    assert archives.page_of(archives.record_id(None)) is None
+    rows = [(i, "u", f"text {i}") for i in wide] + [(None, "u", "text 5"), (None, "u", "alone"), (None, "u", "two"), (None, "u", "two"), (77, "u", "text 0")]
+    got = archives.convert(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = Counter((i, archives.sha1_base32(t.encode()), "response", None) for i, _, t in rows if i is not None and i != 77)
+    want += Counter([(77, archives.sha1_base32(b"text 0"), "revisit", 0), (None, archives.sha1_base32(b"text 5"), "revisit", 5)])
+    want += Counter([(None, archives.sha1_base32(t), "response", None) for t in (b"alone", b"two", b"two")])
+    assert Counter((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+
+
+def test_arc_files_are_converted(spark, tmp_path):
+    import gzip
+
+    blocks = [b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\nbody", b"plain text", b""]
+    paths = []
+    for version in (1, 2):
+        parts = [archives.arc_header(version, "x.arc"), *(archives.arc_record(version, f"http://h/{i}", "20240102030405", b) for i, b in enumerate(blocks))]
+        for name, data in ((f"{version}.arc", b"".join(parts)), (f"{version}.arc.gz", b"".join(map(gzip.compress, parts)))):
+            (tmp_path / name).write_bytes(data)
+            paths.append(str(tmp_path / name))
+    made = archives.convert_files(spark.createDataFrame([(p,) for p in paths], "path string"), str(tmp_path / "out")).collect()
+    assert sorted(r.arc for r in made) == sorted(paths) and all(r.records == 3 for r in made)
+    for r in made:
+        with open(r.path, "rb") as f:
+            found = list(archives.read_warc(f))
+        assert [b for _, b in found] == blocks and [h["WARC-Type"] for h, _ in found] == ["response", "resource", "resource"]
+        assert [h["WARC-Target-URI"] for h, _ in found] == ["http://h/0", "http://h/1", "http://h/2"] and found[0][0]["WARC-Date"] == "2024-01-02T03:04:05Z"
+        assert len({h["WARC-Record-ID"] for h, _ in found}) == 3 and found[1][0]["WARC-Payload-Digest"] == f"sha1:{archives.sha1_base32(blocks[1])}"
+    bad = tmp_path / "bad.arc"
+    bad.write_bytes(b"junk\n")
+    with pytest.raises(Exception, match="ARC"):
+        archives.convert_files(spark.createDataFrame([(str(bad),)], "path string"), str(tmp_path / "out")).collect()
+
+
 # The pipeline
 
 
