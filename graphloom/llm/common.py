@@ -191,12 +191,13 @@ def crc_of_id(column) -> object:
     return F.crc32(column.cast("string").cast("binary"))
 
 
-def sample_by_hash(df: DataFrame, key: str, most: int, seed: int = 11) -> DataFrame:
-    """About ``most`` rows, the same on every run, chosen by a hash of ``key``.
+def sample_by_hash(df: DataFrame, keys: str | tuple[str, ...], most: int, seed: int = 11) -> DataFrame:
+    """About ``most`` different rows, the same on every run, chosen by a hash of ``keys``.
 
     The share is worked out from one count, so nothing is sorted: rows whose hash falls under most / count
-    stay.  Smaller tables stay whole.
+    stay, equal ones once.  Smaller tables stay whole.
     """
-    unit = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    keys = (keys,) if isinstance(keys, str) else keys
+    unit = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     n = df.count()
-    return df.where(unit < F.lit(most / n)) if n > most else df
+    return (df.where(unit < F.lit(most / n)) if n > most else df).distinct()

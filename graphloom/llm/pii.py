@@ -7,15 +7,17 @@ previous ones with the same letters and digits, or with the same trailing digits
 Loopy sum-product messages run over chain and skip edges until they settle.  A repeated phone number
 without its plus sign, say, takes the label of its well-formed twin.  Base spans are observed labels.
 
-Weights are fitted by pseudo-likelihood on a bounded sample of documents, labelled by the patterns.
-Half the well-formed tokens are fitted without their shape features, so the skip weights learn what
-neighbours tell.
+All weights are fitted by pseudo-likelihood on a bounded sample of documents, labelled by the patterns.
+Since a corpus holds few twins, every sampled document is extended by a drawn token: either a well-formed one
+and a twin of it whose marks are changed (labelled alike), or a broken one alone, once or twice (labelled
+none).  Shape alone cannot tell these apart, so what the skip edges are worth is learned from them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+import random
 import re
 from collections import defaultdict
 
@@ -29,17 +31,22 @@ from .common import sample_by_hash
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Bound of the training sample in documents; message rounds; probability from which a token is a span.
-SAMPLE, ROUNDS, LEAST = 2000, 12, 0.6
-#: Least weight of equal labels on the skip edges, where the sample holds too few twins to learn it.
-LEAST_SKIP = {1: 9.0, 2: 7.0}
+SAMPLE, ROUNDS, LEAST = 2000, 30, 0.6
+#: Least number of drawn tokens in training.
+DRAWN = 1500
+
+#: Letters and digits that a token needs for skip edges.
+LEAST_KEY = 6
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: Candidate tokens: numbers with their separators, or words around an @.
-_TOKEN = re.compile(r"[A-Za-z0-9._%+-]{0,64}@[A-Za-z0-9.-]+|[+(]{0,2}[0-9](?:[\x20().\-/]{0,2}[0-9])*+")
+#: Candidate tokens besides words around an @: numbers with their separators.
+_NUMBER = re.compile(r"[+(]{0,2}[0-9](?:[\x20().\-/]{0,2}[0-9])*+")
+_HOST = re.compile(r"[A-Za-z0-9.-]+")
+_PARTS = re.compile(r"[0-9]+")
 _NOT_KEY = re.compile(r"[^a-z0-9@]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -89,6 +96,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def candidates(text: str, begin: int, end: int) -> list[tuple[int, int]]:
+    """Candidate tokens of text[begin:end], from left to right, in one pass whatever their length."""
+    out, done, at = [], begin, text.find("@", begin, end)
+    while at >= 0:
+        m = _HOST.match(text, at + 1, end)
+        if m:
+            a = at
+            while a > done and text[a - 1] in _LOCAL_CHARS:
+                a -= 1
+            out += [n.span() for n in _NUMBER.finditer(text, done, a)]
+            out.append((a, m.end()))
+            done = m.end()
+        at = text.find("@", max(at + 1, done), end)
+    return out + [n.span() for n in _NUMBER.finditer(text, done, end)]
+
+
 class Tokens:
     """Candidate tokens of one text with features, chain steps and skip edges."""
 
@@ -99,8 +122,8 @@ class Tokens:
         at = 0
         for a, b, kind in [*taken, (len(text), len(text), "")]:
             if a > at or not kind:
-                for m in _TOKEN.finditer(text, at, a):
-                    self._add(text, m.start(), m.end(), -1)
+                for x, y in candidates(text, at, a):
+                    self._add(text, x, y, -1)
             if kind and a >= at:
                 self._add(text, a, b, LABELS.index(kind))
             at = max(at, b)
@@ -115,16 +138,18 @@ class Tokens:
         self.words.append((
             key, digits, "@" in token, token.count("."), token[:1] == "+", "(" in token,
             text[max(0, a - 12) : a].lower(), key[-7:] if digits >= 7 and "@" not in token else "",
+            16 <= digits <= 19 and key.isdigit() and luhn(key),
+            len(parts := _PARTS.findall(token)) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts),
         ))
 
     def features(self, i: int) -> list[int]:
-        """Active features: digits by range, marks, dots, and the word before."""
-        key, digits, mail, dots, plus, paren, before, _ = self.words[i]
+        """Active features: digits by range, marks, dots, the word before, whether the digits have a card's check, whether they are four bytes."""
+        key, digits, mail, dots, plus, paren, before, _, valid, four = self.words[i]
         out = [0, 1 + min(digits, 20), 22 + mail, 24 + min(dots, 4), 29 + plus, 31 + paren]
         word = before.split()
-        return [*out, 33 + (hash_word(word[-1]) % 64 if word else 64)]
+        return [*out, 33 + (hash_word(word[-1]) % 64 if word else 64), 98 + valid, 100 + four]
 
-    N_FEATURES = 98
+    N_FEATURES = 102
 
     def _edges(self) -> list[tuple[int, int, int]]:
         """(i, j, kind): 0 chain, 1 same letters and digits, 2 same trailing digits.  Each token looks back to the last alike one, so edges grow with the tokens."""
@@ -132,7 +157,7 @@ class Tokens:
         for i, w in enumerate(self.words):
             if i:
                 out.append((i - 1, i, 0))
-            if len(w[0]) >= 6:
+            if len(w[0]) >= LEAST_KEY:
                 if w[0] in last:
                     out.append((last[w[0]], i, 1))
                 elif w[7] and w[7] in tail:
@@ -147,6 +172,68 @@ def hash_word(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=4).digest(), "little")
 
 
+def drawn_token(kind: str, rng: random.Random) -> str:
+    """A random well-formed token of a kind."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda a, b: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(a, b)))
+    if kind == "email":
+        return f"{word(2, 8)}.{word(2, 9)}@{word(3, 9)}.{rng.choice(['com', 'org', 'net', 'de', 'info'])}"
+    if kind == "ip":
+        return ".".join(str(rng.randint(1, 255)) for _ in range(4))
+    if kind == "card":
+        body = rng.choice("3456") + digits(rng.choice([14, 14, 14, 16, 17]))
+        whole = next(body + c for c in "0123456789" if luhn(body + c))
+        mark = rng.choice([" ", "-", ""])
+        return mark.join(whole[i : i + 4] for i in range(0, len(whole), 4))
+    mark = rng.choice([" ", "-"])
+    return f"+{rng.choice('123456789')}{digits(rng.randint(0, 1))}{mark}{digits(rng.randint(2, 3))}{mark}{digits(3)}{mark}{digits(4)}"
+
+
+def broken(kind: str, token: str, rng: random.Random) -> str:
+    """The token with its marks changed so that its pattern does not hold."""
+    if kind == "email":
+        local, host = token.split("@")
+        return f"{local.replace('.', rng.choice(['', '-', '_']))}@{host.replace('.', rng.choice(['', '-']))}"
+    if kind == "ip":
+        return token.replace(".", rng.choice(["-", "/", ". "]))
+    if kind == "card":
+        whole = "".join(filter(str.isdigit, token))
+        return rng.choice([".", "/", "--"]).join(whole[i : i + 4] for i in range(0, len(whole), 4))
+    shape = rng.choice(["bare", "slash", "local"])
+    if shape == "bare":
+        return token[1:]
+    if shape == "slash":
+        return re.sub("[ -]", "/", token[1:])
+    return "0" + re.split("[ -]", token, maxsplit=1)[1]
+
+
+def look_alike(kind: str, token: str, rng: random.Random) -> str:
+    """A token of the kind's form that its checks refuse."""
+    if kind == "email":
+        return token.split(".com")[0].rpartition(".")[0] or token
+    if kind == "ip":
+        return token.rpartition(".")[0] + f".{rng.randint(256, 999)}"
+    if kind == "card":
+        return token[:-1] + str((int(token[-1]) + rng.randint(1, 9)) % 10)
+    return token[1:] + "".join(rng.choice("0123456789") for _ in range(rng.randint(3, 6)))
+
+
+def extended(text: str, kind: str, case: int, rng: random.Random) -> tuple[str, dict[int, int]]:
+    """The text with drawn tokens, and the label of each twin by its start.
+
+    case 0: a well-formed token and its broken twin; 1: a broken one alone; 2: a broken one or a look-alike twice.
+    """
+    token = drawn_token(kind, rng)
+    twin = broken(kind, token, rng) if case < 2 or rng.random() < 0.5 else look_alike(kind, token, rng)
+    words = text.split(" ")
+    at = rng.randint(0, len(words))
+    first = {0: [token], 1: [], 2: [twin]}[case]
+    head = " ".join([*words[:at], *first, *words[at:], rng.choice(["and", "or", "see", "call", "of", ""])]) + " "
+    whole = head + twin + rng.choice(["", ".", " again"])
+    inside = any(a < len(head) + len(twin) and b > len(head) for _, a, b in base_spans(whole))
+    return whole, {len(head): LABELS.index(kind)} if case == 0 and not inside else {}
+
+
 class Field:
     """Weights: unary (feature, label) and one matrix (label, label) for each kind of edge."""
 
@@ -154,45 +241,49 @@ class Field:
         self.unary, self.pair = unary, pair
 
     @classmethod
-    def fit(cls, texts: list[str], steps: int = 300) -> Field:
+    def fit(cls, texts: list[str], steps: int = 1500, seed: int = 17) -> Field:
         """Pseudo-likelihood by gradient ascent: each token given the labels of its neighbours."""
-        n = len(LABELS)
+        n, rng = len(LABELS), random.Random(seed)
         rows: list[tuple[list[int], list[tuple[int, int]], int]] = []
-        for t in texts:
-            tok = Tokens(t, base_spans(t))
-            label = [max(0, y) for y in tok.label]
+        for i in range(max(len(texts), DRAWN) if texts else 0):
+            text = texts[i % len(texts)]
+            if i >= len(texts):  # A small sample is used again, in parts of 100 words.
+                words = text.split(" ")
+                at = rng.randrange(len(words))
+                text = " ".join(words[at : at + 100])
+            text, twins = extended(text, KINDS[i % len(KINDS)], i // len(KINDS) % 3, rng)
+            tok = Tokens(text, base_spans(text))
+            label = [max(0, y) or twins.get(a, 0) for y, (a, _) in zip(tok.label, tok.spans)]
             near = defaultdict(list)
             for i, j, k in tok.edges:
                 near[i].append((k, label[j]))
                 near[j].append((k, label[i]))
-            for i, y in enumerate(label):
-                blind = hash_word(tok.words[i][0]) % 2 == 0
-                rows.append(([0] if blind else tok.features(i), near[i], y))
+            rows += [(tok.features(i), near[i], y) for i, y in enumerate(label)]
         field = cls(np.zeros((Tokens.N_FEATURES, n)), np.zeros((3, n, n)))
         if not rows:
             return field
         x = np.zeros((len(rows), Tokens.N_FEATURES + 3 * n), np.float32)
-        y = np.array([r[2] for r in rows])
+        target = np.eye(n)[[r[2] for r in rows]]
         for i, (active, near, _) in enumerate(rows):
             x[i, active] = 1
             for k, other in near:
                 x[i, Tokens.N_FEATURES + k * n + other] += 1
-        w = np.zeros((x.shape[1], n))
-        target = np.eye(n)[y]
-        rate = 0.5
-        for _ in range(steps):
+        # Equal rows count together: plain numbers are many and much alike.
+        x, at = np.unique(x, axis=0, return_inverse=True)
+        counts = np.zeros((len(x), n))
+        np.add.at(counts, at.reshape(-1), target)
+        total = counts.sum(axis=1, keepdims=True)
+        w, speed, square = np.zeros((x.shape[1], n)), np.zeros((x.shape[1], n)), np.zeros((x.shape[1], n))
+        for step in range(1, steps + 1):  # Adam
             z = x @ w
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            w += rate * (x.T @ (target - p) / len(y) - 1e-4 * w)
+            grad = x.T @ (counts - total * p) / len(rows) - 1e-5 * w
+            speed, square = 0.9 * speed + 0.1 * grad, 0.999 * square + 0.001 * grad**2
+            w += 0.05 * (speed / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
         field.unary = w[: Tokens.N_FEATURES]
         pair = w[Tokens.N_FEATURES :].reshape(3, n, n)
         field.pair = (pair + pair.transpose(0, 2, 1)) / 2
-        # A skip edge speaks for equal kinds; that two alike tokens are both none says nothing.
-        for k in (1, 2):
-            same = np.maximum(np.diag(field.pair[k]), LEAST_SKIP[k])
-            same[0] = 0.0
-            field.pair[k] = np.diag(same)
         return field
 
     def marginals(self, tok: Tokens, rounds: int = ROUNDS) -> np.ndarray:
@@ -230,16 +321,14 @@ class Field:
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], field: Field, least: float = LEAST) -> list[tuple[str, int, int]]:
-    """Spans that the field adds: tokens tied by a skip edge to a base span, labelled surely enough."""
-    if not base:
+    """Spans that the field adds: tokens with a skip edge, labelled surely enough.
+
+    A token without a skip edge is left to the patterns.
+    """
+    if not base and len(text) < 2 * LEAST_KEY:
         return []
     tok = Tokens(text, base)
-    skips = [(i, j) for i, j, k in tok.edges if k]
-    # Only what hangs together with a base span by skip edges can change.
-    live = {i for i, y in enumerate(tok.label) if y >= 0}
-    for i, j in skips:
-        if i in live or j in live:
-            live |= {i, j}
+    live = {i for a, b, k in tok.edges if k for i in (a, b)}
     if all(tok.label[i] >= 0 for i in live):
         return []
     p = field.marginals(tok)
@@ -267,15 +356,20 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fit on about ``sample`` documents that hold a digit or an @, chosen by a hash of doc_id."""
-    few = sample_by_hash(docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text"), "doc_id", sample)
-    return Field.fit([r["text"] for r in few.orderBy("doc_id").toLocalIterator()])
+    """Fit on about ``sample`` different documents that hold a digit or an @, chosen by a hash of id and text.
+
+    A table without such documents gives a field that adds nothing.
+    """
+    few = sample_by_hash(docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text"), ("doc_id", "text"), sample)
+    return Field.fit([r["text"] for r in few.orderBy("doc_id", "text").toLocalIterator()])
 
 
 def find(docs: DataFrame, field: Field, least: float = LEAST, redacted: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns, counts and digest of the base spans, all spans, their number beyond the base and, if asked, the redacted text.
 
-    A null text is an empty one.  Repeated rows stay repeated.  Offsets are code points, end exclusive.
+    A null text is an empty one.  Repeated rows stay repeated, also with a null id.  Offsets are code points,
+    end exclusive; a text of any length is searched whole, in time that grows with it.  An empty table gives
+    an empty result; columns besides ``keep`` and text are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(field))
 
