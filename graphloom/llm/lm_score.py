@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import bytes_of, combine, slices, word_hashes
 
 ORDER, BACKOFF, LEAST_COUNT = 3, 0.4, 2
-CHUNK_BYTES = 8 << 20
+#: Bytes of text in a chunk, and chunks (or buckets) that a task works on, one after another.
+CHUNK_BYTES, CHUNKS = 8 << 20, 2
 #: Entry that carries the number of words.
 WORDS = np.uint64(0)
 
@@ -36,11 +37,18 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
 
 
 def _parcels(batches):
-    """One compressed parcel of rows for each chunk that a batch has rows for."""
+    """One compressed parcel of rows for each chunk that a batch has rows for.
+
+    Equal rows of a batch travel once, with their number: a table that is a third one row stays spread.
+    """
     for batch in batches:
+        _, index, copies = np.unique(batch.column("row").to_numpy(), return_index=True, return_counts=True)
+        batch = pa.RecordBatch.from_arrays(
+            [*(batch.column(c).take(pa.array(index)) for c in ("doc_id", "text", "chunk")), pa.array(copies, pa.int64())], ["doc_id", "text", "chunk", "copies"]
+        )
         chunk = batch.column("chunk").to_numpy()
         order = np.argsort(chunk, kind="stable")
-        rows = pa.Table.from_batches([batch]).select(["doc_id", "text"]).take(pa.array(order))
+        rows = pa.Table.from_batches([batch]).select(["doc_id", "text", "copies"]).take(pa.array(order))
         starts = np.flatnonzero(np.r_[True, chunk[order][1:] != chunk[order][:-1]]) if len(chunk) else np.zeros(0, int)
         blobs = []
         for a, b in zip(starts, np.r_[starts[1:], len(chunk)]):
@@ -78,10 +86,16 @@ def grams(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     return out, first
 
 
-def _entries(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _entries(hashes: list[np.ndarray], first: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and their counts, led by the number of words; a row counts as often as it stands."""
     every = np.concatenate(hashes)
-    u, n = np.unique(every[every != 0], return_counts=True)
-    return np.r_[WORDS, u], np.r_[len(hashes[0]), n].astype(np.uint64)
+    if (copies == 1).all():
+        u, n = np.unique(every[every != 0], return_counts=True)
+        return np.r_[WORDS, u], np.r_[len(hashes[0]), n].astype(np.uint64)
+    weight = np.tile(np.repeat(copies, np.diff(first)), len(hashes))
+    u, at = np.unique(every[every != 0], return_inverse=True)
+    n = np.bincount(at, weights=weight[every != 0], minlength=len(u))
+    return np.r_[WORDS, u], np.r_[weight[: len(hashes[0])].sum(), n].astype(np.uint64)
 
 
 def _cuts(u: np.ndarray, buckets: int) -> np.ndarray:
@@ -98,17 +112,27 @@ def score(
     An n-gram counts if the corpus holds it ``least`` times; else the score is ``backoff`` times that of
     the shorter n-gram, down to the word's share of all words.  log_score is the natural logarithm of
     the product over the words; null and blank texts have no words and 0.  Words are blank-separated
-    with A-Z lowered.  Repeated rows count, and are scored, as often as they stand.
+    with A-Z lowered.  Repeated rows count, and are scored, as often as they stand, also with a null or
+    repeated doc_id.  A text is never cut: a very long one makes its chunk longer.  An empty table gives an
+    empty result; other columns are ignored.
+
+    A chunk sends at most one message to each bucket and never more than it has n-grams, so messages grow
+    with the number of chunks times buckets only until a message is a single n-gram; from there on they are
+    plain rows, in proportion to the input.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(chunks)).cast("long").alias("chunk"))
-    dealt = dealt.mapInArrow(_parcels, "chunk long, rows binary")
+    # So many partitions that a task's share does not grow with the input.
+    parts = max(1, chunks // CHUNKS)
+    row = F.xxhash64("doc_id", "text", F.isnull("doc_id"), F.isnull("text"))
+    dealt = docs.select("doc_id", "text", row.alias("row"), F.pmod(F.xxhash64(row, F.lit(7)), F.lit(chunks)).cast("long").alias("chunk"))
+    dealt = dealt.mapInArrow(_parcels, "chunk long, rows binary").repartition(parts, "chunk")
 
     def send(key, table):
-        u, n = _entries(grams(_opened(table), order)[0])
+        table = _opened(table)
+        u, n = _entries(*grams(table, order), table.column("copies").to_numpy())
         at = _cuts(u, chunks)
         rows = [(b, _packed(u[at[b] : at[b + 1]]), _packed(n[at[b] : at[b + 1]].astype(np.uint32))) for b in range(chunks) if at[b] < at[b + 1]]
         return pa.table({
@@ -135,7 +159,7 @@ def score(
     def join(key, table, totals):
         table = _opened(table)
         hashes, first = grams(table, order)
-        u, _ = _entries(hashes)
+        u = np.r_[WORDS, np.unique(np.concatenate([h[h != 0] for h in hashes]))]
         at = np.argsort(totals.column("bucket").to_numpy())
         blobs = totals.column("totals").to_pylist()
         count = np.concatenate([_unpacked(blobs[i], "u8") for i in at]).astype(np.float64)
@@ -158,13 +182,14 @@ def score(
         if len(full):
             out[full] = np.add.reduceat(logs, first[:-1][full])
             backed[full] = np.add.reduceat((steps > 0).astype(np.int64), first[:-1][full])
-        return pa.table({
+        table = pa.table({
             "doc_id": table.column("doc_id"), "n_words": pa.array(np.diff(first), pa.int64()),
-            "n_backed_off": pa.array(backed), "log_score": pa.array(out),
+            "n_backed_off": pa.array(backed), "log_score": pa.array(out), "copies": table.column("copies"),
         })
+        return table.drop(["copies"]).take(pa.array(np.repeat(np.arange(table.num_rows), table.column("copies").to_numpy())))
 
-    sent = dealt.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, grams binary, n binary")
-    totals = sent.groupBy("bucket").applyInArrow(add, "chunk long, bucket long, totals binary")
+    sent = dealt.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, grams binary, n binary").repartition(parts, "bucket")
+    totals = sent.groupBy("bucket").applyInArrow(add, "chunk long, bucket long, totals binary").repartition(parts, "chunk")
     out = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(
         join, f"doc_id {kind}, n_words long, n_backed_off long, log_score double"
     )

@@ -208,6 +208,37 @@ def test_lm_odd(odd, none):
     assert lm_score.score(none).count() == 0
 
 
+def test_lm_counts_repeated_rows(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    rows += [(None, "a b c a b d")] * 40 + [(7, "e e e e")] * 30 + [(7, "other text here")] * 3 + [(None, None)] * 2
+    c1, c2, c3 = Counter(), Counter(), Counter()
+    for _, t in rows:
+        w = words(t)
+        c1.update(w)
+        c2.update(zip(w, w[1:]))
+        c3.update(zip(w, w[1:], w[2:]))
+    total = sum(c1.values())
+
+    def one(t):
+        w, out, backed = words(t), 0.0, 0
+        for i, x in enumerate(w):
+            if i > 1 and c3[w[i - 2], w[i - 1], x] >= 2:
+                out += np.log(c3[w[i - 2], w[i - 1], x] / c2[w[i - 2], w[i - 1]])
+            elif i > 0 and c2[w[i - 1], x] >= 2:
+                out += np.log(c2[w[i - 1], x] / c1[w[i - 1]]) + np.log(0.4) * (i > 1)
+                backed += i > 1
+            else:
+                out += np.log(c1[x] / total) + np.log(0.4) * ((i > 1) + (i > 0))
+                backed += i > 0
+        return len(w), backed, out
+
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk_bytes=500).collect()
+    got = sorted((str(r.doc_id), r.n_words, r.n_backed_off, r.log_score) for r in got)
+    want = sorted((str(i), *one(t)) for i, t in rows)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=2e-6)
+
+
 # 3 packing
 
 
