@@ -1,8 +1,9 @@
 """Exact top-k inner products: vectors in order of length, SVD-rotated partial sums, Cauchy-Schwarz bounds.
 
 Components become integers, so scores are exact.  A rotation that is fitted on a bounded sample (the
-right singular vectors) moves most of the length into the first coordinates.  Each task sorts its
-vectors by descending length and works through them in blocks.  A query is done when length times its
+right singular vectors) moves most of the length into the first coordinates.  The vectors are dealt to tasks by
+ranges of descending length, and each task works through its own in that order, in blocks; a task of short
+vectors stops at its first block.  A query is done when length times its
 own length cannot reach its k-th score so far; for the others the product of the first coordinates
 plus the product of the residual lengths bounds the score, and only pairs whose bound reaches the k-th
 score are multiplied out.
@@ -10,6 +11,7 @@ score are multiplied out.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 
 import numpy as np
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, sample_by_hash
 
-#: Queries that are worked on at once; so many vectors at most are broadcast or on the driver.
-QUERY_BLOCK = 8192
+#: Queries of one search, and bytes of queries that one pass over the vectors answers; so much is broadcast or on the driver.
+QUERY_BLOCK, QUERY_BYTES = 8192, 64 << 20
 #: Bound of the rotation's training sample, and of the longest vectors that give first thresholds.
 SAMPLE, LONGEST = 4096, 2048
 #: Candidates and queries of one matrix product.
@@ -72,6 +74,8 @@ class Search:
         floor = self.floor.copy()
         for lo in range(0, len(ids), ROWS):
             part, own, size = v[lo : lo + ROWS], ids[lo : lo + ROWS], length[lo : lo + ROWS]
+            if not (self.length * size[0] + 1e-6 * (1 + self.length * size[0]) >= floor).any():
+                break  # No query is left for this block's longest vector, nor for any later one.
             turned = part @ self.basis
             head, tail = turned[:, : self.lead], np.linalg.norm(turned[:, self.lead :], axis=1)
             for a in range(0, n, COLUMNS):
@@ -121,35 +125,37 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     its own id; ties go to the smaller vec_id; with fewer than k candidates all are returned.  Rows count,
     as in the SQL: a vector that stands n times is n candidates and takes n places, and the rows of one
     query_id share its k places.  Vectors of another width than the query's take no part.  An empty side
-    gives an empty result.
+    gives an empty result; null keys and vectors are left out by ``quantised``.  One pass over the vectors
+    answers ``QUERY_BYTES`` of queries; more queries take more passes.
     """
     spark = vectors.sparkSession
-    vectors = vectors.withColumn("d", F.size("v"))
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    asked = cut(queries.select("vec_id", "v", F.size("v").alias("d")))
+    counts = {r["d"]: r["n"] for r in asked.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = None
-    for (width,) in [(r["d"],) for r in vectors.select("d").distinct().orderBy("d").collect()]:
-        own = vectors.where(F.col("d") == width).select("vec_id", "v")
-        seen = sample_by_hash(own, "vec_id", SAMPLE)
-        sample = np.array([r["v"] for r in seen.limit(2 * SAMPLE).toLocalIterator()], np.float64).reshape(-1, width)
-        basis = rotation(sample)
-        length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-        longest = own.orderBy(length.desc(), "vec_id").limit(LONGEST).collect()
+    for width, number in sorted(counts.items()):
+        own = cut(vectors.where(F.size("v") == width).select("vec_id", "v", length.alias("l")).repartitionByRange(F.col("l").desc()))
+        sample = np.array([r["v"] for r in sample_by_hash(own.select("vec_id", "v"), ("vec_id", "v"), SAMPLE).toLocalIterator()], np.float64)
+        basis = rotation(sample.reshape(-1, width))
+        longest = own.orderBy(F.col("l").desc(), "vec_id").limit(LONGEST).collect()
         top_ids = np.array([r["vec_id"] for r in longest], np.int64)
         top = np.array([r["v"] for r in longest], np.int64).reshape(-1, width)
-        asked = cut(queries.where(F.size("v") == width).select("vec_id", "v"))
-        blocks = -(-asked.count() // QUERY_BLOCK)
-        at = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(max(1, blocks)))
-        for block in range(blocks):
-            rows = asked.where(at == block).orderBy("vec_id").collect()
-            if not rows:
-                continue
-            search = Search(np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.int64).reshape(-1, width), basis, k)
-            q, _, score = search.run(top_ids, top)
-            reached = np.bincount(q, minlength=len(rows))
-            low = np.full(len(rows), np.inf)
-            np.minimum.at(low, q, score.astype(np.float64))
-            search.floor = np.where(reached >= k, low, -np.inf)
-            part = own.mapInArrow(_task(spark.sparkContext.broadcast(pickle.dumps(search)), width), "query_id long, vec_id long, score long")
-            out = part if out is None else out.union(part)
+        passes = -(-number * width * 8 // QUERY_BYTES)
+        at = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(max(1, passes)))
+        for one in range(passes):
+            rows = asked.where((F.col("d") == width) & (at == one)).orderBy("vec_id").toLocalIterator()
+            searches = []
+            while block := list(itertools.islice(rows, QUERY_BLOCK)):
+                search = Search(np.array([r["vec_id"] for r in block], np.int64), np.array([r["v"] for r in block], np.int64), basis, k)
+                q, _, score = search.run(top_ids, top)
+                low = np.full(len(block), np.inf)
+                np.minimum.at(low, q, score.astype(np.float64))
+                search.floor = np.where(np.bincount(q, minlength=len(block)) >= k, low, -np.inf)
+                searches.append(search)
+            if searches:
+                sent = spark.sparkContext.broadcast(pickle.dumps(searches))
+                part = own.select("vec_id", "v").mapInArrow(_task(sent, width), "query_id long, vec_id long, score long")
+                out = part if out is None else out.union(part)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -159,22 +165,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 def _task(sent, width: int, held: int = 131_072):
     def run(batches):
-        search: Search = pickle.loads(sent.value)
+        searches: list[Search] = pickle.loads(sent.value)
         ids, parts, n = [], [], 0
 
         def flush():
-            row, cand, score = search.run(np.concatenate(ids), np.concatenate(parts))
-            return pa.RecordBatch.from_arrays([pa.array(search.ids[row]), pa.array(cand), pa.array(score)], ["query_id", "vec_id", "score"])
+            every, v = np.concatenate(ids), np.concatenate(parts)
+            for search in searches:
+                row, cand, score = search.run(every, v)
+                yield pa.RecordBatch.from_arrays([pa.array(search.ids[row]), pa.array(cand), pa.array(score)], ["query_id", "vec_id", "score"])
 
         for batch in batches:
             ids.append(batch.column("vec_id").to_numpy(zero_copy_only=False))
             parts.append(matrix(batch.column("v"), width))
             n += batch.num_rows
             if n >= held:
-                yield flush()
+                yield from flush()
                 ids, parts, n = [], [], 0
         if n:
-            yield flush()
+            yield from flush()
 
     return run
 

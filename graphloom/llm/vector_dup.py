@@ -19,63 +19,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sample_by_hash
+from .common import cut, sample_by_hash, split_join
 from .components import components, small_components
 
-TREES = 4
-#: Half width of the spill around a split, in units of cosine distance 1.
-SPILL = 0.016
+#: Least and largest number of trees; share of close pairs that may stay apart in all trees.
+TREES, MOST_TREES, LOST = 4, 12, 0.002
+#: Share of close pairs (cosine 0.95) that a split with this spill keeps together, for isotropic vectors.
+TOGETHER = 0.97
+#: Half width of the spill around a split, times the root of the width, in units of cosine distance 1.
+SPILL = 0.128
 #: Random planes tried for a split, and the share of rows close to it from which a leaf is not split.
 PLANES, DENSE = 4, 0.3
 #: Sample that the trees are fitted on, rows of a leaf that are aimed at, and rows of one comparison.
 SAMPLE, LEAF, BLOCK = 40_000, 400, 2_000
+#: Sample rows that a split needs; further splits of a leaf beyond its tree at most.
+LEAST_SAMPLE, FURTHER = 32, 24
+
+
+def trees_for(rows: int, leaf: int = LEAF) -> int:
+    """Trees that keep the share of lost pairs under ``LOST`` at the depth that so many rows need."""
+    kept = TOGETHER ** max(1.0, np.log2(max(2, rows) / leaf))
+    return int(np.clip(np.ceil(np.log(LOST) / np.log(1 - kept)), TREES, MOST_TREES))
 
 
 class Forest:
-    """Split planes of all trees; leaves are numbered over the whole forest."""
+    """Split planes of all trees; leaves are numbered over the whole forest.
+
+    A leaf's number is its place among the leaves of the trees times 2**FURTHER plus the sides it takes in
+    the further splits.
+    """
 
-    def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, seed: int = 5):
+    def __init__(self, sample: np.ndarray, rows: int, trees: int | None = None, leaf: int = LEAF, seed: int = 5):
         rng = np.random.default_rng(seed)
         width = sample.shape[1]
         share = max(1, rows) / max(1, len(sample))
+        self.spill, self.seed, self.width = SPILL / width**0.5, seed, width
         self.planes, self.cuts, self.sides, self.roots = [], [], [], []
         self.leaves = 0
+        #: Cuts of a leaf's further splits; NaN stands for a plane that is passed over.
+        self.further: dict[int, list[float]] = {}
 
-        def split(part: np.ndarray) -> tuple[np.ndarray, float] | None:
-            """The random plane and cut between the 30th and 70th percentile that fewest rows lie close to."""
+        def fewest(part: np.ndarray, planes, spans) -> tuple[float, np.ndarray, float] | None:
+            """(share of rows close to it, plane, cut) that fewest rows lie close to."""
             best, chosen = DENSE, None
-            for _ in range(PLANES):
-                plane = rng.standard_normal(width)
-                plane /= np.linalg.norm(plane)
+            for plane in planes:
                 p = np.sort(part @ plane)
-                cuts = p[(len(p) * np.linspace(0.3, 0.7, 9)).astype(int)]
-                near = (np.searchsorted(p, cuts + SPILL) - np.searchsorted(p, cuts - SPILL)) / len(p)
+                cuts = p[(len(p) * spans).astype(int)]
+                near = (np.searchsorted(p, cuts + self.spill) - np.searchsorted(p, cuts - self.spill)) / len(p)
                 k = int(near.argmin())
                 if near[k] < best:
-                    best, chosen = near[k], (plane, float(cuts[k]))
+                    best, chosen = near[k], (near[k], plane, float(cuts[k]))
             return chosen
 
+        def random_planes():
+            for _ in range(PLANES):
+                plane = rng.standard_normal(width)
+                yield plane / np.linalg.norm(plane)
+
+        def finish(part: np.ndarray) -> int:
+            """A leaf of the tree, split further as long as its rows are expected to be too many."""
+            number, size, cuts = self.leaves, len(part) * share, []
+            self.leaves += 1
+            while len(part) >= 2 and size > leaf and len(cuts) < FURTHER:
+                found = fewest(part, [self.plane(number, len(cuts))], np.array([0.5]))
+                cuts.append(found[2] if found else float("nan"))
+                size *= (1 + found[0]) / 2 if found else 1
+                if len(cuts) >= PLANES and np.isnan(cuts[-PLANES:]).all():
+                    break  # too dense: one cluster
+            if cuts:
+                self.further[number] = cuts
+            return -1 - number
+
         def grow(part: np.ndarray) -> int:
             """Node number, or -1 - leaf."""
-            if len(part) * share <= leaf or len(part) < 16:
-                self.leaves += 1
-                return -self.leaves
-            found = split(part)
+            if len(part) * share <= leaf or len(part) < LEAST_SAMPLE:
+                return finish(part)
+            found = fewest(part, random_planes(), np.linspace(0.3, 0.7, 9))
             if found is None:  # too dense here: splitting would send most rows both ways
                 self.leaves += 1
                 return -self.leaves
-            plane, at = found
+            _, plane, at = found
             p, node = part @ plane, len(self.planes)
             self.planes.append(plane)
             self.cuts.append(at)
             self.sides.append([0, 0])
-            low, high = part[p < at + SPILL], part[p >= at - SPILL]
+            low, high = part[p < at + self.spill], part[p >= at - self.spill]
             self.sides[node] = [grow(low), grow(high)]
             return node
 
-        for _ in range(trees):
+        for _ in range(trees or trees_for(rows, leaf)):
             self.roots.append(grow(sample))
 
+    def plane(self, leaf: int, level: int) -> np.ndarray:
+        """Unit vector drawn from a leaf's number and the level of the further split."""
+        drawn = np.random.default_rng((self.seed, leaf, level)).standard_normal(self.width)
+        return drawn / np.linalg.norm(drawn)
+
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of every leaf that a row reaches."""
         rows, leaves = [], []
@@ -85,12 +124,19 @@ class Forest:
             if not len(at):
                 continue
             if node < 0:
+                number = np.full(len(at), (-node - 1) << FURTHER, np.int64)
+                for level, edge in enumerate(self.further.get(-node - 1, ())):
+                    if np.isnan(edge):
+                        continue
+                    p = x[at] @ self.plane(-node - 1, level)
+                    low, high = p < edge + self.spill, p >= edge - self.spill
+                    at, number = np.r_[at[low], at[high]], np.r_[number[low], number[high] | (1 << level)]
                 rows.append(at)
-                leaves.append(np.full(len(at), -node - 1))
+                leaves.append(number)
                 continue
             p = x[at] @ self.planes[node]
-            todo.append((self.sides[node][0], at[p < self.cuts[node] + SPILL]))
-            todo.append((self.sides[node][1], at[p >= self.cuts[node] - SPILL]))
+            todo.append((self.sides[node][0], at[p < self.cuts[node] + self.spill]))
+            todo.append((self.sides[node][1], at[p >= self.cuts[node] - self.spill]))
         return np.concatenate(rows), np.concatenate(leaves)
 
 
@@ -107,7 +153,7 @@ def _placed(sent, width: int):
             order = np.lexsort((leaf, row))
             row, leaf = row[order], leaf[order]
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(leaf.astype(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(leaf))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "copies", "v")), lists], ["rep", "copies", "v", "leaves"])
 
     return run
@@ -182,11 +228,11 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
     for r in classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect():
         width, n = r["d"], r["n"]
         own = classes.where(F.size("v") == width)
-        sample = np.array([x["v"] for x in sample_by_hash(own.select("rep", "v"), "rep", SAMPLE).orderBy("rep").toLocalIterator()], np.float64)
+        sample = np.array([x["v"] for x in sample_by_hash(own.select("rep", "v"), ("rep", "v"), SAMPLE).orderBy("rep").toLocalIterator()], np.float64)
         sample = sample.reshape(-1, width)
         sample /= np.linalg.norm(sample, axis=1, keepdims=True)
         sent = spark.sparkContext.broadcast(pickle.dumps(Forest(sample, n)))
-        placed = own.select("rep", "copies", "v").mapInArrow(_placed(sent, width), f"rep long, copies long, v array<{item}>, leaves array<int>")
+        placed = own.select("rep", "copies", "v").mapInArrow(_placed(sent, width), f"rep long, copies long, v array<{item}>, leaves array<long>")
         spread = placed.withColumn("leaf", F.explode("leaves"))
         sizes = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
         parts = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -204,13 +250,15 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
     if counted is None:
         return rows.select(F.col("node").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("node").alias("component_id"), F.lit(True).alias("kept"))
     group = components(edges).withColumnRenamed("node", "rep")
-    told = classes.join(counted, "rep", "left").join(group, "rep", "left").select(
-        "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")
-    )
-    return rows.join(told, "v", "left").select(
-        F.col("node").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "node").alias("component_id")
-    ).withColumn("kept", F.coalesce(F.col("component_id") == F.col(key), F.lit(True)))
-
+    told = cut(classes.join(counted, "rep", "left").join(group, "rep", "left").select(
+        "v", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")
+    ))
+    # Rows without a whole vector are kept out of the join, where they would meet in one task.
+    with_vector = split_join(rows.where("v is not null"), told, "v", "copies", rows.count()).select("node", "n_links", "component_id")
+    every = with_vector.union(rows.where("v is null").select("node", F.lit(0).cast("long"), F.lit(None).cast("long")))
+    return every.select(
+        F.col("node").alias(key), F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "node").alias("component_id")
+    ).withColumn("kept", F.coalesce(F.col("component_id") == F.col(key), F.lit(True)))
 
 
 #: The query with least = 0.95 on finite, non-zero vectors: all pairs, and reachability by recursion.

@@ -450,6 +450,61 @@ def test_large_leaf_in_blocks(spark, monkeypatch):
     assert (got.loc[range(300)].n_links.to_numpy() == link.sum(axis=1) - 1).mean() > 0.99
 
 
+@pytest.mark.parametrize(("width", "sample"), [(16, 8000), (64, 8000), (64, 500), (1024, 4000)])
+def test_forest_finds_close_pairs_in_small_leaves(width, sample):
+    rng = np.random.default_rng(width)
+    n = 4000
+    x = rng.standard_normal((n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = rng.standard_normal((n, width))
+    g -= (g * x).sum(axis=1, keepdims=True) * x
+    y = 0.951 * x + (1 - 0.951**2) ** 0.5 * g / np.linalg.norm(g, axis=1, keepdims=True)
+    every = np.r_[x, y]
+    forest = vector_dup.Forest(every[rng.permutation(2 * n)[:sample]], 2 * n, leaf=200)
+    row, leaf = forest.place(every)
+    held = defaultdict(set)
+    for r, f in zip(row.tolist(), leaf.tolist()):
+        held[r].add(f)
+    assert np.mean([bool(held[i] & held[n + i]) for i in range(n)]) > 0.99
+    assert np.unique(leaf, return_counts=True)[1].max() < 1500 and len(row) < 40 * n
+    assert vector_dup.trees_for(10**9) > vector_dup.trees_for(10**5) >= vector_dup.TREES
+
+
+def test_common_vectors_and_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((40, 8)).astype(np.float32)
+    rows = [(i, [float(f) for f in x[i]]) for i in range(40)] + [(100 + i, [float(f) for f in x[3]]) for i in range(600)]
+    rows += [(5, [float(f) for f in x[6]]), (7, [float(f) for f in x[7]])] + [(2000 + i, None) for i in range(400)] + [(None, [float(f) for f in x[3]])]
+    got = vector_dup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas()
+    assert len(got) == len(rows)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    alone = [i for i in range(40) if (u @ u[i] >= 0.95).sum() == 1 and i not in (3, 5, 6, 7)]
+    by = got.set_index("vec_id")
+    assert (by.loc[alone].n_links == 0).all() and by.loc[alone].kept.all()
+    assert (by.loc[[100 + i for i in range(600)]].n_links == 601 - 1).all() and (by.loc[[100 + i for i in range(600)]].component_id == 3).all()
+    assert by.loc[5].n_links.tolist() == [0, 1] or by.loc[5].n_links.tolist() == [1, 0]
+    assert (by.loc[7].n_links == 1).all() and (by.loc[[2000 + i for i in range(400)]].n_links == 0).all()
+    assert got[got.vec_id.isna()].n_links.eq(0).all()
+
+
+def test_top_k_counts_repeated_rows(spark, monkeypatch):
+    """Rows are candidates: a vector that stands n times takes n places; the answer does not depend on the passes."""
+    rng = np.random.default_rng(21)
+    x = rng.integers(-40, 40, (120, 6))
+    x[7] = 300
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 3 + [(9, x[8].tolist()), (50, x[50].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(5)
+    asked = df.where("vec_id % 10 = 0")
+    want = []
+    for q in sorted({i for i, _ in rows if i % 10 == 0}):
+        found = sorted((-int(np.dot(a, b)), i) for j, a in rows if j == q for i, b in rows if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    for bytes_, block in ((64 << 20, 8192), (200, 3)):
+        monkeypatch.setattr(top_k, "QUERY_BYTES", bytes_)
+        monkeypatch.setattr(top_k, "QUERY_BLOCK", block)
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k.top_k(df, asked, 5).collect()) == want
+
+
 # 6 and 8 classifiers
 
 
