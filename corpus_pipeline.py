@@ -19,29 +19,39 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no language (null, or without a letter); a missing lang gets the prediction."""
+    """Every document gets the language the model finds; documents of no language go.
+
+    The model is fitted on the documents that carry a lang, and its prediction replaces lang in every row,
+    so that later stages need not trust what came in.  Rejected are texts that are null or without a
+    letter, for which no prediction is made.  Rows are judged one by one, so null or repeated ids and very
+    long texts change nothing; without any known lang no document can be told and all go.
+    """
     docs = docs.select(*COLUMNS)
-    known = language_id.predict(docs, language_id.fit(docs), keep=COLUMNS)
-    return known.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    rest = tuple(c for c in COLUMNS if c != "lang")
+    told = language_id.predict(docs, language_id.fit(docs), keep=rest)
+    return told.where("lang_pred <> 'und'").withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id; documents without an id stay.
 
     Rows are one document only where doc_id and text are equal: texts that share a doc_id are compared like
-    any others.  A 64-bit hash of both is the document's key.
+    any others.  Two 64-bit hashes of both tell rows apart, one of them as the operator's key.
     """
     docs = docs.select(*COLUMNS)
-    keyed = docs.where("doc_id is not null").withColumn("_row", F.xxhash64("doc_id", "text"))
+    keyed = docs.where("doc_id is not null").withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_more", F.xxhash64(F.lit(7), "text", "doc_id"))
     group = near_dup.near_duplicates(keyed, key="_row", k=5, percent=80).select("_row", "component_id").distinct()
     ids = keyed.groupBy("_row").agg(F.min("doc_id").alias("doc_id"))
     stay = group.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row")).select("_row")
-    kept = keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"])
+    kept = keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row", "_more"])
     return kept.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span becomes its kind in brackets; n_chars follows."""
+    """Every span becomes its kind in brackets; n_chars follows.
+
+    No row is dropped.  A null text counts as empty; ids are only carried along.
+    """
     docs = docs.select(*COLUMNS)
     rest = tuple(c for c in COLUMNS if c not in ("text", "n_chars"))
     found = pii.find(docs, pii.fit(docs), keep=rest)
@@ -51,17 +61,23 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document stands as often as the mix takes it; only whole documents are taken.
 
-    Rows that share a doc_id, or have none, are documents of their own.  A 64-bit hash of all columns stands
-    for a row, so texts do not pass through the mix; equal rows get their copies together.
+    Rows that share a doc_id, or have none, are documents of their own.  Two 64-bit hashes of all columns stand
+    for a row, so texts do not pass through the mix; equal rows get their copies together.  Documents
+    without words add nothing to a mix and go; an empty table stays empty.
     """
-    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS, *[F.isnull(c) for c in COLUMNS]))
-    taken = mixing.mix(docs, table(spark, sf_dir, "labels"), boundary="nearest", keep=("_row",))
-    times = taken.where("size > 0 and taken > 0").groupBy("_row").agg(F.expr("cast(sum(taken div size) as int)").alias("times"))
-    mixed = docs.dropDuplicates(["_row"]).join(times, "_row")
+    whole = [*COLUMNS, *[F.isnull(c) for c in COLUMNS]]
+    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*whole)).withColumn("_more", F.xxhash64(F.lit(7), *reversed(whole)))
+    taken = mixing.mix(docs, table(spark, sf_dir, "labels"), boundary="nearest", keep=("_row", "_more"))
+    times = taken.where("size > 0 and taken > 0").groupBy("_row", "_more").agg(F.expr("cast(sum(taken div size) as int)").alias("times"))
+    mixed = docs.dropDuplicates(["_row", "_more"]).join(times, ["_row", "_more"])
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens, as ``packing.pack`` returns them.
+
+    A row that stands several times is packed as often; null texts count as empty, ids are only carried along.
+    """
     return packing.pack(docs, tokenizer_path())
 
 

@@ -185,11 +185,14 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
 
 def identify(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> DataFrame:
-    """The query: learn from documents with crc32(doc_id) mod 3 <> 1, predict all of them."""
+    """The query: learn from documents with crc32(doc_id) mod 3 <> 1, predict all of them.
+
+    A row without a doc_id is not held out and teaches nothing.
+    """
     fold = F.pmod(crc_of_id(F.col("doc_id")), F.lit(3))
     model = fit(docs.where(fold != 1), order, sample)
     out = predict(docs, model)
-    return out.select("doc_id", (F.pmod(crc_of_id(F.col("doc_id")), F.lit(3)) == 1).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(3)) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 __all__ = ["ORDER", "SAMPLE", "Model", "fit", "identify", "predict"]
