@@ -34,18 +34,18 @@ from .common import crc_of_id, sample_by_hash
 
 #: Words of a window.
 WINDOW = 2
-#: Bytes of windows whose distance a task remembers; beyond it the memory starts anew.
-MEMO_BYTES = 24 << 20
+#: Windows that are compressed in one call.
+AT_ONCE = 4096
 #: Bounds of the training sample, in documents of each label and in windows of each label.
 SAMPLE, SAMPLE_WINDOWS = 1500, 400_000
 #: Bytes of the background, and budget of both sides with the saving that keeps a window, round by round.
 BACKGROUND, ROUNDS = 8_192, ((12_288, 3), (8_192, 4), (4_096, 4), (1_536, 4))
 #: Segment and shortest match of the trainer; splits in halves that are tried, and segments in the last round.
-SEGMENT, MATCH, SPLITS, LAST = 16, 8, 3, (12, 16, 20)
+SEGMENT, MATCH, SPLITS, LAST = 16, 8, 4, (12, 16, 20, 24)
 #: Share of the windows that the background explains best and that teach nothing.
 EXPLAINED = 0.7
 #: Distances at which windows are counted; share of toxic documents that the curve assumes.
-STEPS, PRIOR = (2, 3, 4, 5), 0.25
+STEPS, PRIOR = (2, 3, 4, 5), 0.3
 CUT = 0.3
 #: The carrier: both dictionaries end with it, and every window stands between its halves.
 HEAD, TAIL = b"0123456789@ABCDEFGHI", b"<> ZYXWVUTSRQPONMLKJ"
@@ -72,15 +72,23 @@ def train_dictionary(samples: list[bytes], size: int, segment: int = SEGMENT) ->
 
 
 def compressor(content: bytes):
-    """Function from a window to its compressed bytes."""
+    """Function from windows to their compressed lengths with a dictionary."""
     held = zs.ZstdCompressionDict(content + HEAD + TAIL, dict_type=zs.DICT_TYPE_RAWCONTENT)
     how = zs.ZstdCompressionParameters(
-        format=zs.FORMAT_ZSTD1_MAGICLESS, window_log=19, hash_log=17, chain_log=17, search_log=6, min_match=4, target_length=32,
-        strategy=zs.STRATEGY_BTLAZY2, write_content_size=0, write_checksum=0, write_dict_id=0,
+        format=zs.FORMAT_ZSTD1_MAGICLESS, window_log=17, hash_log=14, chain_log=14, search_log=1, min_match=4, target_length=0,
+        strategy=zs.STRATEGY_DFAST, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     held.precompute_compress(compression_params=how)
-    compress = zs.ZstdCompressor(dict_data=held, compression_params=how).compress
-    return lambda window: compress(HEAD + window + TAIL)
+    engine = zs.ZstdCompressor(dict_data=held, compression_params=how)
+
+    def lengths(cut: list[bytes]) -> np.ndarray:
+        out = []
+        for at in range(0, len(cut), AT_ONCE):
+            packed = engine.multi_compress_to_buffer([HEAD + w + TAIL for w in cut[at : at + AT_ONCE]], threads=1)
+            out += [len(packed[i]) for i in range(len(packed))]
+        return np.array(out, np.int64)
+
+    return lengths
 
 
 def _some(texts: list[str], most: int) -> list[list[bytes]]:
@@ -109,15 +117,15 @@ class Model:
         if len(toxic) < 2 or len(ordinary) < 2:
             return
         bad, plain = _some(toxic, SAMPLE_WINDOWS), _some(ordinary, SAMPLE_WINDOWS)
-        # The pair of dictionaries that tells the training documents apart best.
-        best = -1.0
+        # The pair of dictionaries that tells training documents (some 500 of each label) apart best.
+        best, tried = -1.0, [cut[:: max(1, len(cut) // 500)] for cut in (bad, plain)]
         for split in range(SPLITS):
             side = [i >> split & 1 for i in range(max(len(bad), len(plain)))]
             background, rest, chosen = self._sides(bad, plain, side)
             for segment in LAST:
                 pair = tuple(train_dictionary(s, ROUNDS[-1][0], segment) + background for s in (rest, chosen))
                 self._use(pair)
-                seen = [np.array([self._features(self._saved(x)) for x in cut]) for cut in (bad, plain)]
+                seen = [np.array([self._features(self._saved(x)) for x in cut]) for cut in tried]
                 weights = self._curve(*seen)
                 apart = _rank_share(*(x @ weights for x in seen))
                 if apart > best:
@@ -131,21 +139,20 @@ class Model:
         background = train_dictionary([w for x, s in zip(plain, side) if s for w in x], BACKGROUND, 2 * SEGMENT)
         cost = compressor(background)
         rest = [w for x, s in zip(plain, side) if not s for w in x]
-        edge = np.quantile([len(cost(w)) for w in rest], EXPLAINED)
-        rest = [w for w in rest if len(cost(w)) > edge] or rest
-        kept = [[w for w in x if len(cost(w)) > edge] for x in bad]
+        each = cost(rest)
+        edge = np.quantile(each, EXPLAINED)
+        rest = [w for w, n in zip(rest, each) if n > edge] or rest
+        kept = [[w for w, n in zip(x, cost(x)) if n > edge] for x in bad]
         for size, least in ROUNDS:
             ordinary = compressor(train_dictionary(rest, size) + background)
             halves = [[w for x, s in zip(kept, side) if s == f for w in x] or [w for x, s in zip(bad, side) if s == f for w in x] for f in (0, 1)]
             toxic = [compressor(train_dictionary(h, size) + background) for h in halves]
-            kept = [[w for w in x if len(ordinary(w)) - len(toxic[1 - s](w)) >= least] for x, s in zip(bad, side)]
+            kept = [[w for w, n in zip(x, ordinary(x) - toxic[1 - s](x)) if n >= least] for x, s in zip(bad, side)]
         return background, rest, [w for x in kept for w in x] or [w for x in bad for w in x]
 
     def _use(self, pair: tuple[bytes, bytes]) -> None:
         self.ordinary, self.toxic = pair
         self._pair = tuple(compressor(x) for x in pair)
-        self._memo: dict[bytes, int] = {}
-        self._held = 0
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
@@ -157,19 +164,8 @@ class Model:
     def _saved(self, cut: list[bytes]) -> np.ndarray:
         if not hasattr(self, "_pair"):
             self._use((self.ordinary, self.toxic))
-        plain, toxic = self._pair
-        memo, out = self._memo, []
-        for w in cut:
-            d = memo.get(w)
-            if d is None:
-                d = len(plain(w)) - len(toxic(w))
-                self._held += len(w) + 100
-                if self._held > MEMO_BYTES:
-                    memo.clear()
-                    self._held = 0
-                memo[w] = d
-            out.append(d)
-        return np.array(out, np.int64)
+        ordinary, toxic = self._pair
+        return ordinary(cut) - toxic(cut)
 
     @staticmethod
     def _features(d: np.ndarray) -> np.ndarray:

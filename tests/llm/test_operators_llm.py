@@ -540,8 +540,8 @@ def test_windows_are_compressed_with_both_dictionaries():
     def direct(content, window):
         held = zs.ZstdCompressionDict(content + toxicity.HEAD + toxicity.TAIL, dict_type=zs.DICT_TYPE_RAWCONTENT)
         how = zs.ZstdCompressionParameters(
-            format=zs.FORMAT_ZSTD1_MAGICLESS, window_log=19, hash_log=17, chain_log=17, search_log=6, min_match=4, target_length=32,
-            strategy=zs.STRATEGY_BTLAZY2, write_content_size=0, write_checksum=0, write_dict_id=0,
+            format=zs.FORMAT_ZSTD1_MAGICLESS, window_log=17, hash_log=14, chain_log=14, search_log=1, min_match=4, target_length=0,
+            strategy=zs.STRATEGY_DFAST, write_content_size=0, write_checksum=0, write_dict_id=0,
         )
         held.precompute_compress(compression_params=how)
         sent = toxicity.HEAD + window + toxicity.TAIL
