@@ -1,8 +1,9 @@
 """Graph alignment by consensus ADMM on DataFrames.
 
 Three families read the same Z: rows and columns (projected onto the simplex) and objective blocks
-(prox of the norm).  Z is the weighted mean of all copies.  The state lives in tables and is settled
-after every round; it can be written and taken up again.
+(prox of the norm).  Z is the weighted mean of all copies.  The state lives in tables; a round settles the
+families and then Z, each once, and the coefficients never.  A run can stop by its residuals, write a trace,
+and dump its state every few rounds to be taken up again.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import adapt_rho
-from ..plans.loop import iterate
+from ..plans.loop import iterate, settle
+from ..sources import writers
 from . import blocks, projection
 from .objective import coefficients
 
@@ -32,6 +34,8 @@ class Options:
     #: None: one closed-form block for each objective; else the number of dense blocks.
     blocks: int | None = None
     adapt: bool = False
+    #: Stop when every primal residual and the dual residual are at most this (0: run all rounds).
+    tol: float = 0.0
     trace: list[dict] = field(default_factory=list)
 
 
@@ -77,9 +81,10 @@ def _blocks(state: dict[str, DataFrame], o: Options) -> DataFrame:
 
 def step(state: dict[str, DataFrame], o: Options) -> dict[str, DataFrame]:
     z = state["z"]
-    q = _family(state["q"], z, "u", "q", "xi", o.rho_q, o)
-    t = _family(state["t"], z, "v", "t", "psi", o.rho_t, o)
-    p = _blocks(state, o)
+    # Settled before Z is made of them, so that no family is computed twice.
+    q = settle(_family(state["q"], z, "u", "q", "xi", o.rho_q, o))
+    t = settle(_family(state["t"], z, "v", "t", "psi", o.rho_t, o))
+    p = settle(_blocks(state, o))
     parts = [
         q.select("u", "v", (F.col("q") + F.col("xi")).alias("x"), F.lit(o.rho_q).alias("rho")),
         t.select("u", "v", (F.col("t") + F.col("psi")).alias("x"), F.lit(o.rho_t).alias("rho")),
@@ -90,19 +95,38 @@ def step(state: dict[str, DataFrame], o: Options) -> dict[str, DataFrame]:
     return {"z": every.groupBy("u", "v").agg(mean.alias("z")), "q": q, "t": t, "p": p, "a": state["a"]}
 
 
-def align(state: dict[str, DataFrame], rounds: int, options: Options | None = None) -> dict[str, DataFrame]:
-    """Run ``rounds`` rounds; with ``adapt`` the penalties follow each family's residuals, noted in options.trace."""
+def align(
+    state: dict[str, DataFrame], rounds: int, options: Options | None = None, folder: str | None = None, every: int = 10, done: int = 0
+) -> dict[str, DataFrame]:
+    """Run ``rounds`` rounds, or fewer with ``tol``; ``adapt`` lets the penalties follow each family's residuals.
+
+    With ``adapt``, ``tol`` or ``folder`` the residuals of each round go to options.trace.  With ``folder`` (a
+    shared one) they are appended to its trace as well, and the state is dumped every ``every`` rounds;
+    ``done`` is the number of rounds that the given state has behind it.
+    """
     o = options or Options()
+    watched = o.adapt or o.tol > 0 or folder is not None
+    small = False
 
     def one(now, n):
+        nonlocal small
         new = step(now, o)
-        if o.adapt:
+        if watched:
+            new["z"] = settle(new["z"])
             r = {x["metric"]: x["value"] for x in residuals(now, new, o).collect()}
-            o.rho_p, o.rho_q, o.rho_t = (adapt_rho(x, r[k], r["dual"]) for x, k in ((o.rho_p, "pres"), (o.rho_q, "qres"), (o.rho_t, "tres")))
-            o.trace.append({"iteration": n, **r})
+            small = o.tol > 0 and max(r.values()) <= o.tol
+            if o.adapt:
+                o.rho_p, o.rho_q, o.rho_t = (adapt_rho(x, r[k], r["dual"]) for x, k in ((o.rho_p, "pres"), (o.rho_q, "qres"), (o.rho_t, "tres")))
+            o.trace.append({"iteration": done + n, **r})
+            if folder is not None:
+                spark = new["z"].sparkSession
+                writers.trace(spark.createDataFrame([(done + n, k, float(v)) for k, v in r.items()], "iteration int, metric string, value double"), f"{folder}/trace")
+                if (n + 1) % every == 0 or n + 1 == rounds or small:
+                    dump(new, folder, done + n + 1, o)
         return new
 
-    return iterate(state, one, rounds)
+    fixed = frozenset({"q", "t", "p", "a", *(["z"] if watched else [])})
+    return iterate(state, one, rounds, (lambda old, new: small) if o.tol > 0 else None, settled=fixed)
 
 
 def residuals(old: dict[str, DataFrame], new: dict[str, DataFrame], o: Options | None = None) -> DataFrame:
@@ -142,3 +166,18 @@ def save(state: dict[str, DataFrame], folder: str) -> None:
 
 def resume(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder}/{name}") for name in ("z", "q", "t", "p", "a")}
+
+
+def dump(state: dict[str, DataFrame], folder: str, done: int, o: Options) -> None:
+    """The state after ``done`` rounds with its penalties; listed in the folder's log once it is whole."""
+    at = f"{folder}/round-{done:06d}"
+    save(state, at)
+    row = [(done, at, o.rho_p, o.rho_q, o.rho_t)]
+    state["z"].sparkSession.createDataFrame(row, "done int, path string, rho_p double, rho_q double, rho_t double").write.mode("append").parquet(f"{folder}/log")
+
+
+def latest(spark: SparkSession, folder: str, options: Options) -> tuple[dict[str, DataFrame], int]:
+    """State of the last whole dump and its rounds; the penalties go to ``options``."""
+    last = spark.read.parquet(f"{folder}/log").orderBy(F.col("done").desc()).first()
+    options.rho_p, options.rho_q, options.rho_t = last["rho_p"], last["rho_q"], last["rho_t"]
+    return resume(spark, last["path"]), last["done"]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.loop import settle
-from .objective import gradient, value
+from .objective import gradient, linear_cost, value
 
 #: Largest side of an assignment problem; it is solved in memory, so its size is checked.
 LARGEST = 5000
@@ -47,32 +47,46 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def assignment(cost: DataFrame, x: str = "d", maximise: bool = False, missing: float = 1e6) -> DataFrame:
-    """u, v of the best perfect matching of ``cost(u, v, x)``; pairs outside cost ``missing``, and are left out of the result."""
+def assignment(cost: DataFrame, x: str = "d", maximise: bool = False, perfect: bool = False) -> DataFrame:
+    """u, v of the best matching of ``cost(u, v, x)`` that leaves as few nodes out as can be.
+
+    Only given pairs are matched, whatever they cost: a missing pair costs more than all given ones together.
+    ``perfect`` raises ValueError where a node of the larger side's size stays without a partner.
+    """
     spark = cost.sparkSession
     n = [cost.agg(F.countDistinct(c)).first()[0] for c in "uv"]
     if max(n) > LARGEST:
         raise ValueError(f"an assignment of {max(n)} nodes does not fit in memory; the bound is {LARGEST}")
-    rows = cost.select("u", "v", F.col(x).cast("double").alias("d")).collect()
-    us, vs = (sorted({r[c] for r in rows}) for c in "uv")
-    at_u, at_v = ({k: i for i, k in enumerate(ks)} for ks in (us, vs))
+    rows = cost.select("u", "v", F.col(x).cast("double").alias("d")).toArrow()
+    at_u, at_v = (rows.column(c).combine_chunks().dictionary_encode() for c in "uv")
+    us, vs = at_u.dictionary.to_pylist(), at_v.dictionary.to_pylist()
     size = max(len(us), len(vs))
-    c = np.full((size, size), missing)
-    for r in rows:
-        c[at_u[r["u"]], at_v[r["v"]]] = -r["d"] if maximise else r["d"]
+    d = rows.column("d").to_numpy() * (-1.0 if maximise else 1.0)
+    given = np.zeros((size, size), bool)
+    c = np.full((size, size), 2 * np.abs(d).sum() + 1)
+    i, j = at_u.indices.to_numpy(), at_v.indices.to_numpy()
+    given[i, j], c[i, j] = True, d
     found = assign(c) if size else []
-    pairs = [(us[i], vs[j]) for i, j in enumerate(found) if i < len(us) and j < len(vs) and c[i, j] < missing]
+    pairs = [(us[i], vs[j]) for i, j in enumerate(found) if given[i, j]]
+    if perfect and len(pairs) < size:
+        raise ValueError(f"the pairs hold no perfect matching: {len(pairs)} of {size} nodes can be matched")
     return spark.createDataFrame(pairs, cost.select("u", "v").schema)
 
 
 def frank_wolfe(terms: DataFrame, z: DataFrame, p: float = 2.5, rounds: int = 10, cost: DataFrame | None = None, lam: float = 0.0) -> tuple[DataFrame, list[dict]]:
-    """z after ``rounds`` steps of size 1 / (t + 2) towards the best assignment, and a trace of objective and gap."""
+    """z after ``rounds`` steps of size 1 / (t + 2) towards the best assignment, and a trace.
+
+    Steps go to perfect matchings of z's pairs, so a doubly stochastic z stays one; ValueError where there is
+    none.  The trace has the norm (obj_nolin), the norm plus lam times the linear cost (obj) and the gap.
+    """
     trace = []
     for t in range(rounds):
-        g = full_gradient(terms, z, p, cost, lam)
-        best = assignment(g, "g").withColumn("s", F.lit(1.0))
+        g = settle(full_gradient(terms, z, p, cost, lam))
+        best = assignment(g, "g", perfect=True).withColumn("s", F.lit(1.0))
         both = settle(z.join(g, ["u", "v"]).join(best, ["u", "v"], "left").select("u", "v", "z", "g", F.coalesce("s", F.lit(0.0)).alias("s")))
-        trace.append({"iteration": t, "obj": value(terms, z, p).first()[0], "gap": gap(both).first()[0]})
+        norm = value(terms, z, p).first()[0] or 0.0
+        linear = 0.0 if cost is None else linear_cost(z.select("u", "v"), cost, z).first()[0] or 0.0
+        trace.append({"iteration": t, "obj_nolin": norm, "obj": norm + lam * linear, "gap": gap(both).first()[0]})
         size = 1.0 / (t + 2)
         z = both.select("u", "v", ((1 - size) * F.col("z") + size * F.col("s")).alias("z"))
     return z, trace

@@ -68,7 +68,8 @@ def solve_ls(d: np.ndarray, zbar: np.ndarray, target: np.ndarray, rho: float, rh
 def solve_l1(d: np.ndarray, zbar: np.ndarray, rho: float, sweeps: int = 2000, tol: float = 1e-10) -> np.ndarray:
     """argmin ||D x||_1 + rho / 2 ||x - zbar||^2 through its dual box problem.
 
-    The dual is min 1/2 ||zbar - D'w / rho||^2 with |w| <= 1; coordinates are minimised in turn.
+    The dual is min 1/2 ||zbar - D'w / rho||^2 with |w| <= 1; coordinates are minimised in turn.  Raises
+    RuntimeError if the duality gap is not closed after so many sweeps.
     """
     w, x = np.zeros(len(d)), zbar.copy()
     size = (d * d).sum(axis=1)
@@ -82,6 +83,10 @@ def solve_l1(d: np.ndarray, zbar: np.ndarray, rho: float, sweeps: int = 2000, to
                 w[k] = new
         if moved < tol:
             break
+    else:
+        gap = np.abs(d @ x).sum() - w @ (d @ x)
+        if gap > 1e-5 * (1 + np.abs(d @ x).sum()):
+            raise RuntimeError(f"the l1 block is not solved after {sweeps} sweeps; its duality gap is {gap:.3g}")
     return x
 
 

@@ -20,6 +20,12 @@ def chance(seed: int, *columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+def drawn(*columns: Column) -> Column:
+    """Whole number below 2**52 from the MD5 of the values joined by commas: the same on every engine."""
+    text = F.concat_ws(",", *[c.cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def normal(seed: int, *columns: Column) -> Column:
     u, w = (F.greatest(chance(s, *columns), F.lit(1e-12)) for s in (seed, seed + 1_000_003))
     return F.sqrt(-2 * F.log(u)) * F.cos(F.lit(2 * math.pi) * w)
@@ -86,7 +92,7 @@ def erdos_renyi(spark: SparkSession, n: int, p: float, seed: int = 1, sparse: bo
         gaps = F.array_repeat(F.lit(1), n)
     else:
         most = min(n, int(n * p + 8 * math.sqrt(n * p + 1) + 16))
-        draw = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.greatest(F.pmod(F.xxhash64("id", k, F.lit(seed)), F.lit(1 << 40)), F.lit(1)) / F.lit(float(1 << 40)))
+        draw = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.greatest(drawn(F.col("id"), k, F.lit(seed)), F.lit(1)) / F.lit(float(1 << 52)))
         gaps = F.transform(draw, lambda u: (1 + F.floor(F.log(u) / F.lit(math.log1p(-p)))).cast("long")) if p > 0 else F.expr("array()").cast("array<bigint>")
     state = F.aggregate(
         gaps, F.struct(F.col("id").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out")),
@@ -97,12 +103,22 @@ def erdos_renyi(spark: SparkSession, n: int, p: float, seed: int = 1, sparse: bo
     return symmetrise(both.union(cycle(spark, n))) if with_cycle else both
 
 
+#: Edges that a family drawn on the driver may have.
+LARGEST = 10_000_000
+
+
+def _bounded(edges: int) -> None:
+    if edges > LARGEST:
+        raise ValueError(f"{edges} edges are too many to draw on the driver; the bound is {LARGEST}")
+
+
 def _driver(spark: SparkSession, pairs: set[tuple[int, int]]) -> DataFrame:
     return symmetrise(spark.createDataFrame(sorted(pairs), "src long, dst long"))
 
 
 def barabasi_albert(spark: SparkSession, n: int, m: int, seed: int = 1) -> DataFrame:
     """Preferential attachment; sequential by definition, so it is drawn on the driver."""
+    _bounded(n * m)
     rng = np.random.default_rng(seed)
     ends, pairs = list(range(m)), set()
     for v in range(m, n):
@@ -129,16 +145,28 @@ def small_world(spark: SparkSession, side: int, seed: int = 1) -> DataFrame:
 
 
 def regular(spark: SparkSession, n: int, degree: int, seed: int = 1) -> DataFrame:
-    """Random regular graph: stubs are matched anew until the graph is simple."""
-    rng = np.random.default_rng(seed)
+    """Random regular graph: a circulant one whose edges exchange ends at random, ten times for each edge.
+
+    Every exchange keeps the degrees and a simple graph.  Drawn on the driver; LARGEST bounds the edges.
+    """
     if n * degree % 2 or degree >= n:
         raise ValueError("n * degree must be even and degree below n")
-    for _ in range(10_000):
-        stubs = rng.permutation(np.repeat(np.arange(n), degree)).reshape(-1, 2)
-        pairs = {(int(min(a, b)), int(max(a, b))) for a, b in stubs}
-        if len(pairs) == len(stubs) and all(a != b for a, b in pairs):
-            return _driver(spark, pairs)
-    raise ValueError("no simple graph was found")
+    _bounded(n * degree // 2)
+    rng = np.random.default_rng(seed)
+    ends = [(v, (v + s) % n) for s in range(1, degree // 2 + 1) for v in range(n)]
+    ends += [(v, v + n // 2) for v in range(n // 2)] if degree % 2 else []
+    held = {(min(e), max(e)) for e in ends}
+    for _ in range(10 * len(ends)):
+        (a, b), (c, d) = ends[i := int(rng.integers(len(ends)))], ends[j := int(rng.integers(len(ends)))]
+        if rng.random() < 0.5:
+            c, d = d, c
+        one, two = (min(a, c), max(a, c)), (min(b, d), max(b, d))
+        if a == c or b == d or one == two or one in held or two in held:
+            continue
+        held -= {(min(a, b), max(a, b)), (min(c, d), max(c, d))}
+        held |= {one, two}
+        ends[i], ends[j] = (a, c), (b, d)
+    return _driver(spark, held)
 
 
 def powerlaw_tree(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:

@@ -175,16 +175,45 @@ def walk_cooccurrence(walks: DataFrame, width: int) -> DataFrame:
 
 
 def random_walks(edges: DataFrame, starts: DataFrame, length: int = 5, walks: int = 50, seed: int = 1) -> DataFrame:
-    """walk, pos, item: uniform walks from ``starts(node)``; a step's neighbour is chosen by a seeded hash."""
+    """start, walk, item, pos: uniform walks from ``starts(node)``; a step's neighbour is chosen by a seeded hash."""
     from pyspark.sql import Window
 
+    from .generate import drawn
+
     ranked = edges.select("src", "dst").distinct().withColumn("at", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1)
     sized = settle(ranked.join(edges.select("src", "dst").distinct().groupBy("src").agg(F.count(F.lit(1)).alias("deg")), "src"))
     degree = sized.select("src", "deg").distinct()
     now = starts.select(F.col("node").alias("start"), F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk"), F.col("node").alias("item"))
     out = now.withColumn("pos", F.lit(0))
     for pos in range(1, length + 1):
-        drawn = now.join(degree, now.item == degree.src).withColumn("at", F.pmod(F.xxhash64("start", "walk", F.lit(pos), F.lit(seed)), F.col("deg")))
-        now = settle(drawn.select("start", "walk", "src", "at").join(sized.drop("deg"), ["src", "at"]).select("start", "walk", F.col("dst").alias("item")))
+        chosen = now.join(degree, now.item == degree.src).withColumn("at", drawn(F.col("start"), F.col("walk"), F.lit(pos), F.lit(seed)) % F.col("deg"))
+        now = settle(chosen.select("start", "walk", "src", "at").join(sized.drop("deg"), ["src", "at"]).select("start", "walk", F.col("dst").alias("item")))
         out = out.unionByName(now.withColumn("pos", F.lit(pos)))
     return out
+
+
+def walk_pairs(walks: DataFrame) -> DataFrame:
+    """start, item: every other node that a walk from start visits, once for each visit."""
+    return walks.where((F.col("pos") > 0) & (F.col("item") != F.col("start"))).select("start", "item")
+
+
+def sorted_ids(edges: DataFrame, block: int = 65536) -> DataFrame:
+    """old_id, new_id: integer nodes numbered from 1 in their order, ranked block by block of ids."""
+    from pyspark.sql import Window
+
+    every = nodes(edges).select(F.col("node").alias("old_id")).withColumn("block", F.floor(F.col("old_id") / block))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = every.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    bases = sizes.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inner = F.row_number().over(Window.partitionBy("block").orderBy("old_id"))
+    return every.withColumn("at", inner).join(bases, "block").select("old_id", (F.col("base") + F.col("at")).cast("long").alias("new_id"))
+
+
+def ordered(scores: DataFrame) -> DataFrame:
+    """node, score from the highest score down, ties by node (a range sort)."""
+    return scores.select("node", "score").orderBy(F.col("score").desc(), "node")
+
+
+def exogenous(features: DataFrame, first: int, number: int) -> DataFrame:
+    """node and ``number`` features from position ``first`` (from 0) on."""
+    return features.select("node", F.slice("features", first + 1, number).alias("features"))

@@ -12,13 +12,14 @@ def terms(edges1: DataFrame, edges2: DataFrame, support: DataFrame, weights: Dat
     With ``weights(i, j, w)`` B is the weighted matrix: its pairs take the place of ``edges2``, and the terms
     have a column w (1 on the plus side) that values, gradient and coefficients multiply by.
     """
+    support, edges1 = support.select("u", "v").distinct(), edges1.select("src", "dst").distinct()
     plus = support.join(edges1.select(F.col("src").alias("i"), F.col("dst").alias("u")), "u").select("i", F.col("v").alias("j"), "u", "v", F.lit(1).alias("sign"))
     if weights is not None:
-        b = weights.select(F.col("i").alias("v"), "j", F.col("w").cast("double").alias("w"))
+        b = weights.select(F.col("i").alias("v"), "j", F.col("w").cast("double").alias("w")).distinct()
         minus = support.join(b, "v").select(F.col("u").alias("i"), "j", "u", "v", F.lit(-1).alias("sign"), "w")
-        return plus.distinct().withColumn("w", F.lit(1.0)).union(minus.distinct())
-    minus = support.join(edges2.select(F.col("src").alias("v"), F.col("dst").alias("j")), "v").select(F.col("u").alias("i"), "j", "u", "v", F.lit(-1).alias("sign"))
-    return plus.distinct().union(minus.distinct())
+        return plus.withColumn("w", F.lit(1.0)).union(minus)
+    minus = support.join(edges2.select("src", "dst").distinct().select(F.col("src").alias("v"), F.col("dst").alias("j")), "v").select(F.col("u").alias("i"), "j", "u", "v", F.lit(-1).alias("sign"))
+    return plus.union(minus)
 
 
 def _factor(terms_: DataFrame) -> Column:

@@ -15,7 +15,7 @@ def all_pairs(edges1: DataFrame, edges2: DataFrame) -> DataFrame:
 
 def match_colors(colors1: DataFrame, colors2: DataFrame, color: str = "color") -> DataFrame:
     a, b = colors1.select(F.col("node").alias("u"), color), colors2.select(F.col("node").alias("v"), color)
-    return a.join(b, color).select("u", "v").distinct()
+    return a.join(b, color).select("u", "v")
 
 
 def by_degree(edges1: DataFrame, edges2: DataFrame, offset: int = 0) -> DataFrame:

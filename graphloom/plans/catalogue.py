@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import admm, assignment, blocks, evaluate, generate, graph, objective, projection, support
+from ..sources import readers, writers
 from ..streaming import partitioner
 from . import fixtures as fx
 from .fixtures import sql
-from .loop import settle
+from .loop import settle, shared_folder
 
 CATALOGUE: dict[str, tuple] = {}
 
@@ -136,10 +139,13 @@ def support_exog(s, d):
     return support.by_colors(c, c.select(((7 * F.col("node") + 3) % 25).alias("node"), "colors"))
 
 
-@query(sql(", small AS (SELECT src, dst FROM e1 WHERE src < 20 AND dst < 20) SELECT u, v FROM support UNION SELECT CAST(range AS INTEGER), CAST(range AS INTEGER) FROM range((SELECT count(DISTINCT src) FROM small), (SELECT count(DISTINCT src) FROM e2))"))
+@query(sql(", small AS (SELECT DISTINCT a.n_regionkey AS src, b.n_regionkey AS dst FROM e1 JOIN nation a ON a.n_nationkey = e1.src JOIN nation b ON b.n_nationkey = e1.dst) SELECT u, v FROM support UNION SELECT CAST(range AS INTEGER), CAST(range AS INTEGER) FROM range((SELECT count(DISTINCT src) FROM small), (SELECT count(DISTINCT src) FROM e2))"))
 def support_equalised(s, d):
+    """Graph 2 against the smaller graph of the regions."""
     e1, e2 = fx.pair(s, d)
-    _, _, same = support.equalised(e1.where("src < 20 and dst < 20"), e2)
+    region = fx.table(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("n"), F.col("n_regionkey").cast("int").alias("r"))
+    small = e1.join(region.select(F.col("n").alias("src"), F.col("r").alias("a")), "src").join(region.select(F.col("n").alias("dst"), F.col("r").alias("b")), "dst")
+    _, _, same = support.equalised(small.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), e2)
     return fx.support(e1, e2).union(same).distinct()
 
 
@@ -269,6 +275,28 @@ for _p, _name in ((1.0, "l1"), (2.0, "l2"), (1.5, "p")):
     query(sql(F_SQL + f" SELECT round(power(sum(power(abs(f), {_p}::DOUBLE)), 1 / {_p}::DOUBLE), 6) AS value FROM f"), f"objective_value_{_name}")(_value)
 
 
+W_SQL = ", f AS (SELECT i, j, sum(sign * w * z) AS f FROM wterms JOIN z0 USING (u, v) GROUP BY 1, 2)"
+
+
+def _weighted(s, d):
+    e1, e2 = fx.pair(s, d)
+    sup = fx.support(e1, e2)
+    return sup, settle(objective.terms(e1, e2, sup, fx.weights(e2)))
+
+
+@query(sql(W_SQL + " SELECT round(sqrt(sum(f * f)), 6) AS value FROM f"))
+def objective_value_weighted(s, d):
+    sup, t = _weighted(s, d)
+    return rounded(objective.value(t, fx.start(sup), 2.0), "value")
+
+
+@query(sql("SELECT i, j, count(*) FILTER (sign = 1) AS n_plus, count(*) FILTER (sign = -1) AS n_minus, string_agg(u || ':' || v, ',' ORDER BY u, v) FILTER (sign = 1) AS plus, string_agg(u || ':' || v, ',' ORDER BY u, v) FILTER (sign = -1) AS minus FROM terms GROUP BY 1, 2"))
+def objective_nested(s, d):
+    named = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["u"].cast("string"), x["v"].cast("string"))), ",")
+    n = objective.nested(setting(s, d)[3])
+    return n.select("i", "j", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("plus", "minus")], *[F.when(F.size(c) > 0, named(c)).alias(c) for c in ("plus", "minus")])
+
+
 @query(sql("SELECT round(sum(coalesce(d, 0) * z), 6) AS value FROM z0 LEFT JOIN cost USING (u, v)"))
 def linear_cost(s, d):
     sup = setting(s, d)[2]
@@ -429,10 +457,22 @@ def fw_gradient(s, d):
     return rounded(objective.gradient(t, fx.start(sup), 2.5), "g")
 
 
+@query(sql(W_SQL + """, n AS (SELECT power(sum(power(abs(f), 2.5::DOUBLE)), 1 / 2.5::DOUBLE) AS n FROM f)
+, sl AS (SELECT i, j, CASE WHEN n > 0 THEN sign(f) * power(abs(f) / n, 1.5::DOUBLE) ELSE 0 END AS s FROM f, n)
+SELECT u, v, round(sum(sign * w * s), 6) AS g FROM wterms JOIN sl USING (i, j) GROUP BY 1, 2"""))
+def fw_gradient_weighted(s, d):
+    sup, t = _weighted(s, d)
+    return rounded(objective.gradient(t, fx.start(sup), 2.5), "g")
+
+
 @query(None)
 def fw_gap(s, d):
-    sup, t = setting(s, d)[2:]
-    _, trace = assignment.frank_wolfe(t, fx.start(sup), rounds=2)
+    """From the uniform matching of all pairs, the only support that surely holds a perfect matching."""
+    e1, e2 = fx.pair(s, d)
+    every = settle(support.all_pairs(e1, e2))
+    n = every.select("u").distinct().count()
+    t = settle(objective.terms(e1, e2, every))
+    _, trace = assignment.frank_wolfe(t, every.withColumn("z", F.lit(1.0 / n)), rounds=2)
     return rounded(s.createDataFrame([(x["iteration"], float(x["gap"])) for x in trace], "iteration int, value double"), "value")
 
 
@@ -506,12 +546,87 @@ def generate_grid(s, d):
     return generate.grid(s, 5, 6)
 
 
-@query(None)
+@query("""WITH g AS (
+  SELECT n.range AS id, k.range AS k,
+         1 + CAST(floor(ln(greatest(CAST(('0x' || substr(md5(n.range || ',' || k.range || ',1'), 1, 13)) AS BIGINT), 1) / 4503599627370496.0::DOUBLE) / ln(0.95::DOUBLE)) AS BIGINT) AS gap
+  FROM range(200) n, range(1, 55) k),
+a AS (SELECT id, id + CAST(sum(gap) OVER (PARTITION BY id ORDER BY k) AS BIGINT) AS far FROM g),
+e AS (SELECT id AS src, far AS dst FROM a WHERE far < 200)
+SELECT src, dst FROM e UNION SELECT dst, src FROM e""")
 def generate_erdos_renyi(s, d):
     return generate.erdos_renyi(s, 200, 0.05)
 
 
-@query(None)
+def walks_sql(length: int, walks: int) -> str:
+    """Walks over the undirected graph 1, step by step; a step's neighbour comes from an MD5."""
+    text = f"""
+, nb AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS at, count(*) OVER (PARTITION BY src) AS deg FROM e1)
+, w0 AS (SELECT n.src AS start, k.range AS walk, n.src AS item FROM (SELECT DISTINCT src FROM e1) n, range(1, {walks + 1}) k)"""
+    for k in range(1, length + 1):
+        text += f"""
+, w{k} AS (SELECT w.start, w.walk, nb.dst AS item FROM w{k - 1} w JOIN nb ON nb.src = w.item
+  AND nb.at = CAST(('0x' || substr(md5(w.start || ',' || w.walk || ',{k},1'), 1, 13)) AS BIGINT) % nb.deg)"""
+    every = " UNION ALL ".join(f"SELECT start, CAST(walk AS INTEGER) AS walk, item, {k} AS pos FROM w{k}" for k in range(length + 1))
+    return text + f", walks AS ({every})"
+
+
+@query(sql(walks_sql(5, 50) + " SELECT * FROM walks"))
 def random_walks(s, d):
     e = fx.graph(s, d)
-    return graph.random_walks(e, graph.nodes(e), length=5, walks=4)
+    return graph.random_walks(e, graph.nodes(e), length=5)
+
+
+@query(sql(walks_sql(5, 50) + " SELECT start, item, count(*) AS n FROM walks WHERE pos > 0 AND item <> start GROUP BY 1, 2"))
+def walk_pairs(s, d):
+    e = fx.graph(s, d)
+    return graph.walk_pairs(graph.random_walks(e, graph.nodes(e), length=5)).groupBy("start", "item").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH n AS (SELECT l_partkey AS id FROM lineitem UNION SELECT l_suppkey + 1000000 FROM lineitem) SELECT id AS old_id, row_number() OVER (ORDER BY id) AS new_id FROM n")
+def id_order(s, d):
+    lines = fx.table(s, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst"))
+    return graph.sorted_ids(lines)
+
+
+@query(sql(rank_sql("hub", 5, "pr") + " SELECT node, round(score, 6) AS score FROM pr ORDER BY score DESC, node"))
+def pagerank_ordered(s, d):
+    return graph.ordered(rounded(graph.pagerank(fx.directed(s, d, hub=True), rounds=5, eps=0.0), "score"))
+
+
+# Sources and sinks: what is written comes back
+
+
+def _folder(s, name: str) -> str:
+    return f"{shared_folder(s).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem")
+def edge_list_round_trip(s, d):
+    at = _folder(s, "edges")
+    writers.edge_list(_bipartite(s, d).select(F.col("l").alias("src"), F.col("r").alias("dst")), at)
+    return readers.edge_list(s, at).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+
+
+@query(sql("SELECT u, v FROM support"))
+def pairs_round_trip(s, d):
+    at = _folder(s, "pairs")
+    writers.pairs(fx.support(*fx.pair(s, d)), at)
+    return readers.pairs(s, at).select(F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"))
+
+
+@query(sql("SELECT u, v, round(d, 6) AS d FROM cost"))
+def costs_round_trip(s, d):
+    at = _folder(s, "costs")
+    writers.costs(fx.cost(s, d), at)
+    return rounded(readers.costs(s, at).select(F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), "d"), "d")
+
+
+@query("WITH b AS (SELECT DISTINCT l_suppkey AS l FROM lineitem) SELECT CAST(l % 10 AS INTEGER) AS part_id, count(*) AS size FROM b GROUP BY 1")
+def partition_balance(s, d):
+    return partitioner.balance(_bipartite(s, d).select("l", (F.col("l") % 10).cast("int").alias("part_id")).distinct())
+
+
+@query(sql("SELECT u, v, round(sum(z) / 2, 6) AS z FROM (SELECT u, v, z FROM z0 UNION ALL SELECT u, v, 1 FROM support WHERE u = v) GROUP BY 1, 2"))
+def average_solutions(s, d):
+    z = fx.start(fx.support(*fx.pair(s, d)))
+    return rounded(evaluate.average([z, z.where("u = v").withColumn("z", F.lit(1.0))]), "z")

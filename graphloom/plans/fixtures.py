@@ -82,7 +82,12 @@ terms AS (
   UNION ALL
   SELECT DISTINCT s.u AS i, e2.dst AS j, s.u, s.v, -1 AS sign FROM support s JOIN e2 ON e2.src = s.v),
 bal AS (SELECT c_nationkey AS node, avg(c_acctbal) AS m FROM customer GROUP BY 1),
-cost AS (SELECT a.node AS u, b.node AS v, abs(a.m - b.m) / 1000 AS d FROM bal a, bal b WHERE (a.node + b.node) % 2 = 0),
+cost AS (SELECT a.node AS u, b.node AS v, abs(a.m - b.m) / 1000 AS d FROM bal a, bal b),
+wb AS (SELECT src AS i, dst AS j, 1 + CAST((3 * src + 5 * dst) % 7 AS DOUBLE) / 10 AS w FROM e2),
+wterms AS (
+  SELECT DISTINCT e1.src AS i, s.v AS j, s.u, s.v, 1 AS sign, 1.0::DOUBLE AS w FROM support s JOIN e1 ON e1.dst = s.u
+  UNION ALL
+  SELECT DISTINCT s.u AS i, b.j, s.u, s.v, -1 AS sign, b.w FROM support s JOIN wb b ON b.i = s.v),
 z0 AS (SELECT u, v, CAST(1 + (3 * u + 5 * v) % 7 AS DOUBLE) / 40 AS z FROM support)
 """
 
@@ -99,11 +104,16 @@ def support(e1: DataFrame, e2: DataFrame) -> DataFrame:
     return settle(by_degree(e1, e2, 1))
 
 
+def weights(e2: DataFrame) -> DataFrame:
+    """i, j, w: a weight for every edge of graph 2."""
+    return e2.select(F.col("src").alias("i"), F.col("dst").alias("j"), (1 + ((3 * F.col("src") + 5 * F.col("dst")) % 7).cast("double") / 10).alias("w"))
+
+
 def cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """u, v, d of every pair of nodes (25 x 25): the result is the product."""
     bal = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("node")).agg(F.avg("c_acctbal").alias("m"))
     a, b = bal.select(F.col("node").alias("u"), F.col("m").alias("ma")), bal.select(F.col("node").alias("v"), F.col("m").alias("mb"))
-    near = a.withColumn("half", F.col("u") % 2).join(b.withColumn("half", F.col("v") % 2), "half")
-    return near.select("u", "v", (F.abs(F.col("ma") - F.col("mb")) / 1000).alias("d"))
+    return a.crossJoin(b).select("u", "v", (F.abs(F.col("ma") - F.col("mb")) / 1000).alias("d"))
 
 
 def start(support_: DataFrame) -> DataFrame:

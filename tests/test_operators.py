@@ -277,3 +277,100 @@ def test_fixed_topologies(spark):
         assert graph.nodes(make(spark)).count() == n
     assert topologies.abilene(spark).count() == 26 and topologies.geant(spark).count() == 66
     assert topologies.abilene(spark).where("src = 'SEAT'").count() == 2
+
+
+def test_assignment_takes_given_pairs_whatever_they_cost(spark):
+    cost = spark.createDataFrame([(0, 0, 5e9), (0, 1, 1.0), (1, 0, 2.0), (2, 2, -7e8)], "u long, v long, d double")
+    assert {(r.u, r.v) for r in assignment.assignment(cost, perfect=True).collect()} == {(0, 1), (1, 0), (2, 2)}
+    lone = spark.createDataFrame([(0, 0, 1.0), (1, 0, 2e7)], "u long, v long, d double")
+    assert [(r.u, r.v) for r in assignment.assignment(lone).collect()] == [(0, 0)]
+    with pytest.raises(ValueError, match="perfect"):
+        assignment.assignment(lone, perfect=True)
+
+
+def test_frank_wolfe_equals_dense_steps(spark):
+    from itertools import permutations
+
+    e1, e2 = [(0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2)], [(0, 2), (2, 0), (2, 1), (1, 2), (3, 1), (1, 3)]
+    a, b = np.zeros((4, 4)), np.zeros((4, 4))
+    for m, e in ((a, e1), (b, e2)):
+        m[tuple(zip(*e))] = 1
+    d = np.arange(16).reshape(4, 4) % 5 / 10
+    every = spark.range(16).selectExpr("cast(id div 4 as long) u", "cast(id % 4 as long) v")
+    cost = every.withColumn("d", (F.col("u") * 4 + F.col("v")) % 5 / 10)
+    t = objective.terms(edges(spark, e1), edges(spark, e2), every)
+    z, trace = assignment.frank_wolfe(t, every.withColumn("z", F.lit(0.25)), p=2.0, rounds=3, cost=cost, lam=0.5)
+    x = np.full((4, 4), 0.25)
+    for n in range(3):
+        r = a @ x - x @ b
+        norm = np.linalg.norm(r)
+        g = (a.T @ r - r @ b.T) / norm + 0.5 * d
+        best = min(permutations(range(4)), key=lambda p: sum(g[i, p[i]] for i in range(4)))
+        s = np.zeros((4, 4))
+        s[range(4), best] = 1
+        assert trace[n]["obj_nolin"] == pytest.approx(norm) and trace[n]["obj"] == pytest.approx(norm + 0.5 * (d * x).sum())
+        assert trace[n]["gap"] == pytest.approx(((x - s) * g).sum(), abs=1e-9) and trace[n]["gap"] >= -1e-9
+        mine = assignment.assignment(assignment.full_gradient(t, spark.createDataFrame([(i, j, float(x[i, j])) for i in range(4) for j in range(4)], "u long, v long, z double"), 2.0, cost, 0.5), "g")
+        s = np.zeros((4, 4))
+        for row in mine.collect():
+            s[row.u, row.v] = 1  # ties between matchings are the operator's to break
+        x = x + (s - x) / (n + 2)
+    got = z.toPandas().pivot(index="u", columns="v", values="z").to_numpy()
+    assert np.allclose(got.sum(axis=0), 1) and np.allclose(got.sum(axis=1), 1) and np.allclose(got, x)
+    with pytest.raises(ValueError, match="perfect"):
+        assignment.frank_wolfe(t, every.where("u > 1 or v = 0").withColumn("z", F.lit(0.25)), rounds=1)
+
+
+def test_dumped_runs_go_on_as_if_never_stopped(spark, tmp_path):
+    e = edges(spark, [(i, j) for i in range(6) for j in range(6) if abs(i - j) == 1 or i + j == 5 and i != j])
+    every = support.all_pairs(e, e)
+    t = objective.terms(e, e, every)
+    start = lambda: admm.initial(every, t, 6, options=admm.Options())
+    read = lambda s: s["z"].toPandas().sort_values(["u", "v"])["z"].to_numpy()
+    whole = admm.Options(adapt=True)
+    want = read(admm.align(start(), 5, whole))
+    first = admm.Options(adapt=True)
+    admm.align(start(), 3, first, folder=str(tmp_path), every=2)
+    again = admm.Options(adapt=True)
+    state, done = admm.latest(spark, str(tmp_path), again)
+    assert done == 3 and (again.rho_p, again.rho_q) == (first.rho_p, first.rho_q)
+    assert np.allclose(read(admm.align(state, 2, again, folder=str(tmp_path), done=done)), want)
+    trace = spark.read.parquet(f"{tmp_path}/trace").toPandas()
+    assert sorted(trace.iteration.unique()) == [0, 1, 2, 3, 4] and set(trace.metric) == {"pres", "qres", "tres", "dual"}
+    loose = admm.Options(tol=0.5)
+    admm.align(start(), 200, loose)
+    assert len(loose.trace) < 200 and max(v for k, v in loose.trace[-1].items() if k != "iteration") <= 0.5
+
+
+def test_regular_graphs_of_any_degree(spark):
+    for n, degree in ((100, 8), (60, 30), (9, 8)):
+        g = generate.regular(spark, n, degree).toPandas()
+        assert len(g) == n * degree and not g.duplicated().any() and (g.src != g.dst).all() and (g.groupby("src").size() == degree).all()
+    with pytest.raises(ValueError):
+        generate.barabasi_albert(spark, 10**9, 3)
+
+
+def test_sorted_ids_walk_pairs_and_slices(spark):
+    e = edges(spark, [(700_000, -5), (3, 70_000), (3, 9)])
+    assert {r.old_id: r.new_id for r in graph.sorted_ids(e).collect()} == {-5: 1, 3: 2, 9: 3, 70_000: 4, 700_000: 5}
+    walks = spark.createDataFrame([(1, 1, 1, 0), (1, 1, 2, 1), (1, 1, 1, 2), (1, 1, 2, 3)], "start long, walk int, item long, pos int")
+    assert [(r.start, r.item) for r in graph.walk_pairs(walks).collect()] == [(1, 2), (1, 2)]
+    f = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0])], "node long, features array<double>")
+    assert graph.exogenous(f, 1, 2).first().features == [2.0, 3.0]
+    scores = spark.createDataFrame([(1, 0.2), (2, 0.5), (3, 0.2)], "node long, score double")
+    assert [r.node for r in graph.ordered(scores).collect()] == [2, 1, 3]
+
+
+def test_a_pair_without_a_cost_costs_nothing(spark):
+    sup = spark.createDataFrame([(0, 0), (0, 1), (1, 0)], "u long, v long")
+    cost = spark.createDataFrame([(0, 0, 3.0)], "u long, v long, d double")
+    z = sup.withColumn("z", F.lit(0.5))
+    assert objective.linear_cost(sup, cost, z).first().value == 1.5
+    first = admm.initial(sup, objective.terms(edges(spark, [(0, 1)]), edges(spark, [(0, 1)]), sup), 2, cost)
+    assert {(r.u, r.v): r.d for r in first["q"].collect()} == {(0, 0): 3.0, (0, 1): 0.0, (1, 0): 0.0}
+
+
+def test_an_unsolved_block_is_an_error():
+    rng = np.random.default_rng(5)
+    with pytest.raises(RuntimeError, match="gap"):
+        blocks.solve_l1(rng.normal(size=(8, 9)), rng.normal(size=9) * 50, 0.01, sweeps=1)
