@@ -98,6 +98,14 @@ def _entries(hashes: list[np.ndarray], first: np.ndarray, copies: np.ndarray) ->
     return np.r_[WORDS, u], np.r_[weight[: len(hashes[0])].sum(), n].astype(np.uint64)
 
 
+def _places(u: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Positions of h in the sorted u, looked up in the order of their high bits, which keeps the lookups near each other."""
+    order = np.argsort((h >> np.uint64(48)).astype(np.uint16), kind="stable")
+    out = np.empty(len(h), np.int64)
+    out[order] = np.searchsorted(u, h[order])
+    return out
+
+
 def _cuts(u: np.ndarray, buckets: int) -> np.ndarray:
     """Entry positions at which each bucket begins; a bucket is a range of hashes."""
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
@@ -159,12 +167,13 @@ def score(
     def join(key, table, totals):
         table = _opened(table)
         hashes, first = grams(table, order)
-        u = np.r_[WORDS, np.unique(np.concatenate([h[h != 0] for h in hashes]))]
+        u = np.sort(np.concatenate([h[h != 0] for h in hashes]))
+        u = np.r_[WORDS, u[np.r_[True, u[1:] != u[:-1]][: len(u)]]]
         at = np.argsort(totals.column("bucket").to_numpy())
         blobs = totals.column("totals").to_pylist()
         count = np.concatenate([_unpacked(blobs[i], "u8") for i in at]).astype(np.float64)
         words = count[0]
-        seen = [np.where(h != 0, count[np.searchsorted(u, h)], 0.0) for h in hashes]
+        seen = [np.where(h != 0, count[_places(u, h)], 0.0) for h in hashes]
         n = len(hashes[0])
         logs, open_, steps = np.zeros(n), np.ones(n, bool), np.zeros(n, np.int64)
         for k in range(order - 1, 0, -1):
