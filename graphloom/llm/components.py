@@ -1,7 +1,7 @@
 """Connected components of an edge table: union-find inside each partition, then alternating stars.
 
-Every partition first reduces its edges to a spanning forest by union-find.  What remains is
-contracted with the large-star / small-star steps, which only need per-key minima (summed up before
+Every partition first reduces its edges to a spanning forest by union-find, and once more after partitions
+with few edges were put together.  What remains is contracted with the large-star / small-star steps, which only need per-key minima (summed up before
 the shuffle) and equi-joins; the few hubs are joined by broadcast, so a hub is never gathered in one task.
 """
 
@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from .common import cut, split_join
 
 
+#: Edges of a partition.
+EDGES = 50_000
+
+
 def find(parent: dict, x):
     root = x
     while parent.get(root, root) != root:
@@ -56,6 +60,11 @@ def _forest(batches):
         yield flush()
 
 
+def packed(edges: DataFrame, rows: int) -> DataFrame:
+    """The edges in no more partitions than their number asks for: few edges in many would be many small files."""
+    return edges.coalesce(max(4, -(-rows // EDGES)))
+
+
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component_id)`` for every node with an edge to another node.
 
@@ -63,25 +72,20 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     empty table gives an empty result.  Stops when a round changes nothing; with ``rounds`` it raises
     RuntimeError where so many rounds are not enough, and never returns an unfinished grouping.
     """
-    now = cut(
-        edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
-        .where("a <> b")
-        .mapInArrow(_forest, "a long, b long")
-    )
+    now = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    now = cut(now.mapInArrow(_forest, "a long, b long"))
+    now = cut(packed(now, now.count()).mapInArrow(_forest, "a long, b long"))
     mark, done = None, 0
     while True:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        n = 2 * now.count()
+        both = packed(now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), n)
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = split_join(both.where("b > a"), low, "a", "n", both.count()).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(large.where("a <> b").distinct())
+        large = split_join(both.where("b > a"), low, "a", "n", n).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut(packed(large.where("a <> b"), n).distinct())
+        large = packed(large, n)
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = split_join(large, low, "a", "n", large.count())
-        now = cut(
-            small.select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(low.select("a", F.col("m").alias("b")))
-            .where("a <> b")
-            .distinct()
-        )
+        small = split_join(large, low, "a", "n", n).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = cut(packed(small.union(low.select("a", F.col("m").alias("b"))).where("a <> b"), n).distinct())
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
