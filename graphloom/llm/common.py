@@ -6,6 +6,8 @@ memory of a task is bounded by ``SLICE_BYTES`` plus its longest single text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +51,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy() -> None:
+    """Give memory that batches have left behind back to the system; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """The kernel of a mapInArrow, tidied up after its last batch."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        tidy()
+
+    return wrapped
+
+
 #: Keys that may count as hot at once; this bounds what the joins below broadcast.
 HOT_KEYS = 2000
 

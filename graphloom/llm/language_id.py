@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SLICE_BYTES, bytes_of, crc_of_id, slices
+from .common import LOWER, SLICE_BYTES, bytes_of, crc_of_id, lean, slices
 
 ORDER = 3
 #: Bound of the training sample, in documents of each language.
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Model:
     keep = F.lit(False)
     for lang, share in shares.items():
         keep |= (F.col("lang") == lang) & (unit < share)
-    grams = known.where(keep).mapInArrow(_grams(order), "lang string, k int, gram long, n long")
+    grams = known.where(keep).mapInArrow(lean(_grams(order)), "lang string, k int, gram long, n long")
     counts: dict = {}
     for lang, k, gram, n in grams.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
         counts.setdefault((lang, k), {})[gram] = n
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                     [*keep, "lang_pred", "score"],
                 )
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(run), schema)
 
 
 def identify(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> DataFrame:

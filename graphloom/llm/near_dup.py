@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, bytes_of, combine, cut, mix64, multiple, salted_join, slices, split_join, word_hashes
+from .common import GOLDEN, bytes_of, combine, cut, lean, mix64, multiple, salted_join, slices, split_join, tidy, word_hashes
 from .components import components, find, union
 
 #: Bands and rows: a pair at similarity 0.8 shares no band once in 13,000 times.
@@ -130,7 +130,7 @@ def sketch(docs: DataFrame, key: str = "doc_id", k: int = 5, bands: int = BANDS,
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n_shingles long, digest binary, bands array<long>, sig binary")
+    return docs.select(key, "text").mapInArrow(lean(run), f"`{key}` {kind}, n_shingles long, digest binary, bands array<long>, sig binary")
 
 
 def _digest(elements: np.ndarray) -> bytes | None:
@@ -153,7 +153,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                     [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "elements"]
                 )
 
-    return docs.select("text").mapInArrow(run, "digest binary, elements binary").select(class_of_digest().alias("cls"), "elements")
+    return docs.select("text").mapInArrow(lean(run), "digest binary, elements binary").select(class_of_digest().alias("cls"), "elements")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -179,7 +179,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity; a set that many pairs need is copied to several tasks."""
     both = salted_join(pairs, sets.select(F.col("cls").alias("a"), F.col("elements").alias("xs")), "a", pairs)
     both = salted_join(both, sets.select(F.col("cls").alias("b"), F.col("elements").alias("ys")), "b", pairs)
-    return both.select("a", "b", "xs", "ys").mapInArrow(_linked(percent), "a long, b long")
+    return both.select("a", "b", "xs", "ys").mapInArrow(lean(_linked(percent)), "a long, b long")
 
 
 def _near(least: int):
@@ -216,6 +216,7 @@ def _cross_pairs(key, table, percent: int, least: int):
 
 def _hopeful(percent: int, least: int):
     def run(key, table):
+        tidy()
         seen = sorted({x for pair in _cross_pairs(key, table, percent, least) for x in pair})
         return table.select(["band", "cls", "n", "part", "block", "one", "two"]).take(pa.array(seen, pa.int64()))
 
@@ -224,6 +225,7 @@ def _hopeful(percent: int, least: int):
 
 def _forest_of(percent: int, least: int):
     def run(key, table):
+        tidy()
         reps = table.column("cls").to_pylist()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("elements")]
         parent: dict = {}
@@ -267,7 +269,7 @@ def near_duplicates(
     marks = classes.select("cls", "sig")
     signed = salted_join(pairs, marks.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), "a", pairs)
     signed = salted_join(signed, marks.select(F.col("cls").alias("b"), F.col("sig").alias("sb")), "b", pairs)
-    tried = cut(signed.select("a", "b", "sa", "sb").mapInArrow(_near(least), "a long, b long"))
+    tried = cut(signed.select("a", "b", "sa", "sb").mapInArrow(lean(_near(least)), "a long, b long"))
     # The full sets of all that share a band with another class, made in one pass over the texts.
     wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("node")).distinct()
     text = docs.select(F.col(key).cast("long").alias("node"), "text").join(wanted, "node", "left_semi")

@@ -21,13 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 CAPACITY = 4096
 #: Id that closes every document.
 END = 1
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-MEMO = 500_000
+#: Words whose ids a worker remembers, and the longest of them; beyond it the memory starts anew.
+MEMO, LONGEST = 200_000, 64
 #: Plans of up to so many rows (about 40 bytes each) are broadcast.
 PLAN_ROWS = 200_000
 
@@ -43,7 +43,8 @@ class Encoder:
 
     The tokenizer never joins characters across ASCII blanks, so a text's ids are those of its words.
     Letters and the punctuation after them are separate units too; a word of that plain form goes to
-    the tokenizer's merge model directly, every other word through the whole tokenizer.
+    the tokenizer's merge model directly, every other word through the whole tokenizer.  Whether a
+    tokenizer is of this kind is tried out on loading; one that is not encodes whole words or whole texts itself.
     """
 
     def __init__(self, path: str):
@@ -58,16 +59,31 @@ class Encoder:
         rest = [b for b in range(256) if b not in set(plain)]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
+        direct = lambda w: (lambda m: self._unit(m[1].lower()) + (self._unit(m[2]) if m[2] else b""))(_PLAIN.fullmatch(w))
+        probes = ["Hello", "WORLDS", "q", "naïve", "ÀÉÎÕÜß", "Straße,", "END!!!", "it.)", "antidisestablishment", "xqzjk;"]
+        try:
+            self.plain = all(direct(w) == self._whole(w) for w in probes)
+        except Exception:  # noqa: BLE001 - a model without this interface is used as a whole
+            self.plain = False
+        texts = ["Hello  world\n\tit's 12 cafés , ok", " a b", "x\r\ny ", "..  .. 日本 語"]
+        self.by_word = all(self._whole(t) == b"".join(map(self._whole, _BLANKS.findall(t))) for t in texts)
+        self.units.clear()
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _unit(self, unit: str) -> bytes:
         found = self.units.get(unit)
         if found is None:
-            if len(self.units) > MEMO:
+            if len(self.units) > MEMO or len(unit) > LONGEST:
                 self.units.clear()
             text = unit if unit.isascii() else "".join(map(self.alphabet.__getitem__, unit.encode()))
             found = self.units[unit] = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
         return found
 
     def __call__(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._whole(text)
         words = text.split() if text.isascii() and not _CONTROL.search(text) else _BLANKS.findall(text)
         memo = self.memo
         found = list(map(memo.get, words))
@@ -77,7 +93,7 @@ class Encoder:
             other = []
             for w in words:
                 if w not in memo:
-                    if m := _PLAIN.fullmatch(w):
+                    if self.plain and (m := _PLAIN.fullmatch(w)):
                         letters, marks = m[1].lower(), m[2]
                         memo[w] = self._unit(letters) + (self._unit(marks) if marks else b"")
                     else:
@@ -86,6 +102,9 @@ class Encoder:
             for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
                 memo[w] = np.array(e.ids, "<u4").tobytes()
             found = list(map(memo.__getitem__, words))
+            for w in words:
+                if len(w) > LONGEST:
+                    memo.pop(w, None)
         return b"".join(found)
 
 
@@ -128,7 +147,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, "text").mapInArrow(
-        run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, task int, local long"
+        lean(run), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, task int, local long"
     )
 
 

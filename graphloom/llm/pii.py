@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_by_hash
+from .common import lean, sample_by_hash
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -393,7 +393,7 @@ def find(docs: DataFrame, field: Field, least: float = LEAST, redacted: bool = T
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{kept}, {counts}, base_sha256 string, spans string, n_added long" + ", redacted string" * redacted)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(run), f"{kept}, {counts}, base_sha256 string, spans string, n_added long" + ", redacted string" * redacted)
 
 
 def search(docs: DataFrame) -> DataFrame:

@@ -279,6 +279,22 @@ def test_encoder_equals_the_tokenizer(docs):
         assert np.frombuffer(encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_follows_tokenizers_of_another_kind(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocab = {c: i for i, c in enumerate(["<unk>", *(chr(i) for i in range(33, 127)), "Ġ", "He", "ll", "ĠHe"])}
+    merges = [("H", "e"), ("l", "l"), ("Ġ", "He")]
+    for name, pre in (("cased", pre_tokenizers.WhitespaceSplit()), ("spaced", pre_tokenizers.ByteLevel(add_prefix_space=False))):
+        tok = Tokenizer(models.BPE(vocab, merges, unk_token="<unk>"))
+        tok.pre_tokenizer = pre
+        path = str(tmp_path / f"{name}.json")
+        tok.save(path)
+        encode = packing.encoder(path)
+        for t in ("Hello HELLO hello", "  He said: Hello!\n", "", "x" * 500 + " He"):
+            assert np.frombuffer(encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, (name, t)
+    assert packing.encoder(queries.tokenizer_path()).plain and packing.encoder(queries.tokenizer_path()).by_word
+
+
 def test_packing_odd(odd, none):
     got = packing.pack(odd, queries.tokenizer_path(), 64).toPandas()
     assert len(got[got.piece == 0]) == len(ODD)
