@@ -34,10 +34,10 @@ from .common import crc_of_id, sample_by_hash
 
 #: Words of a window.
 WINDOW = 2
-#: Windows that are compressed in one call.
-AT_ONCE = 4096
+#: Windows that are compressed in one call; texts whose score a task remembers.
+AT_ONCE, REMEMBERED = 4096, 100_000
 #: Bounds of the training sample, in documents of each label and in windows of each label.
-SAMPLE, SAMPLE_WINDOWS = 1500, 400_000
+SAMPLE, SAMPLE_WINDOWS = 1000, 400_000
 #: Bytes of the background, and budget of both sides with the saving that keeps a window, round by round.
 BACKGROUND, ROUNDS = 8_192, ((12_288, 3), (8_192, 4), (4_096, 4), (1_536, 4))
 #: Segment and shortest match of the trainer; splits in halves that are tried, and segments in the last round.
@@ -51,11 +51,13 @@ CUT = 0.3
 HEAD, TAIL = b"0123456789@ABCDEFGHI", b"<> ZYXWVUTSRQPONMLKJ"
 
 
-def windows(text: str | None, step: int = 1, n: int = WINDOW) -> list[bytes]:
-    """Windows of n words, lower-cased, from every ``step``-th word on; a shorter text is one window."""
+def windows(text: str | None, step: int = 1, n: int = WINDOW, head: str = " ", tail: str = " ") -> list[bytes]:
+    """Windows of n words between head and tail, lower-cased, from every ``step``-th word on; a shorter text is one window."""
     words = (text or "").lower().split()
+    if step == 1 and n == 2 and len(words) > 1:
+        return [f"{head}{a} {b}{tail}".encode() for a, b in zip(words, words[1:])]
     last = max(1, len(words) - n + 1) if step == 1 else len(words)
-    return [f" {' '.join(words[i : i + n])} ".encode() for i in range(0, last, step)] if words else []
+    return [f"{head}{' '.join(words[i : i + n])}{tail}".encode() for i in range(0, last, step)] if words else []
 
 
 def train_dictionary(samples: list[bytes], size: int, segment: int = SEGMENT) -> bytes:
@@ -72,7 +74,7 @@ def train_dictionary(samples: list[bytes], size: int, segment: int = SEGMENT) ->
 
 
 def compressor(content: bytes):
-    """Function from windows to their compressed lengths with a dictionary."""
+    """Function from windows, with their carrier or without, to their compressed lengths with a dictionary."""
     held = zs.ZstdCompressionDict(content + HEAD + TAIL, dict_type=zs.DICT_TYPE_RAWCONTENT)
     how = zs.ZstdCompressionParameters(
         format=zs.FORMAT_ZSTD1_MAGICLESS, window_log=17, hash_log=14, chain_log=14, search_log=1, min_match=4, target_length=0,
@@ -81,11 +83,12 @@ def compressor(content: bytes):
     held.precompute_compress(compression_params=how)
     engine = zs.ZstdCompressor(dict_data=held, compression_params=how)
 
-    def lengths(cut: list[bytes]) -> np.ndarray:
+    def lengths(cut: list[bytes], carried: bool = False) -> np.ndarray:
         out = []
         for at in range(0, len(cut), AT_ONCE):
-            packed = engine.multi_compress_to_buffer([HEAD + w + TAIL for w in cut[at : at + AT_ONCE]], threads=1)
-            out += [len(packed[i]) for i in range(len(packed))]
+            part = cut[at : at + AT_ONCE]
+            packed = engine.multi_compress_to_buffer(part if carried else [HEAD + w + TAIL for w in part], threads=1)
+            out += map(len, map(packed.__getitem__, range(len(part))))
         return np.array(out, np.int64)
 
     return lengths
@@ -117,8 +120,8 @@ class Model:
         if len(toxic) < 2 or len(ordinary) < 2:
             return
         bad, plain = _some(toxic, SAMPLE_WINDOWS), _some(ordinary, SAMPLE_WINDOWS)
-        # The pair of dictionaries that tells training documents (some 500 of each label) apart best.
-        best, tried = -1.0, [cut[:: max(1, len(cut) // 500)] for cut in (bad, plain)]
+        # The pair of dictionaries that tells training documents (some 200 of each label) apart best.
+        best, tried = -1.0, [cut[:: max(1, len(cut) // 200)] for cut in (bad, plain)]
         for split in range(SPLITS):
             side = [i >> split & 1 for i in range(max(len(bad), len(plain)))]
             background, rest, chosen = self._sides(bad, plain, side)
@@ -159,13 +162,13 @@ class Model:
 
     def distances(self, text: str | None, step: int = 1) -> np.ndarray:
         """Bytes that the toxic dictionary saves over the ordinary one, window by window."""
-        return self._saved(windows(text, step))
+        return self._saved(windows(text, step, head=HEAD.decode() + " ", tail=" " + TAIL.decode()), True)
 
-    def _saved(self, cut: list[bytes]) -> np.ndarray:
+    def _saved(self, cut: list[bytes], carried: bool = False) -> np.ndarray:
         if not hasattr(self, "_pair"):
             self._use((self.ordinary, self.toxic))
         ordinary, toxic = self._pair
-        return ordinary(cut) - toxic(cut)
+        return ordinary(cut, carried) - toxic(cut, carried)
 
     @staticmethod
     def _features(d: np.ndarray) -> np.ndarray:
@@ -221,8 +224,17 @@ def rate(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m: Model = pickle.loads(sent.value)
+        known: dict[bytes, float] = {}
         for batch in batches:
-            scores = [m.score(t.as_py()) for t in batch.column("text")]
+            scores = []
+            for text in batch.column("text").to_pylist():
+                # Copies of a text are scored once for as long as the task remembers them.
+                key = hashlib.blake2b((text or "").encode(), digest_size=16).digest()
+                if key not in known:
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    known[key] = m.score(text)
+                scores.append(known[key])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
