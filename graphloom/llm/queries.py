@@ -9,7 +9,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, language_id, lm_score, mixing, near_dup, packing, pii, top_k, toxicity, vector_dup
+from . import archives, decontamination, filter_audit, language_id, lm_score, mixing, near_dup, packing, pii, top_k, toxicity, vector_dup, whitening
 from .common import table
 
 
@@ -62,10 +62,22 @@ def op10_arc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.convert(table(spark, sf_dir, "pages")).drop("target_uri")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     found = (
         op1_skip_chain_pii, op2_stupid_backoff, op3_best_fit_packing, op4_minhash_near_dedup, op5_top_k, op6_toxicity,
-        op7_vector_near_dedup, op8_language_id, op9_mixing, op10_arc_converter,
+        op7_vector_near_dedup, op8_language_id, op9_mixing, op10_arc_converter, op11_filter_audit, op12_decontamination, op13_whitening,
     )
     import corpus_pipeline
 
@@ -76,4 +88,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_stupid_backoff": lm_score.ORACLE_SQL, "op4_minhash_near_dedup": near_dup.ORACLE_SQL, "op5_top_k": top_k.ORACLE_SQL,
         "op7_vector_near_dedup": vector_dup.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_arc_converter": archives.ORACLE_SQL,
+        "op11_filter_audit": filter_audit.ORACLE_SQL, "op12_decontamination": decontamination.ORACLE_SQL,
     }
