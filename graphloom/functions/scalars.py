@@ -69,6 +69,22 @@ def adapt_rho(rho: float, primal: float, dual: float, mu: float = 10.0, tau: flo
     return rho / tau if dual > mu * primal else rho
 
 
+def newton_root(a: Column, p: float, steps: int = 12) -> Column:
+    """Root of (x / a) ** (p - 1) + x = 1 on [0, min(a, 1)] by Newton's method; 0 where a <= 0.
+
+    For p < 2 the left side is concave and the steps climb from below, for p > 2 it is convex and they come down
+    from above, so they neither overshoot nor need a bracket.
+    """
+    half = F.lit(0.5 if p < 2 else 1.0)
+    first = F.least(half, a * F.pow(half, F.lit(1.0 / (p - 1))))
+
+    def better(x: Column, _: Column) -> Column:
+        power = F.pow(x / a, F.lit(p - 1.0))
+        return x - (power + x - 1) / (F.lit(p - 1.0) * power / x + 1)
+
+    return F.when(a > 0, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, better)).otherwise(F.lit(0.0))
+
+
 def bisect_root(a: Column, p: float, steps: int = 60) -> Column:
     """Root of (x / a) ** (p - 1) + x = 1 on [0, min(a, 1)]; 0 where a <= 0.  Fixed number of halvings."""
     start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import adapt_rho
 from ..plans.loop import iterate, settle
 from ..sources import writers
-from . import blocks, projection
+from . import blocks, pnorm, projection
 from .objective import coefficients
 
 
@@ -29,15 +29,24 @@ class Options:
     alpha: float = 1.0
     lam: float = 1.0
     rho_in: float = 1.0
+    #: For norm "p": the norm, inner rounds at most, their tolerance (0: run them all) and dual step.
     p: float = 1.5
-    inner: int = 40
+    inner: int = 100
+    inner_tol: float = 1e-6
+    alpha_in: float = 1.0
     #: None: one closed-form block for each objective; else the number of dense blocks.
     blocks: int | None = None
+    #: Dense blocks by a table (i, j, part_id) in place of a hash.
+    placement: DataFrame | None = None
     adapt: bool = False
     #: Stop when every primal residual and the dual residual are at most this (0: run all rounds).
     tol: float = 0.0
     trace: list[dict] = field(default_factory=list)
 
+    @property
+    def dense(self) -> bool:
+        return bool(self.blocks) or self.placement is not None
+
 
 def initial(support: DataFrame, terms: DataFrame, n2: int, cost: DataFrame | None = None, options: Options | None = None) -> dict[str, DataFrame]:
     """All primals 1 / n2, all duals 0; a pair without a cost has cost 0."""
@@ -49,17 +58,20 @@ def initial(support: DataFrame, terms: DataFrame, n2: int, cost: DataFrame | Non
     else:
         priced = pairs.join(cost.select("u", "v", "d"), ["u", "v"], "left").select("u", "v", F.coalesce("d", zero).alias("d"))
     a = coefficients(terms)
-    if options.blocks:
-        a = blocks.block_ids(a, options.blocks)
-        copies = a.select("block_id", "u", "v").distinct()
+    if options.dense:
+        a = settle(blocks.block_ids(a, options.blocks) if options.placement is None else blocks.placed(a, options.placement))
+        copies = blocks.copies_of(a)
     else:
         copies = a.select("i", "j", "u", "v", "a")
+    copies = copies.withColumn("p", start).withColumn("phi", zero)
+    split = {"y": pnorm.start(copies, a)} if options.norm == "p" else {}
     return {
         "z": priced.select("u", "v", start.alias("z")),
         "q": priced.select("u", "v", "d", start.alias("q"), zero.alias("xi")),
         "t": priced.select("u", "v", "d", start.alias("t"), zero.alias("psi")),
-        "p": copies.withColumn("p", start).withColumn("phi", zero),
+        "p": copies,
         "a": a,
+        **split,
     }
 
 
@@ -69,14 +81,19 @@ def _family(rows: DataFrame, z: DataFrame, by: str, x: str, dual: str, rho: floa
     return projection.simplex(on, by, "zbar", x).select("u", "v", "d", x, dual)
 
 
-def _blocks(state: dict[str, DataFrame], o: Options) -> DataFrame:
+def _blocks(state: dict[str, DataFrame], o: Options) -> dict[str, DataFrame]:
+    """New copies p, and for the p-norm y."""
     on = state["p"].join(state["z"], ["u", "v"]).withColumn("phi", F.col("phi") + F.lit(o.alpha) * (F.col("p") - F.col("z")))
-    on = on.withColumn("zbar", F.col("z") - F.col("phi")).drop("z", "p")
-    if not o.blocks:
-        return blocks.closed_form(on, o.norm, o.rho_p, o.rho_in).drop("zbar")
+    on = on.withColumn("zbar", F.col("z") - F.col("phi")).drop("z")
+    if o.norm == "p":
+        p, y = pnorm.solve(settle(on), state["y"], state["a"], o.p, o.rho_p, o.rho_in, o.inner, o.inner_tol, o.alpha_in)
+        return {"p": p.drop("zbar"), "y": settle(y)}
+    on = on.drop("p")
+    if not o.dense:
+        return {"p": settle(blocks.closed_form(on, o.norm, o.rho_p, o.rho_in).drop("zbar"))}
     dealt = state["a"].join(on, ["block_id", "u", "v"])
-    solved = blocks.block_step(dealt, o.norm, o.rho_p, o.p, o.rho_in, o.inner)
-    return on.drop("zbar").join(solved, ["block_id", "u", "v"])
+    solved = blocks.block_step(dealt, o.norm, o.rho_p)
+    return {"p": settle(on.drop("zbar").join(solved, ["block_id", "u", "v"]))}
 
 
 def step(state: dict[str, DataFrame], o: Options) -> dict[str, DataFrame]:
@@ -84,7 +101,8 @@ def step(state: dict[str, DataFrame], o: Options) -> dict[str, DataFrame]:
     # Settled before Z is made of them, so that no family is computed twice.
     q = settle(_family(state["q"], z, "u", "q", "xi", o.rho_q, o))
     t = settle(_family(state["t"], z, "v", "t", "psi", o.rho_t, o))
-    p = settle(_blocks(state, o))
+    own = _blocks(state, o)
+    p = own["p"]
     parts = [
         q.select("u", "v", (F.col("q") + F.col("xi")).alias("x"), F.lit(o.rho_q).alias("rho")),
         t.select("u", "v", (F.col("t") + F.col("psi")).alias("x"), F.lit(o.rho_t).alias("rho")),
@@ -92,7 +110,7 @@ def step(state: dict[str, DataFrame], o: Options) -> dict[str, DataFrame]:
     ]
     every = parts[0].union(parts[1]).union(parts[2])
     mean = F.sum(F.col("x") * F.col("rho")) / F.sum("rho")
-    return {"z": every.groupBy("u", "v").agg(mean.alias("z")), "q": q, "t": t, "p": p, "a": state["a"]}
+    return {"z": every.groupBy("u", "v").agg(mean.alias("z")), "q": q, "t": t, "a": state["a"], **own}
 
 
 def align(
@@ -125,7 +143,7 @@ def align(
                     dump(new, folder, done + n + 1, o)
         return new
 
-    fixed = frozenset({"q", "t", "p", "a", *(["z"] if watched else [])})
+    fixed = frozenset({"q", "t", "p", "y", "a", *(["z"] if watched else [])})
     return iterate(state, one, rounds, (lambda old, new: small) if o.tol > 0 else None, settled=fixed)
 
 
@@ -143,6 +161,27 @@ def residuals(old: dict[str, DataFrame], new: dict[str, DataFrame], o: Options |
     return out.select("metric", "value").union(dual)
 
 
+def block_stats(old: dict[str, DataFrame], new: dict[str, DataFrame], o: Options | None = None) -> DataFrame:
+    """metric, mean, least, most over the blocks of one round from ``old`` to ``new``.
+
+    variables, objectives: copies and objectives of a block; pobj: its objectives at the new copies (half the
+    squares, absolute values, or p-th powers, added up); rhoerr: rho / 2 times the squared distance of the copies
+    from where they were drawn to; proximalobj: both; zobj: its objectives at the old Z.
+    """
+    o = o or Options()
+    block = ["block_id"] if o.dense else ["i", "j"]
+    near = new["p"].join(old["z"].select("u", "v", "z"), ["u", "v"]).withColumn("err", F.pow(F.col("p") - F.col("z") + F.col("phi"), F.lit(2.0)))
+    own = near.groupBy(*block).agg(F.count_distinct("u", "v").cast("double").alias("variables"), (F.lit(o.rho_p / 2) * F.sum("err")).alias("rhoerr"))
+    rows = near if not o.dense else new["a"].join(near.drop("a"), ["block_id", "u", "v"])
+    f = rows.groupBy(*dict.fromkeys([*block, "i", "j"])).agg(F.sum(F.col("a") * F.col("p")).alias("f"), F.sum(F.col("a") * F.col("z")).alias("g"))
+    power, half = {"l1": (1.0, 1.0), "l2": (2.0, 0.5), "p": (o.p, 1.0)}[o.norm]
+    cost = [(F.lit(half) * F.sum(F.pow(F.abs(x), F.lit(power)))).alias(name) for x, name in (("f", "pobj"), ("g", "zobj"))]
+    each = own.join(f.groupBy(*block).agg(F.count(F.lit(1)).cast("double").alias("objectives"), *cost), block).withColumn("proximalobj", F.col("pobj") + F.col("rhoerr"))
+    names = ["variables", "objectives", "pobj", "rhoerr", "proximalobj", "zobj"]
+    long = each.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("x")) for n in names])).alias("s")).select("s.*")
+    return long.groupBy("metric").agg(F.avg("x").alias("mean"), F.min("x").alias("least"), F.max("x").alias("most"))
+
+
 def simplex_condition(z: DataFrame, by: str) -> DataFrame:
     """Least and largest row (by u) or column (by v) sum."""
     sums = z.groupBy(by).agg(F.sum("z").alias("s"))
@@ -165,7 +204,10 @@ def save(state: dict[str, DataFrame], folder: str) -> None:
 
 
 def resume(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("z", "q", "t", "p", "a")}
+    """The tables of a saved state: y is there for the p-norm only."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/y")
+    split = ["y"] if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else []
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("z", "q", "t", "p", "a", *split)}
 
 
 def dump(state: dict[str, DataFrame], folder: str, done: int, o: Options) -> None:

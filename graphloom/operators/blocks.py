@@ -41,6 +41,29 @@ def block_ids(coefficients: DataFrame, blocks: int) -> DataFrame:
     return coefficients.withColumn("block_id", F.pmod(F.xxhash64("i", "j"), F.lit(blocks)).cast("int"))
 
 
+def placed(coefficients: DataFrame, placement: DataFrame) -> DataFrame:
+    """Deals objectives to the blocks that ``placement(i, j, part_id)`` names; one that it does not name is an error."""
+    parts = placement.select("i", "j", F.col("part_id").cast("int").alias("block_id")).dropDuplicates(["i", "j"])
+    out = coefficients.join(parts, ["i", "j"], "left")
+    lost = out.where("block_id is null").select("i", "j").distinct().count()
+    if lost:
+        raise ValueError(f"{lost} objectives have no part")
+    return out
+
+
+def copies_of(coefficients: DataFrame) -> DataFrame:
+    """block_id, u, v: the variables that each block holds a copy of."""
+    return coefficients.select("block_id", "u", "v").distinct()
+
+
+def copy_counts(coefficients: DataFrame) -> DataFrame:
+    """One row: blocks, objectives, variables, copies of them in all blocks, and copies in the largest block."""
+    each = copies_of(coefficients).groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
+    size = each.agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("copies"), F.max("n").alias("largest"))
+    many = coefficients.agg(F.count_distinct("i", "j").alias("objectives"), F.count_distinct("u", "v").alias("variables"))
+    return many.crossJoin(F.broadcast(size))  # one row each
+
+
 def dense(pdf: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame, pd.DataFrame]:
     """Matrix D (objectives x variables) of a block with the order of both."""
     row = pdf.groupby(["i", "j"], sort=True).ngroup().to_numpy()
@@ -65,12 +88,64 @@ def solve_ls(d: np.ndarray, zbar: np.ndarray, target: np.ndarray, rho: float, rh
     return zbar + d.T @ np.linalg.solve(rho / rho_in * np.eye(len(d)) + d @ d.T, target - d @ zbar)
 
 
-def solve_l1(d: np.ndarray, zbar: np.ndarray, rho: float, sweeps: int = 2000, tol: float = 1e-10) -> np.ndarray:
-    """argmin ||D x||_1 + rho / 2 ||x - zbar||^2 through its dual box problem.
+def solve_l1(d: np.ndarray, zbar: np.ndarray, rho: float, sweeps: int = 2000) -> np.ndarray:
+    """argmin ||D x||_1 + rho / 2 ||x - zbar||^2, by the path of its dual from infinity down to 1 / rho.
 
-    The dual is min 1/2 ||zbar - D'w / rho||^2 with |w| <= 1; coordinates are minimised in turn.  Raises
-    RuntimeError if the duality gap is not closed after so many sweeps.
+    The path is finite and exact, and checked by the duality gap; where rounding in a degenerate D spoils it,
+    coordinate sweeps go on from the best dual found, and RuntimeError is raised if the gap stays open.
     """
+    x, w = dual_path(d, zbar, 1 / rho)
+    return x if gap(d, x, w) <= 1e-9 * (1 + np.abs(d @ x).sum()) else sweep_l1(d, zbar, rho, sweeps)
+
+
+def gap(d: np.ndarray, x: np.ndarray, w: np.ndarray) -> float:
+    """||D x||_1 - w'Dx, plus what |w| exceeds 1 by: 0 where x = zbar - D'w / rho is the solution."""
+    f = d @ x
+    return float(np.abs(f).sum() - w @ f + np.maximum(np.abs(w) - 1, 0).sum())
+
+
+def dual_path(d: np.ndarray, zbar: np.ndarray, end: float, eps: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """x and w, |w| <= 1, of min 1/2 ||x - zbar||^2 + end ||D x||_1; x = zbar - end D'w.
+
+    The dual min ||zbar - D'm|| over |m| <= t is followed down from t = infinity.  Rows with |m| = t are on the
+    boundary with their sign, the others solve a least-squares problem, so that m = a - t b between kinks.  A row
+    joins the boundary when |a - t b| reaches t, and leaves it when its value in D x is about to change its sign.
+    """
+    rows = len(d)
+    sign = np.zeros(rows)  # 0: not on the boundary
+    scale = eps * (1 + np.abs(zbar).sum())
+    t, came = np.inf, -1
+    for _ in range(20 * rows + 20):
+        free, held = np.flatnonzero(sign == 0), np.flatnonzero(sign)
+        pull = d[held].T @ sign[held]
+        a, b = np.linalg.lstsq(d[free].T, np.c_[zbar, pull], rcond=1e-12)[0].T if len(free) else np.zeros((2, 0))
+        joins = np.zeros(len(free))
+        for s in (1.0, -1.0):
+            speed = 1 + s * b
+            ready = (speed > eps) & (s * a > scale)
+            joins[ready] = np.maximum(joins[ready], np.minimum(s * a[ready] / speed[ready], t))
+        # Values in D x of the rows on the boundary, as c - t e.
+        c = sign[held] * (d[held] @ (zbar - d[free].T @ a))
+        e = sign[held] * (d[held] @ (pull - d[free].T @ b))
+        leaves, ready = np.zeros(len(held)), (c < -scale) & (e < -scale) & (held != came)
+        leaves[ready] = np.minimum(c[ready] / e[ready], t)
+        join, leave = joins.max(initial=0.0), leaves.max(initial=0.0)
+        if max(join, leave) <= end:
+            m = np.zeros(rows)
+            m[held], m[free] = end * sign[held], a - end * b
+            return zbar - d.T @ m, m / end
+        if join >= leave:
+            k = int(joins.argmax())
+            t, came = join, free[k]
+            sign[came] = 1.0 if a[k] - t * b[k] > 0 else -1.0
+        else:
+            t, came = leave, -1
+            sign[held[leaves.argmax()]] = 0.0
+    return zbar.copy(), np.zeros(rows)
+
+
+def sweep_l1(d: np.ndarray, zbar: np.ndarray, rho: float, sweeps: int = 2000, tol: float = 1e-12) -> np.ndarray:
+    """The same minimum by minimising the dual's coordinates in turn; RuntimeError if the gap stays open."""
     w, x = np.zeros(len(d)), zbar.copy()
     size = (d * d).sum(axis=1)
     for _ in range(sweeps):
@@ -84,65 +159,24 @@ def solve_l1(d: np.ndarray, zbar: np.ndarray, rho: float, sweeps: int = 2000, to
         if moved < tol:
             break
     else:
-        gap = np.abs(d @ x).sum() - w @ (d @ x)
-        if gap > 1e-5 * (1 + np.abs(d @ x).sum()):
-            raise RuntimeError(f"the l1 block is not solved after {sweeps} sweeps; its duality gap is {gap:.3g}")
+        left = gap(d, x, w)
+        if left > 1e-5 * (1 + np.abs(d @ x).sum()):
+            raise RuntimeError(f"the l1 block is not solved after {sweeps} sweeps; its duality gap is {left:.3g}")
     return x
 
 
-def prox_vector(n: np.ndarray, p: float, rho: float, steps: int = 60) -> np.ndarray:
-    """Prox of the p-norm of a dense vector (p = 1, 2 in closed form)."""
-    if p == 1:
-        return np.sign(n) * np.maximum(np.abs(n) - 1 / rho, 0)
-    if p == 2:
-        norm = np.linalg.norm(n)
-        return np.zeros_like(n) if norm <= 1 / rho else (1 - 1 / (rho * norm)) * n
-    a = np.abs(n) * rho
-    if (a ** (p / (p - 1))).sum() <= 1:
-        return np.zeros_like(n)
-    lo, hi = 0.0, float((a**p).sum() ** (1 / p))
-    for _ in range(steps):
-        mid = (lo + hi) / 2
-        y = _roots(a, mid, p, steps)
-        lo, hi = (mid, hi) if (y**p).sum() ** (1 / p) > mid else (lo, mid)
-    return np.sign(n) * _roots(a, (lo + hi) / 2, p, steps) / rho
-
-
-def _roots(a: np.ndarray, norm: float, p: float, steps: int) -> np.ndarray:
-    lo, hi = np.zeros_like(a), a.copy()
-    for _ in range(steps):
-        mid = (lo + hi) / 2
-        low = mid + norm ** (1 - p) * mid ** (p - 1) < a
-        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
-    return (lo + hi) / 2
-
-
-def inner_admm(d, zbar, y, ups, p: float, rho: float, rho_in: float, rounds: int = 40, tol: float = 0.0):
-    """p-norm block by splitting Y = D x: dual ascent, prox of Y, least squares for x."""
-    x = zbar.copy()
-    for _ in range(rounds):
-        y_new = prox_vector(d @ x - ups, p, rho_in)
-        x_new = solve_ls(d, zbar, y_new + ups, rho, rho_in)
-        ups = ups + y_new - d @ x_new
-        primal, dual = np.linalg.norm(y_new - d @ x_new), np.linalg.norm(x_new - x) + np.linalg.norm(y_new - y)
-        x, y = x_new, y_new
-        if tol and primal < tol and dual < tol:
-            break
-    return x, y, ups
-
+def block_step(block: DataFrame, kind: str, rho: float) -> DataFrame:
+    """block_id, u, v, p of ``block(block_id, i, j, u, v, a, zbar)`` by the dense kernel ``kind``: l1 or l2.
 
-def block_step(block: DataFrame, kind: str, rho: float, p: float = 1.5, rho_in: float = 1.0, rounds: int = 40) -> DataFrame:
-    """block_id, u, v, p of ``block(block_id, i, j, u, v, a, zbar)`` by the dense kernel ``kind``: l1, l2 or p."""
+    The p-norm is one norm over all blocks and has no step of its own here: see ``pnorm``.
+    """
+    if kind not in ("l1", "l2"):
+        raise ValueError(f"unknown dense block step {kind}")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         d, variables, _ = dense(pdf)
         zbar = variables["zbar"].to_numpy()
-        if kind == "l2":
-            x = solve_l2(d, zbar, rho)
-        elif kind == "l1":
-            x = solve_l1(d, zbar, rho)
-        else:
-            x, _, _ = inner_admm(d, zbar, d @ zbar, np.zeros(len(d)), p, rho, rho_in, rounds)
+        x = solve_l2(d, zbar, rho) if kind == "l2" else solve_l1(d, zbar, rho)
         return variables[["block_id", "u", "v"]].assign(p=x)
 
     kinds = {f.name: f.dataType.simpleString() for f in block.schema.fields}

@@ -12,7 +12,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.loop import settle
+from .components import is_connected
 from .graph import nodes, symmetrise
+from .ranks import ranked
 
 
 def chance(seed: int, *columns: Column) -> Column:
@@ -130,18 +133,76 @@ def barabasi_albert(spark: SparkSession, n: int, m: int, seed: int = 1) -> DataF
     return _driver(spark, pairs)
 
 
-def watts_strogatz(spark: SparkSession, n: int, k: int, p: float, seed: int = 1) -> DataFrame:
-    """Ring lattice of k neighbours, each edge moved with probability p (a moved edge may meet another)."""
-    lattice = spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(max(1, k // 2)))).alias("s"))
-    kept = F.when(chance(seed, F.col("src"), F.col("s")) < p, F.floor(chance(seed + 1, F.col("src"), F.col("s")) * n)).otherwise((F.col("src") + F.col("s")) % n)
-    return symmetrise(lattice.select("src", kept.cast("long").alias("dst")).where("src <> dst"))
+def watts_strogatz(spark: SparkSession, n: int, k: int, p: float, seed: int = 1, tries: int = 100, rounds: int = 100) -> DataFrame:
+    """A connected ring lattice of k neighbours whose edges are each moved with probability p.
 
-
-def small_world(spark: SparkSession, side: int, seed: int = 1) -> DataFrame:
-    """Grid with one long link for each node."""
-    n = side * side
-    far = spark.range(n).select(F.col("id").alias("src"), F.floor(chance(seed, F.col("id")) * n).cast("long").alias("dst")).where("src <> dst")
-    return symmetrise(grid(spark, side, side).union(far))
+    A moved edge (src, s) keeps its source and draws another end until it meets neither itself nor another edge; of
+    several that draw one pair in a round the first (src, s) has it.  So n * (k // 2) edges stay whatever p is.  Graphs that fall
+    apart are drawn again; RuntimeError after ``tries`` of them, ValueError where there is no room for the edges.
+    """
+    if k // 2 < 1 or 2 * (k // 2) >= n:
+        raise ValueError("k must be at least 2, and below n")
+    for t in range(tries):
+        edges = _moved_lattice(spark, n, k // 2, p, seed + 1000 * t, rounds)
+        if is_connected(edges):
+            return edges
+    raise RuntimeError(f"no connected graph in {tries} tries")
+
+
+def _moved_lattice(spark: SparkSession, n: int, half: int, p: float, seed: int, rounds: int) -> DataFrame:
+    unit = lambda *c: drawn(*c) / F.lit(float(1 << 52))
+    lattice = spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(half))).alias("s"))
+    lattice = settle(lattice.withColumn("moved", unit(F.col("src"), F.col("s"), F.lit(seed)) < p))
+    far = (F.col("src") + F.col("s")) % n
+    have = settle(lattice.where("not moved").select(F.least("src", far).alias("a"), F.greatest("src", far).alias("b")))
+    left = lattice.where("moved").select("src", "s")
+    for turn in range(rounds):
+        end = F.floor(unit(F.col("src"), F.col("s"), F.lit(seed + 1), F.lit(turn)) * n).cast("long")
+        tried = left.withColumn("end", end).withColumn("a", F.least("src", "end")).withColumn("b", F.greatest("src", "end"))
+        won = tried.where("a <> b").join(have, ["a", "b"], "left_anti").groupBy("a", "b").agg(F.min(F.struct("src", "s")).alias("w"))
+        won = settle(won.select("a", "b", "w.src", "w.s"))
+        have = settle(have.union(won.select("a", "b")))
+        left = settle(left.join(won.select("src", "s"), ["src", "s"], "left_anti"))
+        if left.isEmpty():
+            return symmetrise(have.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    raise RuntimeError(f"edges are left to move after {rounds} rounds")
+
+
+def small_world(spark: SparkSession, side: int, seed: int = 1, power: float = 2.0) -> DataFrame:
+    """Directed: a grid (both ways), and for each node one long link to a node at grid distance d with probability ~ d ** -power.
+
+    A ring of distance d is a node's choice with the number of its nodes that lie on the grid times d ** -power; the
+    node in the ring is drawn evenly.  Rings are counted by formula, so no pairs are listed.
+    """
+    x, y = F.floor(F.col("id") / side).cast("long"), (F.col("id") % side).cast("long")
+    node = spark.range(side * side).select(F.col("id").alias("src"), x.alias("x"), y.alias("y"))
+    # Four half-open quadrants (dx > 0, dy >= 0 and its turns): extent along the open axis and along the other.
+    up, down, right, left = F.lit(side - 1) - F.col("x"), F.col("x"), F.lit(side - 1) - F.col("y"), F.col("y")
+    quadrants = [(up, right), (right, down), (down, left), (left, up)]
+    first = lambda d, b: F.greatest(F.lit(1).cast("long"), d - b)
+    held = lambda d, a, b: F.greatest(F.lit(0).cast("long"), F.least(a, d) - first(d, b) + 1)
+    ring = lambda d: sum((held(d, a, b) for a, b in quadrants[1:]), held(d, *quadrants[0]))
+    rings = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(max(1, 2 * (side - 1))).cast("long")), lambda d: F.struct(d.alias("d"), (ring(d) * F.pow(d.cast("double"), F.lit(-power))).alias("w")))
+    node = node.withColumn("rings", rings).withColumn("total", F.aggregate(F.transform("rings", lambda r: r["w"]), F.lit(0.0), lambda s, w: s + w))
+    aim = drawn(F.col("src"), F.lit(1), F.lit(seed)) / F.lit(float(1 << 52)) * F.col("total")
+    node = node.withColumn("aim", aim)
+    chosen = F.aggregate(
+        "rings", F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("d")),
+        lambda s, r: F.when((s["sum"] > F.col("aim")) | (r["w"] <= 0), s).otherwise(F.struct((s["sum"] + r["w"]).alias("sum"), r["d"].alias("d"))),
+    )["d"]
+    node = node.where("total > 0").select("src", "x", "y", chosen.alias("d"))
+    node = node.withColumn("k", F.floor(drawn(F.col("src"), F.lit(2), F.lit(seed)) / F.lit(float(1 << 52)) * ring(F.col("d"))).cast("long"))
+    d, k, base, dx, dy = F.col("d"), F.col("k"), F.lit(0).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long")
+    for (a, b), (i, j) in zip(quadrants, ((1, 1), (-1, 1), (-1, -1), (1, -1))):
+        n = held(d, a, b)
+        here = (k >= base) & (k < base + n)
+        along = first(d, b) + k - base
+        # The open axis is x in the first and third quadrant, y in the others.
+        step = (along * i, (d - along) * j) if i == j else ((d - along) * i, along * j)
+        dx, dy = F.when(here, step[0]).otherwise(dx), F.when(here, step[1]).otherwise(dy)
+        base = base + n
+    far = node.select("src", ((F.col("x") + dx) * side + F.col("y") + dy).alias("dst"))
+    return grid(spark, side, side).union(far).distinct()
 
 
 def regular(spark: SparkSession, n: int, degree: int, seed: int = 1) -> DataFrame:
@@ -175,12 +236,10 @@ def powerlaw_tree(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
 
 
 def permutation(edges: DataFrame, seed: int = 1) -> DataFrame:
-    """u, v: nodes in order and the same nodes in the order of a seeded hash (ranked as one list of ids)."""
-    from pyspark.sql import Window
-
+    """u, v: nodes in order and the same nodes in the order of a seeded draw, ranked range by range."""
     every = nodes(edges)
-    a = every.select(F.col("node").alias("u"), F.row_number().over(Window.orderBy("node")).alias("k"))
-    b = every.select(F.col("node").alias("v"), F.row_number().over(Window.orderBy(F.xxhash64("node", F.lit(seed)), "node")).alias("k"))
+    a = ranked(every.select(F.col("node").alias("u")), "u", out="k")
+    b = ranked(every.select(F.col("node").alias("v"), drawn(F.col("node"), F.lit(seed)).alias("_draw")), "_draw", "v", out="k")
     return a.join(b, "k").select("u", "v")
 
 
@@ -198,8 +257,17 @@ def perturb(edges: DataFrame, keep: float, n: int, seed: int = 1) -> DataFrame:
     return stay if added is None else stay.select("src", "dst").union(added)
 
 
+#: Outliers that are broadcast.
+MOST_OUTLIERS = 100_000
+
+
 def disturb(edges: DataFrame, outliers: DataFrame) -> DataFrame:
-    """Outlier nodes (``outliers(node)``) lose their edges and are joined to every node."""
+    """Outlier nodes (``outliers(node)``) lose their edges and are joined to every node.
+
+    The result has nodes times outliers edges; more than ``MOST_OUTLIERS`` outliers are an error.
+    """
+    if outliers.limit(MOST_OUTLIERS + 1).count() > MOST_OUTLIERS:
+        raise ValueError(f"more than {MOST_OUTLIERS} outliers")
     off = edges.join(outliers.withColumnRenamed("node", "src"), "src", "left_anti").join(outliers.withColumnRenamed("node", "dst"), "dst", "left_anti")
     every = nodes(edges).crossJoin(F.broadcast(outliers.withColumnRenamed("node", "o"))).where("node <> o")  # outliers are a given few
     return off.select("src", "dst").union(symmetrise(every.select(F.col("node").alias("src"), F.col("o").alias("dst")))).distinct()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bisect_root, euclid_shrink, soft_threshold
+from ..functions.scalars import euclid_shrink, newton_root, soft_threshold
+from ..plans.loop import settle
 
 
 def simplex(rows: DataFrame, by: str | tuple[str, ...], x: str, out: str, radius: float = 1.0, ties: tuple[str, ...] = ("u", "v")) -> DataFrame:
@@ -32,32 +33,43 @@ def prox_l2(rows: DataFrame, x: str, rho: float, out: str = "y") -> DataFrame:
     return rows.crossJoin(F.broadcast(norm)).withColumn(out, euclid_shrink(F.col(x), 1.0 / rho, F.col("_norm"))).drop("_norm")
 
 
-def _entry(n: Column, norm: Column, p: float, steps: int) -> Column:
-    """max(|y|): root of |y| + norm ** (1 - p) |y| ** (p - 1) = |n|, as a share of |n|."""
-    a = norm * F.pow(n, F.lit((2 - p) / (p - 1)))
+def _entry(n: Column, norm: Column, p: float) -> Column:
+    """|y|: root of |y| + norm ** (1 - p) |y| ** (p - 1) = n for n >= 0."""
     # With y = n x, the equation is x + (x / a) ** (p - 1) = 1.
-    return F.when(n > 0, n * bisect_root(a, p, steps)).otherwise(F.lit(0.0))
+    return n * newton_root(norm * F.pow(n, F.lit((2 - p) / (p - 1))), p)
 
 
-def prox_p(rows: DataFrame, x: str, p: float, rho: float, out: str = "y", outer: int = 40, inner: int = 60) -> DataFrame:
+def prox_p(rows: DataFrame, x: str, p: float, rho: float, out: str = "y", passes: int = 100) -> DataFrame:
     """Prox of the p-norm (p > 1) with penalty rho: argmin ||y||_p + rho / 2 ||y - x||^2.
 
-    Zero if the dual norm of rho x is 1 at most; otherwise the norm of the solution is found by
-    bisection, each step one aggregate, and each entry by a fixed number of halvings.
+    Zero if the dual norm of rho x is 1 at most.  Otherwise the norm of the solution is the root of a decreasing
+    function, found by Newton's method inside a bracket: each pass is one aggregate that gives the
+    function and its slope, and each entry is solved by a fixed number of steps.  The input is read once for each pass, so
+    it is settled first.
     """
     if p <= 1:
         raise ValueError("p must exceed 1; use prox_l1 for the 1-norm")
-    q = p / (p - 1)
+    rows = settle(rows)
+    q, power = p / (p - 1), F.lit(float(p))
     n = F.abs(F.col(x)) * F.lit(float(rho))
-    head = rows.agg(
-        F.sum(F.pow(n, F.lit(q))).alias("dual"), F.pow(F.sum(F.pow(n, F.lit(float(p)))), F.lit(1.0 / p)).alias("top")
-    ).first()
+    head = rows.agg(F.sum(F.pow(n, F.lit(q))).alias("dual"), F.pow(F.sum(F.pow(n, power)), F.lit(1.0 / p)).alias("top")).first()
     if head["dual"] is None or head["dual"] <= 1:
         return rows.withColumn(out, F.lit(0.0))
     lo, hi = 0.0, head["top"]
-    for _ in range(outer):
-        mid = (lo + hi) / 2
-        got = rows.agg(F.sum(F.pow(_entry(n, F.lit(mid), p, inner), F.lit(float(p))))).first()[0] ** (1.0 / p)
-        lo, hi = (mid, hi) if got > mid else (lo, mid)
-    y = _entry(n, F.lit((lo + hi) / 2), p, inner)
-    return rows.withColumn(out, F.signum(F.col(x)) * y / F.lit(float(rho)))
+    at = hi / 2
+    for _ in range(passes):
+        y = _entry(n, F.lit(at), p)
+        held = rows.where(F.col(x) != 0).select(y.alias("_y"))
+        # d y / d norm for y + norm ** (1 - p) y ** (p - 1) = n
+        slope = F.lit(p - 1.0) * F.pow(F.col("_y") / F.lit(at), power - 1) / (F.lit(at) * (1 / F.lit(at) * F.lit(p - 1.0) * F.pow(F.col("_y") / F.lit(at), power - 2) + 1))
+        s, t = held.where("_y > 0").agg(F.sum(F.pow("_y", power)), F.sum(F.pow("_y", power - 1) * slope)).first()
+        s, t = s or 0.0, t or 0.0
+        norm = s ** (1 / p)
+        lo, hi = (at, hi) if norm > at else (lo, at)
+        if abs(norm - at) <= 1e-13 * at or hi - lo <= 1e-14 * hi:
+            break
+        step = at - (norm - at) / ((norm / s * t if s else 0.0) - 1)
+        at = step if lo < step < hi else (lo + hi) / 2
+    else:
+        raise RuntimeError(f"the norm of the prox is not found after {passes} passes")
+    return rows.withColumn(out, F.signum(F.col(x)) * F.when(n > 0, _entry(n, F.lit(at), p)).otherwise(F.lit(0.0)) / F.lit(float(rho)))

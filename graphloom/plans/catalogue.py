@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import admm, assignment, blocks, evaluate, generate, graph, objective, projection, support
+from ..operators import admm, assignment, blocks, components, evaluate, generate, graph, objective, projection, support
 from ..sources import readers, writers
 from ..streaming import partitioner
 from . import fixtures as fx
@@ -347,7 +348,19 @@ def euclid_prox(s, d):
     return rounded(projection.prox_l2(_vector(s, d), "n", 2.0).select("key", "y"), "y")
 
 
-@query(None)
+def pnorm_sql(steps: int = 60) -> str:
+    """Prox of the 1.5-norm with penalty 1: bisection for its norm, entries by the quadratic formula in sqrt(y)."""
+    text = "WITH n AS (SELECT c_custkey AS key, sign(c_acctbal) AS s, abs(c_acctbal / 1000) AS n FROM customer)"
+    text += "\n, k0 AS (SELECT 0.0::DOUBLE AS lo, power(sum(power(n, 1.5::DOUBLE)), 1 / 1.5::DOUBLE) AS hi FROM n)"
+    root = "power((sqrt(2 / (lo + hi) + 4 * n) - sqrt(2 / (lo + hi))) / 2, 2)"
+    for k in range(1, steps + 1):
+        text += f"""
+, c{k} AS MATERIALIZED (SELECT lo, hi, power(sum(power({root}, 1.5::DOUBLE)), 1 / 1.5::DOUBLE) > (lo + hi) / 2 AS low FROM n, k{k - 1} GROUP BY lo, hi)
+, k{k} AS MATERIALIZED (SELECT CASE WHEN low THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN low THEN hi ELSE (lo + hi) / 2 END AS hi FROM c{k})"""
+    return text + f"\nSELECT key, round(s * {root}, 6) AS y FROM n, k{steps} WHERE (SELECT sum(power(n, 3)) FROM n) > 1"
+
+
+@query(pnorm_sql())
 def pnorm_prox(s, d):
     return rounded(projection.prox_p(_vector(s, d), "n", 1.5, 1.0).select("key", "y"), "y")
 
@@ -377,9 +390,31 @@ def admm_sql(norm: str, rounds: int, priced: bool, adds: str) -> str:
     return sql(text + adds.format(k=rounds))
 
 
-def _align(s, d, norm: str, rounds: int, priced: bool = False, dense: int | None = None) -> dict:
+def pnorm_admm_sql(rounds: int, inner: int) -> str:
+    """As ``admm_sql`` for the 2-norm of all objectives: Y and Upsilon go on from round to round, every penalty 1."""
+    text = admm_sql("l2", rounds, False, Z)
+    for k in range(1, rounds + 1):
+        at = text.index(f"\n, b{k} AS MATERIALIZED")
+        end = text.index("\n, za" + str(k), at)
+        own = f"\n, yb{k}_0 AS (SELECT i, j, u, v, a, phi, x, p FROM by{k} JOIN (SELECT i, j, u, v, p FROM b{k - 1}) USING (i, j, u, v))"
+        for r in range(1, inner + 1):
+            last = f"ys{k}_{r - 1}" if r > 1 else f"ys{k - 1}_{inner}" if k > 1 else "ys0"
+            own += f"""
+, f{k}_{r} AS MATERIALIZED (SELECT i, j, f, y, ups + y - f AS ups, f - (ups + y - f) AS n FROM (SELECT i, j, sum(a * p) AS f FROM yb{k}_{r - 1} GROUP BY 1, 2) JOIN {last} USING (i, j))
+, ys{k}_{r} AS MATERIALIZED (SELECT i, j, ups, CASE WHEN norm <= 1 THEN 0 ELSE (1 - 1 / norm) * n END AS y FROM f{k}_{r}, (SELECT sqrt(sum(n * n)) AS norm FROM f{k}_{r}))
+, yb{k}_{r} AS MATERIALIZED (
+  SELECT i, j, u, v, a, phi, x, x + a * (y + ups - sum(a * x) OVER o) / (1 + sum(a * a) OVER o) AS p
+  FROM yb{k}_{r - 1} JOIN ys{k}_{r} USING (i, j) WINDOW o AS (PARTITION BY i, j))"""
+        text = text[:at] + own + f"\n, b{k} AS MATERIALIZED (SELECT i, j, u, v, a, phi, p FROM yb{k}_{inner})" + text[end:]
+    at = text.index("\n, qy1 AS")
+    return text[:at] + "\n, ys0 AS (SELECT i, j, sum(a * p) AS y, 0.0::DOUBLE AS ups FROM b0 GROUP BY 1, 2)" + text[at:]
+
+
+def _align(s, d, norm: str, rounds: int, priced: bool = False, apart: bool = False, **more) -> dict:
     _, e2, sup, t = setting(s, d)
-    o = admm.Options(norm=norm, blocks=dense)
+    # One dense block for each objective has the solution of the closed form.
+    placement = t.select("i", "j", (F.col("i") * 1000 + F.col("j")).alias("part_id")).distinct() if apart else None
+    o = admm.Options(norm=norm, placement=placement, **more)
     first = admm.initial(sup, t, e2.select("src").distinct().count(), fx.cost(s, d) if priced else None, o)
     return admm.align(first, rounds, o)
 
@@ -402,19 +437,63 @@ def admm_linear_step(s, d):
     return rounded(_align(s, d, "l2", 1, priced=True)["z"], "z")
 
 
-@query(None)
+@query(admm_sql("l2", 1, False, Z))
 def admm_dense_l2(s, d):
-    return rounded(_align(s, d, "l2", 1, dense=8)["z"], "z")
+    return rounded(_align(s, d, "l2", 1, apart=True)["z"], "z")
 
 
-@query(None)
+@query(admm_sql("l1", 1, False, Z))
 def admm_dense_l1(s, d):
-    return rounded(_align(s, d, "l1", 1, dense=32)["z"], "z")
+    return rounded(_align(s, d, "l1", 1, apart=True)["z"], "z")
 
 
-@query(None)
+@query(pnorm_admm_sql(2, 2))
 def admm_pnorm(s, d):
-    return rounded(_align(s, d, "p", 1, dense=32)["z"], "z")
+    return rounded(_align(s, d, "p", 2, p=2.0, inner=2, inner_tol=0.0)["z"], "z")
+
+
+@query(pnorm_admm_sql(1, 2))
+def admm_pnorm_dense(s, d):
+    return rounded(_align(s, d, "p", 1, apart=True, p=2.0, inner=2, inner_tol=0.0)["z"], "z")
+
+
+@query(admm_sql("l2", 1, True, """
+, s AS (
+  SELECT i, j, count(*) AS variables, 1 AS objectives, sum((p - z + phi) * (p - z + phi)) / 2 AS rhoerr,
+         power(sum(a * p), 2) / 2 AS pobj, power(sum(a * z), 2) / 2 AS zobj
+  FROM b1 JOIN za0 USING (u, v) GROUP BY 1, 2)
+, l AS (
+  SELECT 'variables' AS metric, CAST(variables AS DOUBLE) AS x FROM s UNION ALL SELECT 'objectives', objectives FROM s UNION ALL SELECT 'pobj', pobj FROM s
+  UNION ALL SELECT 'rhoerr', rhoerr FROM s UNION ALL SELECT 'proximalobj', pobj + rhoerr FROM s UNION ALL SELECT 'zobj', zobj FROM s)
+SELECT metric, round(avg(x), 6) AS mean, round(min(x), 6) AS least, round(max(x), 6) AS most FROM l GROUP BY 1"""))
+def admm_block_stats(s, d):
+    _, e2, sup, t = setting(s, d)
+    first = admm.initial(sup, t, e2.select("src").distinct().count(), fx.cost(s, d))
+    return rounded(admm.block_stats(first, admm.align(first, 1)), "mean", "least", "most")
+
+
+@query(sql(""", co AS (SELECT i, j, u, v FROM terms GROUP BY 1, 2, 3, 4 HAVING sum(sign) <> 0)
+, h AS (SELECT i, j, u, v, CAST(('0x' || substr(md5(i || ',' || j), 1, 8)) AS BIGINT) % 8 AS b FROM co)
+, vt AS (SELECT i, j, (3 * u + v) % 8 AS b, count(*) AS n FROM (SELECT DISTINCT i, j, u, v FROM terms) GROUP BY 1, 2, 3)
+, pt AS (SELECT i, j, b FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY n DESC, b) AS k FROM vt) WHERE k = 1)
+, p AS (SELECT co.*, pt.b FROM co JOIN pt USING (i, j))
+, e AS (SELECT 'hash' AS placement, * FROM h UNION ALL SELECT 'partition', * FROM p)
+, c AS (SELECT placement, b, count(DISTINCT (u, v)) AS n FROM e GROUP BY 1, 2)
+SELECT placement, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS copies, max(n) AS largest,
+       (SELECT count(DISTINCT (i, j)) FROM co) AS objectives, (SELECT count(DISTINCT (u, v)) FROM co) AS variables
+FROM c GROUP BY 1"""))
+def admm_placement(s, d):
+    """Copies of variables when objectives are dealt by a hash and by a partition map that was written and read back."""
+    t = setting(s, d)[3]
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(",", "i", "j").cast("binary")), 1, 8), 16, 10).cast("long")
+    by_hash = t.select("i", "j", (drawn % 8).cast("int").alias("part_id")).distinct()
+    parts = t.select("u", "v", ((3 * F.col("u") + F.col("v")) % 8).cast("int").alias("part_id")).distinct()
+    at = _folder(s, "parts")
+    writers.partition_map(partitioner.objective_parts(t, parts).withColumnsRenamed({"i": "u", "j": "v"}), at)
+    read = readers.partition_map(s, at).select(F.col("u").cast("int").alias("i"), F.col("v").cast("int").alias("j"), "part_id")
+    a = objective.coefficients(t)
+    counts = [blocks.copy_counts(settle(blocks.placed(a, x))).withColumn("placement", F.lit(name)) for name, x in (("hash", by_hash), ("partition", read))]
+    return counts[0].union(counts[1])
 
 
 @query(admm_sql("l2", 1, False, """
@@ -536,25 +615,80 @@ def walk_cooccurrence(s, d):
 # Generators
 
 
-@query("SELECT DISTINCT u AS src, v AS dst FROM (SELECT range AS u, range ^ (1 << b) AS v FROM range(64), (SELECT range AS b FROM range(6)))".replace("range ^ (1 << b)", "xor(range, CAST(1 << b AS BIGINT))"))
+def _suppliers(s, d) -> int:
+    """The generated graphs are as large as the supplier table."""
+    return fx.table(s, d, "supplier").count()
+
+
+N_SQL = "WITH n AS (SELECT count(*) AS n FROM supplier), i AS (SELECT unnest(range(0, n)) AS id, n FROM n)"
+
+
+@query("""WITH n AS (SELECT CAST(ceil(log2(count(*))) AS INTEGER) AS b FROM supplier), i AS (SELECT unnest(range(0, CAST(power(2, b) AS BIGINT))) AS id, b FROM n)
+SELECT id AS src, xor(id, CAST(1 << k AS BIGINT)) AS dst FROM (SELECT id, unnest(range(0, b)) AS k FROM i)""")
 def generate_hypercube(s, d):
-    return generate.hypercube(s, 6)
+    return generate.hypercube(s, math.ceil(math.log2(_suppliers(s, d))))
 
 
-@query("WITH e AS (SELECT range AS a, range + 1 AS b FROM range(30) WHERE range % 6 < 5 UNION ALL SELECT range, range + 6 FROM range(24)) SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e")
+@query(N_SQL + """, w AS (SELECT CAST(floor(sqrt(n)) AS BIGINT) AS c FROM n), g AS (SELECT unnest(range(0, c * (c + 1))) AS id, c FROM w)
+, e AS (SELECT id AS a, id + 1 AS b FROM g WHERE id % (c + 1) < c UNION ALL SELECT id, id + c + 1 FROM g WHERE id < (c - 1) * (c + 1)) SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e""")
 def generate_grid(s, d):
-    return generate.grid(s, 5, 6)
+    side = math.isqrt(_suppliers(s, d))
+    return generate.grid(s, side, side + 1)
 
 
-@query("""WITH g AS (
-  SELECT n.range AS id, k.range AS k,
-         1 + CAST(floor(ln(greatest(CAST(('0x' || substr(md5(n.range || ',' || k.range || ',1'), 1, 13)) AS BIGINT), 1) / 4503599627370496.0::DOUBLE) / ln(0.95::DOUBLE)) AS BIGINT) AS gap
-  FROM range(200) n, range(1, 55) k),
-a AS (SELECT id, id + CAST(sum(gap) OVER (PARTITION BY id ORDER BY k) AS BIGINT) AS far FROM g),
-e AS (SELECT id AS src, far AS dst FROM a WHERE far < 200)
+@query(N_SQL + """, g AS (
+  SELECT id, n, k, 1 + CAST(floor(ln(greatest(CAST(('0x' || substr(md5(id || ',' || k || ',1'), 1, 13)) AS BIGINT), 1) / 4503599627370496.0::DOUBLE) / ln(0.95::DOUBLE)) AS BIGINT) AS gap
+  FROM (SELECT id, n, unnest(range(1, least(n, CAST(floor(n * 0.05::DOUBLE + 8 * sqrt(n * 0.05::DOUBLE + 1) + 16) AS BIGINT)) + 1)) AS k FROM i)),
+a AS (SELECT id, n, id + CAST(sum(gap) OVER (PARTITION BY id ORDER BY k) AS BIGINT) AS far FROM g),
+e AS (SELECT id AS src, far AS dst FROM a WHERE far < n)
 SELECT src, dst FROM e UNION SELECT dst, src FROM e""")
 def generate_erdos_renyi(s, d):
-    return generate.erdos_renyi(s, 200, 0.05)
+    return generate.erdos_renyi(s, _suppliers(s, d), 0.05)
+
+
+@query(N_SQL + """, w AS (SELECT CAST(ceil(sqrt(n)) AS BIGINT) AS c FROM n)
+, g AS (SELECT id, id // c AS x, id % c AS y, c FROM (SELECT unnest(range(0, c * c)) AS id, c FROM w))
+, e AS (SELECT id AS a, id + 1 AS b FROM g WHERE y < c - 1 UNION ALL SELECT id, id + c FROM g WHERE x < c - 1)
+, q AS (
+  SELECT id, x, y, c, d, t.k AS q, CASE t.k WHEN 0 THEN c - 1 - x WHEN 1 THEN c - 1 - y WHEN 2 THEN x ELSE y END AS a, CASE t.k WHEN 0 THEN c - 1 - y WHEN 1 THEN x WHEN 2 THEN y ELSE c - 1 - x END AS b
+  FROM (SELECT *, unnest(range(1, 2 * (c - 1) + 1)) AS d FROM g), (SELECT unnest(range(0, 4)) AS k) t)
+, h AS (SELECT *, greatest(0, least(a, d) - greatest(1, d - b) + 1) AS held FROM q)
+, r AS (SELECT id, d, sum(held) AS ring, sum(held) * power(CAST(d AS DOUBLE), -2.0::DOUBLE) AS w FROM h GROUP BY 1, 2)
+, cu AS (SELECT id, d, ring, w, sum(w) OVER (PARTITION BY id ORDER BY d) AS upto, sum(w) OVER (PARTITION BY id) AS total FROM r WHERE w > 0)
+, ch AS (
+  SELECT id, min(d) AS d FROM cu
+  WHERE upto > CAST(('0x' || substr(md5(id || ',1,1'), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE * total GROUP BY 1)
+, k AS (
+  SELECT id, d, CAST(floor(CAST(('0x' || substr(md5(id || ',2,1'), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE * ring) AS BIGINT) AS k
+  FROM ch JOIN r USING (id, d))
+, p AS (
+  SELECT *, k - coalesce(sum(held) OVER (PARTITION BY id ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS own FROM h JOIN k USING (id, d))
+, f AS (
+  SELECT id, c, x, y, CAST(greatest(1, d - b) + own AS BIGINT) AS s, CAST(d - greatest(1, d - b) - own AS BIGINT) AS o, q FROM p WHERE own >= 0 AND own < held)
+SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e
+UNION SELECT id, (x + CASE q WHEN 0 THEN s WHEN 1 THEN -o WHEN 2 THEN -s ELSE o END) * c + y + CASE q WHEN 0 THEN o WHEN 1 THEN s WHEN 2 THEN -o ELSE -s END FROM f""")
+def generate_small_world(s, d):
+    return generate.small_world(s, math.ceil(math.sqrt(_suppliers(s, d))))
+
+
+@query("""WITH n AS (SELECT l_partkey AS id FROM lineitem UNION SELECT l_suppkey + 1000000 FROM lineitem)
+, a AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM n)
+, b AS (SELECT id, row_number() OVER (ORDER BY CAST(('0x' || substr(md5(id || ',1'), 1, 13)) AS BIGINT), id) AS k FROM n)
+SELECT a.id AS u, b.id AS v FROM a JOIN b USING (k)""")
+def generate_permutation(s, d):
+    return generate.permutation(fx.table(s, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")))
+
+
+@query("""WITH RECURSIVE e AS (
+  SELECT c_custkey * 3 AS a, CAST(c_nationkey AS BIGINT) * 3 + 1 AS b FROM customer UNION SELECT CAST(n_nationkey AS BIGINT) * 3 + 1, CAST(n_regionkey AS BIGINT) * 3 + 2 FROM nation),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT DISTINCT a AS node, a AS root FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node WHERE r.root < s.b OR s.b % 3 > 0)
+SELECT node, min(root) AS component FROM r GROUP BY 1""")
+def connected_components(s, d):
+    """Customers, their nations and regions as one graph."""
+    own = fx.table(s, d, "customer").select((F.col("c_custkey") * 3).alias("src"), (F.col("c_nationkey").cast("long") * 3 + 1).alias("dst"))
+    up = fx.table(s, d, "nation").select((F.col("n_nationkey").cast("long") * 3 + 1).alias("src"), (F.col("n_regionkey").cast("long") * 3 + 2).alias("dst"))
+    return components.connected_components(own.union(up))
 
 
 def walks_sql(length: int, walks: int) -> str:

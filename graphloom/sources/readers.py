@@ -66,10 +66,10 @@ def colors(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("node", "colors"))
 
 
-def partition_map(spark: SparkSession, path: str) -> DataFrame:
-    """u, v, part_id from a JSON object whose keys are ``('u', 'v')``."""
+def partition_map(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """u, v, part_id from JSON objects whose keys are ``('u', 'v')``, one or more on each line; ``whole``: one that spans lines."""
     pattern = r"\(\s*" + _item(2) + r"\s*\)"
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,int>")).alias("k", "part_id"))
+    rows = spark.read.text(path, wholetext=whole).select(F.explode(F.from_json("value", "map<string,int>")).alias("k", "part_id"))
     return rows.select(F.regexp_extract("k", pattern, 1).alias("u"), F.regexp_extract("k", pattern, 2).alias("v"), "part_id")
 
 

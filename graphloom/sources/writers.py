@@ -34,8 +34,9 @@ def matrix(cells: DataFrame, path: str) -> None:
 
 
 def partition_map(parts: DataFrame, path: str) -> None:
-    """JSON lines u, v, part_id."""
-    parts.write.mode("overwrite").json(path)
+    """A JSON object ``{"('u', 'v')": part}`` on each line for ``parts(u, v, part_id)``, as ``readers.partition_map`` reads it."""
+    key = F.format_string("('%s', '%s')", F.col("u").cast("string"), F.col("v").cast("string"))
+    parts.select(F.to_json(F.create_map(key, F.col("part_id"))).alias("value")).write.mode("overwrite").text(path)
 
 
 def trace(rows: DataFrame, path: str) -> None:

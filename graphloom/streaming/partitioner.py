@@ -58,6 +58,13 @@ def balance(left: DataFrame) -> DataFrame:
     return left.groupBy("part_id").agg(F.count(F.lit(1)).alias("size"))
 
 
+def objective_parts(terms: DataFrame, variables: DataFrame) -> DataFrame:
+    """i, j, part_id for ``variables(u, v, part_id)``: each objective goes where most of its variables are, ties to the lowest."""
+    rows = terms.select("i", "j", "u", "v").distinct().join(variables, ["u", "v"])
+    votes = rows.groupBy("i", "j", "part_id").agg(F.count(F.lit(1)).alias("n"))
+    return votes.groupBy("i", "j").agg(F.max_by("part_id", F.struct("n", -F.col("part_id"))).alias("part_id"))
+
+
 def objectives_as_bipartite(terms: DataFrame, inverse: bool = False) -> DataFrame:
     """l, r as text keys: variables to objectives, or objectives to variables if inverse."""
     variable = F.concat_ws(",", F.col("u").cast("string"), F.col("v").cast("string"))

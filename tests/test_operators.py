@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars
-from graphloom.operators import admm, assignment, blocks, evaluate, generate, graph, objective, projection, support
+from graphloom.operators import admm, assignment, blocks, components, evaluate, generate, graph, objective, pnorm, projection, support
 from graphloom.sources import readers, writers
 from graphloom.streaming import partitioner
 
@@ -27,20 +27,57 @@ def test_simplex_is_feasible_and_nearest(spark):
         assert np.allclose(got, np.maximum(row - theta, 0))
 
 
+def dense_prox(n, p, rho):
+    """Prox of the p-norm by bisection in bisection."""
+    if p == 1:
+        return np.sign(n) * np.maximum(np.abs(n) - 1 / rho, 0)
+    a = np.abs(n) * rho
+    if (a ** (p / (p - 1))).sum() <= 1:
+        return np.zeros_like(n)
+
+    def roots(norm):
+        lo, hi = np.zeros_like(a), a.copy()
+        for _ in range(80):
+            mid = (lo + hi) / 2
+            low = mid + norm ** (1 - p) * mid ** (p - 1) < a
+            lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
+        return (lo + hi) / 2
+
+    lo, hi = 0.0, float((a**p).sum() ** (1 / p))
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (roots(mid) ** p).sum() ** (1 / p) > mid else (lo, mid)
+    return np.sign(n) * roots((lo + hi) / 2) / rho
+
+
+def dense_split(d, zbar, y, ups, x, p, rho, rho_in, rounds):
+    """The p-norm step with Y split off, on dense matrices: dual ascent, prox, least squares."""
+    for _ in range(rounds):
+        ups = ups + y - d @ x
+        y = dense_prox(d @ x - ups, p, rho_in)
+        x = np.linalg.solve(rho * np.eye(d.shape[1]) + rho_in * d.T @ d, rho * zbar + rho_in * d.T @ (y + ups))
+    return x, y, ups
+
+
 @pytest.mark.parametrize("p", [1, 1.5, 2, 3])
-def test_prox_vector_is_a_minimum(p):
+def test_dense_prox_is_a_minimum(p):
     rng = np.random.default_rng(1)
     n, rho = rng.normal(size=5) * 2, 1.3
-    y = blocks.prox_vector(n, p, rho)
+    y = dense_prox(n, p, rho)
     cost = lambda v: np.linalg.norm(v, p) + rho / 2 * ((v - n) ** 2).sum()
     assert all(cost(y) <= cost(y + 1e-3 * rng.normal(size=5)) + 1e-9 for _ in range(200))
 
 
-def test_prox_p_matches_the_dense_kernel(spark):
-    n = np.array([1.5, -0.7, 0.2, 2.0])
+@pytest.mark.parametrize("p", [1.2, 1.5, 2.5, 4.0])
+def test_prox_p_matches_the_dense_kernel(spark, p):
+    n = np.array([1.5, -0.7, 0.0, 2.0, -1e-5, 90.0])
     df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(n)], "key int, n double")
-    got = projection.prox_p(df, "n", 1.5, 1.3).orderBy("key").toPandas()["y"].to_numpy()
-    assert np.allclose(got, blocks.prox_vector(n, 1.5, 1.3), atol=1e-6)
+    got = projection.prox_p(df, "n", p, 1.3).orderBy("key").toPandas()["y"].to_numpy()
+    assert np.allclose(got, dense_prox(n, p, 1.3), atol=1e-9)
+    assert projection.prox_p(df.where("abs(n) < 0.001"), "n", p, 1.3).agg(F.max(F.abs("y"))).first()[0] == 0
+    assert projection.prox_p(df.where("n > 1000"), "n", p, 1.3).count() == 0
+    with pytest.raises(ValueError, match="exceed"):
+        projection.prox_p(df, "n", 1.0, 1.3)
 
 
 def test_block_solvers_agree_with_closed_forms():
@@ -56,15 +93,6 @@ def test_block_solvers_agree_with_closed_forms():
     assert np.allclose(blocks.solve_l1(a, z, rho), z - a[0] / rho * np.clip(rho * (a[0] @ z) / 3, -1, 1))
 
 
-def test_inner_admm_reaches_the_optimum():
-    rng = np.random.default_rng(3)
-    d, zbar = rng.integers(-1, 2, size=(3, 5)).astype(float), rng.normal(size=5)
-    x, y, _ = blocks.inner_admm(d, zbar, d @ zbar, np.zeros(3), 1.5, 1.0, 1.0, 2000, 1e-10)
-    cost = lambda v: np.linalg.norm(d @ v, 1.5) + 0.5 * ((v - zbar) ** 2).sum()
-    assert np.allclose(y, d @ x, atol=1e-6)
-    assert all(cost(x) <= cost(x + 1e-3 * rng.normal(size=5)) + 1e-7 for _ in range(200))
-
-
 def test_assignment_is_optimal():
     from itertools import permutations
 
@@ -373,4 +401,274 @@ def test_a_pair_without_a_cost_costs_nothing(spark):
 def test_an_unsolved_block_is_an_error():
     rng = np.random.default_rng(5)
     with pytest.raises(RuntimeError, match="gap"):
-        blocks.solve_l1(rng.normal(size=(8, 9)), rng.normal(size=9) * 50, 0.01, sweeps=1)
+        blocks.sweep_l1(rng.normal(size=(8, 9)), rng.normal(size=9) * 50, 0.01, sweeps=1)
+
+
+def test_the_dual_path_closes_the_gap_on_any_block():
+    rng = np.random.default_rng(11)
+    for k in range(400):
+        m, n = rng.integers(1, 20, size=2)
+        d = rng.integers(-1, 2, size=(m, n)).astype(float) if k % 4 < 2 else rng.normal(size=(m, n))
+        if k % 2 and m > 2:  # dependent rows
+            d[1], d[2] = d[0] * (1 if k % 8 < 4 else -1), d[0] - d[-1]
+        zbar, rho = rng.normal(size=n) if k % 3 else np.full(n, 0.25), 10 ** rng.uniform(-2, 2)
+        x, w = blocks.dual_path(d, zbar, 1 / rho)
+        assert np.abs(w).max() <= 1 + 1e-9 and np.allclose(x, zbar - d.T @ w / rho)
+        assert blocks.gap(d, x, w) <= 1e-9 * (1 + np.abs(d @ x).sum())
+    d, zbar = rng.integers(-1, 2, size=(5, 12)).astype(float), rng.normal(size=12)
+    assert np.allclose(blocks.solve_l1(d, zbar, 1.3), blocks.sweep_l1(d, zbar, 1.3, 50_000), atol=1e-8)
+
+
+def split_objectives(spark, seed, groups, per=2, width=3):
+    """Objectives in independent groups of variables: (a table, zbar table, dense matrices in the same order)."""
+    rng = np.random.default_rng(seed)
+    d = np.zeros((groups * per, groups * width))
+    for g in range(groups):
+        d[g * per : (g + 1) * per, g * width : (g + 1) * width] = rng.integers(-1, 2, size=(per, width))
+        d[g * per : (g + 1) * per, g * width] = 1
+    zbar = rng.normal(size=groups * width)
+    a = spark.createDataFrame([(int(i), 0, int(u), 0, float(d[i, u])) for i, u in zip(*np.nonzero(d))], "i int, j int, u int, v int, a double")
+    at = spark.createDataFrame([(u, 0, float(z)) for u, z in enumerate(zbar)], "u int, v int, zbar double")
+    return a, at, d, zbar
+
+
+@pytest.mark.parametrize("p", [1.5, 2.0])
+def test_one_norm_over_all_blocks_however_they_are_dealt(spark, p):
+    a, at, d, zbar = split_objectives(spark, 5, 32)
+    found = {}
+    for n in (1, 8, 32):
+        part = a.select("i", "j", (F.floor(F.col("i") / 2) % n).cast("int").alias("part_id")).distinct()
+        own = blocks.placed(a, part)
+        copies = blocks.copies_of(own).join(at, ["u", "v"]).withColumn("p", F.col("zbar")).withColumn("phi", F.lit(0.0))
+        x, y = pnorm.solve(copies, pnorm.start(copies, own), own, p, 1.0, 1.0, 9)
+        x = x.toPandas().sort_values("u")
+        assert len(x) == len(zbar)  # independent groups: one copy of each variable
+        found[n] = x["p"].to_numpy()
+        assert abs(y.agg(F.sum("y")).first()[0] - dense_split(d, zbar, d @ zbar, 0 * d[:, 0], zbar, p, 1.0, 1.0, 9)[1].sum()) < 1e-6
+    want = dense_split(d, zbar, d @ zbar, np.zeros(len(d)), zbar, p, 1.0, 1.0, 9)[0]
+    for x in found.values():
+        assert np.allclose(x, want, atol=1e-6)
+    # The rounds go to the minimum of the whole norm.
+    best = dense_split(d, zbar, d @ zbar, np.zeros(len(d)), zbar, p, 1.0, 1.0, 3000)[0]
+    cost = lambda v: np.linalg.norm(d @ v, p) + 0.5 * ((v - zbar) ** 2).sum()
+    rng = np.random.default_rng(6)
+    assert all(cost(best) <= cost(best + 1e-3 * rng.normal(size=len(best))) + 1e-9 for _ in range(200))
+    assert cost(want) - cost(best) < 1e-2
+
+
+def test_p_norm_rounds_end_by_their_tolerance_or_fail(spark):
+    a, at, d, zbar = split_objectives(spark, 7, 1)
+    own = blocks.block_ids(a, 1)
+    copies = blocks.copies_of(own).join(at, ["u", "v"]).withColumn("p", F.col("zbar")).withColumn("phi", F.lit(0.0))
+    x, y = pnorm.solve(copies, pnorm.start(copies, own), own, 2.0, 1.0, 1.0, 60, tol=1e-3)
+    best = dense_split(d, zbar, d @ zbar, np.zeros(len(d)), zbar, 2.0, 1.0, 1.0, 3000)[0]
+    assert np.allclose(x.toPandas().sort_values("u")["p"], best, atol=1e-2)
+    with pytest.raises(RuntimeError, match="not solved after 2"):
+        pnorm.solve(copies, pnorm.start(copies, own), own, 2.0, 1.0, 1.0, 2, tol=1e-9)
+    with pytest.raises(ValueError, match="1 objectives have no part"):
+        blocks.placed(a, a.where("i > 0").select("i", "j", F.lit(0).alias("part_id")))
+    with pytest.raises(ValueError, match="unknown dense"):
+        blocks.block_step(own.join(at, ["u", "v"]), "p", 1.0)
+
+
+def dense_align(d, copies, n, p, rounds, inner):
+    """Outer and inner rounds on dense vectors; ``copies``: list of (objective rows, variable columns) of each block."""
+    size = d.shape[1]
+    square = int(round(size**0.5))
+    z = np.full(size, 1 / n)
+    q, t, xi, psi = z.copy(), z.copy(), 0 * z, 0 * z
+    state = [[np.full(len(c), 1 / n), np.zeros(len(c))] for _, c in copies]
+    y, ups = d @ z, np.zeros(len(d))
+
+    def simplex(x):
+        out = np.zeros_like(x)
+        for k, row in enumerate(x):
+            s = np.sort(row)[::-1]
+            out[k] = np.maximum(row - ((np.cumsum(s) - 1) / np.arange(1, len(s) + 1)).max(), 0)
+        return out
+
+    for _ in range(rounds):
+        xi, psi = xi + q - z, psi + t - z
+        q, t = simplex((z - xi).reshape(square, square)).ravel(), simplex((z - psi).reshape(square, square).T).T.ravel()
+        for (_, c), own in zip(copies, state):
+            own[1] = own[1] + own[0] - z[c]
+        zbar = [z[c] - own[1] for (_, c), own in zip(copies, state)]
+        for _ in range(inner):
+            f = np.zeros(len(d))
+            for (r, c), own in zip(copies, state):
+                f[r] = d[np.ix_(r, c)] @ own[0]
+            ups = ups + y - f
+            y = dense_prox(f - ups, p, 1.0)
+            for (r, c), own, at in zip(copies, state, zbar):
+                m = d[np.ix_(r, c)]
+                own[0] = np.linalg.solve(np.eye(len(c)) + m.T @ m, at + m.T @ (y + ups)[r])
+        total, count = q + xi + t + psi, np.full(size, 2.0)
+        for (_, c), own in zip(copies, state):
+            total[c] += own[0] + own[1]
+            count[c] += 1
+        z = total / count
+    return z
+
+
+@pytest.mark.parametrize("blocks_", [None, 3])
+def test_p_norm_alignment_equals_dense_rounds(spark, blocks_):
+    e1, e2 = edges(spark, [(0, 1), (1, 2), (2, 0), (1, 0)]), edges(spark, [(0, 2), (2, 1), (1, 0)])
+    every = support.all_pairs(e1, e2)
+    t = objective.terms(e1, e2, every)
+    o = admm.Options(norm="p", p=1.5, inner=3, inner_tol=0.0, blocks=blocks_)
+    first = admm.initial(every, t, 3, options=o)
+    a = first["a"].toPandas() if blocks_ else objective.coefficients(t).toPandas()
+    names = sorted({(r.i, r.j) for r in a.itertuples()})
+    d = np.zeros((len(names), 9))
+    for r in a.itertuples():
+        d[names.index((r.i, r.j)), r.u * 3 + r.v] = r.a
+    own = {r: ({x.block_id for x in a.itertuples() if (x.i, x.j) == n}.pop() if blocks_ else k) for k, (r, n) in enumerate(zip(range(len(names)), names))}
+    copies = []
+    for b in sorted(set(own.values())):
+        rows = [r for r in own if own[r] == b]
+        copies.append((rows, sorted(np.flatnonzero(np.abs(d[rows]).sum(axis=0)).tolist())))
+    got = admm.align(first, 2, o)["z"].toPandas().sort_values(["u", "v"])["z"].to_numpy()
+    assert np.allclose(got, dense_align(d, copies, 3, 1.5, 2, 3), atol=1e-7)
+
+
+def test_p_norm_state_is_saved_with_y(spark, tmp_path):
+    e = generate.cycle(spark, 3)
+    every = support.all_pairs(e, e)
+    t = objective.terms(e, e, every)
+    o = admm.Options(norm="p", p=1.5, inner=2, inner_tol=0.0)
+    read = lambda s: s["z"].toPandas().sort_values(["u", "v"])["z"].to_numpy()
+    one = admm.align(admm.initial(every, t, 3, options=o), 1, o)
+    admm.save(one, str(tmp_path))
+    again = admm.resume(spark, str(tmp_path))
+    assert set(again) == {"z", "q", "t", "p", "a", "y"}
+    assert np.allclose(read(admm.align(again, 1, o)), read(admm.align(admm.initial(every, t, 3, options=o), 2, o)))
+
+
+def union_find(pairs):
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    return {x: top(x) for x in root}
+
+
+def test_connected_components(spark):
+    rng = np.random.default_rng(4)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 400, size=(190, 2))] + [(900 + i, 901 + i) for i in range(70)] + [(2000, i) for i in range(2001, 2100)]
+    got = {r.node: r.component for r in components.connected_components(edges(spark, pairs)).collect()}
+    assert got == union_find(pairs)
+    assert components.connected_components(edges(spark, [])).count() == 0
+    assert {tuple(r) for r in components.connected_components(edges(spark, [(7, 7), (3, 3)])).collect()} == {(7, 7), (3, 3)}
+    assert components.is_connected(generate.cycle(spark, 9)) and not components.is_connected(edges(spark, [(1, 2), (3, 4)]))
+    with pytest.raises(RuntimeError, match="not settled after 1"):
+        components.connected_components(edges(spark, pairs), rounds=1)
+
+
+def test_ranks_are_those_of_one_sorted_list(spark):
+    from graphloom.operators import ranks
+
+    rng = np.random.default_rng(6)
+    values = [(int(v), i) for i, v in enumerate(rng.integers(-50, 50, size=700))]
+    df = spark.createDataFrame(values, "v long, i long").repartition(7)
+    got = ranks.ranked(df, F.col("v").desc(), "i", start=0).orderBy("rank").collect()
+    assert [(r.v, r.i) for r in got] == sorted(values, key=lambda x: (-x[0], x[1])) and [r["rank"] for r in got] == list(range(700))
+    assert ranks.ranked(df.where("v > 99"), "v").count() == 0
+    plan = ranks.ranked(df, "v", "i")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "_n#" in plan  # over the counts of the partitions alone
+    e = edges(spark, [(i, (i * 7 + 1) % 501) for i in range(501)])
+    rows = generate.permutation(e).collect()
+    assert sorted(r.u for r in rows) == sorted(r.v for r in rows) == sorted({x for i in range(501) for x in (i, (i * 7 + 1) % 501)})
+    assert sum(r.u == r.v for r in rows) < 20 and generate.permutation(e).collect() == rows
+
+
+@pytest.mark.parametrize(("n", "k", "p"), [(40, 4, 0.0), (60, 4, 0.3), (30, 3, 1.0), (9, 8, 0.9)])
+def test_watts_strogatz_is_connected_and_keeps_its_edges(spark, n, k, p):
+    e = [tuple(r) for r in generate.watts_strogatz(spark, n, k, p).collect()]
+    assert len(e) == len(set(e)) == 2 * n * (k // 2) and set(e) == {(b, a) for a, b in e} and all(a != b for a, b in e)
+    assert set(union_find(e).values()) == {0} and len(union_find(e)) == n
+    if p == 0:
+        assert all(min((a - b) % n, (b - a) % n) <= k // 2 for a, b in e)
+
+
+def test_watts_strogatz_without_room(spark):
+    with pytest.raises(ValueError, match="below n"):
+        generate.watts_strogatz(spark, 4, 4, 0.5)
+    with pytest.raises(RuntimeError, match="no connected graph in 2"):
+        generate.watts_strogatz(spark, 60, 2, 1.0, tries=2)
+
+
+def test_small_world_links_follow_their_law(spark):
+    side, power = 12, 2.0
+    grid = {tuple(r) for r in generate.grid(spark, side, side).collect()}
+    count, drawn_from = {}, {}
+    for seed in range(1, 5):
+        got = {tuple(r) for r in generate.small_world(spark, side, seed, power).collect()}
+        assert grid <= got
+        for a, b in got - grid:
+            d = abs(a // side - b // side) + abs(a % side - b % side)
+            assert 1 < d <= 2 * (side - 1) and 0 <= b < side * side
+            count[d] = count.get(d, 0) + 1
+    want = np.zeros(2 * side)
+    for a in range(side * side):
+        w = np.zeros(2 * side)
+        for b in range(side * side):
+            d = abs(a // side - b // side) + abs(a % side - b % side)
+            if d:
+                w[d] += d**-power
+        want += w / w.sum()
+    # Links of distance 1 are grid edges already; of the others each ring has its share.
+    for lo, hi in ((2, 2), (3, 4), (5, 8), (9, 22)):
+        expected = 4 * want[lo : hi + 1].sum()
+        found = sum(count.get(d, 0) for d in range(lo, hi + 1))
+        assert abs(found - expected) < 4 * expected**0.5
+    assert generate.small_world(spark, 1).count() == 0 and not drawn_from
+
+
+def test_partition_maps_come_back_and_place_blocks(spark, tmp_path):
+    e = generate.cycle(spark, 5)
+    every = support.all_pairs(e, e)
+    t = objective.terms(e, e, every)
+    parts = every.select("u", "v", (F.col("u") % 2).cast("int").alias("part_id"))
+    at = str(tmp_path / "parts")
+    writers.partition_map(partitioner.objective_parts(t, parts).withColumnsRenamed({"i": "u", "j": "v"}), at)
+    read = readers.partition_map(spark, at).select(F.col("u").cast("long").alias("i"), F.col("v").cast("long").alias("j"), "part_id")
+    assert read.count() == 25 and {r.part_id for r in read.collect()} == {0, 1}
+    (tmp_path / "one.json").write_text("{\"('1', '2')\": 3, \"('4','5')\": 0}")
+    (tmp_path / "long.json").write_text("{\n \"('1', '2')\": 3,\n \"('4','5')\": 0\n}")
+    assert {tuple(r) for r in readers.partition_map(spark, str(tmp_path / "one.json")).collect()} == {("1", "2", 3), ("4", "5", 0)}
+    assert readers.partition_map(spark, str(tmp_path / "long.json"), whole=True).count() == 2
+    # Blocks dealt in other ways go to one optimum.
+    found = []
+    for o in (admm.Options(blocks=2), admm.Options(placement=read), admm.Options()):
+        state = admm.align(admm.initial(every, t, 5, options=o), 6, o)
+        counts = blocks.copy_counts(state["a"]).first() if o.dense else None
+        assert counts is None or (counts.blocks == 2 and counts.objectives == 25 and counts.variables == 25 and 25 <= counts.copies <= 50 and counts.largest <= 25)
+        found.append(objective.value(t, state["z"], 2.0).first()[0])
+    assert max(found) < 1e-6  # the uniform matching of a cycle with itself is a minimum
+
+
+def test_block_statistics(spark):
+    e1, e2 = edges(spark, [(0, 1), (1, 2), (2, 0), (1, 0)]), edges(spark, [(0, 2), (2, 1), (1, 0)])
+    every = support.all_pairs(e1, e2)
+    t = objective.terms(e1, e2, every)
+    for o in (admm.Options(norm="l1", blocks=2), admm.Options(norm="l2", blocks=2), admm.Options(norm="p", p=1.5, blocks=2, inner=2, inner_tol=0.0)):
+        old = admm.align(admm.initial(every, t, 3, options=o), 1, o)
+        new = admm.align(old, 1, o)
+        got = {r.metric: r for r in admm.block_stats(old, new, o).collect()}
+        a, p, z = new["a"].toPandas(), new["p"].toPandas(), old["z"].toPandas()
+        rows = {k: [] for k in got}
+        for b, own in a.groupby("block_id"):
+            held = p[p.block_id == b].merge(z, on=["u", "v"])
+            f = own.merge(held, on=["u", "v"]).assign(f=lambda x: x.a * x.p, g=lambda x: x.a * x.z).groupby(["i", "j"])[["f", "g"]].sum().abs()
+            cost = {"l1": f.sum(), "l2": (f**2).sum() / 2, "p": (f**1.5).sum()}[o.norm]
+            err = ((held.p - held.z + held.phi) ** 2).sum() / 2
+            for k, v in (("variables", len(held)), ("objectives", len(f)), ("pobj", cost.f), ("zobj", cost.g), ("rhoerr", err), ("proximalobj", err + cost.f)):
+                rows[k].append(v)
+        for k, v in rows.items():
+            assert np.allclose([got[k]["mean"], got[k].least, got[k].most], [np.mean(v), min(v), max(v)])
