@@ -138,10 +138,12 @@ def watts_strogatz(spark: SparkSession, n: int, k: int, p: float, seed: int = 1,
 
     A moved edge (src, s) keeps its source and draws another end until it meets neither itself nor another edge; of
     several that draw one pair in a round the first (src, s) has it.  So n * (k // 2) edges stay whatever p is.  Graphs that fall
-    apart are drawn again; RuntimeError after ``tries`` of them, ValueError where there is no room for the edges.
+    apart are drawn again; RuntimeError after ``tries`` of them, ValueError where there is no room for the edges.  Where
+    all pairs are edges none can be moved.
     """
     if k // 2 < 1 or 2 * (k // 2) >= n:
         raise ValueError("k must be at least 2, and below n")
+    p = 0.0 if 2 * (k // 2) == n - 1 else p
     for t in range(tries):
         edges = _moved_lattice(spark, n, k // 2, p, seed + 1000 * t, rounds)
         if is_connected(edges):
@@ -190,8 +192,10 @@ def small_world(spark: SparkSession, side: int, seed: int = 1, power: float = 2.
         "rings", F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("d")),
         lambda s, r: F.when((s["sum"] > F.col("aim")) | (r["w"] <= 0), s).otherwise(F.struct((s["sum"] + r["w"]).alias("sum"), r["d"].alias("d"))),
     )["d"]
-    node = node.where("total > 0").select("src", "x", "y", chosen.alias("d"))
+    # Settled, lest a filter on the far end is pushed down through all of these expressions.
+    node = settle(node.where("total > 0").select("src", "x", "y", chosen.alias("d")))
     node = node.withColumn("k", F.floor(drawn(F.col("src"), F.lit(2), F.lit(seed)) / F.lit(float(1 << 52)) * ring(F.col("d"))).cast("long"))
+    node = settle(node)
     d, k, base, dx, dy = F.col("d"), F.col("k"), F.lit(0).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long")
     for (a, b), (i, j) in zip(quadrants, ((1, 1), (-1, 1), (-1, -1), (1, -1))):
         n = held(d, a, b)
