@@ -65,7 +65,7 @@ class Model:
 
     def __init__(self, langs: list[str], order: int, counts: dict):
         """counts: (language, k) -> {window of k context bytes and the byte: n}."""
-        self.langs, self.order = sorted(langs), order
+        self.langs, self.order = sorted(l for l in langs if counts.get((l, 0))), order
         size = len(self.langs)
         # Bytes no language has seen share one class.
         seen = sorted({g & 255 for l in self.langs for g in counts.get((l, 0), ())})
@@ -129,16 +129,18 @@ class Model:
 def fit(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Model:
     """Fit on ``docs(doc_id, text, lang)``: at most about ``sample`` documents of each language.
 
-    Rows whose text or lang is null teach nothing.  The gram counts are summed by Spark; what reaches
-    the driver is bounded by the sample, not by the table.
+    The documents are chosen by a hash of id and text, equal rows teach once.  Rows whose text or lang is null teach
+    nothing; a language whose texts are all empty is not learned.  The gram counts are summed by Spark; what
+    reaches the driver is bounded by the sample, not by the table.
     """
     known = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     shares = {r["lang"]: min(1.0, sample / r["n"]) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # By id and text, so that documents that share an id (or have none) are drawn one by one.
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     keep = F.lit(False)
     for lang, share in shares.items():
         keep |= (F.col("lang") == lang) & (unit < share)
-    grams = known.where(keep).mapInArrow(lean(_grams(order)), "lang string, k int, gram long, n long")
+    grams = known.where(keep).distinct().mapInArrow(lean(_grams(order)), "lang string, k int, gram long, n long")
     counts: dict = {}
     for lang, k, gram, n in grams.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
         counts.setdefault((lang, k), {})[gram] = n

@@ -31,9 +31,16 @@ def _packed(a: np.ndarray) -> bytes:
     return zs.ZstdCompressor(level=1).compress(np.ascontiguousarray(wide.T).tobytes())
 
 
-def _unpacked(data: bytes, kind: str) -> np.ndarray:
-    wide = np.frombuffer(zs.ZstdDecompressor().decompress(data), np.uint8).reshape(int(kind[1]), -1)
-    return np.ascontiguousarray(wide.T).view(f">{kind}").reshape(-1).astype(kind)
+def _unpacked(data: bytes, n: int | None = None) -> np.ndarray:
+    """The numbers as 64-bit ones; with their number known, their width follows from it."""
+    raw = np.frombuffer(zs.ZstdDecompressor().decompress(data), np.uint8)
+    size = 8 if n is None else len(raw) // max(1, n)
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(f">u{size}").reshape(-1).astype(np.uint64)
+
+
+def _narrow(n: np.ndarray, wide: int = 1 << 32) -> np.ndarray:
+    """Counts in 32 bits, or in 64 where one of them needs it."""
+    return n.astype(np.uint32 if not len(n) or n.max() < wide else np.uint64)
 
 
 def _parcels(batches):
@@ -113,7 +120,7 @@ def _cuts(u: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def score(
-    docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST_COUNT, chunk_bytes: int = CHUNK_BYTES
+    docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST_COUNT, chunk_bytes: int = CHUNK_BYTES, wide: int = 1 << 32
 ) -> DataFrame:
     """doc_id, n_words, n_backed_off and log_score of every row of ``docs(doc_id, text)``.
 
@@ -121,7 +128,7 @@ def score(
     the shorter n-gram, down to the word's share of all words.  log_score is the natural logarithm of
     the product over the words; null and blank texts have no words and 0.  Words are blank-separated
     with A-Z lowered.  Repeated rows count, and are scored, as often as they stand, also with a null or
-    repeated doc_id.  A text is never cut: a very long one makes its chunk longer.  An empty table gives an
+    repeated doc_id, and counts from ``wide`` on travel in 64 bits.  A text is never cut: a very long one makes its chunk longer.  An empty table gives an
     empty result; other columns are ignored.
 
     A chunk sends at most one message to each bucket and never more than it has n-grams, so messages grow
@@ -142,16 +149,16 @@ def score(
         table = _opened(table)
         u, n = _entries(*grams(table, order), table.column("copies").to_numpy())
         at = _cuts(u, chunks)
-        rows = [(b, _packed(u[at[b] : at[b + 1]]), _packed(n[at[b] : at[b + 1]].astype(np.uint32))) for b in range(chunks) if at[b] < at[b + 1]]
+        rows = [(b, _packed(u[at[b] : at[b + 1]]), _packed(_narrow(n[at[b] : at[b + 1]], wide))) for b in range(chunks) if at[b] < at[b + 1]]
         return pa.table({
             "bucket": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()),
             "grams": pa.array([r[1] for r in rows], pa.binary()), "n": pa.array([r[2] for r in rows], pa.binary()),
         })
 
     def add(key, table):
-        parts = [_unpacked(x.as_py(), "u8") for x in table.column("grams")]
+        parts = [_unpacked(x.as_py()) for x in table.column("grams")]
         every = np.concatenate(parts)
-        n = np.concatenate([_unpacked(x.as_py(), "u4") for x in table.column("n")]).astype(np.uint64)
+        n = np.concatenate([_unpacked(x.as_py(), len(p)) for x, p in zip(table.column("n"), parts)])
         order_ = np.argsort(every, kind="stable")
         ranked = every[order_]
         new = np.r_[True, ranked[1:] != ranked[:-1]]
@@ -171,7 +178,7 @@ def score(
         u = np.r_[WORDS, u[np.r_[True, u[1:] != u[:-1]][: len(u)]]]
         at = np.argsort(totals.column("bucket").to_numpy())
         blobs = totals.column("totals").to_pylist()
-        count = np.concatenate([_unpacked(blobs[i], "u8") for i in at]).astype(np.float64)
+        count = np.concatenate([_unpacked(blobs[i]) for i in at]).astype(np.float64)
         words = count[0]
         seen = [np.where(h != 0, count[_places(u, h)], 0.0) for h in hashes]
         n = len(hashes[0])
@@ -191,18 +198,20 @@ def score(
         if len(full):
             out[full] = np.add.reduceat(logs, first[:-1][full])
             backed[full] = np.add.reduceat((steps > 0).astype(np.int64), first[:-1][full])
-        table = pa.table({
+        return pa.table({
             "doc_id": table.column("doc_id"), "n_words": pa.array(np.diff(first), pa.int64()),
             "n_backed_off": pa.array(backed), "log_score": pa.array(out), "copies": table.column("copies"),
         })
-        return table.drop(["copies"]).take(pa.array(np.repeat(np.arange(table.num_rows), table.column("copies").to_numpy())))
 
     sent = dealt.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, grams binary, n binary").repartition(parts, "bucket")
     totals = sent.groupBy("bucket").applyInArrow(add, "chunk long, bucket long, totals binary").repartition(parts, "chunk")
     out = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(
-        join, f"doc_id {kind}, n_words long, n_backed_off long, log_score double"
+        join, f"doc_id {kind}, n_words long, n_backed_off long, log_score double, copies long"
     )
-    return out.withColumn("log_score", F.round("log_score", 6))
+    # Copies are written out by the JVM row by row, a thousand at a time.
+    out = out.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / 1000))))
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(1000), F.col("copies") - 1000 * F.col("_part")))))
+    return out.select("doc_id", "n_words", "n_backed_off", F.round("log_score", 6).alias("log_score"))
 
 
 ORACLE_SQL = r"""

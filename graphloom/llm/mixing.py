@@ -67,7 +67,10 @@ def mix(
     taken counts words with repeats.  boundary says what the document on the budget's edge gives:
     "cut" the words that still fit, "nearest" all or none of them, whichever is nearer.  Null texts have
     size 0 and give nothing; a null source is a source of its own, the last one; repeated rows are
-    separate documents with the same key; labels may be missing, null or repeated (the best one counts).
+    separate documents with the same key, in the order of size and of hashes of ``keep``, so that a rerun on other
+    partitions gives every row the same; labels may be missing, null or repeated (the best one counts).  An
+    empty table gives an empty result; a text of any length is counted whole; columns of ``docs`` beside these may
+    have any name, those in ``keep`` none of size, source_size, target, taken, _key, _cell, _in and _quality.
     """
     rows = docs.select(*dict.fromkeys(["doc_id", "source", *keep]), size_of(F.col("text")).alias("size"))
     if labels is not None:
@@ -89,7 +92,9 @@ def mix(
     totals = rows.groupBy(F.col("source").alias("_s"), F.col("_cell").alias("_c")).agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_s", "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("source", "_cell").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows that the hashes do not tell apart are equal in all that is kept.
+    ties = [F.xxhash64(F.lit(seed_), *keep, *[F.isnull(c) for c in keep]) for seed_ in (3, 7)] if keep else []
+    inner = Window.partitionBy("source", "_cell").orderBy("_key", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     rows = rows.join(totals, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
     rows = rows.join(goal, F.col("source").eqNullSafe(F.col("_source")))
