@@ -16,20 +16,22 @@ from graphloom.llm.common import checkpoint_dir, table
 from graphloom.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Share of the predicted language from which it replaces a given one.
+SURE = 0.99
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document gets the language the model finds; documents of no language go.
 
-    The model is fitted on the documents that carry a lang, and its prediction replaces lang in every row,
-    so that later stages need not trust what came in.  Rejected are texts that are null or without a
+    The model is fitted on the documents that carry a lang.  Its prediction fills in a lang that is missing, and
+    replaces one that is there where it is ``SURE`` at least.  Rejected are texts that are null or without a
     letter, for which no prediction is made.  Rows are judged one by one, so null or repeated ids and very
     long texts change nothing; without any known lang no document can be told and all go.
     """
     docs = docs.select(*COLUMNS)
-    rest = tuple(c for c in COLUMNS if c != "lang")
-    told = language_id.predict(docs, language_id.fit(docs), keep=rest)
-    return told.where("lang_pred <> 'und'").withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
+    told = language_id.predict(docs, language_id.fit(docs), keep=COLUMNS).where("lang_pred <> 'und'")
+    known = F.when(F.col("score") < SURE, F.col("lang"))
+    return told.withColumn("lang", F.coalesce(known, "lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
