@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,15 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, sample_by_hash
+from .common import crc_of_id, lean, sample_by_hash
+from .common import cut as cut_
 
 #: Words of a window.
 WINDOW = 2
-#: Windows that are compressed in one call; texts whose score a task remembers.
-AT_ONCE, REMEMBERED = 4096, 100_000
+#: Windows that are compressed in one call; texts and windows whose result a task remembers.
+AT_ONCE, REMEMBERED, HELD = 4096, 100_000, 200_000
+#: Characters of a text that are cut into windows at once.
+PART = 1 << 20
 #: Bounds of the training sample, in documents of each label and in windows of each label.
 SAMPLE, SAMPLE_WINDOWS = 1000, 400_000
 #: Bytes of the background, and budget of both sides with the saving that keeps a window, round by round.
@@ -49,6 +54,7 @@ STEPS, PRIOR = (2, 3, 4, 5), 0.3
 CUT = 0.3
 #: The carrier: both dictionaries end with it, and every window stands between its halves.
 HEAD, TAIL = b"0123456789@ABCDEFGHI", b"<> ZYXWVUTSRQPONMLKJ"
+_BLANK = re.compile(r"\s")
 
 
 def windows(text: str | None, step: int = 1, n: int = WINDOW, head: str = " ", tail: str = " ") -> list[bytes]:
@@ -60,6 +66,26 @@ def windows(text: str | None, step: int = 1, n: int = WINDOW, head: str = " ", t
     return [f"{head}{' '.join(words[i : i + n])}{tail}".encode() for i in range(0, last, step)] if words else []
 
 
+def parts(text: str) -> Iterator[str]:
+    """A long text in pieces of two words or more that end before a blank, each but the first led by the last word of the piece before."""
+    if len(text) <= PART:
+        yield text
+        return
+    at, held, any_ = 0, "", False
+    while at < len(text):
+        found = _BLANK.search(text, at + PART)
+        end = found.start() if found else len(text)
+        piece = f"{held} {text[at:end]}" if held else text[at:end]
+        at = end
+        if len(piece.split(None, 1)) > 1:
+            any_, held = True, piece.rsplit(None, 1)[-1]
+            yield piece
+        else:
+            held = piece.strip()
+    if not any_:
+        yield held
+
+
 def train_dictionary(samples: list[bytes], size: int, segment: int = SEGMENT) -> bytes:
     """Content of a dictionary that zstandard trains on the samples; samples that are too few to train on stand for themselves."""
     try:
@@ -111,30 +137,39 @@ def _rank_share(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class Model:
-    """Both dictionaries and the curve that was calibrated with them; untrained without texts of both labels."""
+    """Both dictionaries and the curve that is calibrated with them; untrained without texts of both labels."""
 
-    def __init__(self, toxic: list[str], ordinary: list[str]):
-        self.ordinary = self.toxic = b""
+    def __init__(self, ordinary: bytes = b"", toxic: bytes = b""):
+        self.ordinary, self.toxic = ordinary, toxic
         self.weights = np.zeros(2 * len(STEPS) + 2)
+
+    @classmethod
+    def trained(cls, toxic: list[str], ordinary: list[str]) -> Model:
+        """All steps in one process, on texts of both labels."""
         toxic, ordinary = [t for t in toxic if t.split()], [t for t in ordinary if t.split()]
         if len(toxic) < 2 or len(ordinary) < 2:
-            return
+            return cls()
+        model = max((cls.attempt(toxic, ordinary, split) for split in range(SPLITS)), key=lambda x: x[0])[1]
+        model.calibrate(*(np.array([model.features(t) for t in texts]) for texts in (toxic, ordinary)))
+        return model
+
+    @classmethod
+    def attempt(cls, toxic: list[str], ordinary: list[str], split: int) -> tuple[float, Model]:
+        """The pair of dictionaries from one split in halves that tells training documents (some 200 of each label) apart best, and how well."""
         bad, plain = _some(toxic, SAMPLE_WINDOWS), _some(ordinary, SAMPLE_WINDOWS)
-        # The pair of dictionaries that tells training documents (some 200 of each label) apart best.
-        best, tried = -1.0, [cut[:: max(1, len(cut) // 200)] for cut in (bad, plain)]
-        for split in range(SPLITS):
-            side = [i >> split & 1 for i in range(max(len(bad), len(plain)))]
-            background, rest, chosen = self._sides(bad, plain, side)
-            for segment in LAST:
-                pair = tuple(train_dictionary(s, ROUNDS[-1][0], segment) + background for s in (rest, chosen))
-                self._use(pair)
-                seen = [np.array([self._features(self._saved(x)) for x in cut]) for cut in tried]
-                weights = self._curve(*seen)
-                apart = _rank_share(*(x @ weights for x in seen))
-                if apart > best:
-                    best, found = apart, pair
-        self._use(found)
-        self.weights = self._curve(*(np.array([self._features(self.distances(t)) for t in texts]) for texts in (toxic, ordinary)))
+        best, tried = (-1.0, cls()), [cut[:: max(1, len(cut) // 200)] for cut in (bad, plain)]
+        side = [i >> split & 1 for i in range(max(len(bad), len(plain)))]
+        background, rest, chosen = cls._sides(bad, plain, side)
+        for segment in LAST:
+            model = cls(*(train_dictionary(s, ROUNDS[-1][0], segment) + background for s in (rest, chosen)))
+            seen = [np.array([model._features([model._saved(x)]) for x in cut]) for cut in tried]
+            weights = model._curve(*seen)
+            best = max(best, (_rank_share(*(x @ weights for x in seen)), model), key=lambda x: x[0])
+        return best
+
+    def calibrate(self, toxic: np.ndarray, ordinary: np.ndarray) -> None:
+        """The curve from the features of training texts of both labels."""
+        self.weights = self._curve(toxic, ordinary)
 
     @staticmethod
     def _sides(bad: list[list[bytes]], plain: list[list[bytes]], side: list[int]) -> tuple[bytes, list[bytes], list[bytes]]:
@@ -153,28 +188,50 @@ class Model:
             kept = [[w for w, n in zip(x, ordinary(x) - toxic[1 - s](x)) if n >= least] for x, s in zip(bad, side)]
         return background, rest, [w for x in kept for w in x] or [w for x in bad for w in x]
 
-    def _use(self, pair: tuple[bytes, bytes]) -> None:
-        self.ordinary, self.toxic = pair
-        self._pair = tuple(compressor(x) for x in pair)
-
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
 
-    def distances(self, text: str | None, step: int = 1) -> np.ndarray:
+    def distances(self, text: str | None) -> np.ndarray:
         """Bytes that the toxic dictionary saves over the ordinary one, window by window."""
-        return self._saved(windows(text, step, head=HEAD.decode() + " ", tail=" " + TAIL.decode()), True)
+        return np.concatenate([np.zeros(0, np.int64), *self._pieces(text)])
+
+    def _pieces(self, text: str | None) -> Iterator[np.ndarray]:
+        """The distances of a text part by part, so that no more than a part's windows are held."""
+        if not hasattr(self, "_known"):
+            self._known: dict[bytes, int] = {}
+        known = self._known
+        head, tail = HEAD.decode() + " ", " " + TAIL.decode()
+        for part in parts(text or ""):
+            cut = windows(part, head=head, tail=tail)
+            found = list(map(known.get, cut))
+            # Windows come again and again; only those that the task does not remember are compressed.
+            new = list({w: None for w, d in zip(cut, found) if d is None})
+            if new:
+                if len(known) + len(new) > HELD:
+                    known.clear()
+                fresh = dict(zip(new, self._saved(new, True).tolist()))
+                found = [fresh[w] if d is None else d for w, d in zip(cut, found)]
+                if len(new) <= HELD:
+                    known.update(fresh)
+            yield np.array(found, np.int64)
 
     def _saved(self, cut: list[bytes], carried: bool = False) -> np.ndarray:
         if not hasattr(self, "_pair"):
-            self._use((self.ordinary, self.toxic))
+            self._pair = compressor(self.ordinary), compressor(self.toxic)
         ordinary, toxic = self._pair
         return ordinary(cut, carried) - toxic(cut, carried)
 
+    def features(self, text: str | None) -> np.ndarray:
+        return self._features(self._pieces(text))
+
     @staticmethod
-    def _features(d: np.ndarray) -> np.ndarray:
-        count = np.array([(d >= s).sum() for s in STEPS], float)
-        n = max(len(d), 1)
-        return np.r_[1.0, 10 * count / n, np.log1p(count), d.sum() / n]
+    def _features(pieces: Iterable[np.ndarray]) -> np.ndarray:
+        count, total, n = np.zeros(len(STEPS)), 0, 0
+        for d in pieces:
+            count += [(d >= s).sum() for s in STEPS]
+            total, n = total + d.sum(), n + len(d)
+        n = max(n, 1)
+        return np.r_[1.0, 10 * count / n, np.log1p(count), total / n]
 
     @staticmethod
     def _curve(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
@@ -192,7 +249,7 @@ class Model:
     def score(self, text: str | None) -> float:
         if not self.toxic:
             return 0.0
-        return float(1 / (1 + np.exp(-np.clip(self._features(self.distances(text)) @ self.weights, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -30, 30))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -200,7 +257,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     The bounded sample is chosen by a hash of doc_id, and by a hash of the text where many texts share
     an id.  Null texts and labels other than 0 and 1 teach nothing, nor do rows without an id; a document
-    labelled more than once counts as toxic if any of its labels is; equal rows teach once.
+    labelled more than once counts as toxic if any of its labels is; equal rows teach once.  The sample is sent to
+    one task for each split in halves, which train and try dictionaries; the curve's features are made in tasks
+    as well, and only they, one row for each training document, and the dictionaries come back.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     shares = {r["toxic"]: min(1.0, sample / r["n"]) for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -209,16 +268,41 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for label, share in shares.items():
         keep |= (F.col("toxic") == label) & (unit < share)
     few = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known.where(keep)), "doc_id").distinct()
-    few = sample_by_hash(few, "text", 4 * sample)
-    rows = [(r["toxic"], r["text"]) for r in few.orderBy("doc_id", "text").toLocalIterator()]
-    return Model([t for y, t in rows if y == 1], [t for y, t in rows if y == 0])
+    few = cut_(sample_by_hash(few, "text", 4 * sample))
+    rows = [(r["toxic"], r["text"]) for r in few.orderBy("doc_id", "text").toLocalIterator() if r["text"].split()]
+    sides = [t for y, t in rows if y == 1], [t for y, t in rows if y == 0]
+    if min(map(len, sides)) < 2:
+        return Model()
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(pickle.dumps(sides))
+
+    def attempts(batches):
+        for batch in batches:
+            for split in batch.column(0).to_pylist():
+                apart, model = Model.attempt(*pickle.loads(sent.value), split)
+                yield pa.RecordBatch.from_arrays([pa.array([split]), pa.array([apart]), pa.array([pickle.dumps(model)])], ["split", "apart", "model"])
+
+    tried = spark.range(0, SPLITS, 1, SPLITS).mapInArrow(attempts, "split long, apart double, model binary").collect()
+    model: Model = pickle.loads(max(tried, key=lambda r: (r["apart"], -r["split"]))["model"])
+
+    def features(batches):
+        for batch in batches:
+            seen = [model.features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([x.tolist() for x in seen], pa.list_(pa.float64()))], ["toxic", "x"])
+
+    kind = few.schema["toxic"].dataType.simpleString()
+    spread = few.where(F.length(F.trim("text")) > 0).repartition(16, "doc_id", "text").select("toxic", "text")
+    seen = spread.mapInArrow(lean(features), f"toxic {kind}, x array<double>").collect()
+    # In a fixed order, so that sums do not depend on the tasks'.
+    model.calibrate(*(np.array(sorted(r["x"] for r in seen if r["toxic"] == y)) for y in (1, 0)))
+    return model
 
 
 def rate(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id`` and ``score`` of every row of ``docs(doc_id, text)``; whole texts, rows stay repeated.
 
     A null or empty text has no window, and every such text the same low score; an untrained model gives
-    0.  A text of one word is one window.  An empty table gives an empty result, extra columns are ignored.
+    0.  A text of one word is one window; a long one is cut into windows part by part.  An empty table gives an empty result, extra columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 

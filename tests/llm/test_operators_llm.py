@@ -536,7 +536,7 @@ def test_toxicity_separates(spark, docs, labels):
         for b in rng.sample(bad, 3):
             w.insert(rng.randrange(len(w) + 1), b)
         toxic.append(" ".join(w))
-    model = toxicity.Model(toxic[:300], plain[:300])
+    model = toxicity.Model.trained(toxic[:300], plain[:300])
     hit = np.mean([model.score(t) >= toxicity.CUT for t in toxic[300:]])
     miss = np.mean([model.score(t) >= toxicity.CUT for t in plain[300:]])
     assert hit > 0.95 and miss < 0.1
@@ -549,7 +549,7 @@ def test_windows_are_compressed_with_both_dictionaries():
     word = lambda: "".join(rng.choice(["ba", "do", "ki", "lu", "me", "ra"]) for _ in range(rng.randint(1, 4)))
     plain = [" ".join(word() for _ in range(150)) for _ in range(120)]
     toxic = [" ".join(w if rng.random() > 0.05 else "vile scoundrel" for w in (word() for _ in range(150))) for _ in range(120)]
-    model = toxicity.Model(toxic, plain)
+    model = toxicity.Model.trained(toxic, plain)
     budget = toxicity.BACKGROUND + toxicity.ROUNDS[-1][0]
     assert 0 < len(model.ordinary) <= budget and 0 < len(model.toxic) <= budget
 

@@ -309,3 +309,31 @@ def test_counts_beyond_the_narrow_type(spark):
     assert Counter(tuple(r) for r in lm_score.score(docs, wide=20).collect()) == want
     assert (lm_score._unpacked(lm_score._packed(lm_score._narrow(np.array([3, 1 << 33], np.uint64))), 2) == [3, 1 << 33]).all()
     assert lm_score._narrow(np.array([3], np.uint64)).dtype == np.uint32
+
+
+def test_long_texts_are_cut_part_by_part(monkeypatch):
+    from graphloom.llm import toxicity
+
+    rng = random.Random(5)
+    model = toxicity.Model(b"one two three four five six seven ", b"bad worse worst evil vile foul nasty ")
+    texts = ["", " ", "x" * 300, "x" * 150 + " ", " " * 200 + "a", "a " + "y" * 500 + " b c", *["".join(rng.choice("ab cd\n\u00a0\u00e9") for _ in range(rng.randint(0, 900))) for _ in range(40)]]
+    whole = [model.distances(t) for t in texts]
+    plain_ = [model._saved(toxicity.windows(t, head=toxicity.HEAD.decode() + " ", tail=" " + toxicity.TAIL.decode()), True) for t in texts]
+    monkeypatch.setattr(toxicity, "PART", 64)
+    monkeypatch.setattr(toxicity, "HELD", 50)  # forgets what it knew again and again
+    again = toxicity.Model(model.ordinary, model.toxic)
+    for t, a, b in zip(texts, whole, plain_):
+        assert (a == b).all() and len(a) == len(b)
+        assert (again.distances(t) == a).all() and len(again.distances(t)) == len(a)
+        assert np.allclose(again.features(t), model._features([a]))
+
+
+def test_toxicity_fitted_in_tasks_is_fitted_in_one_process(spark, sf):
+    from graphloom.llm import toxicity
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs.repartition(5), labels)
+    known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = docs.where("text is not null").select("doc_id", "text").distinct().join(known, "doc_id").orderBy("doc_id", "text").collect()
+    one = toxicity.Model.trained([r.text for r in rows if r.toxic], [r.text for r in rows if not r.toxic])
+    assert (model.ordinary, model.toxic) == (one.ordinary, one.toxic) and np.allclose(model.weights, one.weights, atol=1e-9)
