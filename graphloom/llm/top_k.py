@@ -52,7 +52,11 @@ def rotation(sample: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """A block of queries with its rotation and running thresholds."""
+    """A block of queries with its rotation, its k best so far and the thresholds they give.
+
+    What one call of ``run`` has reached holds for the next, so vectors may come in any number of parts and
+    ``found`` is read once.
+    """
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, basis: np.ndarray, k: int):
         self.ids, self.q, self.basis, self.k = ids, q, basis, k
@@ -61,17 +65,25 @@ class Search:
         self.head, self.tail = turned[:, : self.lead], np.linalg.norm(turned[:, self.lead :], axis=1)
         self.length = np.linalg.norm(q.astype(np.float64), axis=1)
         self.floor = np.full(len(ids), -np.inf)  # a k-th score that is known to be reached
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the vectors; the thresholds stay."""
+        self.best = np.full((len(self.ids), self.k), NONE)
+        self.who = np.full((len(self.ids), self.k), np.iinfo(np.int64).max)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query position, candidate id, score) of the k best so far."""
+        row, rank = np.nonzero(self.who != np.iinfo(np.int64).max)
+        return row, self.who[row, rank], self.best[row, rank]
 
-    def run(self, ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query position, candidate id, score) of what may be among the k best, from these candidates."""
-        n, k = len(self.ids), self.k
-        best = np.full((n, k), NONE)
-        who = np.full((n, k), np.iinfo(np.int64).max)
+    def run(self, ids: np.ndarray, v: np.ndarray) -> None:
+        """Take these candidates into the k best."""
+        n, k, best, who, floor = len(self.ids), self.k, self.best, self.who, self.floor
         length = np.linalg.norm(v.astype(np.float64), axis=1)
         order = np.lexsort((ids, -length))
         ids, v, length = ids[order], v[order], length[order]
         exact = float(np.abs(v).max(initial=0)) * float(np.abs(self.q).max(initial=0)) * v.shape[1] < 2**52
-        floor = self.floor.copy()
         for lo in range(0, len(ids), ROWS):
             part, own, size = v[lo : lo + ROWS], ids[lo : lo + ROWS], length[lo : lo + ROWS]
             if not (self.length * size[0] + 1e-6 * (1 + self.length * size[0]) >= floor).any():
@@ -114,11 +126,9 @@ class Search:
                 last = best[touched, k - 1]
                 known = last > NONE
                 floor[touched[known]] = np.maximum(floor[touched[known]], last[known])
-        row, rank = np.nonzero(who != np.iinfo(np.int64).max)
-        return row, who[row, rank], best[row, rank]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, most: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products over all vectors.
 
     Both sides are ``(vec_id, v array<long>)`` as made by ``quantised``.  A query never meets rows with
@@ -126,7 +136,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     as in the SQL: a vector that stands n times is n candidates and takes n places, and the rows of one
     query_id share its k places.  Vectors of another width than the query's take no part.  An empty side
     gives an empty result; null keys and vectors are left out by ``quantised``.  One pass over the vectors
-    answers ``QUERY_BYTES`` of queries; more queries take more passes.
+    answers ``most`` bytes of queries; more queries take more passes, one after another, each of which writes its
+    candidates and drops its broadcast.  ValueError where a score might not fit a long.
     """
     spark = vectors.sparkSession
     length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -138,23 +149,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         sample = np.array([r["v"] for r in sample_by_hash(own.select("vec_id", "v"), ("vec_id", "v"), SAMPLE).toLocalIterator()], np.float64)
         basis = rotation(sample.reshape(-1, width))
         longest = own.orderBy(F.col("l").desc(), "vec_id").limit(LONGEST).collect()
+        if longest and longest[0]["l"] >= 2.0**62:  # no score passes the largest squared length
+            raise ValueError("vectors are too long for scores in 64 bits")
         top_ids = np.array([r["vec_id"] for r in longest], np.int64)
         top = np.array([r["v"] for r in longest], np.int64).reshape(-1, width)
-        passes = -(-number * width * 8 // QUERY_BYTES)
+        passes = -(-number * width * 8 // most)
         at = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(max(1, passes)))
         for one in range(passes):
             rows = asked.where((F.col("d") == width) & (at == one)).orderBy("vec_id").toLocalIterator()
             searches = []
             while block := list(itertools.islice(rows, QUERY_BLOCK)):
                 search = Search(np.array([r["vec_id"] for r in block], np.int64), np.array([r["v"] for r in block], np.int64), basis, k)
-                q, _, score = search.run(top_ids, top)
-                low = np.full(len(block), np.inf)
-                np.minimum.at(low, q, score.astype(np.float64))
-                search.floor = np.where(np.bincount(q, minlength=len(block)) >= k, low, -np.inf)
+                search.run(top_ids, top)
+                search.clear()  # The tasks meet these vectors again.
                 searches.append(search)
             if searches:
                 sent = spark.sparkContext.broadcast(pickle.dumps(searches))
-                part = own.select("vec_id", "v").mapInArrow(_task(sent, width), "query_id long, vec_id long, score long")
+                part = cut(own.select("vec_id", "v").mapInArrow(_task(sent, width), "query_id long, vec_id long, score long"))
+                sent.destroy()
                 out = part if out is None else out.union(part)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -171,18 +183,20 @@ def _task(sent, width: int, held: int = 131_072):
         def flush():
             every, v = np.concatenate(ids), np.concatenate(parts)
             for search in searches:
-                row, cand, score = search.run(every, v)
-                yield pa.RecordBatch.from_arrays([pa.array(search.ids[row]), pa.array(cand), pa.array(score)], ["query_id", "vec_id", "score"])
+                search.run(every, v)
 
         for batch in batches:
             ids.append(batch.column("vec_id").to_numpy(zero_copy_only=False))
             parts.append(matrix(batch.column("v"), width))
             n += batch.num_rows
             if n >= held:
-                yield from flush()
+                flush()
                 ids, parts, n = [], [], 0
         if n:
-            yield from flush()
+            flush()
+        for search in searches:
+            row, cand, score = search.found()
+            yield pa.RecordBatch.from_arrays([pa.array(search.ids[row]), pa.array(cand), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return run
 

@@ -337,3 +337,37 @@ def test_toxicity_fitted_in_tasks_is_fitted_in_one_process(spark, sf):
     rows = docs.where("text is not null").select("doc_id", "text").distinct().join(known, "doc_id").orderBy("doc_id", "text").collect()
     one = toxicity.Model.trained([r.text for r in rows if r.toxic], [r.text for r in rows if not r.toxic])
     assert (model.ordinary, model.toxic) == (one.ordinary, one.toxic) and np.allclose(model.weights, one.weights, atol=1e-9)
+
+
+def test_top_k_carries_what_it_has_reached(spark, monkeypatch):
+    import pickle
+
+    from graphloom.llm import top_k
+
+    rng = np.random.default_rng(9)
+    v = rng.integers(-200, 200, size=(3000, 16))
+    v[1500:1520] = v[7]
+    ids = np.arange(3000)
+    search = top_k.Search(ids[:40], v[:40], top_k.rotation(v[:500].astype(float)), 5)
+
+    class Sent:
+        value = pickle.dumps([search])
+
+    import pyarrow as pa
+
+    def task(held):
+        flat = pa.array(v.tolist(), pa.list_(pa.int64()))
+        batches = [pa.RecordBatch.from_arrays([pa.array(ids[a : a + 100]), flat.slice(a, 100)], ["vec_id", "v"]) for a in range(0, 3000, 100)]
+        return [r for b in top_k._task(Sent, 16, held)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+
+    score = v[:40] @ v.T
+    want = {(q, int(c), int(score[q, c])) for q in range(40) for c in sorted((c for c in range(3000) if c != q), key=lambda c: (-score[q, c], c))[:5]}
+    assert set(task(1 << 20)) == want
+    # Thirty flushes give out no more rows than one.
+    assert set(task(100)) == want and len(task(100)) == len(want) == 200
+    rows = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "vec_id long, v array<long>")
+    for most in (16 * 8 * 14, 16 * 8 * 20, 1 << 20):  # three passes, two and one
+        got = top_k.top_k(rows, rows.where("vec_id < 40"), 5, most=most)
+        assert {(r.query_id, r.vec_id, r.score) for r in got.collect()} == want
+    with pytest.raises(ValueError, match="64 bits"):
+        top_k.top_k(spark.createDataFrame([(1, [1 << 32, 0])], "vec_id long, v array<long>"), rows.limit(1).selectExpr("vec_id", "slice(v, 1, 2) v"), 5)
