@@ -53,6 +53,28 @@ def violations(terms_: DataFrame, edges1: DataFrame, edges2: DataFrame, support:
     return outside.select(*terms_.columns).union(index).union(edge).agg(F.count(F.lit(1)).alias("violations"))
 
 
+def variable_index(terms_: DataFrame) -> DataFrame:
+    """u, v, plus, minus: the objectives (i, j) that hold a variable on either side; an absent side is an empty array."""
+    side = [F.array_sort(F.collect_set(F.when(F.col("sign") == s, F.struct("i", "j")))).alias(c) for s, c in ((1, "plus"), (-1, "minus"))]
+    return terms_.groupBy("u", "v").agg(*side)
+
+
+def layouts(terms_: DataFrame, folder: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The terms by variable and by objective, written as bucketed and sorted tables in a shared folder.
+
+    What joins or groups them by (u, v) reads the first, by (i, j) the second, and neither is shuffled then: in a
+    round only vectors move.  There are as many buckets as shuffle partitions.
+    """
+    spark = terms_.sparkSession
+    buckets, out = int(spark.conf.get("spark.sql.shuffle.partitions")), []
+    for by, keys in (("variable", ("u", "v")), ("objective", ("i", "j"))):
+        held = f"{name}_by_{by}"
+        rows = terms_.repartition(buckets, *keys)
+        rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{folder.rstrip('/')}/{held}").mode("overwrite").format("parquet").saveAsTable(held)
+        out.append(spark.table(held))
+    return out[0], out[1]
+
+
 def cooccurrence(terms_: DataFrame) -> DataFrame:
     """u1, v1, u2, v2, n: objectives in which two different variables meet on opposite sides or the same."""
     a = terms_.select("i", "j", F.col("u").alias("u1"), F.col("v").alias("v1")).distinct()
@@ -72,10 +94,14 @@ def value(terms_: DataFrame, z: DataFrame, p: float) -> DataFrame:
     return f.agg(F.pow(F.sum(F.pow(F.abs("f"), F.lit(float(p)))), F.lit(1.0 / p)).alias("value"))
 
 
-def gradient(terms_: DataFrame, z: DataFrame, p: float) -> DataFrame:
-    """u, v, g: gradient of the p-norm at z; 0 where the norm is 0."""
+def gradient(terms_: DataFrame, z: DataFrame, p: float, by_objective: DataFrame | None = None) -> DataFrame:
+    """u, v, g: gradient of the p-norm at z; 0 where the norm is 0.
+
+    ``by_objective``: the same terms laid out by (i, j), if there are such (see ``layouts``).
+    """
     f = values(terms_, z)
-    norm = value(terms_, z, p)
+    norm = f.agg(F.pow(F.sum(F.pow(F.abs("f"), F.lit(float(p)))), F.lit(1.0 / p)).alias("value"))
+    terms_ = terms_ if by_objective is None else by_objective
     slope = F.when(F.col("value") > 0, F.signum("f") * F.pow(F.abs("f") / F.col("value"), F.lit(p - 1.0))).otherwise(F.lit(0.0))
     s = f.crossJoin(F.broadcast(norm)).select("i", "j", slope.alias("s"))  # one row beside every objective
     return terms_.join(s, ["i", "j"]).groupBy("u", "v").agg(F.sum(_factor(terms_) * F.col("s")).alias("g"))
@@ -90,7 +116,8 @@ def linear_cost(support: DataFrame, cost: DataFrame, z: DataFrame) -> DataFrame:
 def pair_distance(features1: DataFrame, features2: DataFrame, support: DataFrame | None = None, equalize: bool = False) -> DataFrame:
     """u, v, d: Euclidean distance of ``features(node, features)`` on the support, or of all pairs.
 
-    ``equalize`` first gives the side with fewer nodes zero vectors for the ids from its size to the other's.
+    ``equalize`` first gives the side with fewer nodes zero vectors for the ids from its size to the other's;
+    nodes that already have such an id are an error.
     """
     from ..functions.scalars import euclidean
 
@@ -107,6 +134,8 @@ def pair_distance(features1: DataFrame, features2: DataFrame, support: DataFrame
 
 
 def _padded(few: DataFrame, many: DataFrame, low: int, high: int) -> DataFrame:
+    if not few.where(F.col("node").cast("long").between(low, high - 1)).isEmpty():
+        raise ValueError(f"nodes with ids from {low} to {high - 1} stand where padding goes; number nodes from 0")
     width = many.select(F.size("features")).first()[0]
     kind = few.schema["node"].dataType
     zeros = few.sparkSession.range(low, high).select(F.col("id").cast(kind).alias("node"), F.array_repeat(F.lit(0.0), width).alias("features"))

@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import admm, assignment, blocks, components, evaluate, generate, graph, objective, projection, support
+from ..operators import admm, assignment, blocks, components, evaluate, generate, graph, objective, primal_dual, projection, support
 from ..sources import readers, writers
 from ..streaming import partitioner
 from . import fixtures as fx
+from . import runtime
 from .fixtures import sql
 from .loop import settle, shared_folder
 
@@ -525,6 +526,50 @@ def family_stats(s, d):
     return admm.family_stats(z, "u", "z")
 
 
+# The linear program
+
+
+def lp_sql(rounds: int, adds: str) -> str:
+    """Primal-dual rounds, unrolled."""
+    text = """, co AS (SELECT i, j, u, v, CAST(sum(sign) AS DOUBLE) AS a FROM terms GROUP BY 1, 2, 3, 4 HAVING sum(sign) <> 0)
+, vs AS (SELECT u, v, sum(abs(a)) AS s FROM co GROUP BY 1, 2)
+, p0 AS (SELECT s.u, s.v, coalesce(c.d, 0) AS d, 1 / (coalesce(vs.s, 0) + 2) AS step, 1.0::DOUBLE / count(*) OVER (PARTITION BY s.u) AS p
+  FROM support s LEFT JOIN cost c USING (u, v) LEFT JOIN vs USING (u, v))
+, w0 AS (SELECT i, j, 1 / sum(abs(a)) AS step, 0.0::DOUBLE AS w FROM co GROUP BY 1, 2)
+, r0 AS (SELECT u, 1.0::DOUBLE / count(*) AS step, 0.0::DOUBLE AS m FROM support GROUP BY 1), c0 AS (SELECT v, 1.0::DOUBLE / count(*) AS step, 0.0::DOUBLE AS m FROM support GROUP BY 1)"""
+    for k in range(rounds + 1):
+        text += f"""
+, sl{k} AS (SELECT u, v, sum(a * w) AS g FROM co JOIN w{k} USING (i, j) GROUP BY 1, 2)
+, l{k} AS MATERIALIZED (SELECT p.u, p.v, d, p.step, p, d + coalesce(g, 0) - r.m - c.m AS left_ FROM p{k} p LEFT JOIN sl{k} USING (u, v) JOIN r{k} r USING (u) JOIN c{k} c USING (v))"""
+        if k < rounds:
+            text += f"""
+, x{k} AS MATERIALIZED (SELECT u, v, d, step, greatest(0, p - step * left_) AS p, 2 * greatest(0, p - step * left_) - p AS far FROM l{k})
+, p{k + 1} AS (SELECT u, v, d, step, p FROM x{k})
+, w{k + 1} AS MATERIALIZED (SELECT i, j, step, greatest(-1, least(1, w + step * f)) AS w FROM w{k} JOIN (SELECT i, j, sum(a * far) AS f FROM co JOIN x{k} USING (u, v) GROUP BY 1, 2) USING (i, j))
+, r{k + 1} AS MATERIALIZED (SELECT u, step, m + step * (1 - s) AS m FROM r{k} JOIN (SELECT u, sum(far) AS s FROM x{k} GROUP BY 1) USING (u))
+, c{k + 1} AS MATERIALIZED (SELECT v, step, m + step * (1 - s) AS m FROM c{k} JOIN (SELECT v, sum(far) AS s FROM x{k} GROUP BY 1) USING (v))"""
+    return sql(text + adds.format(k=rounds))
+
+
+def _program(s, d, rounds: int) -> dict:
+    sup, t = setting(s, d)[2:]
+    return primal_dual.solve(primal_dual.initial(sup, t, fx.cost(s, d)), rounds)
+
+
+@query(lp_sql(3, " SELECT u, v, round(p, 6) AS p, round(left_, 6) AS excess FROM l{k}"))
+def lp_rounds(s, d):
+    return rounded(primal_dual.reduced(_program(s, d, 3)).select("u", "v", "p", "excess"), "p", "excess")
+
+
+@query(lp_sql(2, """
+, f AS (SELECT abs(sum(a * p)) AS f FROM co JOIN p{k} USING (u, v) GROUP BY i, j)
+SELECT round((SELECT sum(f) FROM f) + (SELECT sum(d * p) FROM p{k}), 6) AS primal,
+       round((SELECT sum(m) FROM r{k}) + (SELECT sum(m) FROM c{k}) + (SELECT sum(least(0, x)) FROM (SELECT min(left_) AS x FROM l{k} GROUP BY u)), 6) AS dual,
+       round(greatest((SELECT max(abs(s - 1)) FROM (SELECT sum(p) AS s FROM p{k} GROUP BY u)), (SELECT max(abs(s - 1)) FROM (SELECT sum(p) AS s FROM p{k} GROUP BY v))), 6) AS infeasible"""))
+def lp_gap(s, d):
+    return rounded(primal_dual.gap(_program(s, d, 2)), "primal", "dual", "infeasible")
+
+
 # Frank-Wolfe
 
 
@@ -536,6 +581,25 @@ def fw_gradient(s, d):
     return rounded(objective.gradient(t, fx.start(sup), 2.5), "g")
 
 
+@query(sql(F_SQL + """, n AS (SELECT power(sum(power(abs(f), 2.5::DOUBLE)), 1 / 2.5::DOUBLE) AS n FROM f)
+, sl AS (SELECT i, j, CASE WHEN n > 0 THEN sign(f) * power(abs(f) / n, 1.5::DOUBLE) ELSE 0 END AS s FROM f, n)
+SELECT u, v, round(sum(sign * s), 6) AS g FROM terms JOIN sl USING (i, j) GROUP BY 1, 2"""))
+def fw_gradient_bucketed(s, d):
+    """As fw_gradient, from terms that are laid out once by variable and once by objective."""
+    sup, t = setting(s, d)[2:]
+    by_variable, by_objective = objective.layouts(t, _folder(s, "layouts"), f"terms_{uuid.uuid4().hex}")
+    return rounded(objective.gradient(by_variable, fx.start(sup), 2.5, by_objective), "g")
+
+
+@query(sql("""SELECT u, v, count(*) FILTER (sign = 1) AS n_plus, count(*) FILTER (sign = -1) AS n_minus,
+  coalesce(string_agg(i || ',' || j, ';' ORDER BY i, j) FILTER (sign = 1), '') AS plus, coalesce(string_agg(i || ',' || j, ';' ORDER BY i, j) FILTER (sign = -1), '') AS minus
+FROM terms GROUP BY 1, 2"""))
+def variable_index(s, d):
+    found = objective.variable_index(setting(s, d)[3])
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(",", x["i"].cast("string"), x["j"].cast("string"))), ";")
+    return found.select("u", "v", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("plus", "minus")], *[text(c).alias(c) for c in ("plus", "minus")])
+
+
 @query(sql(W_SQL + """, n AS (SELECT power(sum(power(abs(f), 2.5::DOUBLE)), 1 / 2.5::DOUBLE) AS n FROM f)
 , sl AS (SELECT i, j, CASE WHEN n > 0 THEN sign(f) * power(abs(f) / n, 1.5::DOUBLE) ELSE 0 END AS s FROM f, n)
 SELECT u, v, round(sum(sign * w * s), 6) AS g FROM wterms JOIN sl USING (i, j) GROUP BY 1, 2"""))
@@ -727,6 +791,20 @@ def pagerank_ordered(s, d):
     return graph.ordered(rounded(graph.pagerank(fx.directed(s, d, hub=True), rounds=5, eps=0.0), "score"))
 
 
+@query(sql("""SELECT 'edges' AS step, 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM e1
+UNION ALL SELECT 'edges', 'loops', CAST(count(*) FILTER (src = dst) AS DOUBLE) FROM e1
+UNION ALL SELECT 'nodes', 'rows', CAST(count(*) AS DOUBLE) FROM g1 UNION ALL SELECT 'nodes', 'degrees', CAST(sum(deg) AS DOUBLE) FROM g1"""))
+def runtime_rows(s, d):
+    """Figures that the steps' own passes give; their seconds are left out here."""
+    run = runtime.Runtime()
+    at = _folder(s, "runtime")
+    with run.timed("edges"):
+        run.watched("edges", fx.graph(s, d), loops=F.count_if(F.col("src") == F.col("dst"))).write.parquet(f"{at}/edges")
+    with run.timed("nodes"):
+        run.watched("nodes", graph.degree_counts(s.read.parquet(f"{at}/edges")), degrees=F.sum("deg")).write.parquet(f"{at}/nodes")
+    return run.rows(s).where("metric <> 'seconds'")
+
+
 # Sources and sinks: what is written comes back
 
 

@@ -100,3 +100,26 @@ def weights(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(token.alias("t")).where(F.size("t") == 3).select(
         F.col("t")[0].cast("int").alias("i"), F.col("t")[1].cast("int").alias("j"), F.col("t")[2].cast("double").alias("w")
     )
+
+
+def trace(spark: SparkSession, path: str) -> DataFrame:
+    """iteration, metric, value as ``writers.trace`` appends them."""
+    return spark.read.parquet(path).select("iteration", "metric", "value")
+
+
+def solution(spark: SparkSession, path: str) -> DataFrame:
+    """u, v, z of a start or solution: Parquet, or lines ``(('u', 'v'), z)``."""
+    if re.search(r"\.parquet/?$", path):
+        return spark.read.parquet(path).select("u", "v", "z")
+    return costs(spark, path).withColumnRenamed("d", "z")
+
+
+def graph_matrix(edges: DataFrame, directed: bool = False) -> DataFrame:
+    """row, col, val of the adjacency matrix of ``edges(src, dst)``, or of ``(i, j, w)`` with weights.
+
+    Cells that stand several times keep the largest; an undirected matrix takes the larger of a cell and its mirror.
+    """
+    weighted = "w" in edges.columns
+    cells = edges.select(F.col("i" if weighted else "src").alias("row"), F.col("j" if weighted else "dst").alias("col"), (F.col("w").cast("double") if weighted else F.lit(1.0)).alias("val"))
+    both = cells if directed else cells.union(cells.select(F.col("col").alias("row"), F.col("row").alias("col"), "val"))
+    return both.groupBy("row", "col").agg(F.max("val").alias("val"))

@@ -39,14 +39,37 @@ def partition_map(parts: DataFrame, path: str) -> None:
     parts.select(F.to_json(F.create_map(key, F.col("part_id"))).alias("value")).write.mode("overwrite").text(path)
 
 
+def weights(rows: DataFrame, path: str) -> None:
+    """Lines ``i j w``, as ``readers.weights`` reads them."""
+    rows.select(F.concat_ws(" ", F.col("i").cast("string"), F.col("j").cast("string"), F.col("w").cast("string")).alias("value")).write.mode("overwrite").text(path)
+
+
+def permutation(mapping: DataFrame, path: str) -> None:
+    """Lines ``u v`` of a matching."""
+    edge_list(mapping.select(F.col("u").alias("src"), F.col("v").alias("dst")), path)
+
+
 def trace(rows: DataFrame, path: str) -> None:
     """iteration, metric, value; one folder for each iteration, appended."""
     rows.write.mode("append").partitionBy("iteration").parquet(path)
 
 
-def graph_export(edges: DataFrame, features: DataFrame, classes: DataFrame, prefix: str) -> None:
-    """Edges, node ids, classes and features of a graph under one prefix."""
+def graph_export(edges: DataFrame, features: DataFrame, classes: DataFrame, prefix: str, split: DataFrame | None = None, walks: DataFrame | None = None) -> None:
+    """A graph with its features under one prefix.
+
+    -G: edges; -nodes: node, val, test (``split(node, val)``; without one all are for training); -id_map: node, row,
+    its row in the features, by the order of nodes; -class_map: node and class; -feats: row and features; -walks:
+    pairs ``start item`` as lines.
+    """
+    from ..operators.ranks import ranked
+
+    rows = ranked(features.select("node", "features"), "node", out="row", start=0)
+    flags = rows.select("node")
+    flags = flags.withColumn("val", F.lit(False)) if split is None else flags.join(split.select("node", "val"), "node", "left").na.fill(False, ["val"])
     edges.write.mode("overwrite").json(f"{prefix}-G")
-    features.select("node").write.mode("overwrite").json(f"{prefix}-id_map")
+    flags.withColumn("test", F.lit(False)).write.mode("overwrite").json(f"{prefix}-nodes")
+    rows.select("node", "row").write.mode("overwrite").json(f"{prefix}-id_map")
     classes.write.mode("overwrite").json(f"{prefix}-class_map")
-    features.write.mode("overwrite").parquet(f"{prefix}-feats")
+    rows.select("row", "features").write.mode("overwrite").parquet(f"{prefix}-feats")
+    if walks is not None:
+        edge_list(walks.select(F.col("start").alias("src"), F.col("item").alias("dst")), f"{prefix}-walks")

@@ -1,12 +1,14 @@
 """Kernels against numpy, invariants and round trips."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars
-from graphloom.operators import admm, assignment, blocks, components, evaluate, generate, graph, objective, pnorm, projection, support
+from graphloom.operators import admm, assignment, blocks, components, evaluate, generate, graph, objective, pnorm, primal_dual, projection, support
 from graphloom.sources import readers, writers
 from graphloom.streaming import partitioner
 
@@ -672,3 +674,128 @@ def test_block_statistics(spark):
                 rows[k].append(v)
         for k, v in rows.items():
             assert np.allclose([got[k]["mean"], got[k].least, got[k].most], [np.mean(v), min(v), max(v)])
+
+
+def dense_program(d, c, n, rounds):
+    """Primal-dual rounds on dense matrices for all n * n pairs."""
+    r, k = np.kron(np.eye(n), np.ones((1, n))), np.kron(np.ones((1, n)), np.eye(n))
+    p, w, a, b = np.full(n * n, 1 / n), np.zeros(len(d)), np.zeros(n), np.zeros(n)
+    for _ in range(rounds):
+        new = np.maximum(0, p - (c + d.T @ w - r.T @ a - k.T @ b) / (np.abs(d).sum(axis=0) + 2))
+        far, p = 2 * new - p, new
+        w = np.clip(w + (d @ far) / np.abs(d).sum(axis=1), -1, 1)
+        a, b = a + (1 - r @ far) / n, b + (1 - k @ far) / n
+    return p, w
+
+
+def test_program_rounds_equal_dense_ones_and_close_the_gap(spark):
+    e1, e2 = edges(spark, [(0, 1), (1, 0), (1, 2), (2, 1), (2, 0)]), edges(spark, [(0, 2), (2, 0), (1, 0), (2, 1), (1, 2)])
+    every = support.all_pairs(e1, e2)
+    t = objective.terms(e1, e2, every)
+    cost = spark.createDataFrame([(u, v, (3 * u + 5 * v) % 7 / 10) for u in range(3) for v in range(3) if u + v], "u long, v long, d double")
+    a = objective.coefficients(t).toPandas()
+    names = sorted({(r.i, r.j) for r in a.itertuples()})
+    d = np.zeros((len(names), 9))
+    for r in a.itertuples():
+        d[names.index((r.i, r.j)), r.u * 3 + r.v] = r.a
+    c = np.array([(3 * u + 5 * v) % 7 / 10 if u + v else 0 for u in range(3) for v in range(3)])
+    first = primal_dual.initial(every, t, cost)
+    state = primal_dual.solve(first, 4)
+    want, multipliers = dense_program(d, c, 3, 4)
+    assert np.allclose(state["p"].toPandas().sort_values(["u", "v"])["p"], want)
+    assert np.allclose(state["w"].toPandas().sort_values(["i", "j"])["w"], multipliers)
+    # The bound stays below the value of every permutation, and meets the best fractional one.
+    import itertools
+
+    values = [np.abs(d @ m).sum() + c @ m for q in itertools.permutations(range(3)) for m in [np.eye(3)[list(q)].ravel()]]
+    g = primal_dual.gap(state).first()
+    assert g.dual <= min(values) + 1e-9
+    best = dense_program(d, c, 3, 20_000)[0]
+    optimum = np.abs(d @ best).sum() + c @ best
+    assert g.dual <= optimum + 1e-6
+    done = primal_dual.solve(state, 24, tol=0.5, check=6)
+    g = primal_dual.gap(done).first()
+    assert g.infeasible <= 0.5 and g.dual <= optimum + 1e-6 and abs(g.primal - g.dual) <= 0.5 * (1 + g.primal)
+    with pytest.raises(RuntimeError, match="the gap is"):
+        primal_dual.solve(first, 1, tol=1e-9)
+
+
+def test_laid_out_terms_are_not_shuffled(spark, tmp_path):
+    e = generate.cycle(spark, 6)
+    every = support.all_pairs(e, e)
+    t = objective.terms(e, e, every)
+    by_variable, by_objective = objective.layouts(t, str(tmp_path), "laid_out")
+    assert by_variable.exceptAll(t.select(*by_variable.columns)).isEmpty() and by_objective.count() == t.count()
+    z = every.withColumn("z", (F.col("u") + 1) / (F.col("v") + 2))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for terms, laid, joined in ((t, None, False), (by_variable, by_objective, True)):
+            lines = objective.gradient(terms, z, 2.5, laid)._jdf.queryExecution().executedPlan().toString().splitlines()
+            scans = [k for k, line in enumerate(lines) if "FileScan" in line]
+            assert bool(scans) == joined and all("Bucketed: true" in lines[k] for k in scans)
+            for k in scans:
+                depth = re.search(r"\w", lines[k]).start()
+                for line in reversed(lines[:k]):  # from the scan up to the join that reads it
+                    if re.search(r"\w", line).start() < depth:
+                        depth = re.search(r"\w", line).start()
+                        assert "Exchange" not in line
+                        if "Join" in line:
+                            break
+                else:
+                    raise AssertionError("no join over the scan")
+        got = objective.gradient(by_variable, z, 2.5, by_objective).orderBy("u", "v").toPandas()
+        want = objective.gradient(t, z, 2.5).orderBy("u", "v").toPandas()
+        assert np.allclose(got.g, want.g) and len(got) == 36
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_figures_ride_along_with_the_actions(spark):
+    from graphloom.plans.runtime import Runtime
+
+    run = Runtime()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("figures", "")
+    with run.timed("count"):
+        run.watched("edges", generate.cycle(spark, 7), far=F.max("dst")).write.format("noop").mode("overwrite").save()
+    before = len(tracker.getJobIdsForGroup("figures"))
+    rows = {(r.step, r.metric): r.value for r in run.rows(spark).collect()}
+    assert rows["edges", "rows"] == 14 and rows["edges", "far"] == 6 and rows["count", "seconds"] > 0 and before >= 1
+
+
+def test_exports_come_back(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    w = spark.createDataFrame([(0, 1, 0.1 + 0.2), (1, 0, 1e-17)], "i int, j int, w double")
+    writers.weights(w, at("w"))
+    assert {tuple(r) for r in readers.weights(spark, at("w")).collect()} == {tuple(r) for r in w.collect()}
+    writers.permutation(spark.createDataFrame([(0, 2), (2, 0)], "u int, v int"), at("p"))
+    assert {tuple(r) for r in readers.edge_list(spark, at("p")).collect()} == {("0", "2"), ("2", "0")}
+    writers.trace(spark.createDataFrame([(0, "pres", 1.5)], "iteration int, metric string, value double"), at("t"))
+    writers.trace(spark.createDataFrame([(1, "pres", 0.5)], "iteration int, metric string, value double"), at("t"))
+    assert {(r.iteration, r.value) for r in readers.trace(spark, at("t")).collect()} == {(0, 1.5), (1, 0.5)}
+    writers.costs(spark.createDataFrame([("0", "1", 0.25)], "u string, v string, d double"), at("z"))
+    assert readers.solution(spark, at("z")).first() == ("0", "1", 0.25)
+    m = {(r.row, r.col): r.val for r in readers.graph_matrix(spark.createDataFrame([(0, 1, 2.0), (1, 0, 3.0), (1, 1, 1.0)], "i int, j int, w double")).collect()}
+    assert m == {(0, 1): 3.0, (1, 0): 3.0, (1, 1): 1.0}
+    assert readers.graph_matrix(edges(spark, [(0, 1), (0, 1)]), directed=True).collect() == [(0, 1, 1.0)]
+    e = generate.cycle(spark, 4)
+    features = spark.createDataFrame([(i, [float(i)]) for i in range(4)], "node long, features array<double>")
+    split = generate.split(features, 0.5)
+    writers.graph_export(e, features, features.select("node", F.lit(1).alias("class")), at("g"), split, spark.createDataFrame([(0, 1)], "start long, item long"))
+    flags = {r.node: r.val for r in spark.read.json(at("g-nodes")).collect()}
+    assert flags == {r.node: r.val for r in split.collect()}
+    assert {r.node: r.row for r in spark.read.json(at("g-id_map")).collect()} == {i: i for i in range(4)}
+    assert [r.features for r in spark.read.parquet(at("g-feats")).orderBy("row").collect()] == [[float(i)] for i in range(4)]
+    assert readers.edge_list(spark, at("g-walks")).collect() == [("0", "1")] and spark.read.json(at("g-G")).count() == 8
+    writers.graph_export(e, features, features.select("node", F.lit(1).alias("class")), at("h"))
+    assert not any(r.val for r in spark.read.json(at("h-nodes")).collect())
+    with pytest.raises(ValueError, match="number nodes from 0"):
+        objective.pair_distance(features.where("node in (0, 3)"), features.where("node < 4"), equalize=True)
+
+
+def test_the_variable_index_lists_objectives(spark):
+    t = spark.createDataFrame([(0, 1, 5, 6, 1), (0, 2, 5, 6, 1), (0, 1, 5, 7, -1)], "i int, j int, u int, v int, sign int")
+    got = {(r.u, r.v): ([tuple(x) for x in r.plus], [tuple(x) for x in r.minus]) for r in objective.variable_index(t).collect()}
+    assert got == {(5, 6): ([(0, 1), (0, 2)], []), (5, 7): ([], [(0, 1)])}
