@@ -6,18 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .graph import symmetrise
 
+# The links of four networks, each link once.
 _DTELEKOM = """
-67-52 67-04 66-05 66-04 65-62 65-04 65-26 64-04 64-23 63-45 63-51 62-23 62-28 61-05 61-04 61-23 61-45 60-03 60-04 60-05 60-17 59-38 59-37 59-47 59-42
-59-58 59-45 59-40 59-23 59-28 59-27 59-09 58-45 58-05 58-04 58-03 58-01 57-05 57-04 57-02 56-23 56-09 56-06 56-05 56-04 56-03 56-01 55-40 55-09 55-08
-55-06 55-05 55-03 55-01 54-42 54-06 54-05 54-04 54-03 54-01 53-51 53-45 53-23 53-09 53-05 52-09 52-05 52-04 52-03 52-01 51-48 51-45 51-27 51-23 51-05
-50-05 50-04 50-03 50-02 50-01 49-23 49-05 49-04 49-03 49-01 48-05 48-04 48-03 48-01 47-06 47-01 46-40 46-05 45-48 45-04 45-03 45-01 44-06 44-04 44-03
-44-02 44-01 43-26 43-10 43-06 43-05 43-04 43-01 42-40 42-05 42-04 42-03 42-01 41-31 41-05 41-04 41-03 41-01 40-23 40-09 40-08 40-04 40-03 40-01 39-19
-39-17 39-06 39-01 38-23 38-06 38-05 38-04 38-01 37-23 36-06 36-05 36-03 36-01 35-05 35-04 35-03 35-01 34-26 34-23 34-05 34-04 34-01 33-23 33-18 33-15
-33-09 33-03 32-06 32-05 32-04 32-03 32-02 32-01 31-04 31-03 30-06 30-05 30-04 30-03 30-01 29-26 29-06 29-05 29-04 29-03 29-01 28-06 28-05 28-04 28-03
-28-01 27-05 27-03 26-12 26-06 26-05 26-02 25-06 25-05 25-01 24-23 24-06 24-05 24-04 24-03 24-01 23-06 23-05 22-06 22-05 21-06 21-05 21-04 21-03 21-01
-20-06 20-05 20-04 20-03 20-02 20-01 19-17 19-06 19-05 18-04 18-03 18-01 17-01 16-05 16-04 16-03 16-01 15-11 15-09 15-06 15-05 15-04 14-04 14-03 14-01
-13-06 13-04 13-03 13-02 12-05 12-04 11-06 11-05 11-04 11-02 11-01 10-06 10-04 10-03 10-01 09-06 09-05 09-04 09-03 09-01 08-06 08-04 08-03 07-06 07-05
-07-04 07-03 07-01 06-05 06-04 06-03 06-01 05-04 05-03 05-02 05-01 04-03 04-02 04-01 03-02 03-01 02-01 00-01 00-02 00-03 00-04 00-05 00-06
+Node67-Node52 Node67-Node04 Node66-Node05 Node66-Node04 Node65-Node62 Node65-Node04 Node65-Node26 Node64-Node04 Node64-Node23 Node63-Node45
+Node63-Node51 Node62-Node23 Node62-Node28 Node61-Node05 Node61-Node04 Node61-Node23 Node61-Node45 Node60-Node03 Node60-Node04 Node60-Node05
+Node60-Node17 Node59-Node38 Node59-Node37 Node59-Node47 Node59-Node42 Node59-Node58 Node59-Node45 Node59-Node40 Node59-Node23 Node59-Node28
+Node59-Node27 Node59-Node09 Node58-Node45 Node58-Node05 Node58-Node04 Node58-Node03 Node58-Node01 Node57-Node05 Node57-Node04 Node57-Node02
+Node56-Node23 Node56-Node09 Node56-Node06 Node56-Node05 Node56-Node04 Node56-Node03 Node56-Node01 Node55-Node40 Node55-Node09 Node55-Node08
+Node55-Node06 Node55-Node05 Node55-Node03 Node55-Node01 Node54-Node42 Node54-Node06 Node54-Node05 Node54-Node04 Node54-Node03 Node54-Node01
+Node53-Node51 Node53-Node45 Node53-Node23 Node53-Node09 Node53-Node05 Node52-Node09 Node52-Node05 Node52-Node04 Node52-Node03 Node52-Node01
+Node51-Node48 Node51-Node45 Node51-Node27 Node51-Node23 Node51-Node05 Node50-Node05 Node50-Node04 Node50-Node03 Node50-Node02 Node50-Node01
+Node49-Node23 Node49-Node05 Node49-Node04 Node49-Node03 Node49-Node01 Node48-Node05 Node48-Node04 Node48-Node03 Node48-Node01 Node47-Node06
+Node47-Node01 Node46-Node40 Node46-Node05 Node45-Node48 Node45-Node04 Node45-Node03 Node45-Node01 Node44-Node06 Node44-Node04 Node44-Node03
+Node44-Node02 Node44-Node01 Node43-Node26 Node43-Node10 Node43-Node06 Node43-Node05 Node43-Node04 Node43-Node01 Node42-Node40 Node42-Node05
+Node42-Node04 Node42-Node03 Node42-Node01 Node41-Node31 Node41-Node05 Node41-Node04 Node41-Node03 Node41-Node01 Node40-Node23 Node40-Node09
+Node40-Node08 Node40-Node04 Node40-Node03 Node40-Node01 Node39-Node19 Node39-Node17 Node39-Node06 Node39-Node01 Node38-Node23 Node38-Node06
+Node38-Node05 Node38-Node04 Node38-Node01 Node37-Node23 Node36-Node06 Node36-Node05 Node36-Node03 Node36-Node01 Node35-Node05 Node35-Node04
+Node35-Node03 Node35-Node01 Node34-Node26 Node34-Node23 Node34-Node05 Node34-Node04 Node34-Node01 Node33-Node23 Node33-Node18 Node33-Node15
+Node33-Node09 Node33-Node03 Node32-Node06 Node32-Node05 Node32-Node04 Node32-Node03 Node32-Node02 Node32-Node01 Node31-Node04 Node31-Node03
+Node30-Node06 Node30-Node05 Node30-Node04 Node30-Node03 Node30-Node01 Node29-Node26 Node29-Node06 Node29-Node05 Node29-Node04 Node29-Node03
+Node29-Node01 Node28-Node06 Node28-Node05 Node28-Node04 Node28-Node03 Node28-Node01 Node27-Node05 Node27-Node03 Node26-Node12 Node26-Node06
+Node26-Node05 Node26-Node02 Node25-Node06 Node25-Node05 Node25-Node01 Node24-Node23 Node24-Node06 Node24-Node05 Node24-Node04 Node24-Node03
+Node24-Node01 Node23-Node06 Node23-Node05 Node22-Node06 Node22-Node05 Node21-Node06 Node21-Node05 Node21-Node04 Node21-Node03 Node21-Node01
+Node20-Node06 Node20-Node05 Node20-Node04 Node20-Node03 Node20-Node02 Node20-Node01 Node19-Node17 Node19-Node06 Node19-Node05 Node18-Node04
+Node18-Node03 Node18-Node01 Node17-Node01 Node16-Node05 Node16-Node04 Node16-Node03 Node16-Node01 Node15-Node11 Node15-Node09 Node15-Node06
+Node15-Node05 Node15-Node04 Node14-Node04 Node14-Node03 Node14-Node01 Node13-Node06 Node13-Node04 Node13-Node03 Node13-Node02 Node12-Node05
+Node12-Node04 Node11-Node06 Node11-Node05 Node11-Node04 Node11-Node02 Node11-Node01 Node10-Node06 Node10-Node04 Node10-Node03 Node10-Node01
+Node09-Node06 Node09-Node05 Node09-Node04 Node09-Node03 Node09-Node01 Node08-Node06 Node08-Node04 Node08-Node03 Node07-Node06 Node07-Node05
+Node07-Node04 Node07-Node03 Node07-Node01 Node06-Node05 Node06-Node04 Node06-Node03 Node06-Node01 Node05-Node04 Node05-Node03 Node05-Node02
+Node05-Node01 Node04-Node03 Node04-Node02 Node04-Node01 Node03-Node02 Node03-Node01 Node02-Node01 Node00-Node01 Node00-Node02 Node00-Node03
+Node00-Node04 Node00-Node05 Node00-Node06
 """
 _ABILENE = """
 NEWY-WASH NEWY-CHIC CHIC-WASH ATLA-WASH ATLA-CHIC ATLA-HOUS KANS-CHIC KANS-HOUS KANS-SALT LOSA-HOUS LOSA-SALT LOSA-SEAT SALT-SEAT
@@ -26,17 +44,19 @@ _SERVICENETWORK = """
 CHAIN1-CHAIN2 CHAIN3-CHAIN2 CHAIN3-CHAIN4 CHAIN4-CONSUMER1 CHAIN4-CONSUMER2 CHAIN4-CONSUMER3 CHAIN4-CONSUMER4
 """
 _GEANT = """
-0-1 0-L 1-2 1-3 1-F 2-3 3-C 3-4 4-L 4-I 4-7 5-6 5-E 6-7 7-8 8-9 9-A 9-C A-B B-C C-D C-F D-E E-F E-G E-L F-H G-H H-I I-J I-K J-K K-L
+node0-node1 node0-nodeL node1-node2 node1-node3 node1-nodeF node2-node3 node3-nodeC node3-node4 node4-nodeL node4-nodeI node4-node7 node5-node6
+node5-nodeE node6-node7 node7-node8 node8-node9 node9-nodeA node9-nodeC nodeA-nodeB nodeB-nodeC nodeC-nodeD nodeC-nodeF nodeD-nodeE nodeE-nodeF
+nodeE-nodeG nodeE-nodeL nodeF-nodeH nodeG-nodeH nodeH-nodeI nodeI-nodeJ nodeI-nodeK nodeJ-nodeK nodeK-nodeL
 """
 
 
-def _links(spark: SparkSession, text: str, prefix: str = "") -> DataFrame:
-    pairs = [tuple(prefix + x for x in link.split("-")) for link in text.split()]
+def _links(spark: SparkSession, text: str) -> DataFrame:
+    pairs = [tuple(link.split("-")) for link in text.split()]
     return symmetrise(spark.createDataFrame(pairs, "src string, dst string"))
 
 
 def dtelekom(spark: SparkSession) -> DataFrame:
-    return _links(spark, _DTELEKOM, "Node")
+    return _links(spark, _DTELEKOM)
 
 
 def abilene(spark: SparkSession) -> DataFrame:
@@ -48,4 +68,4 @@ def servicenetwork(spark: SparkSession) -> DataFrame:
 
 
 def geant(spark: SparkSession) -> DataFrame:
-    return _links(spark, _GEANT, "node")
+    return _links(spark, _GEANT)
