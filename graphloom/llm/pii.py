@@ -32,6 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Bound of the training sample in documents; message rounds; probability from which a token is a span.
 SAMPLE, ROUNDS, LEAST = 2000, 30, 0.6
+#: Characters of a document that teach at most.
+TRAIN_CHARS = 10_000
 #: Least number of drawn tokens in training.
 DRAWN = 1500
 
@@ -247,6 +249,9 @@ class Field:
         rows: list[tuple[list[int], list[tuple[int, int]], int]] = []
         for i in range(max(len(texts), DRAWN) if texts else 0):
             text = texts[i % len(texts)]
+            if len(text) > TRAIN_CHARS:  # A drawn part: the design matrix has a row for each token.
+                at = rng.randrange(len(text) - TRAIN_CHARS)
+                text = text[at : at + TRAIN_CHARS]
             if i >= len(texts):  # A small sample is used again, in parts of 100 words.
                 words = text.split(" ")
                 at = rng.randrange(len(words))
@@ -358,6 +363,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """Fit on about ``sample`` different documents that hold a digit or an @, chosen by a hash of id and text.
 
+    Of a text longer than ``TRAIN_CHARS`` a drawn part of that length teaches, so the fit is bounded in characters.
     A table without such documents gives a field that adds nothing.
     """
     few = sample_by_hash(docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text"), ("doc_id", "text"), sample)
