@@ -114,7 +114,7 @@ def compressor(content: bytes):
         for at in range(0, len(cut), AT_ONCE):
             part = cut[at : at + AT_ONCE]
             packed = engine.multi_compress_to_buffer(part if carried else [HEAD + w + TAIL for w in part], threads=1)
-            out += map(len, map(packed.__getitem__, range(len(part))))
+            out += map(len, packed)
         return np.array(out, np.int64)
 
     return lengths
