@@ -288,18 +288,24 @@ def convert_files(files: DataFrame, folder: str) -> DataFrame:
                 out_system, out_at = _filesystem(folder)
                 name = f"{out_at}/{hashlib.sha1(arc.encode()).hexdigest()}-{uuid.uuid4().hex}.warc.gz"
                 n = 0
-                with _opened(system, at) as stream, out_system.open_output_stream(name, compression=None) as out:
-                    for header, block in read_arc(stream):
-                        own = uuid.uuid5(uuid.NAMESPACE_URL, f"{arc}#{n}")
-                        out.write(_gzip(to_warc(header, block, None, urn=f"urn:uuid:{own}")))
-                        n += 1
+                try:
+                    with _opened(system, at) as stream, out_system.open_output_stream(name, compression=None) as out:
+                        for header, block in read_arc(stream):
+                            own = uuid.uuid5(uuid.NAMESPACE_URL, f"{arc}#{n}")
+                            out.write(_gzip(to_warc(header, block, None, urn=f"urn:uuid:{own}")))
+                            n += 1
+                except (EOFError, gzip.BadGzipFile, zlib.error) as broken:
+                    raise ValueError(f"{arc} is broken after record {n}: {broken}") from broken
                 yield pa.RecordBatch.from_arrays([pa.array([arc]), pa.array([name]), pa.array([n], pa.int64())], ["arc", "path", "records"])
 
     return cut(files.select("path").mapInArrow(run, "arc string, path string, records long"))
 
 
 def convert(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
-    """Write the archives and read them back; ``folder`` is a shared one (default: the checkpoint folder)."""
+    """Write the archives and read them back; ``folder`` is a shared one (default: the checkpoint folder).
+
+    An empty table gives an empty result; the written archives stay where they are.
+    """
     spark = pages.sparkSession
     folder = _uri(f"{(folder or checkpoint_dir(spark)).rstrip('/')}/warc-{uuid.uuid4().hex}")
     system, at = _filesystem(folder)

@@ -247,7 +247,8 @@ def near_duplicates(
     Shingles are k words; a link needs 100 * intersection >= percent * union.  Null and blank texts have
     an empty set and stand alone.  Every row is linked by its own text: rows that repeat a key with another
     text may be in other components, and component_id is the smallest key among the component's rows.  A
-    row with a null key stands alone with a null component.  Columns besides key and text are ignored.
+    row with a null key stands alone with a null component.  Columns besides key and text are ignored.  A text of
+    any length is one set, made in one pass; an empty table gives an empty result.
     """
     least = least_agreeing(bands * rows, percent)
     drawn = cut(sketch(docs, key, k, bands, rows).withColumnRenamed(key, "node"))

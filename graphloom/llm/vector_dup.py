@@ -214,7 +214,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
     """key, n_links, component_id (smallest key reachable) and kept, a row for each row of ``vectors``.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do rows
-    with a null key.  Vectors of different widths never link.  Repeated rows are linked as copies.
+    with a null key.  Vectors of different widths never link.  Repeated rows are linked as copies.  An empty table
+    gives an empty result; columns besides key and vector are ignored.
     """
     spark = vectors.sparkSession
     fine = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists(column, lambda x: x != 0)

@@ -371,3 +371,15 @@ def test_top_k_carries_what_it_has_reached(spark, monkeypatch):
         assert {(r.query_id, r.vec_id, r.score) for r in got.collect()} == want
     with pytest.raises(ValueError, match="64 bits"):
         top_k.top_k(spark.createDataFrame([(1, [1 << 32, 0])], "vec_id long, v array<long>"), rows.limit(1).selectExpr("vec_id", "slice(v, 1, 2) v"), 5)
+
+
+def test_a_cut_off_archive_is_a_value_error(spark, tmp_path):
+    import gzip
+
+    from graphloom.llm import archives
+
+    whole = archives.arc_header(1, "x") + b"".join(archives.arc_record(1, f"http://a/{i}", "20200101000000", b"HTTP/1.0 200 OK\r\n\r\n" + bytes(range(256)) * 9) for i in range(20))
+    (tmp_path / "cut.arc.gz").write_bytes(gzip.compress(whole)[:-40])
+    files = spark.createDataFrame([(str(tmp_path / "cut.arc.gz"),)], "path string")
+    with pytest.raises(Exception, match="ValueError.*is broken after record"):
+        archives.convert_files(files, str(tmp_path / "out"))
