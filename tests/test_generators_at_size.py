@@ -39,3 +39,30 @@ def test_erdos_renyi_draws_a_node_piece_by_piece(monkeypatch):
     parts = list(generate._ends(3, 5000, 0.3, 5000, 1))
     assert max(map(len, parts)) <= 7 and np.array_equal(np.concatenate(parts), whole)
     assert sum(map(len, generate._ends(3, 5000, 0.3, 40, 1))) == 40  # no more draws than ``most``
+
+
+@pytest.mark.parametrize("power", [0.0, 1.0, 2.0, 3.5])
+def test_small_world_rings_are_those_of_the_listed_nodes(power):
+    rng = np.random.default_rng(4)
+    for side in range(1, 10):
+        find, at = generate._rings(side, power), np.arange(side * side)
+        u = np.r_[rng.random((20, side * side)), np.zeros((1, side * side)), np.full((1, side * side), 1 - 2.0**-52)]
+        far = np.abs(at[:, None] // side - at // side) + np.abs(at[:, None] % side - at % side)
+        count = np.array([np.bincount(row, minlength=2 * side) for row in far])[:, 1:]
+        upto = np.cumsum(count * np.arange(1, 2 * side, dtype=float) ** -power, axis=1)
+        for k, shares in enumerate(u):
+            got = find(at, shares)
+            if side == 1:
+                assert (got == 0).all()
+                continue
+            assert (np.take_along_axis(count, got[:, None] - 1, 1) > 0).all()
+            aim = shares * upto[:, -1]
+            want = np.minimum((upto <= aim[:, None]).sum(axis=1) + 1, far.max(axis=1))
+            near = np.abs(upto - aim[:, None]).min(axis=1) < 1e-9 * upto[:, -1]
+            assert ((got == want) | near).all() and (k >= 20 or not near.any())
+
+
+def test_small_world_of_a_million_nodes_chooses_quickly():
+    find, node = generate._rings(1000, 2.0), np.arange(1_000_000)
+    d = find(node, np.random.default_rng(1).random(len(node)))
+    assert d.min() == 1 and d.max() > 500
