@@ -17,6 +17,10 @@ zstandard's own trainer makes all dictionaries, with the same budget for both si
 
 A window stands between the halves of a fixed carrier that both dictionaries hold, so that even a short
 one is worth a compressed block.
+
+Both dictionaries end with the same background and carrier.  A window in which neither side's own part can be
+matched, and no long run of what they share, costs both sides the same bytes.  Its distance is 0 without
+compressing it, once the training windows have shown that this holds (``Contrast``); all others are compressed.
 """
 
 from __future__ import annotations
@@ -55,6 +59,10 @@ CUT = 0.3
 #: The carrier: both dictionaries end with it, and every window stands between its halves.
 HEAD, TAIL = b"0123456789@ABCDEFGHI", b"<> ZYXWVUTSRQPONMLKJ"
 _BLANK = re.compile(r"\s")
+#: Bytes of the runs by which matches are found, and distance of the short runs' places in a dictionary.
+SHORT, LONG, EVERY = 4, 8, 3
+#: Bytes of a window from which on it is always compressed; bits of the tables of short and long runs.
+WIDE, BITS = 1000, (20, 22)
 
 
 def windows(text: str | None, step: int = 1, n: int = WINDOW, head: str = " ", tail: str = " ") -> list[bytes]:
@@ -66,6 +74,14 @@ def windows(text: str | None, step: int = 1, n: int = WINDOW, head: str = " ", t
     return [f"{head}{' '.join(words[i : i + n])}{tail}".encode() for i in range(0, last, step)] if words else []
 
 
+def _places(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of a text between single blanks, and where in them each of its windows starts and ends."""
+    words = text.lower().split()
+    raw = f" {' '.join(words)} ".encode()
+    blanks, n = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32), min(WINDOW, len(words))
+    return (raw, blanks[:-n], blanks[n:] + 1) if n else (raw, blanks[:0], blanks[:0])
+
+
 def parts(text: str) -> Iterator[str]:
     """A long text in pieces of two words or more that end before a blank, each but the first led by the last word of the piece before."""
     if len(text) <= PART:
@@ -120,6 +136,57 @@ def compressor(content: bytes):
     return lengths
 
 
+class Contrast:
+    """Tells windows that two dictionaries with one common end may compress to different lengths from those that they can't.
+
+    Matches begin at a run of 4 or of 8 bytes that is found again in the dictionary.  Of the short ones every third
+    place can be found, and of equal runs the last; of the long ones each place, but runs that share a slot of the table may
+    hide each other.  So the sides agree on a window without a short run that is found in the part before the
+    common end, without a long run of that part, and without a long run of the common end that one side may hide.
+    Runs are looked up in tables of hashes, where a false alarm only has a window compressed.
+    """
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        common = next((i for i, (a, b) in enumerate(zip(reversed(ordinary), reversed(toxic))) if a != b), min(len(ordinary), len(toxic)))
+        own = [x[: len(x) - common] for x in (ordinary, toxic)]
+        #: Runs over the border of window and carrier are not looked up, so no side may hold any; short runs' places have to agree.
+        self.able = common >= LONG and (len(ordinary) - len(toxic)) % EVERY == 0 and not any(x in y for x in (HEAD[-1:] + b" ", b" " + TAIL[:1]) for y in (ordinary, toxic))
+        if not self.able:
+            return
+        short, long, late = set(), set(), set()
+        for x, mine in zip((ordinary, toxic), own):
+            n, whole = len(mine), x + HEAD + TAIL
+            late |= {x[i : i + SHORT] for i in range(n + -n % EVERY, len(x) - SHORT + 1, EVERY)}
+            short |= {whole[i : i + SHORT] for i in range(0, n, EVERY)}
+            long |= {whole[i : i + LONG] for i in range(len(whole) - LONG + 1)}
+        # A match at the very start of the common end goes on backwards into the part before it.
+        short = (short - late) | {x[n - 1 : n + SHORT - 1] for x, n in zip((ordinary, toxic), map(len, own)) if n}
+        self.tables = []
+        for runs, width, bits in ((short, SHORT, BITS[0]), (long, LONG, BITS[1])):
+            table = np.zeros(1 << bits, bool)
+            for run in runs:
+                table[self._slots(np.frombuffer(run, np.uint8), width, bits)] = True
+            self.tables.append((table, width, bits))
+
+    @staticmethod
+    def _slots(raw: np.ndarray, width: int, bits: int) -> np.ndarray:
+        """Slot of the run at every place of raw, from an odd multiple of its bytes read as a number."""
+        kind = np.dtype(f"<u{width}")
+        runs = np.ndarray(len(raw) - width + 1, kind, raw, 0, (1,))
+        return (runs * kind.type(0x9E3779B97F4A7C15 & ((1 << 8 * width) - 1))) >> kind.type(8 * width - bits)
+
+    def between(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether the sides may differ on each window raw[start:end]."""
+        if not self.able:
+            return np.ones(len(starts), bool)
+        seen, found = np.frombuffer(raw, np.uint8), ends - starts >= WIDE
+        for table, width, bits in self.tables:
+            if len(seen) >= width:
+                places = np.flatnonzero(table[self._slots(seen, width, bits)])
+                found |= np.searchsorted(places, starts) < np.searchsorted(places, ends - (width - 1))
+        return found
+
+
 def _some(texts: list[str], most: int) -> list[list[bytes]]:
     """Training windows text by text, thinned by their hash where there are more than ``most``."""
     cut = [windows(t, WINDOW) for t in texts]
@@ -141,6 +208,8 @@ class Model:
 
     def __init__(self, ordinary: bytes = b"", toxic: bytes = b""):
         self.ordinary, self.toxic = ordinary, toxic
+        #: Whether windows are left out that ``Contrast`` rules out: not before training windows have shown that it is right.
+        self.skips = False
         self.weights = np.zeros(2 * len(STEPS) + 2)
 
     @classmethod
@@ -161,8 +230,10 @@ class Model:
         side = [i >> split & 1 for i in range(max(len(bad), len(plain)))]
         background, rest, chosen = cls._sides(bad, plain, side)
         for segment in LAST:
-            model = cls(*(train_dictionary(s, ROUNDS[-1][0], segment) + background for s in (rest, chosen)))
-            seen = [np.array([model._features([model._saved(x)]) for x in cut]) for cut in tried]
+            model = cls(*(train_dictionary(s, ROUNDS[-1][0], segment).rjust(ROUNDS[-1][0], b"\0") + background for s in (rest, chosen)))
+            saved = [[model._saved(x) for x in cut] for cut in tried]
+            model.skips = model._holds([w for cut in tried for x in cut for w in x], np.concatenate([d for cut in saved for d in cut]))
+            seen = [np.array([model._features([d]) for d in cut]) for cut in saved]
             weights = model._curve(*seen)
             best = max(best, (_rank_share(*(x @ weights for x in seen)), model), key=lambda x: x[0])
         return best
@@ -200,9 +271,11 @@ class Model:
         if not hasattr(self, "_known"):
             self._known: dict[bytes, int] = {}
         known = self._known
-        head, tail = HEAD.decode() + " ", " " + TAIL.decode()
         for part in parts(text or ""):
-            cut = windows(part, head=head, tail=tail)
+            raw, starts, ends = _places(part)
+            distances = np.zeros(len(starts), np.int64)
+            at = np.flatnonzero(self._contrast().between(raw, starts, ends)) if self.skips else np.arange(len(starts))
+            cut = [HEAD + raw[a:b] + TAIL for a, b in zip(starts[at].tolist(), ends[at].tolist())]
             found = list(map(known.get, cut))
             # Windows come again and again; only those that the task does not remember are compressed.
             new = list({w: None for w, d in zip(cut, found) if d is None})
@@ -213,7 +286,18 @@ class Model:
                 found = [fresh[w] if d is None else d for w, d in zip(cut, found)]
                 if len(new) <= HELD:
                     known.update(fresh)
-            yield np.array(found, np.int64)
+            distances[at] = found
+            yield distances
+
+    def _contrast(self) -> Contrast:
+        if not hasattr(self, "_between"):
+            self._between = Contrast(self.ordinary, self.toxic)
+        return self._between
+
+    def _holds(self, cut: list[bytes], saved: np.ndarray) -> bool:
+        """Whether every window that ``Contrast`` rules out is as long with both dictionaries."""
+        ends = np.cumsum([len(w) for w in cut])
+        return not saved[~self._contrast().between(b"".join(cut), np.r_[0, ends[:-1]], ends)].any()
 
     def _saved(self, cut: list[bytes], carried: bool = False) -> np.ndarray:
         if not hasattr(self, "_pair"):

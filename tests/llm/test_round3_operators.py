@@ -328,6 +328,37 @@ def test_long_texts_are_cut_part_by_part(monkeypatch):
         assert np.allclose(again.features(t), model._features([a]))
 
 
+def test_windows_that_cost_both_sides_the_same_are_not_compressed(monkeypatch):
+    from graphloom.llm import toxicity
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    common = " ".join(word() for _ in range(1200))
+    sides = [" ".join(word() for _ in range(300)).encode()[:1200] for _ in range(2)]
+    model = toxicity.Model(*(x + b" " + common.encode() for x in sides))
+
+    def piece():
+        x = rng.choice([model.ordinary, model.toxic, model.ordinary[1190:1230], model.toxic[1190:1230], toxicity.HEAD + toxicity.TAIL]).decode()
+        at = rng.randrange(len(x))
+        return x[at : at + rng.randint(2, 20)]
+
+    texts = ["", "a", " ".join(word() for _ in range(4000)), "".join(rng.choice([piece(), piece(), word(), " "]) for _ in range(20_000)), "x" * 3000 + " " + common[:2000].replace(" ", "") + " b"]
+    direct = [model._saved(toxicity.windows(t)) for t in texts]
+    sent, saved = [], toxicity.Model._saved
+    monkeypatch.setattr(toxicity.Model, "_saved", lambda self, cut, carried=False: (sent.extend(cut), saved(self, cut, carried))[1])
+    assert [model.distances(t).tolist() for t in texts] == [d.tolist() for d in direct]
+    untried = len(sent)
+    sent.clear()
+    again = toxicity.Model(model.ordinary, model.toxic)
+    again.skips = again._holds([w for t in texts for w in toxicity.windows(t)], np.concatenate(direct))
+    assert again.skips and [again.distances(t).tolist() for t in texts] == [d.tolist() for d in direct]
+    assert len(sent) < 0.8 * untried and any(d.any() for d in direct)
+    # Not ruled out: places that do not agree, carrier bytes in a side, no common end; nor is anything after a failed trial.
+    for a, b in ((b"x" + model.ordinary, model.toxic), (b"I " + model.ordinary, b"yy" + model.toxic), (b"abc", b"def")):
+        assert toxicity.Contrast(a, b).between(b" a b ", np.array([0]), np.array([5])).all()
+    assert not again._holds([b" zz yy "], np.array([1]))
+
+
 def test_toxicity_fitted_in_tasks_is_fitted_in_one_process(spark, sf):
     from graphloom.llm import toxicity
 
