@@ -43,8 +43,8 @@ from .common import cut as cut_
 WINDOW = 2
 #: Windows that are compressed in one call; texts and windows whose result a task remembers.
 AT_ONCE, REMEMBERED, HELD = 4096, 100_000, 200_000
-#: Characters of a text that are cut into windows at once.
-PART = 1 << 20
+#: Characters of a text that are cut into windows at once, and of short texts that are cut together.
+PART, TOGETHER = 1 << 20, 1 << 17
 #: Bounds of the training sample, in documents of each label and in windows of each label.
 SAMPLE, SAMPLE_WINDOWS = 1000, 400_000
 #: Bytes of the background, and budget of both sides with the saving that keeps a window, round by round.
@@ -268,31 +268,32 @@ class Model:
 
     def _pieces(self, text: str | None) -> Iterator[np.ndarray]:
         """The distances of a text part by part, so that no more than a part's windows are held."""
+        return (self._between(*_places(part)) for part in parts(text or ""))
+
+    def _between(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The distance of each window raw[start:end]."""
         if not hasattr(self, "_known"):
             self._known: dict[bytes, int] = {}
-        known = self._known
-        for part in parts(text or ""):
-            raw, starts, ends = _places(part)
-            distances = np.zeros(len(starts), np.int64)
-            at = np.flatnonzero(self._contrast().between(raw, starts, ends)) if self.skips else np.arange(len(starts))
-            cut = [HEAD + raw[a:b] + TAIL for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-            found = list(map(known.get, cut))
-            # Windows come again and again; only those that the task does not remember are compressed.
-            new = list({w: None for w, d in zip(cut, found) if d is None})
-            if new:
-                if len(known) + len(new) > HELD:
-                    known.clear()
-                fresh = dict(zip(new, self._saved(new, True).tolist()))
-                found = [fresh[w] if d is None else d for w, d in zip(cut, found)]
-                if len(new) <= HELD:
-                    known.update(fresh)
-            distances[at] = found
-            yield distances
+        known, distances = self._known, np.zeros(len(starts), np.int64)
+        at = np.flatnonzero(self._contrast().between(raw, starts, ends)) if self.skips else np.arange(len(starts))
+        cut = [HEAD + raw[a:b] + TAIL for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        found = list(map(known.get, cut))
+        # Windows come again and again; only those that the task does not remember are compressed.
+        new = list({w: None for w, d in zip(cut, found) if d is None})
+        if new:
+            if len(known) + len(new) > HELD:
+                known.clear()
+            fresh = dict(zip(new, self._saved(new, True).tolist()))
+            found = [fresh[w] if d is None else d for w, d in zip(cut, found)]
+            if len(new) <= HELD:
+                known.update(fresh)
+        distances[at] = found
+        return distances
 
     def _contrast(self) -> Contrast:
-        if not hasattr(self, "_between"):
-            self._between = Contrast(self.ordinary, self.toxic)
-        return self._between
+        if not hasattr(self, "_runs"):
+            self._runs = Contrast(self.ordinary, self.toxic)
+        return self._runs
 
     def _holds(self, cut: list[bytes], saved: np.ndarray) -> bool:
         """Whether every window that ``Contrast`` rules out is as long with both dictionaries."""
@@ -331,9 +332,29 @@ class Model:
         return w
 
     def score(self, text: str | None) -> float:
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """The scores of several texts; neighbours of up to ``TOGETHER`` characters are compressed together."""
         if not self.toxic:
-            return 0.0
-        return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -30, 30))))
+            return [0.0] * len(texts)
+        out, held, size = [], [], 0
+        for t in texts:
+            size += len(t or "")
+            if held and size > TOGETHER:
+                out += self._features_of(held)
+                held, size = [], len(t or "")
+            held.append(t or "")
+        return [float(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))) for x in out + (self._features_of(held) if held else [])]
+
+    def _features_of(self, texts: list[str]) -> list[np.ndarray]:
+        if len(texts) == 1:
+            return [self.features(texts[0])]
+        raws, starts, ends = zip(*map(_places, texts))
+        before = np.cumsum([0, *map(len, raws)])
+        shift = np.repeat(before[:-1], list(map(len, starts)))
+        found = self._between(b"".join(raws), np.concatenate(starts) + shift, np.concatenate(ends) + shift)
+        return [self._features([d]) for d in np.split(found, np.cumsum([len(x) for x in starts])[:-1])]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -394,16 +415,14 @@ def rate(docs: DataFrame, model: Model) -> DataFrame:
         m: Model = pickle.loads(sent.value)
         known: dict[bytes, float] = {}
         for batch in batches:
-            scores = []
-            for text in batch.column("text").to_pylist():
-                # Copies of a text are scored once for as long as the task remembers them.
-                key = hashlib.blake2b((text or "").encode(), digest_size=16).digest()
-                if key not in known:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    known[key] = m.score(text)
-                scores.append(known[key])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            texts = batch.column("text").to_pylist()
+            # Copies of a text are scored once for as long as the task remembers them.
+            keys = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in texts]
+            if len(known) > REMEMBERED:
+                known.clear()
+            new = {k: t for k, t in zip(keys, texts) if k not in known}
+            known.update(zip(new, m.scores(list(new.values()))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([known[k] for k in keys], pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")

@@ -353,6 +353,13 @@ def test_windows_that_cost_both_sides_the_same_are_not_compressed(monkeypatch):
     again.skips = again._holds([w for t in texts for w in toxicity.windows(t)], np.concatenate(direct))
     assert again.skips and [again.distances(t).tolist() for t in texts] == [d.tolist() for d in direct]
     assert len(sent) < 0.8 * untried and any(d.any() for d in direct)
+    # Together or one by one, texts score the same.
+    again.weights, alone = np.linspace(-2, 3, 10), []
+    monkeypatch.setattr(toxicity, "TOGETHER", 3000)
+    several = [None, *texts, "a b", "", *[" ".join(word() for _ in range(rng.randint(0, 300))) for _ in range(50)]]
+    for t in several:
+        alone.append(again.score(t))
+    assert again.scores(several) == alone and len(set(alone)) > 20 and again.scores([]) == []
     # Not ruled out: places that do not agree, carrier bytes in a side, no common end; nor is anything after a failed trial.
     for a, b in ((b"x" + model.ordinary, model.toxic), (b"I " + model.ordinary, b"yy" + model.toxic), (b"abc", b"def")):
         assert toxicity.Contrast(a, b).between(b" a b ", np.array([0]), np.array([5])).all()
